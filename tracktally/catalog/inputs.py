@@ -20,8 +20,8 @@ tracks AS (
          CAST(ts AS DATE) AS DATE, strftime(ts, '%H%M') AS TIME,
          CASE WHEN event_type = 'error' AND value >= 150 THEN 'L' ELSE '' END AS RECORD_ID,
          event_type AS STATUS,
-         5 + CAST((event_id * 104729) % 5500 AS DOUBLE) / 100 AS LAT,
-         -120 + CAST((event_id * 7919) % 7000 AS DOUBLE) / 100 AS LON,
+         CAST(500 + (event_id * 104729) % 5500 AS DOUBLE) / 100 AS LAT,
+         CAST((event_id * 7919) % 7000 - 12000 AS DOUBLE) / 100 AS LON,
          CAST(floor(value) AS INT) AS WIND,
          CAST(900 + event_id % 100 AS INT) AS PRESSURE,
          CAST(year(ts) AS INT) AS YEAR, CAST(month(ts) AS INT) AS MONTH,
@@ -40,8 +40,8 @@ def tracks(spark: SparkSession, folder: str) -> DataFrame:
         F.date_format("ts", "HHmm").alias("TIME"),
         F.when(marked, "L").otherwise("").alias("RECORD_ID"),
         F.col("event_type").alias("STATUS"),
-        (5 + ((F.col("event_id") * 104729) % 5500).cast("double") / 100).alias("LAT"),
-        (-120 + ((F.col("event_id") * 7919) % 7000).cast("double") / 100).alias("LON"),
+        ((500 + (F.col("event_id") * 104729) % 5500).cast("double") / 100).alias("LAT"),
+        (((F.col("event_id") * 7919) % 7000 - 12000).cast("double") / 100).alias("LON"),
         F.floor("value").cast("int").alias("WIND"),
         (900 + F.col("event_id") % 100).cast("int").alias("PRESSURE"),
         F.year("ts").alias("YEAR"),
@@ -75,3 +75,46 @@ def landfalls(spark: SparkSession, folder: str) -> DataFrame:
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("STORM_ID", "YEAR", "MONTH", F.col("n_name").alias("LOCATION"))
     )
+
+
+EDGES_SQL = """
+boxes AS (
+  SELECT n_nationkey AS poly_id, n_name AS name_long, r_name AS sovereignt,
+         -118.0::DOUBLE + 13 * (n_nationkey % 5) AS x, 7.0::DOUBLE + 10 * (n_nationkey // 5) AS y,
+         9.0::DOUBLE AS w, 7.0::DOUBLE AS h
+  FROM nation JOIN region ON n_regionkey = r_regionkey),
+frames AS (
+  SELECT poly_id, name_long, sovereignt, x, y, w, h FROM boxes
+  UNION ALL
+  SELECT poly_id, name_long, sovereignt, x + 2, y + 2, w - 4, h - 4 FROM boxes WHERE poly_id = 12),
+edges AS (
+  SELECT poly_id, x AS x1, y AS y1, x + w AS x2, y AS y2 FROM frames UNION ALL
+  SELECT poly_id, x + w, y, x + w, y + h FROM frames UNION ALL
+  SELECT poly_id, x + w, y + h, x, y + h FROM frames UNION ALL
+  SELECT poly_id, x, y + h, x, y FROM frames)"""
+
+
+def polygons(spark: SparkSession, folder: str) -> DataFrame:
+    """One box per nation; nation 12 has a hole."""
+    nation, region = load_tables(spark, folder, "nation", "region")
+    x = -118.0 + 13 * (F.col("n_nationkey") % 5)
+    y = 7.0 + 10 * F.floor(F.col("n_nationkey") / 5)
+
+    def ring(inset: float):
+        corners = [(0.0, 0.0), (9.0, 0.0), (9.0, 7.0), (0.0, 7.0)]
+        return F.array(*[
+            F.struct(
+                (x + (dx + inset if dx == 0 else dx - inset)).cast("double").alias("lon"),
+                (y + (dy + inset if dy == 0 else dy - inset)).cast("double").alias("lat"),
+            )
+            for dx, dy in corners
+        ])
+
+    holed = F.col("n_nationkey") == 12
+    return nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("n_nationkey").alias("poly_id"),
+        F.col("r_name").alias("sovereignt"),
+        F.col("n_name").alias("name_long"),
+        F.col("r_name").alias("continent"),
+        F.when(holed, F.array(ring(0.0), ring(2.0))).otherwise(F.array(ring(0.0))).alias("rings"),
+    )

@@ -1,3 +1,79 @@
+"""Spatial queries over event positions and nation boxes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
 from tracktally.catalog import Catalog
+from tracktally.catalog.inputs import EDGES_SQL, TRACKS_SQL, polygons, tracks
+from tracktally.operators import spatial as ops
+from tracktally.plans.wrangle import enrich_landfalls
+from tracktally.sources import polygons as shapes
 
 catalog = Catalog()
+
+INSIDE_SQL = """
+inside AS (
+  SELECT EVENT_ID, min(poly_id) AS poly_id FROM (
+    SELECT EVENT_ID, poly_id
+    FROM tracks, edges
+    WHERE (y1 > LAT) <> (y2 > LAT) AND LON < x1 + (LAT - y1) * (x2 - x1) / (y2 - y1)
+    GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY 1)"""
+
+NEAREST_SQL = """
+steps AS (
+  SELECT EVENT_ID, poly_id, (x1 - LON) * cos(radians(LAT)) AS ax, y1 - LAT AS ay,
+         (x2 - x1) * cos(radians(LAT)) AS dx, y2 - y1 AS dy
+  FROM tracks ANTI JOIN inside USING (EVENT_ID), edges),
+apart AS (
+  SELECT EVENT_ID, poly_id, ax, ay, dx, dy,
+         greatest(0, least(1, -(ax * dx + ay * dy) / (dx * dx + dy * dy))) AS t FROM steps),
+nearest AS (
+  SELECT EVENT_ID, min((round(sqrt((ax + t * dx) ** 2 + (ay + t * dy) ** 2), 9), poly_id)) AS best
+  FROM apart GROUP BY 1)"""
+
+
+@catalog.add(f"""
+WITH {TRACKS_SQL}, {EDGES_SQL}, {INSIDE_SQL}
+SELECT EVENT_ID, LON, LAT, poly_id, name_long, sovereignt
+FROM tracks LEFT JOIN inside USING (EVENT_ID) LEFT JOIN boxes USING (poly_id)""")
+def point_in_polygon(spark, folder):
+    points = tracks(spark, folder).select("EVENT_ID", "LON", "LAT")
+    shape = shapes.on_continents(
+        polygons(spark, folder), "AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"
+    )
+    return ops.contained(points, shape, ["name_long", "sovereignt"], "EVENT_ID")
+
+
+@catalog.add(f"""
+WITH {TRACKS_SQL}, {EDGES_SQL}, {INSIDE_SQL}, {NEAREST_SQL}
+SELECT EVENT_ID, best[2] AS near_id, round(best[1], 6) AS near_distance FROM nearest""")
+def nearest_polygon(spark, folder):
+    points = tracks(spark, folder).select("EVENT_ID", "LON", "LAT")
+    shape = polygons(spark, folder)
+    outside = ops.contained(points, shape, [], "EVENT_ID").filter(F.col("poly_id").isNull())
+    near = ops.nearest(outside, shape)
+    return outside.join(near, ["LON", "LAT"]).select(
+        "EVENT_ID", "near_id", F.round("near_distance", 6).alias("near_distance")
+    )
+
+
+@catalog.add(f"""
+WITH {TRACKS_SQL}, {EDGES_SQL}, {INSIDE_SQL}, {NEAREST_SQL}
+SELECT EVENT_ID, STORM_ID, LON, LAT, sovereignt AS COUNTRY, name_long AS LOCATION
+FROM tracks LEFT JOIN inside USING (EVENT_ID) LEFT JOIN nearest USING (EVENT_ID)
+JOIN boxes ON boxes.poly_id = coalesce(inside.poly_id, best[2])
+WHERE RECORD_ID = 'L'""")
+def landfall_enrich(spark, folder):
+    out = enrich_landfalls(tracks(spark, folder), polygons(spark, folder), "EVENT_ID")
+    return out.select("EVENT_ID", "STORM_ID", "LON", "LAT", "COUNTRY", "LOCATION")
+
+
+@catalog.add(f"""
+WITH {TRACKS_SQL}, {EDGES_SQL}, {INSIDE_SQL}, {NEAREST_SQL}
+SELECT name_long AS LOCATION, count(*) AS N_EVENTS
+FROM tracks LEFT JOIN inside USING (EVENT_ID) LEFT JOIN nearest USING (EVENT_ID)
+JOIN boxes ON boxes.poly_id = coalesce(inside.poly_id, best[2]) GROUP BY 1""")
+def located_event_counts(spark, folder):
+    out = ops.locate(tracks(spark, folder), polygons(spark, folder), {"name_long": "LOCATION"}, "EVENT_ID")
+    return out.groupBy("LOCATION").agg(F.count("*").alias("N_EVENTS"))

@@ -67,3 +67,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 
 def load_tables(spark: SparkSession, folder: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(os.path.join(folder, f"{n}.parquet")) for n in names]
+
+
+def written_once(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Used where several branches need the very same rows, or where a wide input
+    should be parsed a single time. Readers prune columns, and a lost executor
+    only re-reads files.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
