@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracktally.functions.numeric import keyed_uniform
 from tracktally.session import load_tables
 
 FIRST_YEAR, LAST_YEAR, HORIZON = 1995, 2001, 5
@@ -118,3 +119,74 @@ def polygons(spark: SparkSession, folder: str) -> DataFrame:
         F.col("r_name").alias("continent"),
         F.when(holed, F.array(ring(0.0), ring(2.0))).otherwise(F.array(ring(0.0))).alias("rings"),
     )
+
+
+# --- draws: every customer (or supplier) has an event rate with posterior-like draws ---
+
+CHAINS, ITERATIONS, WARMUP = 3, 50, 10
+
+UNIFORM_SQL = (
+    "(CAST(('0x' || substr(md5(concat_ws('|', {key})), 1, 8))::BIGINT AS DOUBLE) + 0.5)"
+    " / 4294967296.0::DOUBLE"
+)
+
+
+def uniform_sql(*key: str) -> str:
+    return UNIFORM_SQL.format(key=", ".join(key))
+
+
+CUSTOMER_SQL = """
+rates AS (
+  SELECT c_custkey + 1 AS idx, c_nationkey, count(o_orderkey) AS n
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)"""
+
+SUPPLIER_SQL = """
+rates AS (
+  SELECT s_suppkey + 1 AS idx, s_nationkey, count(l_orderkey) AS n
+  FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL)"""
+
+DRAWS_SQL = f"""
+draws AS (
+  SELECT r.*, CAST(c.range + 1 AS INT) AS chain, CAST(i.range + 1 AS INT) AS iteration,
+         CAST(c.range * {ITERATIONS} + i.range + 1 AS INT) AS draw, i.range < {WARMUP} AS is_warmup,
+         ln((n + 0.5::DOUBLE) / 7) + 0.6::DOUBLE
+           * ({uniform_sql('42', 'c.range + 1', 'i.range + 1', 'idx')} - 0.5::DOUBLE) AS value
+  FROM rates r, range({CHAINS}) c, range({ITERATIONS}) i),
+kept AS (SELECT * FROM draws WHERE NOT is_warmup)"""
+
+
+def customer_rates(spark: SparkSession, folder: str) -> DataFrame:
+    customer, orders = load_tables(spark, folder, "customer", "orders")
+    counts = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    return customer.join(counts, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        (F.col("c_custkey") + 1).alias("idx"), "c_nationkey", F.coalesce("n", F.lit(0)).alias("n")
+    )
+
+
+def supplier_rates(spark: SparkSession, folder: str) -> DataFrame:
+    supplier, lineitem = load_tables(spark, folder, "supplier", "lineitem")
+    counts = lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    return supplier.join(counts, F.col("s_suppkey") == F.col("l_suppkey"), "left").select(
+        (F.col("s_suppkey") + 1).alias("idx"), "s_nationkey", F.coalesce("n", F.lit(0)).alias("n")
+    )
+
+
+def draws_of(rates: DataFrame, base: str = "log_lambda", by: str = "idx") -> DataFrame:
+    """Long draws around each rate; the noise depends on (chain, iteration, idx) only.
+
+    The rates are spread before they are multiplied: one short row per element moves
+    instead of all its draws, and later groupings by the element need no shuffle.
+    """
+    spark = rates.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    steps = (
+        rates.repartition(parts, by).withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(CHAINS))))
+        .withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(ITERATIONS))))
+    )
+    noise = keyed_uniform(42, F.col("chain"), F.col("iteration"), F.col("idx")) - 0.5
+    return steps.withColumns({
+        "draw": (F.col("chain") - 1) * ITERATIONS + F.col("iteration"),
+        "is_warmup": F.col("iteration") <= WARMUP,
+        "base": F.lit(base),
+        "value": F.ln((F.col("n") + 0.5) / 7) + 0.6 * noise,
+    })

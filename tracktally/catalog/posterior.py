@@ -1,3 +1,618 @@
+"""Queries over draw tables derived from customers, suppliers and orders."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
 from tracktally.catalog import Catalog
+from tracktally.catalog.inputs import (
+    CUSTOMER_SQL, DRAWS_SQL, HORIZON, LAST_YEAR, SUPPLIER_SQL, customer_rates, draws_of,
+    supplier_rates, uniform_sql,
+)
+from tracktally.functions import numeric
+from tracktally.functions.numeric import keyed_uniform
+from tracktally.operators import compare, diagnose, predict
+from tracktally.operators.quantiles import (
+    count_quantiles, long_form, named, spread_quantiles, wide_form,
+)
+from tracktally.plans import checks, forecasts
+from tracktally.session import load_tables, shared_path
+from tracktally.sources import draws as D
 
 catalog = Catalog()
+
+CUSTOMER_DRAWS = f"{CUSTOMER_SQL}, {DRAWS_SQL}"
+SUPPLIER_DRAWS = f"{SUPPLIER_SQL}, {DRAWS_SQL}"
+
+
+def customer_draws(spark, folder):
+    return D.select_draws(draws_of(customer_rates(spark, folder)), ["log_lambda"])
+
+
+def supplier_draws(spark, folder):
+    return D.select_draws(draws_of(supplier_rates(spark, folder)), ["log_lambda"])
+
+
+def rounded(df, *names, places=6):
+    return df.withColumns({n: F.round(F.col(f"`{n}`"), places) for n in names})
+
+
+# --- reshape -------------------------------------------------------------------------
+
+
+@catalog.add("""
+WITH wide AS (
+  SELECT CAST(o_orderkey % 3 + 1 AS INT) AS c, o_orderkey // 3 + 1 AS i, o_orderkey + 1 AS d,
+         ln(o_totalprice) AS a, CAST(month(o_orderdate) AS DOUBLE) AS b,
+         CAST(day(o_orderdate) AS DOUBLE) AS l FROM orders)
+SELECT c AS chain, i AS iteration, d AS draw, v.base, v.idx, round(v.val, 6) AS value
+FROM wide, LATERAL (VALUES ('log_lambda', 1, a), ('log_lambda', 2, b), ('log_lambda', 10, l)) v(base, idx, val)""")
+def draws_long(spark, folder):
+    (orders,) = load_tables(spark, folder, "orders")
+    wide = orders.select(
+        (F.col("o_orderkey") % 3 + 1).cast("int").alias(".chain"),
+        (F.floor(F.col("o_orderkey") / 3) + 1).alias(".iteration"),
+        (F.col("o_orderkey") + 1).alias(".draw"),
+        F.ln("o_totalprice").alias("log_lambda[1]"),
+        F.month("o_orderdate").cast("double").alias("log_lambda[2]"),
+        F.dayofmonth("o_orderdate").cast("double").alias("log_lambda[10]"),
+        F.col("o_totalprice").alias("lp__"),
+    )
+    long = D.melt(wide).select(
+        F.lit("orders").alias("model"), F.col("`.chain`").alias("chain"),
+        F.col("`.iteration`").alias("iteration"), F.col("`.draw`").alias("draw"),
+        F.lit(False).alias("is_warmup"), D.base_of(F.col("variable")).alias("base"),
+        D.index_of(F.col("variable")).alias("idx"), "value",
+    )
+    path = shared_path(spark, "draws")
+    D.save_draws(long, path)
+    kept = D.select_draws(D.load_draws(spark, path), ["log_lambda"])
+    return rounded(kept.select("chain", "iteration", "draw", "base", "idx", "value"), "value")
+
+
+# --- predictors ----------------------------------------------------------------------
+
+
+def _contrast_case() -> str:
+    w = predict.contrast_weights(12)
+    return " ".join(
+        f"WHEN idx = {j + 1} AND k.range = {k} THEN {w[k][j]!r}::DOUBLE"
+        for j in range(11) for k in range(12)
+    )
+
+
+@catalog.add(f"""
+WITH contrasts AS (
+  SELECT o_orderkey AS draw, j.range + 1 AS idx,
+         {uniform_sql('7', 'o_orderkey', 'j.range + 1')} - 0.5::DOUBLE AS value
+  FROM orders, range(11) j)
+SELECT draw, CAST(k.range + 1 AS INT) AS idx, round(sum(value * CASE {_contrast_case()} END), 6) AS value
+FROM contrasts, range(12) k GROUP BY ALL""")
+def sum_to_zero_effects(spark, folder):
+    (orders,) = load_tables(spark, folder, "orders")
+    contrasts = orders.select(
+        F.col("o_orderkey").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(11))).alias("idx")
+    ).withColumn("value", keyed_uniform(7, F.col("draw"), F.col("idx")) - 0.5)
+    return rounded(predict.sum_to_zero_effects(contrasts, ["draw"], 12), "value")
+
+
+@catalog.add(f"""
+WITH {CUSTOMER_DRAWS},
+effects AS (SELECT c_nationkey AS idx, draw, avg(value) - 1 AS value FROM kept GROUP BY ALL),
+shift AS (SELECT draw, avg(value) AS b0 FROM kept GROUP BY 1)
+SELECT r.idx AS OBS_ID, draw, round(b0 + 0.5 * value, 6) AS log_lambda
+FROM rates r JOIN effects e ON r.c_nationkey = e.idx JOIN shift USING (draw)""")
+def linear_predictor(spark, folder):
+    draws = customer_draws(spark, folder)
+    nations = draws.groupBy(F.col("c_nationkey").alias("idx"), "draw").agg(
+        (F.avg("value") - 1).alias("value")
+    )
+    shift = draws.groupBy("draw").agg(F.avg("value").alias("value")).select(
+        F.lit(-1).alias("idx"), "draw", "value"
+    )
+    effects = nations.unionByName(shift)
+    rates = customer_rates(spark, folder)
+    design = rates.select(F.col("idx").alias("OBS_ID"), F.col("c_nationkey").alias("idx"),
+                          F.lit(0.5).alias("x")).unionByName(
+        rates.select(F.col("idx").alias("OBS_ID"), F.lit(-1).alias("idx"), F.lit(1.0).alias("x")))
+    return rounded(predict.linear_predictor(design, effects, "OBS_ID", ["draw"]), "log_lambda")
+
+
+@catalog.add(f"""
+WITH {CUSTOMER_DRAWS}
+SELECT idx + 0 AS ALL_ID, draw, round(value, 6) AS log_lambda FROM kept
+UNION ALL SELECT idx + (SELECT count(*) FROM rates), draw, round(value + 0.1, 6) FROM kept""")
+def append_fitted_forecast(spark, folder):
+    draws = customer_draws(spark, folder)
+    size = customer_rates(spark, folder).select(F.count(F.lit(1))).scalar()
+    fitted = draws.select(F.col("idx").alias("ALL_ID"), "draw", F.col("value").alias("log_lambda"))
+    ahead = draws.select((F.col("idx") + size).alias("ALL_ID"), "draw",
+                         (F.col("value") + 0.1).alias("log_lambda"))
+    return rounded(predict.fitted_and_forecast(fitted, ahead), "log_lambda")
+
+
+BASIS_L = 1.2
+
+
+@catalog.add(f"""
+WITH x AS (
+  SELECT o_orderkey, (year(o_orderdate) - 1995 + (month(o_orderdate) - 1) / 12.0::DOUBLE) / 12 * 2 - 1 AS x
+  FROM orders),
+terms AS (
+  SELECT o_orderkey, x, m.range AS m,
+         sin(pi() / (2 * {BASIS_L}::DOUBLE) * (x + {BASIS_L}::DOUBLE) * m.range) / sqrt({BASIS_L}::DOUBLE) AS phi,
+         0.4::DOUBLE * sqrt(sqrt(2 * pi()) * 0.3::DOUBLE)
+           * exp(-0.25::DOUBLE * (0.3::DOUBLE * pi() / 2 / {BASIS_L}::DOUBLE) ** 2 * m.range ** 2) AS spd,
+         CAST((m.range * 37) % 11 - 5 AS DOUBLE) / 5 AS z
+  FROM x, range(1, 31) m)
+SELECT o_orderkey, round(x, 6) AS x, round(sum(phi * spd * z), 6) AS f,
+       round(max(CASE WHEN m = 3 THEN phi END), 6) AS phi_3
+FROM terms GROUP BY ALL""")
+def hsgp_basis(spark, folder):
+    (orders,) = load_tables(spark, folder, "orders")
+    x = (F.year("o_orderdate") - 1995 + (F.month("o_orderdate") - 1) / 12.0) / 12 * 2 - 1
+    weights = [
+        predict.spectral_weight(F.lit(m), F.lit(0.4), F.lit(0.3), BASIS_L) * (((m * 37) % 11 - 5) / 5)
+        for m in range(1, 31)
+    ]
+    # the effect is evaluated once per distinct input, then looked up
+    inputs = orders.select(x.alias("x")).distinct().withColumns({
+        "f": predict.smooth_effect(F.col("x"), weights, BASIS_L),
+        "phi_3": predict.basis_function(F.col("x"), 3, BASIS_L),
+    })
+    out = orders.select("o_orderkey", x.alias("x")).join(inputs, "x")
+    return rounded(out.select("o_orderkey", "x", "f", "phi_3"), "x", "f", "phi_3")
+
+
+@catalog.add(f"""
+WITH {CUSTOMER_DRAWS}
+SELECT idx, draw, n, round(n * value - exp(value) - lgamma(n + 1), 6) AS log_lik FROM kept""")
+def pointwise_loglik(spark, folder):
+    draws = customer_draws(spark, folder).select("idx", "draw", F.col("value").alias("log_lambda"))
+    out = predict.pointwise_log_lik(draws, customer_rates(spark, folder), "idx", "n")
+    return rounded(out.select("idx", "draw", "n", "log_lik"), "log_lik")
+
+
+# --- predictive draws ----------------------------------------------------------------
+
+
+def poisson_draws_sql(source: str, key: str, rate: str, carry: str, kmax: str) -> str:
+    """Inverse-CDF Poisson draws in SQL: the number of k with CDF(k) < u."""
+    return f"""
+uni AS (SELECT {carry}, {rate} AS ll, {uniform_sql('42', 'draw', key)} AS u FROM {source}),
+cdf AS (
+  SELECT uni.*, k.range AS k,
+         sum(exp(k.range * ll - exp(ll) - lgamma(k.range + 1)))
+           OVER (PARTITION BY {key}, draw ORDER BY k.range) AS below
+  FROM uni, range({kmax}) k),
+pred AS (SELECT {carry}, ll, count(*) FILTER (below < u) AS post_pred FROM cdf GROUP BY ALL)"""
+
+
+CUSTOMER_PRED = f"""{CUSTOMER_DRAWS},
+{poisson_draws_sql('kept', 'idx', 'value', 'idx, draw, n, c_nationkey', '60')}"""
+
+
+@catalog.add(f"""
+WITH {CUSTOMER_PRED} SELECT idx, draw, post_pred FROM pred""")
+def poisson_predictive(spark, folder):
+    draws = customer_draws(spark, folder).select("idx", "draw", F.col("value").alias("log_lambda"))
+    return predict.predictive_draws(draws, "idx").select("idx", "draw", "post_pred")
+
+
+CHECK_SQL = f"""{CUSTOMER_PRED},
+boxes AS (
+  SELECT idx, n, c_nationkey,
+         quantile_cont(post_pred, 0.025) AS q_lower, quantile_cont(post_pred, 0.25) AS iqr_lower,
+         quantile_cont(post_pred, 0.5) AS median, quantile_cont(post_pred, 0.75) AS iqr_upper,
+         quantile_cont(post_pred, 0.975) AS q_upper
+  FROM pred GROUP BY ALL)"""
+
+
+def _checked(spark, folder):
+    draws = customer_draws(spark, folder).select(
+        F.col("idx").alias("OBS_ID"), "draw", F.col("value").alias("log_lambda")
+    )
+    data = customer_rates(spark, folder).select(
+        F.col("idx").alias("OBS_ID"), (F.round(F.col("n") / 7.0)).cast("int").alias("COUNT"),
+        F.col("c_nationkey").alias("FACET"), (F.col("idx") % 7).alias("X"),
+    )
+    return checks.posterior_check(draws, data, "OBS_ID", "COUNT", "FACET", "X")
+
+
+@catalog.add(f"""
+WITH {CHECK_SQL}
+SELECT idx AS OBS_ID, round(q_lower, 6) AS q_lower, round(iqr_lower, 6) AS iqr_lower,
+       round(median, 6) AS median, round(iqr_upper, 6) AS iqr_upper, round(q_upper, 6) AS q_upper,
+       CAST(round(n / 7) AS INT) AS COUNT, c_nationkey AS FACET, idx % 7 AS X,
+       round(n / 7) BETWEEN q_lower AND q_upper AS IN_CI
+FROM boxes""")
+def predictive_check(spark, folder):
+    return rounded(_checked(spark, folder), *checks.BOX_NAMES)
+
+
+@catalog.add(f"""
+WITH {CHECK_SQL}
+SELECT round(avg(CASE WHEN round(n / 7) BETWEEN q_lower AND q_upper THEN 1.0::DOUBLE ELSE 0 END) * 100, 1)
+         AS COVERAGE_PCT, count(*) AS N_OBS
+FROM boxes""")
+def predictive_coverage(spark, folder):
+    return checks.coverage(_checked(spark, folder))
+
+
+@catalog.add(f"""
+WITH {CHECK_SQL}
+SELECT idx, round(q_lower, 6) AS q_lower, round(iqr_lower, 6) AS iqr_lower, round(median, 6) AS median,
+       round(iqr_upper, 6) AS iqr_upper, round(q_upper, 6) AS q_upper
+FROM boxes""")
+def quantile_cast(spark, folder):
+    draws = customer_draws(spark, folder).select("idx", "draw", F.col("value").alias("log_lambda"))
+    predicted = predict.predictive_draws(draws, "idx")
+    q = count_quantiles(predicted, ["idx"], "post_pred", checks.BOX_PROBS)
+    long = long_form(q, ["idx"], checks.BOX_NAMES)
+    return rounded(wide_form(long, ["idx"], checks.BOX_NAMES), *checks.BOX_NAMES)
+
+
+# --- forecasts -----------------------------------------------------------------------
+
+FORECAST_CELLS_SQL = f"""
+cells AS (
+  SELECT (idx - 1) * {HORIZON} + y.range + 1 AS PRED_ID, idx, n_name AS LOCATION,
+         CAST({LAST_YEAR + 1} + y.range AS INT) AS YEAR
+  FROM rates JOIN nation ON s_nationkey = n_nationkey, range({HORIZON}) y),
+stars AS (SELECT PRED_ID, LOCATION, YEAR, draw, value FROM kept JOIN cells USING (idx))"""
+
+FORECAST_SQL = f"""{SUPPLIER_DRAWS}, {FORECAST_CELLS_SQL},
+{poisson_draws_sql('stars', 'PRED_ID', 'value', 'PRED_ID, LOCATION, YEAR, draw', '260')}"""
+
+
+def _forecast_inputs(spark, folder):
+    (nation,) = load_tables(spark, folder, "nation")
+    cells = (
+        supplier_rates(spark, folder)
+        .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+        .select("idx", F.col("n_name").alias("LOCATION"),
+                F.explode(F.sequence(F.lit(0), F.lit(HORIZON - 1))).alias("ahead"))
+        .select("idx", "LOCATION",
+                ((F.col("idx") - 1) * HORIZON + F.col("ahead") + 1).alias("PRED_ID"),
+                (F.col("ahead") + LAST_YEAR + 1).alias("YEAR"))
+    )
+    stars = supplier_draws(spark, folder).join(cells.select("idx", "PRED_ID"), "idx").select(
+        "draw", "PRED_ID", F.col("value").alias("log_lambda_star")
+    )
+    return stars, cells
+
+
+def _predicted(spark, folder):
+    stars, cells = _forecast_inputs(spark, folder)
+    return predict.predictive_draws(stars, "PRED_ID", "log_lambda_star"), cells
+
+
+@catalog.add(f"""
+WITH {FORECAST_SQL}
+SELECT LOCATION, YEAR, PRED_ID, round(quantile_cont(post_pred, 0.025), 6) AS "2.5% quantile",
+       round(quantile_cont(post_pred, 0.5), 6) AS median,
+       round(quantile_cont(post_pred, 0.975), 6) AS "97.5% quantile"
+FROM pred GROUP BY ALL""")
+def forecast_rows(spark, folder):
+    predicted, cells = _predicted(spark, folder)
+    boxes = count_quantiles(predicted, ["PRED_ID"], "post_pred", forecasts.SIMPLE_PROBS)
+    out = cells.join(boxes, "PRED_ID").select(
+        "LOCATION", "YEAR", "PRED_ID", *named(F.col("q"), forecasts.SIMPLE_NAMES)
+    )
+    return rounded(out, *forecasts.SIMPLE_NAMES)
+
+
+TOTALS_SQL = f"""{FORECAST_SQL},
+totals AS (SELECT draw, LOCATION, sum(post_pred) AS total FROM pred GROUP BY ALL)"""
+
+
+@catalog.add(f"""
+WITH {TOTALS_SQL}
+SELECT LOCATION, round(quantile_cont(total, 0.025), 6) AS "2.5% quantile",
+       round(quantile_cont(total, 0.25), 6) AS "IQR_lower", round(quantile_cont(total, 0.5), 6) AS median,
+       round(quantile_cont(total, 0.75), 6) AS "IQR_upper", round(quantile_cont(total, 0.975), 6) AS "97.5% quantile"
+FROM totals GROUP BY 1""")
+def forecast_totals(spark, folder):
+    predicted, cells = _predicted(spark, folder)
+    totals = forecasts.category_totals(predicted, cells, "LOCATION")
+    return rounded(forecasts.total_quantiles(totals, "LOCATION"), *forecasts.FULL_NAMES)
+
+
+@catalog.add(f"""
+WITH {FORECAST_SQL}, bins AS (
+  SELECT LOCATION, post_pred AS centre, count(*) AS n FROM pred WHERE YEAR = {LAST_YEAR + 1} GROUP BY ALL)
+SELECT LOCATION, CAST(centre AS DOUBLE) AS centre, n,
+       round(n / sum(n) OVER (PARTITION BY LOCATION), 6) AS density
+FROM bins""")
+def first_year_histogram(spark, folder):
+    predicted, cells = _predicted(spark, folder)
+    year = forecasts.in_year(predicted, cells, "LOCATION", LAST_YEAR + 1)
+    return rounded(predict.density_histogram(year, "LOCATION", "post_pred"), "density")
+
+
+@catalog.add(f"""
+WITH {CUSTOMER_DRAWS},
+masses AS (
+  SELECT c_nationkey, k.range AS k, sum(exp(k.range * value - exp(value) - lgamma(k.range + 1))) AS s
+  FROM kept, range(20) k GROUP BY ALL)
+SELECT c_nationkey, CAST(k AS INT) AS k, round(s / (SELECT count(*) FROM kept x WHERE x.c_nationkey = m.c_nationkey), 6) AS mass
+FROM masses m""")
+def predictive_mass(spark, folder):
+    draws = customer_draws(spark, folder)
+    out = predict.predictive_mass(draws, ["c_nationkey"], "value")
+    return rounded(out.filter(F.col("k") < 20), "mass")
+
+
+# --- diagnostics ---------------------------------------------------------------------
+
+
+def _named_draws(spark, folder):
+    # the name is set on the rates, so all draws of a variable are made in one place
+    rates = customer_rates(spark, folder).withColumn(
+        "variable", F.concat(F.lit("log_lambda["), F.col("idx").cast("string"), F.lit("]"))
+    )
+    draws = D.select_draws(draws_of(rates, by="variable"), ["log_lambda"])
+    return draws.select("variable", "chain", "iteration", "value", "is_warmup")
+
+
+NAMED_SQL = f"""{CUSTOMER_DRAWS},
+named AS (SELECT 'log_lambda[' || idx || ']' AS variable, chain, iteration, value FROM kept)"""
+
+SUMMARY_SQL = f"""
+WITH {NAMED_SQL}
+SELECT variable, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
+       round(stddev_samp(value), 6) AS sd, round(1.4826::DOUBLE * mad(value), 6) AS mad,
+       round(quantile_cont(value, 0.05), 6) AS q5, round(quantile_cont(value, 0.95), 6) AS q95
+FROM named GROUP BY 1"""
+
+
+@catalog.add(SUMMARY_SQL)
+def draw_summary(spark, folder):
+    out = diagnose.summarise(_named_draws(spark, folder))
+    return rounded(out, "mean", "median", "sd", "mad", "q5", "q95")
+
+
+@catalog.add(f"""
+WITH {CUSTOMER_DRAWS}
+SELECT c_nationkey, round(quantile_cont(value, 0.025), 6) AS q_lower,
+       round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.975), 6) AS q_upper
+FROM kept GROUP BY 1""")
+def pooled_quantiles(spark, folder):
+    q = spread_quantiles(customer_draws(spark, folder), ["c_nationkey"], "value", (0.025, 0.5, 0.975))
+    out = q.select("c_nationkey", *named(F.col("q"), ("q_lower", "median", "q_upper")))
+    return rounded(out, "q_lower", "median", "q_upper")
+
+
+def _poly_sql(x: str, coefficients) -> str:
+    out = f"{coefficients[0]!r}::DOUBLE"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def probit_sql(p: str) -> str:
+    def tail(t: str) -> str:
+        q = f"sqrt(-2 * ln({t}))"
+        return f"{_poly_sql(q, numeric.PROBIT_C)} / {_poly_sql(q, (*numeric.PROBIT_D, 1.0))}"
+
+    r = f"(({p}) - 0.5) * (({p}) - 0.5)"
+    low = numeric.PROBIT_LOW
+    return (
+        f"CASE WHEN {p} < {low} THEN {tail(p)} WHEN {p} > {1 - low} THEN -({tail(f'(1 - {p})')}) "
+        f"ELSE {_poly_sql(f'({r})', numeric.PROBIT_A)} * (({p}) - 0.5) "
+        f"/ {_poly_sql(f'({r})', (*numeric.PROBIT_B, 1.0))} END"
+    )
+
+
+KEPT = 40
+SCORES_SQL = f"""{NAMED_SQL},
+mid AS (
+  SELECT variable, avg(value) AS med FROM (
+    SELECT variable, value, row_number() OVER (PARTITION BY variable ORDER BY value) AS rn FROM named)
+  WHERE rn IN (60, 61) GROUP BY 1),
+halves AS (
+  SELECT variable, chain, value, abs(value - med) AS away,
+         chain * 2 + CASE WHEN iteration <= 30 THEN 0 ELSE 1 END AS half,
+         CASE WHEN iteration <= 30 THEN iteration - 10 ELSE iteration - 30 END AS t
+  FROM named JOIN mid USING (variable)),
+ranked AS (
+  SELECT *, (rank() OVER (PARTITION BY variable ORDER BY value)
+             + (count(*) OVER (PARTITION BY variable, value) - 1) / 2.0::DOUBLE - 0.375::DOUBLE) / (120.25::DOUBLE) AS p,
+         (rank() OVER (PARTITION BY variable ORDER BY away)
+             + (count(*) OVER (PARTITION BY variable, away) - 1) / 2.0::DOUBLE - 0.375::DOUBLE) / (120.25::DOUBLE) AS pf
+  FROM halves),
+scores AS (SELECT variable, half, t, value, {probit_sql('p')} AS z, {probit_sql('pf')} AS zf FROM ranked)"""
+
+RHAT_SQL = f"""{SCORES_SQL},
+parts AS (
+  SELECT variable, half, count(*) AS n, avg(z) AS zm, var_samp(z) AS zv, avg(zf) AS fm, var_samp(zf) AS fv
+  FROM scores GROUP BY ALL),
+rhats AS (
+  SELECT variable,
+         greatest(sqrt(((20 - 1) / 20::DOUBLE * avg(zv) + var_samp(zm)) / avg(zv)),
+                  sqrt(((20 - 1) / 20::DOUBLE * avg(fv) + var_samp(fm)) / avg(fv))) AS rhat
+  FROM parts GROUP BY 1)"""
+
+
+@catalog.add(f"WITH {RHAT_SQL} SELECT variable, round(rhat, 6) AS rhat FROM rhats")
+def rank_rhat(spark, folder):
+    return rounded(diagnose.rank_rhat(_named_draws(spark, folder)), "rhat")
+
+
+def _ess_sql(name: str, score: str) -> str:
+    """Effective sample size of a score column by direct lag sums."""
+    return f"""
+{name}_c AS (
+  SELECT variable, half, t, {score} AS x, avg({score}) OVER (PARTITION BY variable, half) AS m
+  FROM marked),
+{name}_acov AS (
+  SELECT a.variable, a.half, b.t - a.t AS lag, sum((a.x - a.m) * (b.x - b.m)) / 20 AS g
+  FROM {name}_c a JOIN {name}_c b ON a.variable = b.variable AND a.half = b.half AND b.t >= a.t
+  GROUP BY ALL),
+{name}_mean AS (SELECT variable, lag, avg(g) AS g FROM {name}_acov GROUP BY ALL),
+{name}_w AS (
+  SELECT variable, w, w * 19 / 20 + vm AS total
+  FROM (SELECT variable, g * 20 / 19 AS w FROM {name}_mean WHERE lag = 0)
+  JOIN (SELECT variable, var_samp(m) AS vm FROM (SELECT DISTINCT variable, half, m FROM {name}_c) GROUP BY 1)
+  USING (variable)),
+{name}_pair AS (
+  SELECT variable, lag // 2 AS k, sum(CASE WHEN lag = 0 THEN 1.0::DOUBLE ELSE 1 - (w - g) / total END) AS pair
+  FROM {name}_mean JOIN {name}_w USING (variable) GROUP BY ALL),
+{name}_run AS (
+  SELECT variable, min(pair) OVER (PARTITION BY variable ORDER BY k) AS low FROM {name}_pair),
+{name} AS (
+  SELECT variable, 120 / greatest(-1 + 2 * sum(CASE WHEN low > 0 THEN low ELSE 0 END), 1 / log10(120)) AS ess
+  FROM {name}_run GROUP BY 1)"""
+
+
+ESS_SQL = f"""
+ends AS (SELECT variable, quantile_cont(value, 0.05) AS q5, quantile_cont(value, 0.95) AS q95 FROM named GROUP BY 1),
+marked AS (
+  SELECT variable, half, t, z, CAST(value <= q5 AS DOUBLE) AS i5, CAST(value <= q95 AS DOUBLE) AS i95
+  FROM scores JOIN ends USING (variable)),
+{_ess_sql('bulk', 'z')}, {_ess_sql('low', 'i5')}, {_ess_sql('high', 'i95')},
+sizes AS (
+  SELECT variable, bulk.ess AS ess_bulk, least(low.ess, high.ess) AS ess_tail
+  FROM bulk JOIN low USING (variable) JOIN high USING (variable))"""
+
+
+@catalog.add(f"""
+WITH {SCORES_SQL}, {ESS_SQL}
+SELECT variable, round(ess_bulk, 4) AS ess_bulk, round(ess_tail, 4) AS ess_tail FROM sizes""")
+def ess(spark, folder):
+    out = diagnose.measure(_named_draws(spark, folder)).drop("rhat")
+    return rounded(out, "ess_bulk", "ess_tail", places=4)
+
+
+@catalog.add(f"""
+WITH {RHAT_SQL}, {ESS_SQL}
+SELECT variable, round(rhat, 4) AS rhat, round(ess_bulk, 4) AS ess_bulk, round(ess_tail, 4) AS ess_tail
+FROM sizes JOIN rhats USING (variable) ORDER BY sizes.ess_bulk, variable LIMIT 5""")
+def worst_params(spark, folder):
+    out = diagnose.worst(diagnose.measure(_named_draws(spark, folder)))
+    return rounded(out.select("variable", "rhat", "ess_bulk", "ess_tail"),
+                   "rhat", "ess_bulk", "ess_tail", places=4)
+
+
+@catalog.add(f"""
+WITH {RHAT_SQL}, best AS (SELECT variable FROM rhats ORDER BY rhat DESC, variable DESC LIMIT 1)
+SELECT 'log_lambda[' || idx || ']' AS variable, chain, iteration, round(value, 6) AS value, is_warmup
+FROM draws WHERE 'log_lambda[' || idx || ']' IN (SELECT variable FROM best)""")
+def trace_worst(spark, folder):
+    measured = diagnose.rank_rhat(_named_draws(spark, folder)).withColumn("order", -F.col("rhat"))
+    everything = D.select_draws(
+        draws_of(customer_rates(spark, folder)), ["log_lambda"], warmup=True
+    ).select(D.variable_name().alias("variable"), "chain", "iteration", "value", "is_warmup")
+    return rounded(diagnose.trace(everything, measured, by="order"), "value")
+
+
+FOUR_SQL = """
+spread AS (SELECT variable, stddev_samp(value) AS s FROM named GROUP BY 1),
+four AS (SELECT variable FROM spread ORDER BY round(s, 9), variable LIMIT 4),
+chosen AS (SELECT * FROM named SEMI JOIN four USING (variable))"""
+
+
+def _four(draws):
+    spread = draws.groupBy("variable").agg(F.round(F.stddev_samp("value"), 9).alias("s"))
+    return diagnose.worst(spread, 4, "s")
+
+
+@catalog.add(f"""
+WITH {NAMED_SQL}, {FOUR_SQL},
+pairs AS (
+  SELECT a.variable AS x_var, b.variable AS y_var, a.value AS x, b.value AS y
+  FROM chosen a JOIN chosen b USING (chain, iteration) WHERE a.variable < b.variable),
+placed AS (
+  SELECT x_var, y_var, 30 * (x - min(x) OVER w) / (max(x) OVER w - min(x) OVER w) AS sx,
+         30 / sqrt(3) * (y - min(y) OVER w) / (max(y) OVER w - min(y) OVER w) AS sy
+  FROM pairs WINDOW w AS (PARTITION BY x_var, y_var)),
+near AS (
+  SELECT *, (sx - floor(sx + 0.5)) ** 2 + 3 * (sy - floor(sy + 0.5)) ** 2
+         <= (sx - floor(sx) - 0.5) ** 2 + 3 * (sy - floor(sy) - 0.5) ** 2 AS even FROM placed)
+SELECT x_var, y_var, CASE WHEN even THEN floor(sx + 0.5) ELSE floor(sx) + 0.5 END AS cell_x,
+       CASE WHEN even THEN floor(sy + 0.5) ELSE floor(sy) + 0.5 END AS cell_y, count(*) AS n
+FROM near GROUP BY ALL""")
+def pair_hexbin(spark, folder):
+    draws = _named_draws(spark, folder)
+    return diagnose.hexbin(diagnose.pair_rows(draws, _four(draws)))
+
+
+@catalog.add(f"""
+WITH {NAMED_SQL}, {FOUR_SQL},
+stats AS (
+  SELECT variable, min(value) AS lo, max(value) AS hi, count(*) AS n,
+         0.9::DOUBLE * least(stddev_samp(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34::DOUBLE)
+           * count(*) ** (-0.2::DOUBLE) AS h
+  FROM chosen GROUP BY 1),
+binned AS (
+  SELECT variable, lo, hi, n, h, floor((value - lo) / ((hi - lo) / 511) + 0.5) AS bin, count(*) AS w
+  FROM chosen JOIN stats USING (variable) GROUP BY ALL),
+spots AS (
+  SELECT *, i.range AS i, lo - 3 * h + i.range * (hi - lo + 6 * h) / 63 AS spot FROM binned, range(64) i)
+SELECT variable, CAST(i AS INT) AS i, round(spot, 6) AS spot,
+       round(sum(w * exp(-0.5::DOUBLE * ((spot - lo - bin * (hi - lo) / 511) / h) ** 2) / (n * h * sqrt(2 * pi()))), 6) AS density
+FROM spots GROUP BY variable, i, spot""")
+def param_density(spark, folder):
+    draws = _named_draws(spark, folder)
+    return rounded(diagnose.density(draws, _four(draws)).withColumnRenamed("at", "spot"), "spot", "density")
+
+
+# --- model comparison ----------------------------------------------------------------
+
+LOG_LIK_SQL = f"""{CUSTOMER_DRAWS},
+log_lik AS (
+  SELECT 'A' AS model, idx, n * (value + ln(7)) - exp(value + ln(7)) - lgamma(n + 1) AS ll FROM kept
+  UNION ALL
+  SELECT 'B', idx, n * l - exp(l) - lgamma(n + 1)
+  FROM (SELECT idx, n, 2.3::DOUBLE + 0.1::DOUBLE * (value - ln((n + 0.5::DOUBLE) / 7)) AS l FROM kept)),
+points AS (
+  SELECT model, idx, min(ll) - ln(avg(exp(low - ll))) AS elpd_loo,
+         max(ll) + ln(avg(exp(ll - top))) - var_samp(ll) AS elpd_waic
+  FROM (SELECT *, min(ll) OVER w AS low, max(ll) OVER w AS top FROM log_lik WINDOW w AS (PARTITION BY model, idx))
+  GROUP BY ALL)"""
+
+
+def _two_models(spark, folder):
+    draws = customer_draws(spark, folder)
+    rates = customer_rates(spark, folder)
+    noise = F.col("value") - F.ln((F.col("n") + 0.5) / 7)
+    own = draws.select(F.lit("A").alias("model"), "idx", "draw",
+                       (F.col("value") + math.log(7)).alias("log_lambda"))
+    pooled = draws.select(F.lit("B").alias("model"), "idx", "draw",
+                          (2.3 + 0.1 * noise).alias("log_lambda"))
+    return predict.pointwise_log_lik(own.unionByName(pooled), rates, "idx", "n")
+
+
+@catalog.add(f"""
+WITH {LOG_LIK_SQL}
+SELECT model, idx, round(elpd_loo, 6) AS elpd_loo, round(elpd_waic, 6) AS elpd_waic FROM points""")
+def loo_is_waic(spark, folder):
+    out = compare.importance_loo(_two_models(spark, folder), ["model", "idx"])
+    return rounded(out, "elpd_loo", "elpd_waic")
+
+
+@catalog.add()
+def loo_psis(spark, folder):
+    out = compare.smoothed_loo(_two_models(spark, folder), ["model", "idx"])
+    return rounded(out, "elpd_loo", "pareto_k")
+
+
+@catalog.add(f"""
+WITH {LOG_LIK_SQL},
+totals AS (
+  SELECT model, sum(elpd_loo) AS elpd_loo, sqrt(count(*)) * stddev_samp(elpd_loo) AS se_elpd_loo
+  FROM points GROUP BY 1),
+best AS (SELECT model FROM totals ORDER BY elpd_loo DESC, model LIMIT 1),
+diffs AS (
+  SELECT p.model, sum(p.elpd_loo - b.elpd_loo) AS elpd_diff,
+         sqrt(count(*)) * stddev_samp(p.elpd_loo - b.elpd_loo) AS se_diff
+  FROM points p JOIN (SELECT * FROM points SEMI JOIN best USING (model)) b USING (idx) GROUP BY 1)
+SELECT model, round(elpd_diff, 4) AS elpd_diff, round(se_diff, 4) AS se_diff,
+       round(elpd_loo, 4) AS elpd_loo, round(se_elpd_loo, 4) AS se_elpd_loo
+FROM diffs JOIN totals USING (model)""")
+def model_compare(spark, folder):
+    points = compare.importance_loo(_two_models(spark, folder), ["model", "idx"])
+    out = compare.compare_models(points, "idx")
+    return rounded(out, "elpd_diff", "se_diff", "elpd_loo", "se_elpd_loo", places=4)
