@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Coefficients of the published rational approximation to the
 # inverse normal distribution function (relative error below 1.15e-9).
@@ -76,7 +77,7 @@ def _log_factorials(k: np.ndarray) -> np.ndarray:
     return np.where(k <= 20, exact[np.minimum(k, 20).astype(int)], series)
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def poisson_quantile(log_rate: pd.Series, u: pd.Series) -> pd.Series:
     """Smallest k with CDF(k) >= u: a Poisson draw when ``u`` is uniform.
 
