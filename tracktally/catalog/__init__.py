@@ -28,9 +28,9 @@ class Catalog:
 
 
 def all_queries() -> list[Query]:
-    from tracktally.catalog import explore, modelling, posterior, spatial, wrangle
+    from tracktally.catalog import explore, fits, modelling, posterior, spatial, wrangle
 
     found: list[Query] = []
-    for module in (explore, wrangle, spatial, modelling, posterior):
+    for module in (explore, wrangle, spatial, modelling, posterior, fits):
         found += module.catalog.items
     return found

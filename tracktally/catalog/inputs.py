@@ -149,9 +149,9 @@ DRAWS_SQL = f"""
 draws AS (
   SELECT r.*, CAST(c.range + 1 AS INT) AS chain, CAST(i.range + 1 AS INT) AS iteration,
          CAST(c.range * {ITERATIONS} + i.range + 1 AS INT) AS draw, i.range < {WARMUP} AS is_warmup,
-         floor(1000000 * (ln((n + 0.5::DOUBLE) / 7) + 0.6::DOUBLE
+         floor(16777216 * (ln((n + 0.5::DOUBLE) / 7) + 0.6::DOUBLE
            * ({uniform_sql('42', 'c.range + 1', 'i.range + 1', 'idx')} - 0.5::DOUBLE)))
-           / 1000000.0::DOUBLE AS value
+           / 16777216.0::DOUBLE AS value
   FROM rates r, range({CHAINS}) c, range({ITERATIONS}) i),
 kept AS (SELECT * FROM draws WHERE NOT is_warmup)"""
 
@@ -189,6 +189,6 @@ def draws_of(rates: DataFrame, base: str = "log_lambda", by: str = "idx") -> Dat
         "draw": (F.col("chain") - 1) * ITERATIONS + F.col("iteration"),
         "is_warmup": F.col("iteration") <= WARMUP,
         "base": F.lit(base),
-        # six decimals, so that both engines start from the very same numbers
-        "value": F.floor(1000000 * (F.ln((F.col("n") + 0.5) / 7) + 0.6 * noise)) / 1000000.0,
+        # 24 binary places, so that both engines start from the very same numbers
+        "value": F.floor(16777216 * (F.ln((F.col("n") + 0.5) / 7) + 0.6 * noise)) / 16777216.0,
     })
