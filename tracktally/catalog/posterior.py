@@ -28,11 +28,11 @@ SUPPLIER_DRAWS = f"{SUPPLIER_SQL}, {DRAWS_SQL}"
 
 
 def customer_draws(spark, folder):
-    return D.select_draws(draws_of(customer_rates(spark, folder)), ["log_lambda"])
+    return draws_of(customer_rates(spark, folder)).filter(~F.col("is_warmup"))
 
 
 def supplier_draws(spark, folder):
-    return D.select_draws(draws_of(supplier_rates(spark, folder)), ["log_lambda"])
+    return draws_of(supplier_rates(spark, folder)).filter(~F.col("is_warmup"))
 
 
 def rounded(df, *names, places=6):
@@ -353,7 +353,7 @@ def _named_draws(spark, folder):
     rates = customer_rates(spark, folder).withColumn(
         "variable", F.concat(F.lit("log_lambda["), F.col("idx").cast("string"), F.lit("]"))
     )
-    draws = D.select_draws(draws_of(rates, by="variable"), ["log_lambda"])
+    draws = draws_of(rates, by="variable").filter(~F.col("is_warmup"))
     return draws.select("variable", "chain", "iteration", "value", "is_warmup")
 
 
@@ -502,9 +502,7 @@ SELECT 'log_lambda[' || idx || ']' AS variable, chain, iteration, round(value, 6
 FROM draws WHERE 'log_lambda[' || idx || ']' IN (SELECT variable FROM best)""")
 def trace_worst(spark, folder):
     measured = diagnose.rank_rhat(_named_draws(spark, folder)).withColumn("order", -F.col("rhat"))
-    everything = D.select_draws(
-        draws_of(customer_rates(spark, folder)), ["log_lambda"], warmup=True
-    ).select(D.variable_name().alias("variable"), "chain", "iteration", "value", "is_warmup")
+    everything = draws_of(customer_rates(spark, folder)).select(D.variable_name().alias("variable"), "chain", "iteration", "value", "is_warmup")
     return rounded(diagnose.trace(everything, measured, by="order"), "value")
 
 

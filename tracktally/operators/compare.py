@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracktally.session import cut_lineage
+
 
 def importance_loo(log_lik: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Plain importance-sampling LOO and WAIC per observation.
@@ -95,7 +97,12 @@ def model_totals(pointwise: DataFrame, elpd: str = "elpd_loo") -> DataFrame:
 
 
 def compare_models(pointwise: DataFrame, row: str, elpd: str = "elpd_loo") -> DataFrame:
-    """Differences to the best model, best first."""
+    """Differences to the best model, best first.
+
+    The pointwise table has one row per model and observation and is read three times,
+    so it is fixed by a checkpoint first.
+    """
+    pointwise = cut_lineage(pointwise)
     totals = model_totals(pointwise, elpd)
     best = totals.orderBy(F.desc("elpd_loo"), "model").limit(1).select("model")
     reference = pointwise.join(F.broadcast(best), "model", "left_semi").select(  # one row

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,6 +12,14 @@ def having_any(tracks: DataFrame, marked: DataFrame, track: str) -> DataFrame:
     return tracks.join(marked.select(track).distinct(), track, "left_semi")
 
 
+def _seconds(df: DataFrame, at: str) -> Column:
+    """Whole seconds on a scale that rises with the column, free of daylight-saving jumps."""
+    if df.schema[at].dataType.simpleString() == "timestamp":
+        return F.unix_seconds(at)
+    clock = F.hour(at) * 3600 + F.minute(at) * 60 + F.floor(F.second(at))
+    return F.unix_date(F.to_date(at)).cast("bigint") * 86_400 + clock
+
+
 def path_steps(tracks: DataFrame, track: str, order: list[str], carry: list[str],
                at: str, bucket_seconds: int = 86_400) -> DataFrame:
     """Position in the track (``SEQ``) and the following point of each observation.
@@ -20,8 +28,7 @@ def path_steps(tracks: DataFrame, track: str, order: list[str], carry: list[str]
     rows before it and the first point after it, comes from a table with one row per
     piece. So no task ever orders a whole long track.
     """
-    epoch = F.unix_micros(F.col(at).cast("timestamp"))
-    pieces = tracks.withColumn("__piece", F.floor(epoch / (bucket_seconds * 1_000_000)))
+    pieces = tracks.withColumn("__piece", F.floor(_seconds(tracks, at) / bucket_seconds))
     head = F.struct(*order, *carry)
 
     inside = W.partitionBy(track, "__piece").orderBy(*order)

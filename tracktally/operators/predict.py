@@ -29,14 +29,15 @@ def contrast_prior_sd(size: int) -> float:
 def sum_to_zero_effects(contrasts: DataFrame, keys: list[str], size: int) -> DataFrame:
     """``keys, idx, value`` contrasts (idx 1..size-1) to ``size`` effects summing to 0."""
     weights = contrast_weights(size)
-    columns = F.array(*[
-        F.array(*[F.lit(weights[k][j]) for k in range(size)]) for j in range(size - 1)
-    ])
-    spread = contrasts.select(
-        *keys, "value", F.posexplode(columns[F.col("idx") - 1]).alias("k", "w")
-    )
-    return spread.groupBy(*keys, (F.col("k") + 1).alias("idx")).agg(
-        F.sum(F.col("w") * F.col("value")).alias("value")
+    at = F.col("idx").cast("int") - 1
+    sums = [
+        F.sum(F.array(*[F.lit(w) for w in row])[at] * F.col("value")) for row in weights
+    ]
+    # the sums combine map-side, so a draw ships one row instead of size x (size - 1)
+    wide = contrasts.groupBy(*keys).agg(*[s.alias(f"__e{k}") for k, s in enumerate(sums)])
+    effects = F.array(*[f"__e{k}" for k in range(size)])
+    return wide.select(*keys, F.posexplode(effects).alias("__k", "value")).select(
+        *keys, (F.col("__k") + 1).alias("idx"), "value"
     )
 
 

@@ -15,6 +15,8 @@ from tracktally.sources.polygons import edges
 MAX_CELLS = 200_000
 MAX_PACKED_EDGES = 2_000_000
 MAX_CELL_EDGES = 4_096
+MAX_BROADCAST_EDGES = 1_000_000
+ID_BITS = 24
 
 
 def on_globe(lon: Column, lat: Column) -> Column:
@@ -138,24 +140,47 @@ def nearest(positions: DataFrame, polygons: DataFrame, lon: str = "LON", lat: st
     """
     sides = edges(polygons)
     px, py = F.col(lon), F.col(lat)
+    boxes = [F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")]
+
+    def reach(low: Column, high: Column, r: float) -> Column:
+        return F.sequence(cell_of(low - r, r), cell_of(high + r, r))
+
+    def copies(r: float) -> Column:
+        return F.sum(F.size(reach(*boxes[:2], r)).cast("bigint") * F.size(reach(*boxes[2:], r)))
+
+    facts = sides.agg(
+        F.min("poly_id").alias("low"), F.max("poly_id").alias("high"),
+        *[copies(r).alias(f"r{i}") for i, r in enumerate(radii)],
+    ).first()
+    compact = (facts["low"] or 0) >= 0 and (facts["high"] or 0) < 1 << ID_BITS
+
+    def code(distance: Column) -> Column:
+        """Distance, then id, as one comparable value; a long keeps hash aggregation."""
+        if compact:
+            nano = F.round(distance * 1e9).cast("bigint")
+            return F.shiftleft(nano, ID_BITS) + F.col("poly_id")
+        return F.struct(distance.alias("d"), F.col("poly_id").alias("id"))
+
+    def distance_of(best: Column) -> Column:
+        return F.shiftright(best, ID_BITS) / 1e9 if compact else best["d"]
+
+    def id_of(best: Column) -> Column:
+        return best.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int") if compact else best["id"]
+
     state = positions.select(lon, lat).distinct().withColumns({
-        "__best": F.lit(None).cast("struct<near_distance:double,near_id:int>"),
+        "__best": F.lit(None).cast("bigint" if compact else "struct<d:double,id:int>"),
         "__open": F.lit(True),
     })
-    for radius in radii:
-        def reach(low: Column, high: Column, r: float = radius) -> Column:
-            return F.explode(F.sequence(cell_of(low - r, r), cell_of(high + r, r)))
-
-        keyed = sides.withColumn("cx", reach(F.least("x1", "x2"), F.greatest("x1", "x2")))
-        keyed = keyed.withColumn("cy", reach(F.least("y1", "y2"), F.greatest("y1", "y2")))
+    for i, radius in enumerate(radii):
+        keyed = sides.withColumn("cx", F.explode(reach(*boxes[:2], radius)))
+        keyed = keyed.withColumn("cy", F.explode(reach(*boxes[2:], radius)))
+        if (facts[f"r{i}"] or 0) <= MAX_BROADCAST_EDGES:
+            keyed = F.broadcast(keyed)  # keeps the positions where they are in every round
         ready = state.withColumns({
             "cx": F.when(F.col("__open"), cell_of(px, radius)),
             "cy": F.when(F.col("__open"), cell_of(py, radius)),
         })
-        found = F.struct(
-            _distance(px, py, *[F.col(c) for c in ("x1", "y1", "x2", "y2")]).alias("near_distance"),
-            F.col("poly_id").alias("near_id"),
-        )
+        found = code(_distance(px, py, *[F.col(c) for c in ("x1", "y1", "x2", "y2")]))
         best = F.min(F.when(F.col("poly_id").isNotNull(), found))
         state = (
             ready.join(keyed, ["cx", "cy"], "left")
@@ -163,11 +188,14 @@ def nearest(positions: DataFrame, polygons: DataFrame, lon: str = "LON", lat: st
             .agg(F.coalesce(best, F.first("__best")).alias("__best"), F.first("__open").alias("__was"))
             .withColumn("__open", F.col("__was") & (
                 F.col("__best").isNull()
-                | (F.col("__best.near_distance") > radius * F.cos(F.radians(py)))
+                | (distance_of(F.col("__best")) > radius * F.cos(F.radians(py)))
             ))
             .drop("__was")
         )
-    return state.select(lon, lat, "__best.near_id", "__best.near_distance")
+    return state.select(
+        lon, lat, id_of(F.col("__best")).alias("near_id"),
+        distance_of(F.col("__best")).alias("near_distance"),
+    )
 
 
 def locate(points: DataFrame, polygons: DataFrame, attributes: dict[str, str], row_id: str,
