@@ -43,7 +43,8 @@ def _tail_shape(excess: np.ndarray) -> tuple[float, float]:
     )
     shapes = np.log1p(-grid[:, None] * excess).mean(axis=1)
     score = n * (np.log(-grid / shapes) - shapes - 1.0)
-    weight = 1.0 / np.exp(score[None, :] - score[:, None]).sum(axis=1)
+    with np.errstate(over="ignore"):
+        weight = 1.0 / np.exp(score[None, :] - score[:, None]).sum(axis=1)
     theta = float((grid * weight).sum() / weight.sum())
     k = float(np.log1p(-theta * excess).mean())
     sigma = -k / theta
