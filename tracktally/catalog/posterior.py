@@ -357,6 +357,18 @@ def _named_draws(spark, folder):
     return draws.select("variable", "chain", "iteration", "value", "is_warmup")
 
 
+def _numbered_draws(spark, folder, warmup=False):
+    """The same draws keyed by a number, which sorts faster than a name."""
+    draws = draws_of(customer_rates(spark, folder)).withColumn("variable", F.col("idx"))
+    kept = draws if warmup else draws.filter(~F.col("is_warmup"))
+    return kept.select("variable", "chain", "iteration", "value", "is_warmup")
+
+
+def _with_name(df):
+    number = F.col("variable").cast("string")
+    return df.withColumn("variable", F.concat(F.lit("log_lambda["), number, F.lit("]")))
+
+
 NAMED_SQL = f"""{CUSTOMER_DRAWS},
 named AS (SELECT 'log_lambda[' || idx || ']' AS variable, chain, iteration, value FROM kept)"""
 
@@ -438,7 +450,7 @@ rhats AS (
 
 @catalog.add(f"WITH {RHAT_SQL} SELECT variable, round(rhat, 6) AS rhat FROM rhats")
 def rank_rhat(spark, folder):
-    return rounded(diagnose.rank_rhat(_named_draws(spark, folder)), "rhat")
+    return _with_name(rounded(diagnose.rank_rhat(_numbered_draws(spark, folder)), "rhat"))
 
 
 def _ess_sql(name: str, score: str) -> str:
@@ -482,7 +494,7 @@ sizes AS (
 WITH {SCORES_SQL}, {ESS_SQL}
 SELECT variable, round(ess_bulk, 4) AS ess_bulk, round(ess_tail, 4) AS ess_tail FROM sizes""")
 def ess(spark, folder):
-    out = diagnose.measure(_named_draws(spark, folder)).drop("rhat")
+    out = _with_name(diagnose.measure(_numbered_draws(spark, folder))).drop("rhat")
     return rounded(out, "ess_bulk", "ess_tail", places=4)
 
 
@@ -491,7 +503,7 @@ WITH {RHAT_SQL}, {ESS_SQL}
 SELECT variable, round(rhat, 4) AS rhat, round(ess_bulk, 4) AS ess_bulk, round(ess_tail, 4) AS ess_tail
 FROM sizes JOIN rhats USING (variable) ORDER BY sizes.ess_bulk, variable LIMIT 5""")
 def worst_params(spark, folder):
-    out = diagnose.worst(diagnose.measure(_named_draws(spark, folder)))
+    out = _with_name(diagnose.worst(diagnose.measure(_numbered_draws(spark, folder))))
     return rounded(out.select("variable", "rhat", "ess_bulk", "ess_tail"),
                    "rhat", "ess_bulk", "ess_tail", places=4)
 
@@ -501,9 +513,9 @@ WITH {RHAT_SQL}, best AS (SELECT variable FROM rhats ORDER BY rhat DESC, variabl
 SELECT 'log_lambda[' || idx || ']' AS variable, chain, iteration, round(value, 6) AS value, is_warmup
 FROM draws WHERE 'log_lambda[' || idx || ']' IN (SELECT variable FROM best)""")
 def trace_worst(spark, folder):
-    measured = diagnose.rank_rhat(_named_draws(spark, folder)).withColumn("order", -F.col("rhat"))
-    everything = draws_of(customer_rates(spark, folder)).select(D.variable_name().alias("variable"), "chain", "iteration", "value", "is_warmup")
-    return rounded(diagnose.trace(everything, measured, by="order"), "value")
+    measured = diagnose.rank_rhat(_numbered_draws(spark, folder)).withColumn("order", -F.col("rhat"))
+    everything = _numbered_draws(spark, folder, warmup=True)
+    return rounded(_with_name(diagnose.trace(everything, measured, by="order")), "value")
 
 
 FOUR_SQL = """

@@ -57,8 +57,8 @@ def split_chains(draws: DataFrame, variable: str = "variable") -> DataFrame:
     )
 
 
-def _rank_normal(value: str, variable: str) -> Column:
-    """Normal score of the average-tie rank among all draws of the variable.
+def _rank_share(value: str, variable: str) -> Column:
+    """Average-tie rank among all draws of the variable, scaled into (0, 1).
 
     Rank, ties and size share one ordering, so they cost one sort.
     """
@@ -66,7 +66,7 @@ def _rank_normal(value: str, variable: str) -> Column:
     ties = F.count(F.lit(1)).over(order.rangeBetween(W.currentRow, W.currentRow))
     size = F.count(F.lit(1)).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     rank = F.rank().over(order) + (ties - 1) / 2.0
-    return probit((rank - 0.375) / (size + 0.25))
+    return (rank - 0.375) / (size + 0.25)
 
 
 def rank_scores(draws: DataFrame, variable: str = "variable", value: str = "value") -> DataFrame:
@@ -77,13 +77,15 @@ def rank_scores(draws: DataFrame, variable: str = "variable", value: str = "valu
     n = F.count(F.lit(1)).over(whole)
     place = F.row_number().over(order)
     middle = (place == F.floor((n + 1) / 2)) | (place == F.ceil((n + 1) / 2))
-    return (
-        halves.withColumns({"z": _rank_normal(value, variable), "__middle": middle})
+    ranked = (
+        halves.withColumns({"__p": _rank_share(value, variable), "__middle": middle})
         .withColumn("__median", F.avg(F.when(F.col("__middle"), F.col(value))).over(whole))
         .withColumn("__away", F.abs(F.col(value) - F.col("__median")))
-        .withColumn("z_folded", _rank_normal("__away", variable))
-        .drop("__middle", "__median", "__away")
+        .withColumn("__folded", _rank_share("__away", variable))
     )
+    return ranked.withColumns({
+        "z": probit(F.col("__p")), "z_folded": probit(F.col("__folded")),
+    }).drop("__p", "__middle", "__median", "__away", "__folded")
 
 
 def _between_within(score: str) -> Column:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracktally.session import written_once
 from tracktally.sources.polygons import edges
 
 MAX_CELLS = 200_000
@@ -32,14 +33,14 @@ def _crosses(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Col
     return ((y1 > py) != (y2 > py)) & (px < x1 + (py - y1) * (x2 - x1) / (y2 - y1))
 
 
-def edge_cells(polygons: DataFrame, size: float) -> DataFrame:
+def edge_cells(edge_rows: DataFrame, size: float) -> DataFrame:
     """Edges that can decide containment, keyed by cell.
 
     A cell gets the edges of its latitude band that end in or east of it.
     ``spans`` marks edges wholly east of the cell that cover the band: every point
     of the cell crosses them, so a count is enough. ``size`` is a power of two.
     """
-    sides = edges(polygons).filter("y1 <> y2")
+    sides = edge_rows.filter("y1 <> y2")
     west = sides.groupBy("poly_id").agg(
         F.floor(F.min(F.least("x1", "x2")) / size).cast("int").alias("west")
     )
@@ -71,15 +72,16 @@ def packed_cells(keyed: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def contained(points: DataFrame, polygons: DataFrame, attributes: list[str], row_id: str,
-              lon: str = "LON", lat: str = "LAT", size: float = 1.0) -> DataFrame:
+              lon: str = "LON", lat: str = "LAT", size: float = 1.0,
+              sides: DataFrame | None = None) -> DataFrame:
     """Left join of points to the polygon that holds them: adds ``poly_id`` and attributes.
 
     The cell table is measured first. While it is small and no cell is crowded, each
     point looks its cell up once and decides in the same row, without a shuffle of
     the points. Otherwise points meet edge rows on the cell key and parity is an
-    aggregation; the answer is the same.
+    aggregation; the answer is the same. ``sides`` may hold saved edge rows.
     """
-    keyed = edge_cells(polygons, size)
+    keyed = edge_cells(edges(polygons) if sides is None else sides, size)
     load = keyed.groupBy("cx", "cy").agg(F.count_if(~F.col("spans")).alias("n"))
     cells, total, most = load.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)),
                                   F.coalesce(F.max("n"), F.lit(0))).first()
@@ -131,14 +133,16 @@ def _distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Co
 
 
 def nearest(positions: DataFrame, polygons: DataFrame, lon: str = "LON", lat: str = "LAT",
-            radii: tuple[float, ...] = (1.0, 4.0, 16.0, 64.0, 512.0)) -> DataFrame:
+            radii: tuple[float, ...] = (1.0, 4.0, 16.0, 64.0, 512.0),
+            sides: DataFrame | None = None) -> DataFrame:
     """Nearest polygon of each distinct position: ``lon, lat, near_id, near_distance``.
 
     Each round compares a position with the edges whose box, widened by the radius,
     meets the position's cell. A best distance within the radius is final, since
-    every edge left out lies farther. The last radius covers the globe.
+    every edge left out lies farther. The last radius covers the globe. The edges are
+    saved once, as every round reads them.
     """
-    sides = edges(polygons)
+    sides = written_once(edges(polygons), "edges") if sides is None else sides
     px, py = F.col(lon), F.col(lat)
     boxes = [F.least("x1", "x2"), F.greatest("x1", "x2"), F.least("y1", "y2"), F.greatest("y1", "y2")]
 
@@ -206,9 +210,10 @@ def locate(points: DataFrame, polygons: DataFrame, attributes: dict[str, str], r
     so a place that holds many rows costs one search.
     """
     kept = list(attributes)
-    inside = contained(points, polygons, kept, row_id, lon, lat, size)
+    sides = written_once(edges(polygons), "edges")
+    inside = contained(points, polygons, kept, row_id, lon, lat, size, sides)
     outside = inside.filter(F.col("poly_id").isNull() & on_globe(F.col(lon), F.col(lat)))
-    near = nearest(outside, polygons, lon, lat)
+    near = nearest(outside, polygons, lon, lat, sides=sides)
     names = polygons.select(
         F.col("poly_id").alias("near_id"), *[F.col(k).alias(f"near_{k}") for k in kept]
     )
