@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracktally.functions.numeric import keyed_uniform
-from tracktally.session import load_tables
+from tracktally.session import load_tables, task_count
 
 FIRST_YEAR, LAST_YEAR, HORIZON = 1995, 2001, 5
 
@@ -178,10 +178,8 @@ def draws_of(rates: DataFrame, base: str = "log_lambda", by: str = "idx") -> Dat
     The rates are spread before they are multiplied: one short row per element moves
     instead of all its draws, and later groupings by the element need no shuffle.
     """
-    spark = rates.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     steps = (
-        rates.repartition(parts, by).withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(CHAINS))))
+        rates.repartition(task_count(rates.sparkSession), by).withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(CHAINS))))
         .withColumn("iteration", F.explode(F.sequence(F.lit(1), F.lit(ITERATIONS))))
     )
     noise = keyed_uniform(42, F.col("chain"), F.col("iteration"), F.col("idx")) - 0.5

@@ -603,7 +603,40 @@ def loo_is_waic(spark, folder):
     return rounded(out, "elpd_loo", "elpd_waic")
 
 
-@catalog.add()
+# 120 draws give a tail of 24 and 34 candidates for the tail's scale
+PSIS_SQL = f"""{LOG_LIK_SQL},
+ratios AS (
+  SELECT model, idx, ll, -ll - max(-ll) OVER (PARTITION BY model, idx) AS r,
+         row_number() OVER (PARTITION BY model, idx ORDER BY ll DESC) AS rn FROM log_lik),
+cuts AS (SELECT model, idx, r AS cut FROM ratios WHERE rn = 96),
+tails AS (
+  SELECT model, idx, rn - 96 AS i, exp(r) - exp(cut) AS e FROM ratios JOIN cuts USING (model, idx) WHERE rn > 96),
+ends AS (
+  SELECT model, idx, max(e) AS last, max(CASE WHEN i = 6 THEN e END) AS quarter FROM tails GROUP BY ALL),
+shapes AS (
+  SELECT model, idx, g, avg(ln(1 - g * e)) AS shape
+  FROM (SELECT model, idx, j.range AS j, 1 / last + (1 - sqrt(34 / (j.range - 0.5::DOUBLE))) / (3 * quarter) AS g
+        FROM ends, range(1, 35) j) JOIN tails USING (model, idx) GROUP BY model, idx, g),
+scores AS (SELECT *, 24 * (ln(-g / shape) - shape - 1) AS score FROM shapes),
+weights AS (
+  SELECT a.model, a.idx, a.g, 1 / sum(exp(b.score - a.score)) AS w
+  FROM scores a JOIN scores b USING (model, idx) GROUP BY ALL),
+scales AS (SELECT model, idx, sum(g * w) / sum(w) AS theta FROM weights GROUP BY ALL),
+raw AS (SELECT model, idx, theta, avg(ln(1 - theta * e)) AS k FROM tails JOIN scales USING (model, idx) GROUP BY ALL),
+fits AS (SELECT model, idx, -k / theta AS sigma, (k * 24 + 5) / 34 AS k FROM raw),
+smoothed AS (
+  SELECT model, idx, ll, k,
+         least(0, CASE WHEN rn <= 96 THEN r
+           ELSE ln(sigma * (exp(-k * ln(1 - (rn - 96.5::DOUBLE) / 24)) - 1) / k + exp(cut)) END) AS r
+  FROM ratios JOIN cuts USING (model, idx) JOIN fits USING (model, idx)),
+psis AS (
+  SELECT model, idx, ln(sum(exp(r) * exp(ll)) / sum(exp(r))) AS elpd_loo, max(k) AS pareto_k
+  FROM smoothed GROUP BY ALL)"""
+
+
+@catalog.add(f"""
+WITH {PSIS_SQL}
+SELECT model, idx, round(elpd_loo, 6) AS elpd_loo, round(pareto_k, 6) AS pareto_k FROM psis""")
 def loo_psis(spark, folder):
     out = compare.smoothed_loo(_two_models(spark, folder), ["model", "idx"])
     return rounded(out, "elpd_loo", "pareto_k")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracktally.catalog import Catalog
 from tracktally.catalog.inputs import EDGES_SQL, TRACKS_SQL, polygons, tracks
 from tracktally.operators import spatial as ops
+from tracktally.plans.explore import location_totals
 from tracktally.plans.wrangle import enrich_landfalls
 from tracktally.sources import polygons as shapes
 
@@ -77,3 +78,26 @@ JOIN boxes ON boxes.poly_id = coalesce(inside.poly_id, best[2]) GROUP BY 1""")
 def located_event_counts(spark, folder):
     out = ops.locate(tracks(spark, folder), polygons(spark, folder), {"name_long": "LOCATION"}, "EVENT_ID")
     return out.groupBy("LOCATION").agg(F.count("*").alias("N_EVENTS"))
+
+
+@catalog.add(f"""
+WITH {TRACKS_SQL}, {EDGES_SQL}, {INSIDE_SQL}, {NEAREST_SQL},
+counts AS (
+  SELECT name_long, count(*) AS n
+  FROM tracks LEFT JOIN inside USING (EVENT_ID) LEFT JOIN nearest USING (EVENT_ID)
+  JOIN boxes ON boxes.poly_id = coalesce(inside.poly_id, best[2]) WHERE RECORD_ID = 'L' GROUP BY 1),
+corners AS (
+  SELECT poly_id, name_long, CASE WHEN w < 9 THEN 1 ELSE 0 END AS ring, c.o,
+         x + w * c.dx AS long, y + h * c.dy AS lat
+  FROM frames, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) c(o, dx, dy))
+SELECT poly_id, name_long, CAST(ring AS INT) AS "group", CAST(o AS INT) AS ord, long, lat,
+       coalesce(n, 0) AS LANDFALL_NUM
+FROM corners LEFT JOIN counts USING (name_long)""")
+def choropleth_outline(spark, folder):
+    """Map table: polygon corners with the number of marked events of the polygon."""
+    shape = polygons(spark, folder)
+    found = enrich_landfalls(tracks(spark, folder), shape, "EVENT_ID")
+    totals = location_totals(shape.select("poly_id", "name_long"), found, "name_long")
+    return shapes.outline(shape).join(totals, "poly_id").select(
+        "poly_id", "name_long", "group", "ord", "long", "lat", "LANDFALL_NUM"
+    )

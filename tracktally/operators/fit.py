@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracktally.operators.predict import contrast_prior_sd, contrast_weights
+from tracktally.session import task_count
 
 CHAINS_PER_BATCH = 48
 
@@ -231,8 +232,7 @@ def segment_cells(counts: DataFrame, segment: str, cell: str, count: str, cells:
 def fit(cells: DataFrame, segment: str, model: CountModel, chains: int = 3, warmup: int = 500,
         kept: int = 3500, seed: int = 42, steps: int = 12, save_warmup: bool = True) -> DataFrame:
     """Posterior draws, one row per (segment, chain, iteration) with all values in an array."""
-    spark = cells.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = task_count(cells.sparkSession)
     jobs = cells.select(
         segment, "y", F.explode(F.sequence(F.lit(1), F.lit(chains))).alias("chain")
     ).withColumn("key", F.xxhash64(F.col(segment).cast("string"), "chain"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracktally.functions.numeric import keyed_uniform, poisson_log_mass, poisson_quantile
+from tracktally.session import broadcast_if_small, task_count
 
 
 def contrast_weights(size: int) -> list[list[float]]:
@@ -82,11 +83,14 @@ def smooth_effect(x: Column, weights: list[Column], boundary: float) -> Column:
 def linear_predictor(design: DataFrame, effects: DataFrame, row: str, keys: list[str]) -> DataFrame:
     """Sparse product: design ``row, idx, x`` times draws ``keys, idx, value``.
 
-    The join is left to adaptive execution, which broadcasts the side it measures as
-    small and splits crowded index values. The sum is combined map-side.
+    Effects are few (draws x coefficients) and are broadcast after a count. The design
+    is placed by row before it is multiplied, so the sum over a row's entries needs no
+    shuffle of the rows x draws product and a crowded coefficient, such as an intercept
+    shared by all rows, gathers nowhere. Larger effects fall back to a shuffled join.
     """
+    placed = design.repartition(task_count(design.sparkSession), row)
     return (
-        effects.join(design, "idx")
+        placed.join(broadcast_if_small(effects, 500_000), "idx")
         .groupBy(*keys, row)
         .agg(F.sum(F.col("x") * F.col("value")).alias("log_lambda"))
     )

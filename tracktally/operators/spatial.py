@@ -93,8 +93,9 @@ def contained(points: DataFrame, polygons: DataFrame, attributes: list[str], row
     names = polygons.select("poly_id", *attributes)
     if most <= MAX_CELL_EDGES:
         table = packed_cells(keyed, names)
-        if cells <= MAX_CELLS and total <= MAX_PACKED_EDGES:
-            table = F.broadcast(table)
+        small = cells <= MAX_CELLS and total <= MAX_PACKED_EDGES
+        # the planner's estimate ignores the exploded cells, so the choice is made here
+        table = F.broadcast(table) if small else table.hint("merge")
         def inside(c: Column) -> Column:
             crossings = F.aggregate(
                 c["sides"], c["base"],
@@ -178,8 +179,9 @@ def nearest(positions: DataFrame, polygons: DataFrame, lon: str = "LON", lat: st
     for i, radius in enumerate(radii):
         keyed = sides.withColumn("cx", F.explode(reach(*boxes[:2], radius)))
         keyed = keyed.withColumn("cy", F.explode(reach(*boxes[2:], radius)))
-        if (facts[f"r{i}"] or 0) <= MAX_BROADCAST_EDGES:
-            keyed = F.broadcast(keyed)  # keeps the positions where they are in every round
+        # a broadcast keeps the positions where they are in every round
+        small = (facts[f"r{i}"] or 0) <= MAX_BROADCAST_EDGES
+        keyed = F.broadcast(keyed) if small else keyed.hint("merge")
         ready = state.withColumns({
             "cx": F.when(F.col("__open"), cell_of(px, radius)),
             "cy": F.when(F.col("__open"), cell_of(py, radius)),

@@ -54,6 +54,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions to ask for when few short rows are about to become many."""
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(shuffle, spark.sparkContext.defaultParallelism)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """Broadcast ``df`` only when a count shows at most ``max_rows`` rows.
 
