@@ -119,6 +119,17 @@ def test_locate_gives_each_point_one_place(spark):
     assert bounding_box(tracks, "LON", "LAT", 0, 2, 0, 2).count() == 3
 
 
+def test_a_place_with_most_rows_is_searched_once(spark):
+    polygons = spark.createDataFrame(FIXTURE, SCHEMA)
+    xy = [(5.0, 5.0)] * 700 + [(0.5, 0.5)] * 200 + [(30.0 + i, -20.0) for i in range(100)]
+    tracks = points(spark, xy).selectExpr("*", "'L' AS RECORD_ID")
+    out = enrich_landfalls(tracks, polygons, "id").collect()
+    assert sorted(r.id for r in out) == list(range(1000))
+    assert {r.LOCATION for r in out if r.id < 900} == {"holed"}
+    outside = tracks.filter("id < 700")
+    assert spatial.nearest(outside, polygons).count() == 1
+
+
 def test_readers_agree(spark, tmp_path):
     wkt = tmp_path / "p.csv"
     wkt.write_text('poly_id,sovereignt,name_long,continent,wkt\n'

@@ -9,6 +9,7 @@ from tracktally.catalog.inputs import EDGES_SQL, TRACKS_SQL, polygons, tracks
 from tracktally.operators import spatial as ops
 from tracktally.plans.explore import location_totals
 from tracktally.plans.wrangle import enrich_landfalls
+from tracktally.session import written_once
 from tracktally.sources import polygons as shapes
 
 catalog = Catalog()
@@ -52,8 +53,10 @@ SELECT EVENT_ID, best[2] AS near_id, round(best[1], 6) AS near_distance FROM nea
 def nearest_polygon(spark, folder):
     points = tracks(spark, folder).select("EVENT_ID", "LON", "LAT")
     shape = polygons(spark, folder)
-    outside = ops.contained(points, shape, [], "EVENT_ID").filter(F.col("poly_id").isNull())
-    near = ops.nearest(outside, shape)
+    sides = written_once(shapes.edges(shape), "edges")
+    inside = ops.contained(points, shape, [], "EVENT_ID", sides=sides)
+    outside = inside.filter(F.col("poly_id").isNull())
+    near = ops.nearest(outside, shape, sides=sides)
     return outside.join(near, ["LON", "LAT"]).select(
         "EVENT_ID", "near_id", F.round("near_distance", 6).alias("near_distance")
     )

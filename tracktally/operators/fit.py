@@ -256,7 +256,10 @@ def _run(segment: str, model: CountModel, warmup: int, kept: int, seed: int,
             for i, (name, chain) in enumerate(zip(part[segment], part["chain"])):
                 yield pd.DataFrame({
                     segment: name, "chain": chain, "iteration": number,
-                    "draw": (chain - 1) * kept + number - warmup,
+                    "draw": pd.array(  # only kept iterations are numbered draws
+                        [(chain - 1) * kept + n - warmup if n > warmup else pd.NA for n in number],
+                        dtype="Int32",
+                    ),
                     "is_warmup": number <= warmup, "values": list(drawn[i, first:]),
                 })
 

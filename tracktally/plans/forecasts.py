@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracktally.operators.predict import density_histogram, predictive_draws, predictive_mass
 from tracktally.operators.quantiles import count_quantiles, named
+from tracktally.session import written_once
 
 # Probabilities and column names of the forecast tables.
 SIMPLE_PROBS = (0.025, 0.5, 0.975)
@@ -62,11 +63,15 @@ def forecast(draws: DataFrame, grid: DataFrame, category: str, parameter: str =
     """All forecast tables of one model.
 
     ``draws`` has ``draw, PRED_ID`` and the log rate; ``grid`` is a modelling grid.
-    Month tables come in calendar order when the grid carries MONTH_ID.
+    Month tables come in calendar order. The predictive draws and the per-draw totals
+    are saved once, since several tables read them.
     """
     cells = grid.filter(F.col("PRED_ID").isNotNull())
-    predicted = predictive_draws(draws, "PRED_ID", parameter, seed)
-    totals = category_totals(predicted, cells, category)
+    predicted = written_once(
+        predictive_draws(draws, "PRED_ID", parameter, seed).select("draw", "PRED_ID", "post_pred"),
+        "predicted",
+    )
+    totals = written_once(category_totals(predicted, cells, category), "totals")
     year = cells.agg(F.min("YEAR")).first()[0]
     first = density_histogram(in_year(predicted, cells, category, year), category, "post_pred")
 
