@@ -60,6 +60,19 @@ def test_measures(spark, logistic):
     assert {r.variable for r in trace.select("variable").distinct().collect()} == {"beta[2]"}
 
 
+def test_report(spark, logistic):
+    one = checks.diagnostics(logistic, ["alpha"], warmup=False)
+    assert one.pairs is None and one.density is None
+    assert one.worst.count() == 1 and one.trace.filter("is_warmup").count() == 0
+    full = checks.diagnostics(logistic, ["alpha", "beta"])
+    assert full.worst.columns == ["variable", "rhat", "ess_bulk", "ess_tail"]
+    assert [r.variable for r in full.worst.collect()][0] == "beta[2]"
+    assert full.summary.count() == 4 and full.trace.filter("is_warmup").count() == 240
+    assert full.pairs.agg(F.sum("n")).first()[0] == 6 * 800
+    with pytest.raises(ValueError):
+        checks.diagnostics(logistic, ["not_a_real_param"])
+
+
 def test_shifted_chain_is_flagged(spark, logistic):
     moved = logistic.filter("NOT is_warmup").withColumn(
         "value", F.col("value") + F.when(F.col("chain") == 1, 3.0).otherwise(0.0))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracktally.operators import diagnose
 from tracktally.operators.predict import predictive_draws
 from tracktally.operators.quantiles import count_quantiles, named
+from tracktally.session import written_once
+from tracktally.sources.draws import select_draws, variable_name
 
 # Probabilities and names of the predictive box.
 BOX_PROBS = (0.025, 0.25, 0.5, 0.75, 0.975)
@@ -36,3 +42,36 @@ def coverage(checked: DataFrame) -> DataFrame:
         F.round(F.avg(F.col("IN_CI").cast("double")) * 100, 1).alias("COVERAGE_PCT"),
         F.count(F.lit(1)).alias("N_OBS"),
     )
+
+
+@dataclass(frozen=True)
+class Diagnostics:
+    """``pairs`` and ``density`` are None for a single parameter."""
+
+    summary: DataFrame
+    worst: DataFrame
+    trace: DataFrame
+    pairs: DataFrame | None
+    density: DataFrame | None
+
+
+def diagnostics(draws: DataFrame, variables: Iterable[str], warmup: bool = True, k: int = 5,
+                n_pairs: int = 4) -> Diagnostics:
+    """Convergence report of the named parameters; an unknown name raises.
+
+    The measures are saved once; the trace and the pair tables depend on their order.
+    """
+    everything = select_draws(draws, variables, warmup=True).withColumn("variable", variable_name())
+    kept = everything.filter(~F.col("is_warmup"))
+    measured = written_once(
+        diagnose.summarise(kept).join(diagnose.measure(kept), "variable"), "measures"
+    )
+    several = measured.limit(2).count() > 1
+    four = diagnose.worst(measured, n_pairs).select("variable")
+    return Diagnostics(
+        summary=measured.orderBy(F.asc_nulls_last("ess_bulk"), "variable"),
+        worst=diagnose.worst(measured, k).select("variable", "rhat", "ess_bulk", "ess_tail"),
+        trace=diagnose.trace(everything if warmup else kept, measured),
+        pairs=diagnose.hexbin(diagnose.pair_rows(kept, four)) if several else None,
+        density=diagnose.density(kept, four) if several else None,
+    )
