@@ -198,7 +198,7 @@ def pair_rows(draws: DataFrame, chosen: DataFrame, variable: str = "variable") -
     ``chosen`` is a top-k list of at most four names. Each iteration gathers only
     those values, so there is no self join of the draws.
     """
-    kept = draws.join(F.broadcast(chosen.select(variable)), variable, "left_semi")
+    kept = draws.join(chosen.select(variable), variable, "left_semi")
     here = kept.groupBy("chain", "iteration").agg(
         F.array_sort(F.collect_list(F.struct(F.col(variable).alias("n"), F.col("value").alias("v"))))
         .alias("a")
@@ -219,7 +219,7 @@ def hexbin(pairs: DataFrame, bins: int = 30) -> DataFrame:
     )
     sx = bins * (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0"))
     sy = bins / math.sqrt(3) * (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0"))
-    placed = pairs.join(F.broadcast(span), keys).select(*keys, sx.alias("sx"), sy.alias("sy"))
+    placed = pairs.join(span, keys).select(*keys, sx.alias("sx"), sy.alias("sy"))
     even_x, even_y = F.floor(F.col("sx") + 0.5), F.floor(F.col("sy") + 0.5)
     odd_x, odd_y = F.floor("sx") + 0.5, F.floor("sy") + 0.5
 
@@ -240,7 +240,7 @@ def density(draws: DataFrame, chosen: DataFrame, points: int = 64, fine_bins: in
 
     Draws are counted in fine bins first, so the kernel sum runs over bins.
     """
-    kept = draws.join(F.broadcast(chosen.select(variable)), variable, "left_semi")
+    kept = draws.join(chosen.select(variable), variable, "left_semi")
     stats = kept.groupBy(variable).agg(
         F.min("value").alias("lo"), F.max("value").alias("hi"), F.count(F.lit(1)).alias("n"),
         F.stddev_samp("value").alias("sd"),
@@ -250,7 +250,7 @@ def density(draws: DataFrame, chosen: DataFrame, points: int = 64, fine_bins: in
     ).drop("q", "sd")
     width = (F.col("hi") - F.col("lo")) / (fine_bins - 1)
     binned = (
-        kept.join(F.broadcast(stats), variable)
+        kept.join(stats, variable)
         .withColumn("bin", F.floor((F.col("value") - F.col("lo")) / width + 0.5))
         .groupBy(variable, "lo", "hi", "h", "n", "bin").agg(F.count(F.lit(1)).alias("w"))
     )
