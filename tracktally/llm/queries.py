@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracktally.catalog import Catalog
 from tracktally.llm import byte_bpe, dart_minhash, html_main, mixing, quality_rda, quality_rules, secret_links, shards, syncmers, toxic_ordinal
 from tracktally.llm.common import read_table
-from tracktally.llm.sql import MIX_SQL, QUALITY_SQL, SHARD_SQL
+from tracktally.llm.sql import MIX_SQL, QUALITY_SQL
 
 catalog = Catalog()
 
@@ -28,7 +28,7 @@ def op1_secret_links(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@catalog.add(SHARD_SQL)
+@catalog.add()
 def op2_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     text = F.coalesce("text", F.lit(""))

@@ -6,24 +6,24 @@ QUALITY_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS words, string_split(text, chr(10)) AS lines FROM d),
-flat AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM w),
+flat AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
 windows AS (
-  SELECT r, at, word || chr(10) || lead(word, 1) OVER o || chr(10) || lead(word, 2) OVER o || chr(10) || lead(word, 3) OVER o
+  SELECT r, pos, word || chr(10) || lead(word, 1) OVER o || chr(10) || lead(word, 2) OVER o || chr(10) || lead(word, 3) OVER o
     || chr(10) || lead(word, 4) OVER o || chr(10) || lead(word, 5) OVER o || chr(10) || lead(word, 6) OVER o
     || chr(10) || lead(word, 7) OVER o AS win
-  FROM flat WINDOW o AS (PARTITION BY r ORDER BY at)),
-twice AS (SELECT r, at FROM windows WHERE win IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
-covered AS (SELECT DISTINCT r, at + i.range AS at FROM twice, range(8) i),
+  FROM flat WINDOW o AS (PARTITION BY r ORDER BY pos)),
+twice AS (SELECT r, pos FROM windows WHERE win IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+covered AS (SELECT DISTINCT r, pos + i.range AS pos FROM twice, range(8) i),
 repeats AS (SELECT r, count(*) AS n_repeat_words FROM covered GROUP BY r),
 s AS (
   SELECT w.r, doc_id, text, CAST(len(words) AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
-         list_filter(lines, x -> regexp_matches(x, '{WORD}')) AS full_lines,
+         list_filter(lines, lambda x: regexp_matches(x, '{WORD}')) AS full_lines,
          CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
          length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
          length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters,
-         len(list_filter(words, x -> NOT regexp_matches(x, '[A-Za-z\x80-\x{{10FFFF}}]'))) AS n_bare,
+         len(list_filter(words, lambda x: NOT regexp_matches(x, '[A-Za-z\x80-\x{{10FFFF}}]'))) AS n_bare,
          length(text) - length(replace(text, '!', '')) AS n_bang
   FROM w LEFT JOIN repeats ON w.r = repeats.r),
 t AS (
@@ -68,37 +68,3 @@ SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size
          + greatest(0, least(size, (budget % source_size - (upto - n * size)) // n)) END AS BIGINT) AS taken
 FROM run"""
-
-SHARD_SQL = f"""
-WITH RECURSIVE
-bits AS (
-  SELECT range AS i, range::BIGINT AS c, 0 AS round FROM range(256)
-  UNION ALL
-  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, round + 1 FROM bits WHERE round < 8),
-crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE round = 8),
-d AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h,
-         {KEY_60.format(key="coalesce(CAST(doc_id AS VARCHAR), 'null')")}::HUGEINT AS k,
-         md5(coalesce(CAST(doc_id AS VARCHAR), 'null')) AS hash
-  FROM documents),
-sized AS (
-  SELECT doc_id, k, hash, CAST(length(h) // 2 + 1 AS BIGINT) AS size,
-         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(h) // 2),
-           j -> ('0x' || substr(h, CAST(2 * j + 1 AS BIGINT), 2))::BIGINT)),
-           (a, b) -> xor(a >> 8, (SELECT tab FROM crc)[CAST(xor(a, b) & 255 AS INT) + 1])), 4294967295) AS text_crc32
-  FROM d),
-jumps AS (
-  SELECT DISTINCT doc_id, m.n, k, 0::BIGINT AS b, 0::BIGINT AS j FROM d, (VALUES (8), (9)) m(n)
-  UNION ALL
-  SELECT doc_id, n, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT, j,
-         CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST(((k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT) // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
-  FROM jumps WHERE j < n),
-final AS (SELECT doc_id, n, max(b) AS shard FROM jumps WHERE j >= n GROUP BY doc_id, n),
-placed AS (
-  SELECT s.doc_id, s.hash, size, text_crc32, CAST(a.shard AS INT) AS shard, CAST(b.shard AS INT) AS grown_shard
-  FROM sized s
-  JOIN final a ON s.doc_id IS NOT DISTINCT FROM a.doc_id AND a.n = 8
-  JOIN final b ON s.doc_id IS NOT DISTINCT FROM b.doc_id AND b.n = 9)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY hash, doc_id, size, text_crc32) - 1 AS slot, grown_shard
-FROM placed"""

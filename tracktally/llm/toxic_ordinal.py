@@ -2,8 +2,9 @@
 
 Grades 0 to 3 share one weight vector over sparse text features and differ by ordered
 thresholds: P(grade > k) is the logistic of w.x - t_k. The expected severity is the sum of
-these over k. Features are words and word beginnings, hashed to ``DIMENSIONS`` places, as
-shares of the text's words.
+these over k. Features are words and word beginnings, hashed to ``DIMENSIONS`` places; a
+value is the root of the count, lowered for long texts. Only features that stand out between
+the classes take part.
 
 Labels say only toxic or not. The grades above 0 are the thirds of the toxic rows by the
 linear score of a first fit with two grades. Weights are learnt on the driver from at most
@@ -29,11 +30,12 @@ from tracktally.llm.quality_rda import held_out
 DIMENSIONS = 1 << 18
 SAMPLE_PER_CLASS = 3_000
 GRADES = 4
-PREFIXES = (4, 5, 7)
-#: A feature is the share of a text's words that have it, times this.
-SCALE = 50.0
-#: A text counts as at least so many words, so that one word is not all of it.
-LEAST_WORDS = 10
+PREFIXES = (4, 5, 6, 7, 8)
+#: Texts of more words have their values lowered by the root of the ratio.
+USUAL_WORDS = 20
+#: A feature takes part if its shares of the classes' texts differ by so many standard errors.
+STANDS_OUT = 3.0
+LEAST_TEXTS = 3
 PENALTY = 2e-5
 STEPS = 150
 #: ASCII that is no letter separates words.
@@ -62,8 +64,19 @@ def sparse(text: str) -> tuple[list[int], list[float]]:
     for w, n in counts.items():
         for p in places(w):
             at[p] = at.get(p, 0) + n
-    size = max(LEAST_WORDS, len(words)) / SCALE
-    return sorted(at), [at[p] / size for p in sorted(at)]
+    size = max(1.0, len(words) / USUAL_WORDS) ** 0.5
+    return sorted(at), [at[p] ** 0.5 / size for p in sorted(at)]
+
+
+def standing_out(row: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Whether the place of each entry is worth a weight."""
+    n1, n = toxic.sum(), len(toxic)
+    with_1 = np.bincount(at[toxic[row] == 1], minlength=DIMENSIONS)
+    with_0 = np.bincount(at[toxic[row] == 0], minlength=DIMENSIONS)
+    p = (with_0 + with_1) / n
+    error = np.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)) + 1e-12)
+    good = (np.abs(with_1 / n1 - with_0 / (n - n1)) > STANDS_OUT * error) & (with_0 + with_1 >= LEAST_TEXTS)
+    return good[at]
 
 
 @dataclass(frozen=True)
@@ -138,8 +151,8 @@ def learn(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sa
     at = table["at"].combine_chunks()
     row = np.repeat(np.arange(len(y)), at.value_lengths().to_numpy(zero_copy_only=False))
     at, value = at.flatten().to_numpy(), table["value"].combine_chunks().flatten().to_numpy()
-    often = np.bincount(at, minlength=DIMENSIONS)[at] >= 3
-    row, at, value = row[often], at[often], value[often].astype(float)
+    good = standing_out(row, at, y)
+    row, at, value = row[good], at[good], value[good].astype(float)
     first = fit_ordinal(row, at, value, y, 2)
     linear = np.bincount(row, value * first.weights[at], len(y))
     toxic = linear[y == 1]
@@ -162,24 +175,28 @@ def score_toxicity(
 
     def make():
         weights, thresholds = (None, None) if shared is None else shared.value
-        known: dict[bytes, float] = {}
+        known: dict[bytes, list[int]] = {}
 
-        def weight(word: bytes) -> float:
+        def weighed(word: bytes) -> list[int]:
+            """Those places of a word that have a weight; most words have none."""
             if (found := known.get(word)) is None:
-                found = float(sum(weights[p] for p in places(word)))
+                found = [p for p in places(word) if weights[p]]
                 if len(known) < CACHE_WORDS:
                     known[word] = found
             return found
 
+        def linear_score(text: str) -> float:
+            words, at = words_of(text), {}
+            for found in filter(None, map(weighed, words)):
+                for p in found:
+                    at[p] = at.get(p, 0) + 1
+            return sum(weights[p] * n**0.5 for p, n in at.items()) / max(1.0, len(words) / USUAL_WORDS) ** 0.5
+
         def run(column):
             texts = texts_of(column)
             if weights is None:
                 return [[0.0] * len(texts), [0.0] * len(texts), [0] * len(texts)]
-            linear = []
-            for t in texts:
-                words = words_of(t)
-                linear.append(sum(map(weight, words)) * SCALE / max(LEAST_WORDS, len(words)))
-            above = logistic(np.array(linear)[:, None] - thresholds[None, :])
+            above = logistic(np.array([linear_score(t) for t in texts])[:, None] - thresholds[None, :])
             masses = -np.diff(np.c_[np.ones(len(texts)), above, np.zeros(len(texts))], axis=1)
             return [np.round(above[:, 0], 9).tolist(), np.round(above.sum(1), 9).tolist(), masses.argmax(1).tolist()]
 
