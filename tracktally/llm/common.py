@@ -14,6 +14,8 @@ from tracktally.session import shared_path
 
 #: Characters of text that a vectorised step takes at once, whatever the Arrow batch holds.
 CHUNK_CHARS = 2_000_000
+#: Bytes of an Arrow batch that are made Python objects at once.
+SLICE_BYTES = 4_000_000
 
 
 def exact(name: str) -> Column:
@@ -35,19 +37,30 @@ def add_columns(
     kept = [c for c in df.columns if c.lower() not in taken]
     sent = [*kept, *(c for c in inputs if c not in kept)]
     at = [sent.index(c) for c in inputs]
-    carried = df.select(*[exact(c) for c in sent])
-    schema = T.StructType([*(carried.schema[c] for c in kept), *new])
+    # plain names on the way: names with dots can't be sent
+    carried = df.select(*[exact(c).alias(f"c{i}") for i, c in enumerate(sent)])
     types = [f.type for f in to_arrow_schema(new)]
-    names, n_kept = [f.name for f in schema], len(kept)
+    n_kept = len(kept)
+    names = [f"c{i}" for i in range(n_kept + len(new))]
+    out = [*carried.schema.fields[:n_kept], *new.fields]
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, out, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
+        for batch in slices(batches):
             made = step(*[batch.column(i) for i in at])
             made = [x if isinstance(x, pa.Array) and x.type == t else pa.array(x, t) for x, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_kept)] + made, names=names)
 
-    return carried.mapInArrow(run, schema)
+    return carried.mapInArrow(run, schema).toDF(*kept, *(f.name for f in new))
+
+
+def slices(batches: Iterator[pa.RecordBatch], most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``most`` bytes, so that few texts are Python objects at once."""
+    for batch in batches:
+        rows = max(1, min(batch.num_rows, batch.num_rows * most // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def texts_of(array: pa.Array) -> list[str]:

@@ -27,6 +27,8 @@ POOL = 0.1
 RIDGE = 0.02
 #: Log-density differences are divided by this, as the statistics are not independent.
 TEMPER = 4.0
+#: Least variance, for classes of a few equal rows.
+FLOOR = 1e-6
 
 DIGITS = b"0123456789"
 ENDS = b".,;:?!"
@@ -133,7 +135,7 @@ def fit(labelled: DataFrame, pool: float = POOL, ridge: float = RIDGE) -> Discri
     whiten, constants = [], []
     for c in (0, 1):
         own = (1 - pool) * scatter[c] / moments[c][0] + pool * pooled
-        own = (1 - ridge) * own + ridge * np.trace(pooled) / len(pooled) * np.eye(len(pooled))
+        own = (1 - ridge) * own + (ridge * np.trace(pooled) / len(pooled) + FLOOR) * np.eye(len(pooled))
         factor = np.linalg.cholesky(own)
         whiten.append(np.linalg.inv(factor))
         constants.append(-np.log(np.diag(factor)).sum())

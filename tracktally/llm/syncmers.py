@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracktally.llm.common import add_columns, chunks, exact, texts_of
+from tracktally.llm.common import add_columns, chunks, exact, slices, texts_of
 
 #: Length of the anchors and of their inner strings.
 K, S = 24, 8
@@ -194,7 +194,7 @@ def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []  # the last row seen: it waits for its next
 
-        for batch in batches:
+        for batch in slices(batches):
             columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4)]
             rows = [(r, tail, i, t or "") for r, tail, i, t in zip(*columns, strict=True)]
             for start, end in chunks([len(r[3]) for r in rows]):
