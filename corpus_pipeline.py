@@ -42,8 +42,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 def token_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token ids of every document, with the digest of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.encode_bpe(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN).drop("text")
-    return byte_bpe.decode_bpe(coded, path).select(
+    coded = byte_bpe.encode_bpe(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select(
         "doc_id",
         "lang",
         "source",

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from tracktally.llm.common import add_columns, chunks, texts_of
 
 #: Pieces that a worker remembers and their longest length; bounds its memory.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 500_000
 CACHE_CHARS = 48
 #: A node of the bitmap holds so many bits.
 NODE_BITS = 8
@@ -127,28 +128,69 @@ def packed_ids(text: str, find, ranks: dict[bytes, int], known: dict[str, bytes]
         return b"".join(made)
 
 
-def encode_bpe(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Each row with ``ids``, an int array. A column of that name is replaced.
+def encoding(ranks: dict[bytes, int], known: dict[str, bytes], pattern: str) -> Callable[[pa.Array], pa.Array]:
+    find = regex.compile(pattern).findall
 
-    The rank file is read once on the driver (its size is that of one vocabulary) and
-    broadcast, so executors need no copy of it.
+    def run(column: pa.Array) -> pa.Array:
+        packed = [packed_ids(t, find, ranks, known) for t in texts_of(column)]
+        offsets = np.zeros(len(packed) + 1, np.int32)
+        np.cumsum([len(p) >> 2 for p in packed], out=offsets[1:])
+        values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(packed))])
+        return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+    return run
+
+
+def decoding(tokens: list[bytes | None]) -> Callable[[pa.Array], pa.Array]:
+    vocabulary = pa.array(tokens, pa.binary())
+
+    def run(column: pa.Array) -> pa.Array:
+        counts = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+        made = []
+        for start, end in chunks(counts):
+            spelled = vocabulary.take(pc.list_flatten(column.slice(start, end - start)))
+            offsets = np.zeros(end - start + 1, np.int32)
+            np.cumsum(counts[start:end], out=offsets[1:])
+            made.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), spelled), b""))
+        return pa.concat_arrays(made) if made else pa.array([], pa.binary())
+
+    return run
+
+
+def token_list(ranks: dict[bytes, int]) -> list[bytes | None]:
+    """The token of each id; None where no token has it."""
+    tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def encode_bpe(
+    docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
+    """Each row with ``ids``, an int array, and with ``decoded`` what these ids decode to.
+
+    Columns of these names are replaced. The rank file is read once on the driver (its size
+    is that of one vocabulary) and broadcast, so executors need no copy of it. Decoding in
+    the same pass spares a second Python worker beside each task.
     """
     # a worker keeps a broadcast value from task to task, and so the pieces put in here
     shared = docs.sparkSession.sparkContext.broadcast((load_ranks(path), {}))
 
     def make():
-        (ranks, known), find = shared.value, regex.compile(pattern).findall
+        ranks, known = shared.value
+        encode = encoding(ranks, known, pattern)
+        if decoded is None:
+            return lambda column: [encode(column)]
+        decode = decoding(token_list(ranks))
 
         def run(column):
-            packed = [packed_ids(t, find, ranks, known) for t in texts_of(column)]
-            offsets = np.zeros(len(packed) + 1, np.int32)
-            np.cumsum([len(p) >> 2 for p in packed], out=offsets[1:])
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(packed))])
-            return [pa.ListArray.from_arrays(pa.array(offsets), values)]
+            made = encode(column)
+            return [made, decode(made)]
 
         return run
 
-    return add_columns(docs, [text], f"`{ids}` array<int>", make)
+    return add_columns(docs, [text], f"`{ids}` array<int>" + (f", `{decoded}` binary" if decoded else ""), make)
 
 
 def decode_bpe(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -156,26 +198,10 @@ def decode_bpe(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "dec
 
     An id outside the vocabulary fails the job.
     """
-    ranks = load_ranks(path)
-    table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
-    shared = rows.sparkSession.sparkContext.broadcast(table)
+    shared = rows.sparkSession.sparkContext.broadcast(token_list(load_ranks(path)))
 
     def make():
-        vocabulary = pa.array(shared.value, pa.binary())
-
-        def run(column):
-            counts = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
-            made = []
-            for start, end in chunks(counts):
-                part = column.slice(start, end - start)
-                tokens = vocabulary.take(pc.list_flatten(part))
-                offsets = np.zeros(end - start + 1, np.int32)
-                np.cumsum(counts[start:end], out=offsets[1:])
-                made.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), tokens), b""))
-            return [pa.concat_arrays(made) if made else pa.array([], pa.binary())]
-
-        return run
+        decode = decoding(shared.value)
+        return lambda column: [decode(column)]
 
     return add_columns(rows, [ids], f"`{decoded}` binary", make)

@@ -55,7 +55,7 @@ def op3_tree_scored_text(spark: SparkSession, folder: str) -> DataFrame:
 def op4_rank_queue_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.decode_bpe(byte_bpe.encode_bpe(docs, path, public_tokenizers.PATTERN).select("doc_id", "ids"), path)
+    coded = byte_bpe.encode_bpe(docs, path, public_tokenizers.PATTERN, decoded="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
