@@ -106,3 +106,15 @@ def test_quantiles_match_linear_interpolation(spark):
         assert set(got) == set(groups)
         for k, vs in groups.items():
             assert got[k] == pytest.approx(list(np.quantile(vs, probs)), rel=1e-12)
+
+
+def test_poisson_draw_ends_for_large_rates_and_refuses_infinite_ones(spark):
+    top = 1 - 2.0**-33
+    rates = [1e2, 1e4, 1e6, 1e8, 1e9, float("inf")]
+    rows = [(r, u) for r in rates for u in (0.5, top)]
+    df = spark.createDataFrame(rows, "rate double, u double")
+    out = {(r.rate, r.u): r.k for r in df.withColumn("k", poisson_quantile(F.log("rate"), F.col("u"))).collect()}
+    for rate in rates[:-1]:
+        assert abs(out[rate, 0.5] - rate) <= 1
+        assert 5.5 < (out[rate, top] - rate) / rate**0.5 < 8
+    assert out[float("inf"), 0.5] is None

@@ -185,3 +185,10 @@ def test_totals_are_summed_before_quantiles(spark):
     assert all(r.s == pytest.approx(1) and r.n == 100 for r in first)
     mass = forecasts.first_year_mass(draws, grid.filter("PRED_ID IS NOT NULL"), "LOCATION", 2025)
     assert [r.s for r in mass.groupBy("LOCATION").agg(F.sum("mass").alias("s")).collect()] == pytest.approx([1, 1], abs=1e-9)
+
+
+def test_models_of_different_observations_are_refused(spark):
+    rows = [("a", 1, -1.0), ("a", 2, -1.0), ("b", 1, -1.0)]
+    df = spark.createDataFrame(rows, "model string, obs int, elpd_loo double")
+    with pytest.raises(ValueError, match="same observations"):
+        compare.compare_models(df, "obs")

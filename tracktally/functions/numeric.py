@@ -77,6 +77,14 @@ def _log_factorials(k: np.ndarray) -> np.ndarray:
     return np.where(k <= 20, exact[np.minimum(k, 20).astype(int)], series)
 
 
+def _log_start_mass(k: np.ndarray, ll: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Log Poisson mass; large counts by their deviance, which loses no digits."""
+    n = np.maximum(k, 1.0)
+    deviance = k * np.log1p((rate - k) / n) - (rate - k)
+    stirling = 0.5 * np.log(2.0 * np.pi * n) + 1.0 / (12.0 * n) - 1.0 / (360.0 * n**3) + 1.0 / (1260.0 * n**5)
+    return np.where(k > 20, deviance - stirling, k * ll - rate - _log_factorials(k))
+
+
 @F.pandas_udf(T.LongType())
 def poisson_quantile(log_rate: pd.Series, u: pd.Series) -> pd.Series:
     """Smallest k with CDF(k) >= u: a Poisson draw when ``u`` is uniform.
@@ -86,19 +94,24 @@ def poisson_quantile(log_rate: pd.Series, u: pd.Series) -> pd.Series:
     its rate. A batch advances together, which a fold over arrays on the JVM side
     does some hundred times slower.
     """
-    known = (log_rate.notna() & u.notna()).to_numpy()
+    with np.errstate(over="ignore"):
+        finite = np.isfinite(np.exp(log_rate.to_numpy(dtype=float, na_value=np.nan)))
+    known = (log_rate.notna() & u.notna()).to_numpy() & finite
     ll = log_rate.to_numpy(dtype=float)[known]
     goal = u.to_numpy(dtype=float)[known]
     rate = np.exp(ll)
     k = np.maximum(0.0, np.floor(rate - 7.0 * np.sqrt(rate) - 10.0))
-    mass = np.exp(k * ll - rate - _log_factorials(k))
+    mass = np.exp(_log_start_mass(k, ll, rate))
     reached = mass.copy()
     live = np.flatnonzero(reached < goal)
     while len(live):
         k[live] += 1.0
         mass[live] *= rate[live] / k[live]
+        before = reached[live]
         reached[live] += mass[live]
-        live = live[reached[live] < goal[live]]
+        # beyond the mode a mass too small to count ends the sum, whatever rounding left short
+        going = (reached[live] < goal[live]) & ((k[live] < rate[live]) | (reached[live] > before))
+        live = live[going]
     out = pd.Series(pd.NA, index=log_rate.index, dtype="Int64")
     out[known] = k.astype("int64")
     return out

@@ -101,9 +101,14 @@ def compare_models(pointwise: DataFrame, row: str, elpd: str = "elpd_loo") -> Da
     """Differences to the best model, best first.
 
     The pointwise table has one row per model and observation and is read three times,
-    so it is fixed by a checkpoint first.
+    so it is fixed by a checkpoint first. Models of different observations are refused.
     """
     pointwise = cut_lineage(pointwise)
+    each = pointwise.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(row).alias("d"))
+    sizes = each.agg(F.max("n"), F.min("d")).first()
+    observed = pointwise.agg(F.count_distinct(row)).first()[0]
+    if observed and set(sizes) != {observed}:
+        raise ValueError("models must have the same observations, each once")
     totals = model_totals(pointwise, elpd)
     best = totals.orderBy(F.desc("elpd_loo"), "model").limit(1).select("model")
     reference = pointwise.join(F.broadcast(best), "model", "left_semi").select(  # one row

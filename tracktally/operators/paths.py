@@ -46,9 +46,11 @@ def path_steps(tracks: DataFrame, track: str, order: list[str], carry: list[str]
             ),
         )
         .withColumn("__after", F.lead("__head").over(along))
-        .select(track, "__piece", "__before", "__after")
+        .select(F.col(track).alias("__track"), F.col("__piece").alias("__seam"), "__before", "__after")
     )
-    out = stepped.join(seams, [track, "__piece"])
+    # rows without a time are a piece of their own, the first
+    same = F.col(track).eqNullSafe(F.col("__track")) & F.col("__piece").eqNullSafe(F.col("__seam"))
+    out = stepped.join(seams, same).drop("__track", "__seam")
     following = {
         f"NEXT_{c}": F.coalesce(F.col("__next")[c], F.col("__after")[c]) for c in carry
     }
