@@ -102,5 +102,5 @@ def test_path_keeps_rows_without_a_time(spark):
     at = datetime.datetime(2000, 6, 1)
     rows = [("A", at, 1), ("A", None, 2), ("A", at + datetime.timedelta(days=40), 3), (None, at, 4)]
     df = spark.createDataFrame(rows, "track string, at timestamp, n int")
-    out = path_steps(df, "track", ["at", "n"], ["n"], "at").collect()
+    out = path_steps(df.withColumn("m", df.n), "track", ["at", "n"], ["m"], "at").collect()
     assert sorted((r.track or "", r.SEQ, r.n) for r in out) == [("", 1, 4), ("A", 1, 2), ("A", 2, 1), ("A", 3, 3)]
