@@ -192,3 +192,11 @@ def test_models_of_different_observations_are_refused(spark):
     df = spark.createDataFrame(rows, "model string, obs int, elpd_loo double")
     with pytest.raises(ValueError, match="same observations"):
         compare.compare_models(df, "obs")
+
+
+def test_chains_of_unequal_lengths_have_no_measure(spark):
+    rows = [("x", c, i, float((i * 37 + c * 11) % 17)) for c, n in ((1, 20), (2, 28)) for i in range(1, n + 1)]
+    rows += [("y", c, i, float((i * 37 + c * 11) % 17)) for c in (1, 2) for i in range(1, 25)]
+    df = spark.createDataFrame(rows, "variable string, chain int, iteration int, value double")
+    out = {r.variable: r for r in diagnose.measure(df).collect()}
+    assert out["x"].rhat is None and out["x"].ess_bulk is None and out["y"].rhat > 0

@@ -145,7 +145,8 @@ def measure(draws: DataFrame, variable: str = "variable", value: str = "value")
     """``rhat``, ``ess_bulk`` and ``ess_tail`` per variable, from one ranking pass.
 
     Spark ranks the draws and gathers each variable's scores in (half chain, iteration)
-    order; a vectorised function then handles all variables of a batch together.
+    order; a vectorised function then handles all variables of a batch together. Chains
+    of unequal lengths give NULL.
     """
     scored = rank_scores(draws, variable, value)
     packed = scored.groupBy(variable).agg(
@@ -156,7 +157,7 @@ def measure(draws: DataFrame, variable: str = "variable", value: str = "value")
     )
 
     @F.pandas_udf("rhat double, ess_bulk double, ess_tail double")
-    def measures(m: pd.Series, z: pd.Series, folded: pd.Series, v: pd.Series) -> pd.DataFrame:
+    def measures(m: pd.Series, half: pd.Series, z: pd.Series, folded: pd.Series, v: pd.Series) -> pd.DataFrame:
         out = np.full((len(m), 3), np.nan)
         shapes = pd.Series(list(zip(m, z.map(len))))
         for (halves, length), rows in shapes.groupby(shapes).groups.items():
@@ -164,6 +165,11 @@ def measure(draws: DataFrame, variable: str = "variable", value: str = "value")
             if length % halves or length // halves < 3:
                 continue  # unequal or very short chains have no such measure
             shape = (len(rows), halves, length // halves)
+            parts = np.stack(half.to_numpy()[rows]).reshape(shape)
+            rows = rows[(parts == parts[:, :, :1]).all(axis=(1, 2))]  # halves of one length
+            if not len(rows):
+                continue
+            shape = (len(rows), *shape[1:])
             score, fold, raw = (
                 np.stack(c.to_numpy()[rows]).reshape(shape) for c in (z, folded, v)
             )
@@ -175,7 +181,7 @@ def measure(draws: DataFrame, variable: str = "variable", value: str = "value")
         return pd.DataFrame(out, columns=["rhat", "ess_bulk", "ess_tail"])
 
     return packed.select(
-        variable, measures("m", "s.z", "s.z_folded", "s.v").alias("e")
+        variable, measures("m", "s.half", "s.z", "s.z_folded", "s.v").alias("e")
     ).select(variable, "e.*")
 
 
