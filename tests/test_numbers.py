@@ -91,7 +91,7 @@ def test_predictive_mass_sums_to_one(spark):
 
 def test_histogram_density(spark):
     df = spark.createDataFrame([("a", 0), ("a", 2), ("a", 2), ("b", 1)], "f string, v int")
-    got = {(r.f, r.centre): r.density for r in predict.density_histogram(df, "f", "v").collect()}
+    got = {(r.f, r.centre): r.density for r in predict.density_histogram(df, ["f"], "v").collect()}
     assert got == {("a", 0.0): pytest.approx(1 / 3), ("a", 2.0): pytest.approx(2 / 3), ("b", 1.0): 1.0}
 
 

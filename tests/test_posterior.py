@@ -145,7 +145,7 @@ def test_tail_shape_recovers_the_generator():
     rng = np.random.default_rng(0)
     for k in (0.1, 0.5, 0.9):
         x = np.sort(2.0 / k * ((1 - rng.random(4000)) ** -k - 1))
-        shape, scale = compare._tail_shape(x)
+        (shape,), (scale,) = compare._tail_shape(x[None, :])
         assert shape == pytest.approx(k, abs=0.08) and scale == pytest.approx(2.0, rel=0.15)
 
 
@@ -200,3 +200,96 @@ def test_chains_of_unequal_lengths_have_no_measure(spark):
     df = spark.createDataFrame(rows, "variable string, chain int, iteration int, value double")
     out = {r.variable: r for r in diagnose.measure(df).collect()}
     assert out["x"].rhat is None and out["x"].ess_bulk is None and out["y"].rhat > 0
+
+
+def test_segments_keep_their_own_totals(spark):
+    grid = spark.createDataFrame([(1, "January", 2025), (2, "January", 2026)], "PRED_ID int, MONTH string, YEAR int")
+    rows = [(s, d, p, math.log(r)) for s, r in (("a", 10.0), ("b", 100.0), (None, 1000.0))
+            for d in range(1, 401) for p in (1, 2)]
+    draws = spark.createDataFrame(rows, "basin string, draw int, PRED_ID int, log_lambda_star double")
+    out = forecasts.forecast(draws, grid, "MONTH", keys=["basin"])
+    got = {r.basin: r["median"] for r in out.totals.collect()}
+    assert got["a"] == pytest.approx(20, abs=2) and got["b"] == pytest.approx(200, abs=5)
+    assert got[None] == pytest.approx(2000, abs=15)  # a segment without a name is one too
+    assert out.rows.count() == 6
+    assert {r.basin: r.n for r in out.first_year.groupBy("basin").agg(F.sum("n").alias("n")).collect()} == {
+        "a": 400, "b": 400, None: 400}
+    mass = forecasts.first_year_mass(draws, grid, "MONTH", 2025, keys=["basin"])
+    assert mass.groupBy("basin").count().count() == 3
+    data = spark.createDataFrame([("a", 1, 10), ("b", 1, 10), (None, 1, 1000)], "basin string, PRED_ID int, n int").withColumns(
+        {"MONTH": F.lit("January"), "YEAR": F.lit(2025)})
+    checked = checks.posterior_check(draws, data, "PRED_ID", "n", "MONTH", "YEAR", "log_lambda_star", keys=["basin"])
+    assert {r.basin: r.IN_CI for r in checked.collect()} == {"a": True, "b": False, None: True}
+    assert {r.basin: r.COVERAGE_PCT for r in checks.coverage(checked, ["basin"]).collect()} == {
+        "a": 100.0, "b": 0.0, None: 100.0}
+
+
+def test_month_facets_come_in_calendar_order(spark):
+    data = spark.createDataFrame([(1, "April", 2), (2, "January", 1), (3, "March", 1)], "OBS_ID int, MONTH string, n int")
+    draws = data.crossJoin(spark.range(1, 101).withColumnRenamed("id", "draw")).select(
+        "OBS_ID", "draw", F.lit(0.5).alias("log_lambda"))
+    out = checks.posterior_check(draws, data.withColumn("YEAR", F.lit(2001)), "OBS_ID", "n", "MONTH", "YEAR")
+    assert [r.MONTH for r in out.collect()] == ["January", "March", "April"]
+
+
+def test_saved_parameter_in_the_shape_of_the_plans(spark, logistic):
+    got = D.parameter_draws(logistic, "beta", "OBS_ID", ["model"])
+    assert got.columns == ["model", "draw", "OBS_ID", "beta"] and got.count() == 3 * 800
+    with pytest.raises(ValueError, match="gamma"):
+        D.parameter_draws(logistic, "gamma", "OBS_ID")
+
+
+def test_fits_are_compared_from_a_saved_table(spark):
+    from tracktally.plans import comparing
+
+    rows = [(m, d, "log_lambda", i, False, rate + 0.05 * math.sin(d * i))
+            for m, rate in (("near", math.log(4.0)), ("far", math.log(9.0))) for d in range(1, 201) for i in range(1, 9)]
+    draws = spark.createDataFrame(rows, "model string, draw int, base string, idx int, is_warmup boolean, value double")
+    data = spark.createDataFrame([(i, 3 + i % 3) for i in range(1, 9)], "OBS_ID int, n int")
+    out = comparing.compare_fits(draws, data, "OBS_ID", "n").collect()
+    assert [r.model for r in out] == ["near", "far"] and out[0].elpd_diff == 0 and out[1].elpd_diff < -5
+
+
+def published_size(x):
+    """Effective size of (chains, iterations), lag by lag as published."""
+    m, n = x.shape
+    c = x - x.mean(axis=1, keepdims=True)
+    acov = np.array([[(r[:n - t] * r[t:]).sum() / n for t in range(n)] for r in c])
+    mean = acov.mean(axis=0)
+    w = mean[0] * n / (n - 1)
+    total = w * (n - 1) / n + x.mean(axis=1).var(ddof=1)
+    even, odd, t = 1.0, 1 - (w - mean[1]) / total, 0
+    rho = np.zeros(n)
+    rho[0], rho[1] = even, odd
+    while t < n - 5 and even + odd > 0:
+        t += 2
+        even, odd = 1 - (w - mean[t]) / total, 1 - (w - mean[t + 1]) / total
+        if even + odd >= 0:
+            rho[t], rho[t + 1] = even, odd
+    last = t
+    if even > 0:
+        rho[last] = even
+    for t in range(2, last - 1, 2):
+        if rho[t] + rho[t + 1] > rho[t - 2] + rho[t - 1]:
+            rho[t] = rho[t + 1] = (rho[t - 2] + rho[t - 1]) / 2
+    tau = -1 + 2 * rho[:max(last, 1)].sum() + rho[last]
+    return m * n / max(tau, 1 / math.log10(m * n))
+
+
+def test_effective_size_follows_the_published_sum():
+    rng = np.random.default_rng(5)
+    for n in (7, 20, 21, 60):
+        for rho in (-0.7, 0.0, 0.6, 0.95):
+            x = rng.normal(size=(6, n))
+            for t in range(1, n):
+                x[:, t] += rho * x[:, t - 1]
+            assert diagnose._effective_size(x[None])[0] == pytest.approx(published_size(x))
+
+
+def test_constant_draws_have_no_measure(spark):
+    rows = [("same", c, i, 2.0) for c in (1, 2) for i in range(20)]
+    rows += [("two", c, i, float(i % 2)) for c in (1, 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "variable string, chain int, iteration int, value double")
+    for r in diagnose.measure(df).collect():
+        assert r.rhat is None and r.ess_tail is None  # two values lie equally far from the median
+    assert [r.rhat for r in diagnose.rank_rhat(df).collect()] == [None, None]

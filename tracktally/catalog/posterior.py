@@ -13,11 +13,12 @@ from tracktally.catalog.inputs import (
 )
 from tracktally.functions import numeric
 from tracktally.functions.numeric import keyed_uniform
+from tracktally.functions.text import month_name
 from tracktally.operators import compare, diagnose, predict
 from tracktally.operators.quantiles import (
     count_quantiles, long_form, named, spread_quantiles, wide_form,
 )
-from tracktally.plans import checks, forecasts
+from tracktally.plans import checks, comparing, forecasts
 from tracktally.session import load_tables, shared_path
 from tracktally.sources import draws as D
 
@@ -178,20 +179,21 @@ def pointwise_loglik(spark, folder):
 # --- predictive draws ----------------------------------------------------------------
 
 
-def poisson_draws_sql(source: str, key: str, rate: str, carry: str, kmax: str) -> str:
+def poisson_draws_sql(source: str, keys: tuple[str, ...], rate: str, carry: str) -> str:
     """Inverse-CDF Poisson draws in SQL: the number of k with CDF(k) < u."""
     return f"""
-uni AS (SELECT {carry}, {rate} AS ll, {uniform_sql('42', 'draw', key)} AS u FROM {source}),
+uni AS (SELECT {carry}, {rate} AS ll, {uniform_sql('42', 'draw', *keys)} AS u FROM {source}),
+steps AS (
+  SELECT *, unnest(range(0, CAST(ceil(exp(ll) + 10 * sqrt(exp(ll)) + 20) AS BIGINT) + 1)) AS k FROM uni),
 cdf AS (
-  SELECT uni.*, k.range AS k,
-         sum(exp(k.range * ll - exp(ll) - lgamma(k.range + 1)))
-           OVER (PARTITION BY {key}, draw ORDER BY k.range) AS below
-  FROM uni, range({kmax}) k),
+  SELECT *, sum(exp(k * ll - exp(ll) - lgamma(k + 1)))
+              OVER (PARTITION BY {', '.join(keys)}, draw ORDER BY k) AS below
+  FROM steps),
 pred AS (SELECT {carry}, ll, count(*) FILTER (below < u) AS post_pred FROM cdf GROUP BY ALL)"""
 
 
 CUSTOMER_PRED = f"""{CUSTOMER_DRAWS},
-{poisson_draws_sql('kept', 'idx', 'value', 'idx, draw, n, c_nationkey', '60')}"""
+{poisson_draws_sql('kept', ('idx',), 'value', 'idx, draw, n, c_nationkey')}"""
 
 
 @catalog.add(f"""
@@ -264,7 +266,7 @@ cells AS (
 stars AS (SELECT PRED_ID, LOCATION, YEAR, draw, value FROM kept JOIN cells USING (idx))"""
 
 FORECAST_SQL = f"""{SUPPLIER_DRAWS}, {FORECAST_CELLS_SQL},
-{poisson_draws_sql('stars', 'PRED_ID', 'value', 'PRED_ID, LOCATION, YEAR, draw', '260')}"""
+{poisson_draws_sql('stars', ('PRED_ID',), 'value', 'PRED_ID, LOCATION, YEAR, draw')}"""
 
 
 def _forecast_inputs(spark, folder):
@@ -289,19 +291,20 @@ def _predicted(spark, folder):
     return predict.predictive_draws(stars, "PRED_ID", "log_lambda_star"), cells
 
 
+SIMPLE_SQL = """round(quantile_cont({x}, 0.025), 6) AS "2.5% quantile",
+       round(quantile_cont({x}, 0.5), 6) AS median, round(quantile_cont({x}, 0.975), 6) AS "97.5% quantile\""""
+FULL_SQL = """round(quantile_cont({x}, 0.025), 6) AS "2.5% quantile",
+       round(quantile_cont({x}, 0.25), 6) AS "IQR_lower", round(quantile_cont({x}, 0.5), 6) AS median,
+       round(quantile_cont({x}, 0.75), 6) AS "IQR_upper", round(quantile_cont({x}, 0.975), 6) AS "97.5% quantile\""""
+
+
 @catalog.add(f"""
 WITH {FORECAST_SQL}
-SELECT LOCATION, YEAR, PRED_ID, round(quantile_cont(post_pred, 0.025), 6) AS "2.5% quantile",
-       round(quantile_cont(post_pred, 0.5), 6) AS median,
-       round(quantile_cont(post_pred, 0.975), 6) AS "97.5% quantile"
-FROM pred GROUP BY ALL""")
+SELECT LOCATION, YEAR, {SIMPLE_SQL.format(x='post_pred')}
+FROM pred GROUP BY LOCATION, YEAR, PRED_ID""")
 def forecast_rows(spark, folder):
     predicted, cells = _predicted(spark, folder)
-    boxes = count_quantiles(predicted, ["PRED_ID"], "post_pred", forecasts.SIMPLE_PROBS)
-    out = cells.join(boxes, "PRED_ID").select(
-        "LOCATION", "YEAR", "PRED_ID", *named(F.col("q"), forecasts.SIMPLE_NAMES)
-    )
-    return rounded(out, *forecasts.SIMPLE_NAMES)
+    return rounded(forecasts.forecast_rows(predicted, cells, "LOCATION"), *forecasts.SIMPLE_NAMES)
 
 
 TOTALS_SQL = f"""{FORECAST_SQL},
@@ -310,9 +313,7 @@ totals AS (SELECT draw, LOCATION, sum(post_pred) AS total FROM pred GROUP BY ALL
 
 @catalog.add(f"""
 WITH {TOTALS_SQL}
-SELECT LOCATION, round(quantile_cont(total, 0.025), 6) AS "2.5% quantile",
-       round(quantile_cont(total, 0.25), 6) AS "IQR_lower", round(quantile_cont(total, 0.5), 6) AS median,
-       round(quantile_cont(total, 0.75), 6) AS "IQR_upper", round(quantile_cont(total, 0.975), 6) AS "97.5% quantile"
+SELECT LOCATION, {FULL_SQL.format(x='total')}
 FROM totals GROUP BY 1""")
 def forecast_totals(spark, folder):
     predicted, cells = _predicted(spark, folder)
@@ -329,7 +330,7 @@ FROM bins""")
 def first_year_histogram(spark, folder):
     predicted, cells = _predicted(spark, folder)
     year = forecasts.in_year(predicted, cells, "LOCATION", LAST_YEAR + 1)
-    return rounded(predict.density_histogram(year, "LOCATION", "post_pred"), "density")
+    return rounded(predict.density_histogram(year, ["LOCATION"], "post_pred"), "density")
 
 
 @catalog.add(f"""
@@ -346,6 +347,127 @@ def predictive_mass(spark, folder):
     return rounded(out, "mass")
 
 
+# --- jobs on saved draws, one segment per market -------------------------------------
+
+MARKET_CELLS_SQL = f"""
+totals_seen AS (
+  SELECT c_mktsegment AS SEGMENT, c_nationkey, count(o_orderkey) AS n
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+rates AS (
+  SELECT SEGMENT, n, n_name AS LOCATION, CAST({LAST_YEAR + 1} + y.range AS INT) AS YEAR,
+         CAST(y.range * (SELECT count(*) FROM nation) + c_nationkey + 1 AS INT) AS idx
+  FROM totals_seen JOIN nation ON c_nationkey = n_nationkey, range({HORIZON}) y)"""
+
+FORECAST_JOB_SQL = f"""{MARKET_CELLS_SQL}, {DRAWS_SQL},
+{poisson_draws_sql('kept', ('SEGMENT', 'idx'), 'value', 'SEGMENT, idx, LOCATION, YEAR, draw')},
+sums AS (SELECT SEGMENT, draw, LOCATION, sum(post_pred) AS total FROM pred GROUP BY ALL)"""
+
+
+def saved_draws(spark, rates, base, *keys):
+    """The kept table a fit leaves behind, one segment per market."""
+    path = shared_path(spark, "draws")
+    D.save_draws(
+        draws_of(rates, base).withColumn("model", F.lit("market"))
+        .select("model", *keys, "chain", "iteration", "draw", "is_warmup", "base", "idx", "value"), path
+    )
+    return D.load_draws(spark, path)
+
+
+def _forecast_job(spark, folder):
+    """Market segments share the cells, so their ids are the same in every segment."""
+    customer, orders, nation = load_tables(spark, folder, "customer", "orders", "nation")
+    counts = (
+        customer.join(orders, F.col("o_custkey") == F.col("c_custkey"), "left")
+        .groupBy(F.col("c_mktsegment").alias("SEGMENT"), "c_nationkey").agg(F.count("o_orderkey").alias("n"))
+    )
+    ahead = F.explode(F.sequence(F.lit(0), F.lit(HORIZON - 1))).alias("ahead")
+    number = (F.col("ahead") * nation.select(F.count(F.lit(1))).scalar() + F.col("n_nationkey") + 1).cast("int")
+    cells = nation.select("n_nationkey", F.col("n_name").alias("LOCATION"), ahead).select(
+        "n_nationkey", "LOCATION", number.alias("PRED_ID"), (F.col("ahead") + LAST_YEAR + 1).alias("YEAR")
+    )
+    rates = counts.join(cells, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        "SEGMENT", "n", F.col("PRED_ID").alias("idx")
+    )
+    draws = saved_draws(spark, rates, "log_lambda_star", "SEGMENT")
+    stars = D.parameter_draws(draws, "log_lambda_star", "PRED_ID", ["SEGMENT"])
+    return forecasts.forecast(stars, cells, "LOCATION", keys=["SEGMENT"])
+
+
+@catalog.add(f"""
+WITH {FORECAST_JOB_SQL}
+SELECT SEGMENT, LOCATION, YEAR, {SIMPLE_SQL.format(x='post_pred')} FROM pred GROUP BY SEGMENT, LOCATION, YEAR
+UNION ALL
+SELECT SEGMENT, LOCATION, NULL, {SIMPLE_SQL.format(x='total')} FROM sums GROUP BY SEGMENT, LOCATION""")
+def forecast_job(spark, folder):
+    """Rows per year and, without a year, the totals over the horizon."""
+    out = _forecast_job(spark, folder)
+    totals = out.simple_totals.withColumn("YEAR", F.lit(None).cast("int"))
+    return rounded(out.rows.unionByName(totals), *forecasts.SIMPLE_NAMES)
+
+
+@catalog.add(f"""
+WITH {FORECAST_JOB_SQL}
+SELECT SEGMENT, LOCATION, {FULL_SQL.format(x='total')} FROM sums GROUP BY SEGMENT, LOCATION""")
+def forecast_job_totals(spark, folder):
+    return rounded(_forecast_job(spark, folder).totals, *forecasts.FULL_NAMES)
+
+
+@catalog.add(f"""
+WITH {FORECAST_JOB_SQL}, bins AS (
+  SELECT SEGMENT, LOCATION, post_pred AS centre, count(*) AS n FROM pred WHERE YEAR = {LAST_YEAR + 1} GROUP BY ALL)
+SELECT SEGMENT, LOCATION, CAST(centre AS DOUBLE) AS centre, n,
+       round(n / sum(n) OVER (PARTITION BY SEGMENT, LOCATION), 6) AS density
+FROM bins""")
+def forecast_job_first_year(spark, folder):
+    return rounded(_forecast_job(spark, folder).first_year, "density")
+
+
+CHECK_JOB_SQL = f"""
+rates AS (
+  SELECT c_custkey + 1 AS idx, c_mktsegment AS SEGMENT, c_nationkey, count(o_orderkey) AS n
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL), {DRAWS_SQL},
+{poisson_draws_sql('kept', ('SEGMENT', 'idx'), 'value', 'SEGMENT, idx, draw, n, c_nationkey')},
+boxes AS (
+  SELECT SEGMENT, idx, n, c_nationkey,
+         quantile_cont(post_pred, 0.025) AS q_lower, quantile_cont(post_pred, 0.25) AS iqr_lower,
+         quantile_cont(post_pred, 0.5) AS median, quantile_cont(post_pred, 0.75) AS iqr_upper,
+         quantile_cont(post_pred, 0.975) AS q_upper
+  FROM pred GROUP BY ALL)"""
+
+
+def _check_job(spark, folder):
+    (customer,) = load_tables(spark, folder, "customer")
+    markets = customer.select((F.col("c_custkey") + 1).alias("idx"), F.col("c_mktsegment").alias("SEGMENT"))
+    rates = customer_rates(spark, folder).join(markets, "idx")
+    draws = saved_draws(spark, rates, "log_lambda", "SEGMENT")
+    data = rates.select(
+        "SEGMENT", F.col("idx").alias("OBS_ID"), F.round(F.col("n") / 7.0).cast("int").alias("COUNT"),
+        month_name((F.col("c_nationkey") % 12 + 1).cast("int")).alias("MONTH"), (F.col("idx") % 7).alias("YEAR"),
+    )
+    rows = D.parameter_draws(draws, "log_lambda", "OBS_ID", ["SEGMENT"])
+    return checks.posterior_check(rows, data, "OBS_ID", "COUNT", "MONTH", "YEAR", keys=["SEGMENT"])
+
+
+@catalog.add(f"""
+WITH {CHECK_JOB_SQL}
+SELECT SEGMENT, idx AS OBS_ID, round(q_lower, 6) AS q_lower, round(iqr_lower, 6) AS iqr_lower,
+       round(median, 6) AS median, round(iqr_upper, 6) AS iqr_upper, round(q_upper, 6) AS q_upper,
+       CAST(round(n / 7) AS INT) AS COUNT, monthname(make_date(2000, c_nationkey % 12 + 1, 1)) AS MONTH,
+       idx % 7 AS YEAR, round(n / 7) BETWEEN q_lower AND q_upper AS IN_CI
+FROM boxes""")
+def posterior_check_job(spark, folder):
+    return rounded(_check_job(spark, folder), *checks.BOX_NAMES)
+
+
+@catalog.add(f"""
+WITH {CHECK_JOB_SQL}
+SELECT SEGMENT, round(avg(CASE WHEN round(n / 7) BETWEEN q_lower AND q_upper THEN 1.0::DOUBLE ELSE 0 END) * 100, 1)
+         AS COVERAGE_PCT, count(*) AS N_OBS
+FROM boxes GROUP BY 1""")
+def posterior_coverage_job(spark, folder):
+    return checks.coverage(_check_job(spark, folder), ["SEGMENT"])
+
+
 # --- diagnostics ---------------------------------------------------------------------
 
 
@@ -358,11 +480,15 @@ def _named_draws(spark, folder):
     return draws.select("variable", "chain", "iteration", "value", "is_warmup")
 
 
-def _numbered_draws(spark, folder, warmup=False):
+def _report(spark, folder):
+    """The convergence report of all customers' rates."""
+    return checks.diagnostics(draws_of(customer_rates(spark, folder)), ["log_lambda"])
+
+
+def _numbered_draws(spark, folder):
     """The same draws keyed by a number, which sorts faster than a name."""
     draws = draws_of(customer_rates(spark, folder)).withColumn("variable", F.col("idx"))
-    kept = draws if warmup else draws.filter(~F.col("is_warmup"))
-    return kept.select("variable", "chain", "iteration", "value", "is_warmup")
+    return draws.filter(~F.col("is_warmup")).select("variable", "chain", "iteration", "value", "is_warmup")
 
 
 def _with_name(df):
@@ -474,10 +600,21 @@ def _ess_sql(name: str, score: str) -> str:
   SELECT variable, lag // 2 AS k, sum(CASE WHEN lag = 0 THEN 1.0::DOUBLE ELSE 1 - (w - g) / total END) AS pair
   FROM {name}_mean JOIN {name}_w USING (variable) GROUP BY ALL),
 {name}_run AS (
-  SELECT variable, min(pair) OVER (PARTITION BY variable ORDER BY k) AS low FROM {name}_pair),
+  SELECT variable, k, pair, min(pair) OVER (PARTITION BY variable ORDER BY k) AS low FROM {name}_pair),
+-- half chains of 20 draws: the sum ends before the first pair that is not positive, at lag 16 at the latest
+{name}_end AS (
+  SELECT variable, least(8, coalesce(min(k) FILTER (pair <= 0), 8)) AS last,
+         sum(low) FILTER (low > 0 AND k < 8) AS s
+  FROM {name}_run GROUP BY 1),
+{name}_rest AS (
+  SELECT variable, last, s, 1 - (w - g) / total AS even, pair
+  FROM {name}_end JOIN {name}_mean USING (variable) JOIN {name}_w USING (variable) JOIN {name}_run USING (variable)
+  WHERE lag = 2 * last AND k = last),
 {name} AS (
-  SELECT variable, 120 / greatest(-1 + 2 * sum(CASE WHEN low > 0 THEN low ELSE 0 END), 1 / log10(120)) AS ess
-  FROM {name}_run GROUP BY 1)"""
+  SELECT variable, 120 / greatest(
+    -1 + 2 * (CASE WHEN last = 0 THEN 1 ELSE s END)
+       + CASE WHEN last = 0 THEN 1 WHEN even > 0 OR pair >= 0 THEN even ELSE 0 END, 1 / log10(120)) AS ess
+  FROM {name}_rest)"""
 
 
 ESS_SQL = f"""
@@ -504,34 +641,34 @@ WITH {RHAT_SQL}, {ESS_SQL}
 SELECT variable, round(rhat, 4) AS rhat, round(ess_bulk, 4) AS ess_bulk, round(ess_tail, 4) AS ess_tail
 FROM sizes JOIN rhats USING (variable) ORDER BY sizes.ess_bulk, variable LIMIT 5""")
 def worst_params(spark, folder):
-    out = _with_name(diagnose.worst(diagnose.measure(_numbered_draws(spark, folder))))
-    return rounded(out.select("variable", "rhat", "ess_bulk", "ess_tail"),
-                   "rhat", "ess_bulk", "ess_tail", places=4)
+    return rounded(_report(spark, folder).worst, "rhat", "ess_bulk", "ess_tail", places=4)
+
+
+@catalog.add(f"""
+WITH {RHAT_SQL}, {ESS_SQL},
+summary AS ({SUMMARY_SQL.replace(f"WITH {NAMED_SQL}", "")})
+SELECT summary.*, round(rhat, 4) AS rhat, round(ess_bulk, 4) AS ess_bulk, round(ess_tail, 4) AS ess_tail
+FROM summary JOIN sizes USING (variable) JOIN rhats USING (variable)""")
+def diagnostics_summary(spark, folder):
+    out = rounded(_report(spark, folder).summary, "mean", "median", "sd", "mad", "q5", "q95")
+    return rounded(out, "rhat", "ess_bulk", "ess_tail", places=4)
 
 
 @catalog.add(f"""
-WITH {RHAT_SQL}, best AS (SELECT variable FROM rhats ORDER BY rhat DESC, variable DESC LIMIT 1)
+WITH {RHAT_SQL}, {ESS_SQL}, best AS (SELECT variable FROM sizes ORDER BY ess_bulk, variable LIMIT 1)
 SELECT 'log_lambda[' || idx || ']' AS variable, chain, iteration, round(value, 6) AS value, is_warmup
 FROM draws WHERE 'log_lambda[' || idx || ']' IN (SELECT variable FROM best)""")
 def trace_worst(spark, folder):
-    measured = diagnose.rank_rhat(_numbered_draws(spark, folder)).withColumn("order", -F.col("rhat"))
-    everything = _numbered_draws(spark, folder, warmup=True)
-    return rounded(_with_name(diagnose.trace(everything, measured, by="order")), "value")
+    return rounded(_report(spark, folder).trace, "value")
 
 
-FOUR_SQL = """
-spread AS (SELECT variable, stddev_samp(value) AS s FROM named GROUP BY 1),
-four AS (SELECT variable FROM spread ORDER BY round(s, 9), variable LIMIT 4),
+FOUR_SQL = f"""{SCORES_SQL}, {ESS_SQL},
+four AS (SELECT variable FROM sizes ORDER BY ess_bulk, variable LIMIT 4),
 chosen AS (SELECT * FROM named SEMI JOIN four USING (variable))"""
 
 
-def _four(draws):
-    spread = draws.groupBy("variable").agg(F.round(F.stddev_samp("value"), 9).alias("s"))
-    return diagnose.worst(spread, 4, "s")
-
-
 @catalog.add(f"""
-WITH {NAMED_SQL}, {FOUR_SQL},
+WITH {FOUR_SQL},
 pairs AS (
   SELECT a.variable AS x_var, b.variable AS y_var, a.value AS x, b.value AS y
   FROM chosen a JOIN chosen b USING (chain, iteration) WHERE a.variable < b.variable),
@@ -546,12 +683,11 @@ SELECT x_var, y_var, CASE WHEN even THEN floor(sx + 0.5) ELSE floor(sx) + 0.5 EN
        CASE WHEN even THEN floor(sy + 0.5) ELSE floor(sy) + 0.5 END AS cell_y, count(*) AS n
 FROM near GROUP BY ALL""")
 def pair_hexbin(spark, folder):
-    draws = _named_draws(spark, folder)
-    return diagnose.hexbin(diagnose.pair_rows(draws, _four(draws)))
+    return _report(spark, folder).pairs
 
 
 @catalog.add(f"""
-WITH {NAMED_SQL}, {FOUR_SQL},
+WITH {FOUR_SQL},
 stats AS (
   SELECT variable, min(value) AS lo, max(value) AS hi, count(*) AS n,
          0.9::DOUBLE * least(stddev_samp(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34::DOUBLE)
@@ -566,8 +702,8 @@ SELECT variable, CAST(i AS INT) AS i, round(spot, 6) AS spot,
        round(sum(w * exp(-0.5::DOUBLE * ((spot - lo - bin * (hi - lo) / 511) / h) ** 2) / (n * h * sqrt(2 * pi()))), 6) AS density
 FROM spots GROUP BY variable, i, spot""")
 def param_density(spark, folder):
-    draws = _named_draws(spark, folder)
-    return rounded(diagnose.density(draws, _four(draws)).withColumnRenamed("at", "spot"), "spot", "density")
+    out = _report(spark, folder).density.withColumnRenamed("at", "spot")
+    return rounded(out, "spot", "density")
 
 
 # --- model comparison ----------------------------------------------------------------
@@ -660,3 +796,30 @@ def model_compare(spark, folder):
     points = compare.importance_loo(_two_models(spark, folder), ["model", "idx"])
     out = compare.compare_models(points, "idx")
     return rounded(out, "elpd_diff", "se_diff", "elpd_loo", "se_elpd_loo", places=4)
+
+
+@catalog.add(f"""
+WITH {PSIS_SQL},
+totals AS (
+  SELECT model, sum(elpd_loo) AS elpd_loo, sqrt(count(*)) * stddev_samp(elpd_loo) AS se_elpd_loo
+  FROM psis GROUP BY 1),
+best AS (SELECT model FROM totals ORDER BY elpd_loo DESC, model LIMIT 1),
+diffs AS (
+  SELECT p.model, sum(p.elpd_loo - b.elpd_loo) AS elpd_diff,
+         sqrt(count(*)) * stddev_samp(p.elpd_loo - b.elpd_loo) AS se_diff
+  FROM psis p JOIN (SELECT * FROM psis SEMI JOIN best USING (model)) b USING (idx) GROUP BY 1)
+SELECT model, round(elpd_diff, 4) AS elpd_diff, round(se_diff, 4) AS se_diff,
+       round(elpd_loo, 4) AS elpd_loo, round(se_elpd_loo, 4) AS se_elpd_loo
+FROM diffs JOIN totals USING (model)""")
+def compare_job(spark, folder):
+    """Two saved fits of all customers, compared by smoothed LOO."""
+    draws = draws_of(customer_rates(spark, folder))
+    noise = F.col("value") - F.ln((F.col("n") + 0.5) / 7)
+    own = draws.withColumns({"model": F.lit("A"), "value": F.col("value") + math.log(7)})
+    pooled = draws.withColumns({"model": F.lit("B"), "value": 2.3 + 0.1 * noise})
+    path = shared_path(spark, "fits")
+    D.save_draws(own.unionByName(pooled).select(
+        "model", "chain", "iteration", "draw", "is_warmup", "base", "idx", "value"), path)
+    data = customer_rates(spark, folder).select(F.col("idx").alias("OBS_ID"), "n")
+    out = comparing.compare_fits(D.load_draws(spark, path), data, "OBS_ID", "n")
+    return rounded(out, "elpd_diff", "se_diff", "elpd_loo", "se_elpd_loo", places=4)

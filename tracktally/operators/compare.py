@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from tracktally.session import cut_lineage
 
+OBSERVATIONS_PER_STEP = 64
+
 
 def importance_loo(log_lik: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Plain importance-sampling LOO and WAIC per observation.
@@ -30,62 +32,74 @@ def importance_loo(log_lik: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _tail_shape(excess: np.ndarray) -> tuple[float, float]:
-    """Generalised Pareto shape and scale of sorted exceedances.
+def _tail_shape(excess: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Generalised Pareto shape and scale of each row of sorted exceedances.
 
     Profile posterior mean over a grid of candidates, with a weak pull of the shape
     towards one half.
     """
-    n = len(excess)
+    n = excess.shape[1]
     m = 30 + int(math.sqrt(n))
-    grid = 1.0 / excess[-1] + (1.0 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (
-        3.0 * excess[int(n / 4 + 0.5) - 1]
+    grid = 1.0 / excess[:, -1:] + (1.0 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (
+        3.0 * excess[:, [int(n / 4 + 0.5) - 1]]
     )
-    shapes = np.log1p(-grid[:, None] * excess).mean(axis=1)
+    shapes = np.log1p(-grid[:, :, None] * excess[:, None, :]).mean(axis=2)
     score = n * (np.log(-grid / shapes) - shapes - 1.0)
     with np.errstate(over="ignore"):
-        weight = 1.0 / np.exp(score[None, :] - score[:, None]).sum(axis=1)
-    theta = float((grid * weight).sum() / weight.sum())
-    k = float(np.log1p(-theta * excess).mean())
+        weight = 1.0 / np.exp(score[:, None, :] - score[:, :, None]).sum(axis=2)
+    theta = (grid * weight).sum(axis=1) / weight.sum(axis=1)
+    k = np.log1p(-theta[:, None] * excess).mean(axis=1)
     sigma = -k / theta
     return (k * n + 5.0) / (n + 10.0), sigma
 
 
-def _smoothed(log_lik: np.ndarray) -> tuple[float, float]:
-    """elpd and tail shape of one observation's draws."""
-    size = len(log_lik)
-    ratio = -log_lik
-    ratio = ratio - ratio.max()
+def _smoothed(log_lik: np.ndarray) -> np.ndarray:
+    """elpd and tail shape of each row: one observation's ascending log likelihoods."""
+    rows, size = log_lik.shape
+    ordered = log_lik[:, ::-1]  # importance ratios ascend
+    ratio = ordered[:, -1:] - ordered
     tail = int(math.ceil(min(0.2 * size, 3.0 * math.sqrt(size))))
-    k = math.inf
+    k = np.full(rows, math.inf)
     if tail >= 5:
-        order = np.argsort(ratio, kind="stable")
-        top = order[-tail:]
-        cutoff = ratio[order[-tail - 1]]
-        excess = np.exp(ratio[top]) - math.exp(cutoff)
-        if excess[-1] > 0 and ratio[top[-1]] - ratio[top[0]] > np.finfo(float).eps:
-            k, sigma = _tail_shape(np.maximum(excess, np.finfo(float).tiny))
-            p = (np.arange(1, tail + 1) - 0.5) / tail
-            fitted = sigma * (-np.log1p(-p) if abs(k) < 1e-30 else np.expm1(-k * np.log1p(-p)) / k)
-            ratio[top] = np.log(fitted + math.exp(cutoff))
+        top, cutoff = ratio[:, -tail:], np.exp(ratio[:, [-tail - 1]])
+        excess = np.exp(top) - cutoff
+        fits = np.flatnonzero((excess[:, -1] > 0) & (top[:, -1] - top[:, 0] > np.finfo(float).eps))
+        if len(fits):
+            k[fits], sigma = _tail_shape(np.maximum(excess[fits], np.finfo(float).tiny))
+            p = -np.log1p(-(np.arange(1, tail + 1) - 0.5) / tail)
+            shape = np.where(np.abs(k[fits]) < 1e-30, 1e-30, k[fits])[:, None]  # the limit at 0
+            fitted = sigma[:, None] * np.expm1(shape * p) / shape
+            ratio[fits, -tail:] = np.log(fitted + cutoff[fits])
     ratio = np.minimum(ratio, 0.0)
-    weight = np.exp(ratio - ratio.max())
-    weight = weight / weight.sum()
-    high = log_lik.max()
-    return high + math.log(float((weight * np.exp(log_lik - high)).sum())), k
+    weight = np.exp(ratio - ratio.max(axis=1, keepdims=True))
+    weight = weight / weight.sum(axis=1, keepdims=True)
+    high = ordered[:, 0]
+    elpd = high + np.log((weight * np.exp(ordered - high[:, None])).sum(axis=1))
+    return np.column_stack([elpd, k])
 
 
 def smoothed_loo(log_lik: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pareto-smoothed LOO: ``elpd_loo`` and ``pareto_k`` per observation.
 
     A group is one observation's draws, so its size is the sampler's, not the data's.
+    Observations with equally many draws are smoothed together, some at a time. A
+    log likelihood that is NULL or not finite makes both results NULL.
     """
     @F.pandas_udf("elpd_loo double, pareto_k double")
     def smooth(values: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_smoothed(np.array(v, dtype=float)) for v in values],
-                            columns=["elpd_loo", "pareto_k"])
-
-    packed = log_lik.groupBy(*keys).agg(F.sort_array(F.collect_list("log_lik")).alias("ll"))
+        out = np.full((len(values), 2), np.nan)
+        sizes = values.map(len)
+        for _, rows in sizes.groupby(sizes).groups.items():
+            for start in range(0, len(rows), OBSERVATIONS_PER_STEP):
+                at = np.asarray(rows[start:start + OBSERVATIONS_PER_STEP])
+                ll = np.stack(values.to_numpy()[at]).astype(float)
+                known = np.isfinite(ll).all(axis=1)
+                if known.any():
+                    out[at[known]] = _smoothed(ll[known])
+        return pd.DataFrame(out, columns=["elpd_loo", "pareto_k"])
+
+    known = F.coalesce("log_lik", F.lit(float("nan")))
+    packed = log_lik.groupBy(*keys).agg(F.sort_array(F.collect_list(known)).alias("ll"))
     return packed.select(*keys, smooth("ll").alias("s")).select(*keys, "s.*")
 
 

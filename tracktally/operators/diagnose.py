@@ -93,7 +93,7 @@ def _between_within(score: str) -> Column:
     n = F.first("n")
     within = F.avg(f"{score}_var")
     between = n * F.var_samp(f"{score}_mean")
-    return F.sqrt(((n - 1) / n * within + between / n) / within)
+    return F.sqrt(F.try_divide((n - 1) / n * within + between / n, within))
 
 
 def rank_rhat(draws: DataFrame, variable: str = "variable", value: str = "value") -> DataFrame:
@@ -105,7 +105,8 @@ def rank_rhat(draws: DataFrame, variable: str = "variable", value: str = "value"
         F.avg("z_folded").alias("z_folded_mean"), F.var_samp("z_folded").alias("z_folded_var"),
     )
     return halves.groupBy(variable).agg(
-        F.greatest(_between_within("z"), _between_within("z_folded")).alias("rhat")
+        (F.when(_between_within("z").isNotNull() & _between_within("z_folded").isNotNull(),
+                F.greatest(_between_within("z"), _between_within("z_folded")))).alias("rhat")
     )
 
 
@@ -113,7 +114,10 @@ def _effective_size(x: np.ndarray) -> np.ndarray:
     """Effective sample size of each (half chain, iteration) matrix in a stack.
 
     ``x`` has shape (variables, half chains, iterations). Autocovariances come from
-    a padded transform, positive pairs are kept and made non-increasing.
+    a padded transform. Pairs of lags are summed up to the first that is not positive,
+    but never beyond the first even lag that is at least ``n - 5``, and made
+    non-increasing; the even lag after them is added once where it is positive.
+    Constant or non-finite draws have no such size.
     """
     _, m, n = x.shape
     means = x.mean(axis=2)
@@ -128,17 +132,30 @@ def _effective_size(x: np.ndarray) -> np.ndarray:
         rho = 1.0 - (within[:, None] - acov.mean(axis=1)) / total[:, None]
     rho[:, 0] = 1.0
     pairs = rho[:, 0:n - n % 2:2] + rho[:, 1::2]
-    live = np.logical_and.accumulate(pairs > 0, axis=1)
-    steady = np.minimum.accumulate(pairs, axis=1)
-    tau = -1.0 + 2.0 * np.where(live, steady, 0.0).sum(axis=1)
+    furthest = max(0, math.ceil((n - 5) / 2))
+    live = np.logical_and.accumulate(pairs[:, :furthest] > 0, axis=1)
+    steady = np.minimum.accumulate(pairs[:, :furthest], axis=1)
+    end = live.sum(axis=1)
+    even = np.take_along_axis(rho, 2 * end[:, None], axis=1)[:, 0]
+    reached = np.take_along_axis(pairs, end[:, None], axis=1)[:, 0] >= 0
+    # with no pair at all the published sum still counts lag 0
+    summed = np.where(end > 0, np.where(live, steady, 0.0).sum(axis=1), 1.0)
+    tau = -1.0 + 2.0 * summed + np.where((even > 0) | reached, even, 0.0)
     size = m * n
-    return size / np.maximum(tau, 1.0 / math.log10(size))
+    return np.where(_undefined(x), np.nan, size / np.maximum(tau, 1.0 / math.log10(size)))
+
+
+def _undefined(x: np.ndarray) -> np.ndarray:
+    """Variables whose draws are all the same, or not all finite."""
+    return (x == x[:, :1, :1]).all(axis=(1, 2)) | ~np.isfinite(x).all(axis=(1, 2))
 
 
 def _split_rhat(x: np.ndarray) -> np.ndarray:
     n = x.shape[2]
     within = x.var(axis=2, ddof=1).mean(axis=1)
-    return np.sqrt(((n - 1) / n * within + x.mean(axis=2).var(axis=1, ddof=1)) / within)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rhat = np.sqrt(((n - 1) / n * within + x.mean(axis=2).var(axis=1, ddof=1)) / within)
+    return np.where(_undefined(x), np.nan, rhat)
 
 
 def measure(draws: DataFrame, variable: str = "variable", value: str = "value") -> DataFrame:
@@ -175,9 +192,9 @@ def measure(draws: DataFrame, variable: str = "variable", value: str = "value")
             )
             ends = np.quantile(raw, (0.05, 0.95), axis=(1, 2))
             tails = [_effective_size((raw <= q[:, None, None]).astype(float)) for q in ends]
-            out[rows, 0] = np.fmax(_split_rhat(score), _split_rhat(fold))
+            out[rows, 0] = np.maximum(_split_rhat(score), _split_rhat(fold))
             out[rows, 1] = _effective_size(score)
-            out[rows, 2] = np.fmin(*tails)
+            out[rows, 2] = np.minimum(*tails)
         return pd.DataFrame(out, columns=["rhat", "ess_bulk", "ess_tail"])
 
     return packed.select(

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracktally.functions.numeric import keyed_uniform, poisson_log_mass, poisson_quantile
+from tracktally.operators.matching import join_same
 from tracktally.session import broadcast_if_small, task_count
 
 
@@ -110,9 +113,12 @@ def pointwise_log_lik(draws: DataFrame, counts: DataFrame, row: str, count: str,
 
 
 def predictive_draws(draws: DataFrame, row: str, log_rate: str = "log_lambda",
-                     seed: int = 42) -> DataFrame:
-    """Adds ``post_pred``, one Poisson draw per row keyed by (seed, draw, row)."""
-    u = keyed_uniform(seed, F.col("draw"), F.col(row))
+                     seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``post_pred``, one Poisson draw per row keyed by (seed, draw, keys, row).
+
+    ``keys`` name the segments of a table that holds several fits.
+    """
+    u = keyed_uniform(seed, F.col("draw"), *[F.col(k) for k in keys], F.col(row))
     return draws.withColumn("post_pred", poisson_quantile(F.col(log_rate), u))
 
 
@@ -127,20 +133,20 @@ def predictive_mass(draws: DataFrame, keys: list[str], log_rate: str = "log_lamb
     spread = draws.select(
         *keys, log_rate, F.explode(F.sequence(F.lit(0), top)).alias("k")
     )
-    totals = draws.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    totals = draws.groupBy(*keys).agg(F.count(log_rate).alias("__n"))
     sums = spread.groupBy(*keys, "k").agg(
         F.sum(F.exp(poisson_log_mass(F.col("k"), F.col(log_rate)))).alias("__s")
     )
-    return sums.join(totals, keys).select(*keys, "k", (F.col("__s") / F.col("__n")).alias("mass"))
+    return join_same(sums, totals, keys).select(*keys, "k", (F.col("__s") / F.col("__n")).alias("mass"))
 
 
-def density_histogram(df: DataFrame, facet: str, value: str, width: float = 1.0) -> DataFrame:
-    """Histogram density per facet: bins of ``width`` centred on its multiples."""
-    binned = df.groupBy(facet, F.floor(F.col(value) / width + 0.5).alias("bin")).agg(
+def density_histogram(df: DataFrame, facets: Sequence[str], value: str, width: float = 1.0) -> DataFrame:
+    """Histogram density per group of facets: bins of ``width`` centred on its multiples."""
+    binned = df.groupBy(*facets, F.floor(F.col(value) / width + 0.5).alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    totals = binned.groupBy(facet).agg(F.sum("n").alias("total"))
-    return binned.join(totals, facet).select(
-        facet, (F.col("bin") * width).alias("centre"), "n",
-        (F.col("n") / F.col("total") / width).alias("density"),
+    total = F.sum("n").over(W.partitionBy(*facets))
+    return binned.select(
+        *facets, (F.col("bin") * width).alias("centre"), "n",
+        (F.col("n") / total / width).alias("density"),
     )

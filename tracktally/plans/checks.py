@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracktally.operators import diagnose
+from tracktally.operators.matching import join_same
 from tracktally.operators.predict import predictive_draws
 from tracktally.operators.quantiles import count_quantiles, named
+from tracktally.plans.forecasts import category_order
 from tracktally.session import written_once
 from tracktally.sources.draws import select_draws, variable_name
 
@@ -21,24 +23,28 @@ BOX_NAMES = ("q_lower", "iqr_lower", "median", "iqr_upper", "q_upper")
 
 def posterior_check(draws: DataFrame, data: DataFrame, observation_col: str, count_col: str,
                     facet_col: str, x_col: str, parameter: str = "log_lambda",
-                    seed: int = 42) -> DataFrame:
+                    seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
     """Predictive quantiles beside the observed count, with ``IN_CI``.
 
-    ``draws`` has ``draw``, the observation id and the parameter column.
+    ``draws`` has ``keys, draw``, the observation id and the parameter column, as
+    ``parameter_draws`` reads them off a saved table. ``keys`` name the segments; data
+    without these columns serve every segment. A ``MONTH`` facet comes in calendar order.
     """
-    predicted = predictive_draws(draws, observation_col, parameter, seed)
-    boxes = count_quantiles(predicted, [observation_col], "post_pred", BOX_PROBS).select(
-        observation_col, *named(F.col("q"), BOX_NAMES)
+    predicted = predictive_draws(draws, observation_col, parameter, seed, keys)
+    boxes = count_quantiles(predicted, [*keys, observation_col], "post_pred", BOX_PROBS).select(
+        *keys, observation_col, *named(F.col("q"), BOX_NAMES)
     )
-    seen = data.select(observation_col, count_col, facet_col, x_col)
-    return boxes.join(seen, observation_col).withColumn(
+    shared = [k for k in keys if k in data.columns]
+    seen = data.select(*shared, observation_col, count_col, facet_col, x_col)
+    checked = join_same(boxes, seen, [*shared, observation_col]).withColumn(
         "IN_CI", F.col(count_col).between(F.col("q_lower"), F.col("q_upper"))
     )
+    return checked.orderBy(*keys, category_order(facet_col), x_col) if facet_col == "MONTH" else checked
 
 
-def coverage(checked: DataFrame) -> DataFrame:
-    """Percentage of observations inside their 95% predictive interval."""
-    return checked.agg(
+def coverage(checked: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Percentage of observations inside their 95% predictive interval, per segment."""
+    return checked.groupBy(*keys).agg(
         F.round(F.avg(F.col("IN_CI").cast("double")) * 100, 1).alias("COVERAGE_PCT"),
         F.count(F.lit(1)).alias("N_OBS"),
     )
@@ -59,9 +65,14 @@ def diagnostics(draws: DataFrame, variables: Iterable[str], warmup: bool = True,
                 n_pairs: int = 4) -> Diagnostics:
     """Convergence report of the named parameters; an unknown name raises.
 
-    The measures are saved once; the trace and the pair tables depend on their order.
+    The named draws and their measures are saved once: the measures read the draws
+    several times, and the trace and the pair tables depend on the measures' order.
     """
-    everything = select_draws(draws, variables, warmup=True).withColumn("variable", variable_name())
+    everything = written_once(
+        select_draws(draws, variables, warmup=True)
+        .select(variable_name().alias("variable"), "chain", "iteration", "value", "is_warmup"),
+        "selected",
+    )
     kept = everything.filter(~F.col("is_warmup"))
     measured = written_once(
         diagnose.summarise(kept).join(diagnose.measure(kept), "variable"), "measures"

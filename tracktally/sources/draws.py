@@ -6,7 +6,7 @@ such as ``beta[3]`` has base ``beta`` and idx 3, a scalar has idx NULL.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +48,23 @@ def variable_name() -> Column:
 def select_draws(draws: DataFrame, variables: Iterable[str], warmup: bool = False) -> DataFrame:
     """Draws of the named bases; an unknown name raises.
 
-    The check looks for one row per name, in its own folder of a saved table.
+    One pass collects the names that exist, at most as many as were asked for; of a
+    saved table it reads the folders of these names only.
     """
     names = list(variables)
-    missing = [n for n in names if draws.filter(F.col("base") == n).isEmpty()]
+    kept = draws.filter(F.col("base").isin(names))
+    found = {r[0] for r in kept.select("base").distinct().collect()}
+    missing = [n for n in names if n not in found]
     if missing:
         raise ValueError(f"unknown variables: {', '.join(missing)}")
-    kept = draws.filter(F.col("base").isin(names))
     return kept if warmup else kept.filter(~F.col("is_warmup"))
+
+
+def parameter_draws(draws: DataFrame, parameter: str, row: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Kept draws of one vector parameter as the plans read them: ``keys, draw, row, parameter``.
+
+    ``row`` names the id that the element's number stands for, such as an observation
+    or a forecast cell.
+    """
+    kept = select_draws(draws, [parameter])
+    return kept.select(*keys, "draw", F.col("idx").alias(row), F.col("value").alias(parameter))
