@@ -5,30 +5,21 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_grid_and_paths import LOCATION_TOTALS, MONTH_TOTALS
-from tracktally.operators import diagnose, predict
 from tracktally.operators import fit as fitting
+from tracktally.operators import predict
 from tracktally.plans import checks, forecasts, modelling, models
 
+DRAWS = "basin string, draw int, is_warmup boolean, base string, idx int, value double"
 
-def gradient_gap(model):
-    rng = np.random.default_rng(0)
-    density, q = fitting._Density(model), rng.uniform(-1, 1, (2, model.size))
-    y = rng.poisson(2, (2, model.categories, max(1, len(model.years)))).astype(float)
-    _, g = density(q, y)
-    gap, e = 0.0, 1e-6
-    for j in range(model.size):
-        hi, lo = q.copy(), q.copy()
-        hi[:, j] += e
-        lo[:, j] -= e
-        gap = max(gap, np.abs((density(hi, y)[0] - density(lo, y)[0]) / (2 * e) - g[:, j]).max())
-    return gap
 
-
-def test_gradients():
-    years = tuple(np.linspace(-1, 0.65, 25))
-    for model in (fitting.month_model(25), fitting.month_model(25, intercept=True),
-                  fitting.location_model(10, 25), fitting.year_month_model(years, 1.2)):
-        assert gradient_gap(model) < 1e-5
+def gamma_draws(spark, totals, years, size=2000):
+    """Draws of independent conjugate rates, as a sampler's long table with an intercept."""
+    rng = np.random.default_rng(3)
+    logs = np.log(rng.gamma(np.array(totals)[:, None] + 0.5, 1 / years, (len(totals), size)))
+    rows = [("all", d + 1, False, "beta_0", None, 0.25) for d in range(size)]
+    rows += [("all", d + 1, False, "beta", k + 1, float(logs[k, d] - 0.25)) for k in range(len(totals)) for d in range(size)]
+    rows += [("all", 1, True, "beta", 1, 50.0), ("all", 1, True, "beta_0", None, 50.0)]
+    return spark.createDataFrame(rows, DRAWS)
 
 
 @pytest.fixture(scope="module")
@@ -39,96 +30,66 @@ def landfalls(spark):
     return spark.createDataFrame(rows, "YEAR int, MONTH int").withColumn("basin", F.lit("all"))
 
 
-@pytest.fixture(scope="module")
-def months(landfalls):
-    return models.fit_months(landfalls, "basin", 2000, 2024, warmup=500, kept=2000)
-
-
-def test_month_model(spark, landfalls, months):
-    draws = months.draws()
-    kept = draws.filter("NOT is_warmup")
-    assert kept.count() == 3 * 2000 * 13 and draws.count() == 3 * 2500 * 13
-    per_draw = kept.filter("base = 'beta'").groupBy("draw").agg(F.sum("value").alias("s"))
-    assert per_draw.agg(F.max(F.abs("s"))).first()[0] < 1e-9
-    from tracktally.sources.draws import variable_name
-
-    measured = diagnose.measure(kept.withColumn("variable", variable_name()))
-    worst = diagnose.worst(measured, 5).collect()
-    assert max(r.rhat for r in worst) < 1.02 and min(r.ess_bulk for r in worst) > 200
-
-
-def test_month_forecast_totals(spark, landfalls, months):
+def test_months_from_draws_to_totals_and_coverage(spark, landfalls):
+    rates = models.category_rates(gamma_draws(spark, MONTH_TOTALS, 25), ["basin"])
     grid = modelling.monthly_grid(landfalls, 2000, 2024)
-    stars = models.cell_rates(months.rates(), grid, "MONTH_ID", "PRED_ID", "log_lambda_star")
-    totals = forecasts.forecast(stars, grid, "MONTH").totals.collect()
+    stars = models.cell_rates(rates, grid, "MONTH_ID", "PRED_ID", "log_lambda_star")
+    totals = forecasts.forecast(stars, grid, "MONTH", keys=["basin"]).totals.collect()
     assert [r.MONTH for r in totals][:2] == ["January", "February"]  # calendar order
     got = {r.MONTH: r["median"] for r in totals}
     # Published five-year medians
     for month, want in (("September", 31), ("August", 24), ("October", 22)):
         assert abs(got[month] - want) <= 2
-
-
-def test_month_coverage(spark, landfalls, months):
-    grid = modelling.monthly_grid(landfalls, 2000, 2024)
-    rates = models.cell_rates(months.rates(), grid, "MONTH_ID", "ALL_ID")
-    seen = modelling.observed(grid)
-    checked = checks.posterior_check(rates, seen, "ALL_ID", "LANDFALL_COUNT", "MONTH", "YEAR")
+    fitted = models.cell_rates(rates, grid, "MONTH_ID", "ALL_ID")
+    checked = checks.posterior_check(fitted, modelling.observed(grid), "ALL_ID", "LANDFALL_COUNT", "MONTH", "YEAR",
+                                     keys=["basin"])
     assert checks.coverage(checked).first().COVERAGE_PCT > 90
 
 
-def test_location_forecast_totals(spark):
+def test_locations_from_draws_to_totals(spark):
     rows = [(2000 + i % 25, name, "all") for name, n in LOCATION_TOTALS.items() for i in range(n)]
     source = spark.createDataFrame(rows, "YEAR int, LOCATION string, basin string")
-    fitted, ids = models.fit_locations(source, "basin", 2000, 2024, warmup=500, kept=2000)
+    cells, ids = models.location_cells(source, "basin", 2000, 2024)
     assert ids.count() == 10
+    rates = models.category_rates(gamma_draws(spark, cells.first().y, 25), ["basin"])
     grid = modelling.location_grid(source, 2000, 2024)
-    stars = models.cell_rates(fitted.rates(), grid, "LOC_ID", "PRED_ID", "log_lambda_star")
-    got = {r.LOCATION: r["median"] for r in forecasts.forecast(stars, grid, "LOCATION").totals.collect()}
+    stars = models.cell_rates(rates, grid, "LOC_ID", "PRED_ID", "log_lambda_star")
+    out = forecasts.forecast(stars, grid, "LOCATION", keys=["basin"]).totals
+    got = {r.LOCATION: r["median"] for r in out.collect()}
     # Published five-year medians
     assert abs(got["United States"] - 30) <= 2 and abs(got["Mexico"] - 28) <= 2
 
 
-def test_year_effect_model(spark):
-    rows = []
-    for month, total in enumerate(MONTH_TOTALS, start=1):
-        for year in range(2000, 2025):
-            n = round(total / 25 * (1.6 if year >= 2012 else 0.4))
-            rows += [(year, month, "all")] * n
-    source = spark.createDataFrame(rows, "YEAR int, MONTH int, basin string")
-    fitted = models.fit_months_and_years(source, "basin", 2000, 2024, 5, chains=2, warmup=200, kept=200)
-    rates = models.month_year_rates(fitted, 2000, 2024, 5)
-    assert rates.count() == 2 * 200 * 12 * 30
-    mean = {(r.idx, r.YEAR): r.m for r in rates.groupBy("idx", "YEAR").agg(F.avg("log_lambda").alias("m")).collect()}
-    assert mean[9, 2018] - mean[9, 2004] == pytest.approx(math.log(4), abs=0.5)
-    # the row expression agrees with the sparse product of basis and weighted draws
-    one = fitted.packed.filter("NOT is_warmup AND draw = 1").first()
-    k, m = 12, fitted.model.functions
-    rho, sigma, z = one["values"][k + 1], one["values"][k + 2], one["values"][k + 3:]
+def test_years_outside_the_range_are_not_counted(spark):
+    rows = [(1999, 1, "x", "a"), (2000, 1, "x", "a"), (2001, 2, "x", "a"), (2001, 2, "y", "a"), (2002, 1, "z", "a")]
+    df = spark.createDataFrame(rows, "YEAR int, MONTH int, LOCATION string, basin string")
+    assert models.month_cells(df, "basin", 2000, 2001).first().y == [1.0, 2.0] + [0.0] * 10
+    assert models.month_year_cells(df, "basin", 2000, 2001).first().y == [1.0, 0.0, 0.0, 2.0] + [0.0] * 20
+    cells, ids = models.location_cells(df, "basin", 2000, 2001, k=10)  # fewer than k
+    assert cells.first().y == [2.0, 1.0] and [r.LOCATION for r in ids.orderBy("LOC_ID").collect()] == ["x", "y"]
+    grid = modelling.location_grid(df, 2000, 2001, 1, k=10)
+    assert "2" in grid.columns and "3" not in grid.columns and grid.count() == 6
+
+
+def test_year_effect_of_draws(spark):
+    z, rho, sigma = [0.3, -0.2, 0.1], 0.6, 0.8
+    rows = [("all", 1, False, "beta", 9, 0.7), ("all", 1, False, "gp_lengthscale", None, rho),
+            ("all", 1, False, "gp_sigma", None, sigma), ("all", 1, True, "z", 1, 99.0)]
+    rows += [("all", 1, False, "z", j + 1, w) for j, w in enumerate(z)]
+    rates = models.month_year_rates(spark.createDataFrame(rows, DRAWS), 2000, 2024, 5, ["basin"])
+    assert rates.count() == 30
     x = models.standard_years(2000, 2024, 5)[7]
     f = sum(
-        sigma * math.sqrt(math.sqrt(2 * math.pi) * rho) * math.exp(-0.25 * (rho * math.pi / 2.4) ** 2 * j * j) * z[j - 1]
-        * math.sin(math.pi / 2.4 * (x + 1.2) * j) / math.sqrt(1.2) for j in range(1, m + 1))
-    got = rates.filter("draw = 1 AND chain = 1 AND idx = 9 AND YEAR = 2007").first().log_lambda
-    assert got == pytest.approx(one["values"][9] + f, abs=1e-9)
-
-
-def test_segments_do_not_depend_on_their_batch(spark):
-    rows = [(s, m, 3 * s + m) for s in range(1, 5) for m in range(1, 13)]
-    counts = spark.createDataFrame(rows, "seg int, MONTH int, n int")
-    cells = fitting.segment_cells(counts, "seg", "MONTH", "n", 12)
-    model = fitting.month_model(5)
-    every = fitting.fit(cells, "seg", model, chains=1, warmup=50, kept=20).filter("seg = 2 AND iteration = 70").first()
-    alone = fitting.fit(cells.filter("seg = 2"), "seg", model, chains=1, warmup=50, kept=20).filter("iteration = 70").first()
-    assert every["values"] == pytest.approx(alone["values"], rel=1e-6)
+        sigma * math.sqrt(math.sqrt(2 * math.pi) * rho) * math.exp(-0.25 * (rho * math.pi / 2.4) ** 2 * j * j) * w
+        * math.sin(math.pi / 2.4 * (x + 1.2) * j) / math.sqrt(1.2) for j, w in enumerate(z, start=1))
+    assert rates.filter("idx = 9 AND YEAR = 2007").first().log_lambda == pytest.approx(0.7 + f, abs=1e-9)
 
 
 def test_regression_with_an_empty_category(spark):
     rows = [("a", 4), ("a", 6), ("b", 1), ("b", 2), ("c", 0), ("c", 0)]
     cells = spark.createDataFrame(rows, "k string, n int")
-    free = {r.category: r.coefficient for r in fitting.poisson_regression(cells.filter("k <> 'c'"), "k", "n").collect()}
-    assert free == {"a": pytest.approx(math.log(5), abs=1e-6), "b": pytest.approx(math.log(1.5), abs=1e-6)}
-    held = {r.category: r.coefficient for r in fitting.poisson_regression(cells, "k", "n", reg=0.01).collect()}
-    assert -10 < held["c"] < 0
+    got = {r.category: r.coefficient for r in fitting.poisson_regression(cells, "k", "n").collect()}
+    assert got == {"a": pytest.approx(math.log(5)), "b": pytest.approx(math.log(1.5)), "c": None}
 
 
 def test_linear_predictor_of_one_hot_rows(spark):

@@ -148,3 +148,18 @@ def test_readers_agree(spark, tmp_path):
     assert shapes.edges(a).count() == 14
     corners = shapes.outline(b).filter("poly_id = 1").orderBy("group", "ord").collect()
     assert [(r.group, r.ord, r.long, r.lat) for r in corners][3] == (1, 0, -1.0, -1.5)
+
+
+def test_repeated_row_ids_do_not_change_the_answer(spark, monkeypatch):
+    square = spark.sql("SELECT 1 AS poly_id, array(array(named_struct('lon', 0D, 'lat', 0D), named_struct('lon', 4D, 'lat', 0D), "
+                       "named_struct('lon', 4D, 'lat', 4D), named_struct('lon', 0D, 'lat', 4D))) AS rings, 'one' AS name")
+    points = spark.createDataFrame([(7, 1.5, 1.5), (7, 2.5, 2.5), (8, 9.0, 9.0), (8, None, 1.0)], "id int, LON double, LAT double")
+
+    def answers():
+        out = spatial.contained(points, square, ["name"], "id").select("id", "LON", "poly_id", "name").collect()
+        return sorted(map(tuple, out), key=str)
+
+    packed = answers()
+    assert [r[2] for r in packed].count(1) == 2 and len(packed) == 4
+    monkeypatch.setattr(spatial, "MAX_CELL_EDGES", 0)
+    assert answers() == packed

@@ -1,4 +1,4 @@
-"""Model fits over orders; the nation or market of the customer is the segment."""
+"""Cells and rates of the count models over orders; the customer's nation is the segment."""
 
 from __future__ import annotations
 
@@ -6,61 +6,116 @@ from pyspark.sql import functions as F
 
 from tracktally.catalog import Catalog
 from tracktally.catalog.inputs import (
-    FIRST_YEAR, HORIZON, LAST_YEAR, dated_orders, landfalls,
+    DRAWS_SQL, FIRST_YEAR, HORIZON, LANDFALLS_SQL, LAST_YEAR, dated_orders, draws_of, landfalls,
 )
 from tracktally.operators.counts import count_by
 from tracktally.operators.fit import poisson_regression
 from tracktally.operators.grid import months, with_years, zero_filled
-from tracktally.plans import forecasts, models
-from tracktally.plans.modelling import monthly_grid
+from tracktally.plans import models
 from tracktally.session import load_tables
 
 catalog = Catalog()
 
+# the years the cells are asked for leave out the first and the last year of the table
+INNER_FIRST, INNER_LAST = FIRST_YEAR + 1, LAST_YEAR - 1
 
-def _summary(fitted: models.Fitted):
-    kept = fitted.draws().filter(~F.col("is_warmup"))
-    return kept.groupBy(fitted.segment, "base", "idx").agg(
-        F.count(F.lit(1)).alias("n_draws"),
-        F.round(F.avg("value"), 3).alias("mean"), F.round(F.stddev_samp("value"), 3).alias("sd"),
+
+def _cells(cells, name):
+    return cells.select(name, F.posexplode("y").alias("cell", "n")).select(
+        name, (F.col("cell") + 1).alias("cell"), F.col("n").cast("bigint").alias("n")
     )
 
 
-@catalog.add()
-def fit_month_model(spark, folder):
+@catalog.add(f"""
+WITH {LANDFALLS_SQL},
+counts AS (
+  SELECT LOCATION AS nation, MONTH AS m, count(*) AS n FROM landfalls
+  WHERE YEAR BETWEEN {INNER_FIRST} AND {INNER_LAST} GROUP BY ALL),
+every AS (SELECT nation, c.range AS m FROM (SELECT DISTINCT nation FROM counts), range(1, 13) c)
+SELECT nation, CAST(m AS INT) AS cell, coalesce(n, 0) AS n FROM every LEFT JOIN counts USING (nation, m)""")
+def month_model_cells(spark, folder):
+    source = landfalls(spark, folder).withColumnRenamed("LOCATION", "nation")
+    return _cells(models.month_cells(source, "nation", INNER_FIRST, INNER_LAST), "nation")
+
+
+@catalog.add(f"""
+WITH {LANDFALLS_SQL},
+counts AS (
+  SELECT LOCATION AS nation, (MONTH - 1) * {INNER_LAST - INNER_FIRST + 1} + YEAR - {INNER_FIRST} + 1 AS c, count(*) AS n
+  FROM landfalls WHERE YEAR BETWEEN {INNER_FIRST} AND {INNER_LAST} GROUP BY ALL),
+every AS (
+  SELECT nation, c.range AS c
+  FROM (SELECT DISTINCT nation FROM counts), range(1, {12 * (INNER_LAST - INNER_FIRST + 1) + 1}) c)
+SELECT nation, CAST(c AS INT) AS cell, coalesce(n, 0) AS n FROM every LEFT JOIN counts USING (nation, c)""")
+def month_year_model_cells(spark, folder):
     source = landfalls(spark, folder).withColumnRenamed("LOCATION", "nation")
-    return _summary(models.fit_months(source, "nation", FIRST_YEAR, LAST_YEAR, warmup=300, kept=500))
+    return _cells(models.month_year_cells(source, "nation", INNER_FIRST, INNER_LAST), "nation")
 
 
-@catalog.add()
-def fit_location_model(spark, folder):
-    (customer,) = load_tables(spark, folder, "customer")
-    nation = load_tables(spark, folder, "nation")[0]
+@catalog.add(f"""
+WITH source AS (
+  SELECT c_mktsegment AS market, n_name AS LOCATION
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  WHERE year(o_orderdate) BETWEEN {INNER_FIRST} AND {INNER_LAST}),
+ids AS (
+  SELECT LOCATION, row_number() OVER (ORDER BY LOCATION) AS cell
+  FROM (SELECT LOCATION FROM source GROUP BY 1 ORDER BY count(*) DESC, LOCATION LIMIT 30)),
+counts AS (SELECT market, LOCATION, count(*) AS n FROM source GROUP BY ALL)
+SELECT market, CAST(cell AS INT) AS cell, coalesce(n, 0) AS n
+FROM (SELECT DISTINCT market FROM source) CROSS JOIN ids LEFT JOIN counts USING (market, LOCATION)""")
+def location_model_cells(spark, folder):
+    """Asked for more locations than there are."""
+    customer, nation = load_tables(spark, folder, "customer", "nation")
     source = (
         dated_orders(spark, folder).join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(F.col("c_mktsegment").alias("market"), F.col("n_name").alias("LOCATION"), "YEAR")
     )
-    fitted, _ = models.fit_locations(source, "market", FIRST_YEAR, LAST_YEAR, warmup=300, kept=500)
-    return _summary(fitted)
+    cells, _ = models.location_cells(source, "market", INNER_FIRST, INNER_LAST, k=30)
+    return _cells(cells, "market")
 
 
-@catalog.add()
-def fit_year_gp_model(spark, folder):
-    source = landfalls(spark, folder).withColumnRenamed("LOCATION", "nation")
-    return _summary(models.fit_months_and_years(
-        source, "nation", FIRST_YEAR, LAST_YEAR, HORIZON, chains=1, warmup=200, kept=200
-    ))
-
-
-@catalog.add()
-def fitted_month_forecast(spark, folder):
-    """Counts to grid to fit to five-year totals per month, all orders as one segment."""
-    source = dated_orders(spark, folder).withColumn("segment", F.lit("all"))
-    grid = monthly_grid(source, FIRST_YEAR, LAST_YEAR, HORIZON)
-    fitted = models.fit_months(source, "segment", FIRST_YEAR, LAST_YEAR, warmup=300, kept=500)
-    stars = models.cell_rates(fitted.rates(), grid, "MONTH_ID", "PRED_ID", "log_lambda_star")
-    return forecasts.forecast(stars, grid, "MONTH").totals
+MODEL_DRAWS_SQL = f"""
+rates AS (
+  SELECT c_mktsegment AS SEGMENT, CAST(c_nationkey + 1 AS INT) AS idx, count(o_orderkey) AS n
+  FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL), {DRAWS_SQL},
+shared AS (SELECT SEGMENT, draw, avg(value) AS m FROM kept GROUP BY ALL)"""
+
+
+@catalog.add(f"""
+WITH {MODEL_DRAWS_SQL},
+z AS (
+  SELECT SEGMENT, draw, x.range AS t, sum((value - m) * sqrt(sqrt(2 * pi()) * 0.4::DOUBLE) * 0.5::DOUBLE
+           * exp(-0.25::DOUBLE * (0.4::DOUBLE * pi() / 2 / 1.2::DOUBLE) ** 2 * idx ** 2)
+           * sin(pi() / 2.4::DOUBLE * (x.range / {LAST_YEAR + HORIZON - FIRST_YEAR}::DOUBLE * 2 - 1 + 1.2::DOUBLE) * idx)
+           / sqrt(1.2::DOUBLE)) AS f
+  FROM kept JOIN shared USING (SEGMENT, draw), range({LAST_YEAR + HORIZON - FIRST_YEAR + 1}) x GROUP BY ALL)
+SELECT SEGMENT, draw, idx, CAST({FIRST_YEAR} + t AS INT) AS YEAR, round(m + value - m + f, 6) AS log_lambda
+FROM kept JOIN shared USING (SEGMENT, draw) JOIN z USING (SEGMENT, draw)""")
+def month_year_rates(spark, folder):
+    """Rates read off draws of effects, intercept and smooth weights, per market."""
+    customer, orders = load_tables(spark, folder, "customer", "orders")
+    rates = (
+        customer.join(orders, F.col("o_custkey") == F.col("c_custkey"), "left")
+        .groupBy(F.col("c_mktsegment").alias("SEGMENT"), (F.col("c_nationkey") + 1).cast("int").alias("idx"))
+        .agg(F.count("o_orderkey").alias("n"))
+    )
+    wide = draws_of(rates).select("SEGMENT", "draw", "is_warmup", "idx", "value")
+    means = wide.groupBy("SEGMENT", "draw", "is_warmup").agg(F.avg("value").alias("m"))
+    own = wide.join(means, ["SEGMENT", "draw", "is_warmup"]).withColumn(
+        "e", F.explode(F.array(
+            F.struct(F.lit("beta").alias("base"), F.col("idx").alias("idx"), (F.col("value") - F.col("m")).alias("value")),
+            F.struct(F.lit("z").alias("base"), F.col("idx").alias("idx"), (F.col("value") - F.col("m")).alias("value")),
+        ))
+    ).select("SEGMENT", "draw", "is_warmup", "e.*")
+    nothing = F.lit(None).cast("int").alias("idx")
+    scalars = means.withColumn("e", F.explode(F.array(
+        F.struct(F.lit("beta_0").alias("base"), nothing, F.col("m").alias("value")),
+        F.struct(F.lit("gp_lengthscale").alias("base"), nothing, F.lit(0.4).alias("value")),
+        F.struct(F.lit("gp_sigma").alias("base"), nothing, F.lit(0.5).alias("value")),
+    ))).select("SEGMENT", "draw", "is_warmup", "e.*")
+    out = models.month_year_rates(own.unionByName(scalars), FIRST_YEAR, LAST_YEAR, HORIZON, ["SEGMENT"])
+    return out.withColumn("log_lambda", F.round("log_lambda", 6))
 
 
 @catalog.add(f"""

@@ -1,343 +1,36 @@
-"""Poisson count models for many segments at once.
+"""Sufficient statistics of the count models, and point estimates.
 
-Events are aggregated to complete cells first; the cells are sufficient for the
-models, so the sampler's input per segment has a fixed size. Each (segment, chain)
-is one short row, spread over the cluster, and a task advances a few dozen chains
-together.
+Sampling the models is left to a sampler of the user's choice; its input per segment
+are these cells, its output a long draw table.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import partial
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracktally.operators.predict import contrast_prior_sd, contrast_weights
-from tracktally.session import task_count
-
-CHAINS_PER_BATCH = 48
-
-
-@dataclass(frozen=True)
-class CountModel:
-    """Log rate = [intercept] + category effect + [smooth year effect].
-
-    ``years`` holds the standardised years of the cells when there is a year effect;
-    cells then run category-major over the years. ``exposure`` is the number of
-    observations behind each cell. Prior scales are those of the published models.
-    """
-
-    categories: int
-    exposure: float = 1.0
-    intercept: bool = False
-    years: tuple[float, ...] = ()
-    functions: int = 30
-    boundary: float = 1.2
-    intercept_sd: float = 2.0
-    effect_scale: float = 1.0
-    gp_scale: float = 1.0
-    lengthscale_shape: float = 5.0
-    lengthscale_rate: float = 1.0
-
-    @property
-    def cells(self) -> int:
-        return self.categories * max(1, len(self.years))
-
-    @property
-    def size(self) -> int:
-        smooth = 2 + self.functions if self.years else 0
-        return self.categories + int(self.intercept) + smooth
-
-    def elements(self) -> list[tuple[str, int | None]]:
-        """Names of the reported values, in order."""
-        out: list[tuple[str, int | None]] = [("beta_0", None)] if self.intercept else []
-        out += [("beta_sd", None)] + [("beta", k + 1) for k in range(self.categories)]
-        if self.years:
-            out += [("gp_lengthscale", None), ("gp_sigma", None)]
-            out += [("z", m + 1) for m in range(self.functions)]
-        return out
-
-
-def month_model(years: int, intercept: bool = False) -> CountModel:
-    """Twelve month effects around rate one; every month was seen ``years`` times."""
-    return CountModel(categories=12, exposure=years, intercept=intercept)
-
-
-def year_month_model(years: tuple[float, ...], boundary: float) -> CountModel:
-    """Month effects plus a smooth year effect on standardised years."""
-    return CountModel(categories=12, years=years, boundary=boundary)
-
-
-def location_model(locations: int, years: int) -> CountModel:
-    return CountModel(categories=locations, exposure=years, intercept=True)
-
-
-@dataclass
-class _Density:
-    """Log density and gradient for a batch: one row of ``q`` and ``y`` per chain."""
-
-    model: CountModel
-    weights: np.ndarray = field(init=False)
-    basis: np.ndarray | None = field(init=False, default=None)
-
-    def __post_init__(self) -> None:
-        m = self.model
-        self.weights = np.array(contrast_weights(m.categories))
-        if m.years:
-            order = np.arange(1, m.functions + 1)
-            x = np.array(m.years)[:, None]
-            self.basis = np.sin(math.pi / (2 * m.boundary) * (x + m.boundary) * order)
-            self.basis /= math.sqrt(m.boundary)
-
-    def unpack(self, q: np.ndarray) -> dict[str, np.ndarray]:
-        m, at = self.model, 0
-        out: dict[str, np.ndarray] = {}
-        if m.intercept:
-            out["beta_0"], at = q[:, 0], 1
-        out["sd"] = np.exp(q[:, at])
-        out["contrast"] = q[:, at + 1:at + m.categories]
-        out["unit"] = out["contrast"] @ self.weights.T
-        out["beta"] = out["sd"][:, None] * out["unit"]
-        at += m.categories
-        if m.years:
-            rho, sigma, z = np.exp(q[:, at]), np.exp(q[:, at + 1]), q[:, at + 2:]
-            curve = 0.25 * (rho[:, None] * math.pi / 2 / m.boundary * np.arange(1, m.functions + 1)) ** 2
-            spd = (sigma * np.sqrt(math.sqrt(2 * math.pi) * rho))[:, None] * np.exp(-curve)
-            out.update(rho=rho, sigma=sigma, z=z, curve=curve, spd=spd, f=(spd * z) @ self.basis.T)
-        return out
-
-    def values(self, q: np.ndarray) -> np.ndarray:
-        p = self.unpack(q)
-        parts = [p["beta_0"][:, None]] if self.model.intercept else []
-        parts += [p["sd"][:, None], p["beta"]]
-        if self.model.years:
-            parts += [p["rho"][:, None], p["sigma"][:, None], p["z"]]
-        return np.concatenate(parts, axis=1)
-
-    def __call__(self, q: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m, p = self.model, self.unpack(q)
-        rate = p["beta"][:, :, None]
-        if m.intercept:
-            rate = rate + p["beta_0"][:, None, None]
-        if m.years:
-            rate = rate + p["f"][:, None, :]
-        expected = m.exposure * np.exp(np.minimum(rate, 50.0))
-        density = (y * rate - expected).sum(axis=(1, 2))
-        pull = y - expected
-        by_category, by_year = pull.sum(axis=2), pull.sum(axis=1)
-
-        grads = []
-        if m.intercept:
-            var = m.intercept_sd**2
-            density -= 0.5 * p["beta_0"] ** 2 / var
-            grads.append((by_category.sum(axis=1) - p["beta_0"] / var)[:, None])
-        ratio = (p["sd"] / m.effect_scale) ** 2
-        var = contrast_prior_sd(m.categories) ** 2
-        density += np.log(p["sd"]) - np.log1p(ratio) - 0.5 * (p["contrast"] ** 2).sum(axis=1) / var
-        grads.append(((by_category * p["beta"]).sum(axis=1) + 1 - 2 * ratio / (1 + ratio))[:, None])
-        grads.append(p["sd"][:, None] * (by_category @ self.weights) - p["contrast"] / var)
-        if m.years:
-            a, b = m.lengthscale_shape, m.lengthscale_rate
-            ratio = (p["sigma"] / m.gp_scale) ** 2
-            density += -a * np.log(p["rho"]) - b / p["rho"] + np.log(p["sigma"]) - np.log1p(ratio)
-            density -= 0.5 * (p["z"] ** 2).sum(axis=1)
-            along = (by_year @ self.basis) * p["spd"]
-            grads.append(((along * p["z"] * (0.5 - 2 * p["curve"])).sum(axis=1) - a + b / p["rho"])[:, None])
-            grads.append(((along * p["z"]).sum(axis=1) + 1 - 2 * ratio / (1 + ratio))[:, None])
-            grads.append(along - p["z"])
-        return density, np.concatenate(grads, axis=1)
 
+def segment_cells(counts: DataFrame, segment: str, cell: str, count: str, cells: int) -> DataFrame:
+    """One row per segment with its zero-filled counts ``y`` in cell order (1..cells).
 
-MAX_LEAPS = 40
-
-
-def _sample(density: _Density, y: np.ndarray, keys: list[list[int]], warmup: int, kept: int) -> np.ndarray:
-    """Gradient-guided random walk for a batch of chains: (chain, iteration, value).
-
-    Warm-up tunes the step size towards 80% acceptance and whitens the coordinates by
-    their covariance. Path lengths vary at random; a chain's randomness depends on its
-    key alone, so the batch it runs in does not matter.
+    Counts without a cell, or of a cell outside the range, belong to none.
     """
-    b, d, total = len(y), density.model.size, warmup + kept
-    streams = [np.random.default_rng(k) for k in keys]
-    q = np.stack([g.uniform(-1, 1, d) for g in streams])
-    kicks = np.stack([g.standard_normal((total, d)) for g in streams], axis=1)
-    coins = np.log(np.stack([g.random(total) for g in streams], axis=1))
-    paths = np.stack([g.uniform(0.5, 2.0, total) for g in streams], axis=1)
-
-    white = np.repeat(np.eye(d)[None], b, axis=0)
-    log_step = np.full(b, math.log(0.1))
-    anchor, drift, average, since = log_step + math.log(10), np.zeros(b), log_step.copy(), 0
-    turns = {int(warmup * s) for s in (0.15, 0.4, 0.9)}
-    recent: list[np.ndarray] = []
-    out = np.empty((b, total, len(density.model.elements())))
-    with np.errstate(all="ignore"):
-        value, grad = density(q, y)
-        for i in range(total):
-            step = np.exp(log_step if i < warmup else average)[:, None]
-            leaps = np.clip(np.ceil(paths[i] / step[:, 0]), 1, MAX_LEAPS).astype(int)
-            p, q1, v1, g1 = kicks[i], q, value, grad
-            p1 = p + 0.5 * step * np.einsum("bji,bj->bi", white, g1)
-            for leap in range(leaps.max()):
-                going = (leap < leaps)[:, None]
-                q2 = q1 + step * np.einsum("bij,bj->bi", white, p1)
-                v2, g2 = density(q2, y)
-                push = np.where((leap < leaps - 1)[:, None], step, 0.5 * step)
-                p2 = p1 + push * np.einsum("bji,bj->bi", white, g2)
-                q1, p1, g1 = np.where(going, q2, q1), np.where(going, p2, p1), np.where(going, g2, g1)
-                v1 = np.where(going[:, 0], v2, v1)
-            change = v1 - value + 0.5 * ((p * p).sum(axis=1) - (p1 * p1).sum(axis=1))
-            change = np.where(np.isfinite(change), change, -np.inf)
-            take = coins[i] < change
-            q = np.where(take[:, None], q1, q)
-            value, grad = np.where(take, v1, value), np.where(take[:, None], g1, grad)
-            out[:, i] = density.values(q)
-            if i >= warmup:
-                continue
-            since += 1
-            drift += (0.8 - np.exp(np.minimum(change, 0.0)) - drift) / (since + 10)
-            log_step = anchor - math.sqrt(since) / 0.05 * drift
-            rate = since**-0.75
-            average = rate * log_step + (1 - rate) * average
-            recent.append(q)
-            if i + 1 in turns:
-                x, n = np.stack(recent, axis=1), len(recent)
-                x = x - x.mean(axis=1, keepdims=True)
-                cov = np.einsum("bni,bnj->bij", x, x) / max(1, n - 1)
-                own = np.einsum("bii->bi", cov)[:, :, None] * np.eye(d)
-                share = n / (n + 2.0 * d)  # short windows lean on the diagonal
-                white = np.linalg.cholesky(share * cov + (1 - share) * own + 1e-6 * np.eye(d))
-                log_step, recent, since = np.full(b, math.log(0.3)), [], 0
-                anchor, drift, average = log_step + math.log(3), np.zeros(b), log_step.copy()
-    return out
-
-
-def segment_cells(counts: DataFrame, segment: str, cell: str, count: str, cells: int) -> DataFrame:
-    """One row per segment with its zero-filled counts ``y`` in cell order (1..cells)."""
-    table = counts.groupBy(segment).agg(
-        F.map_from_entries(F.collect_list(F.struct(cell, count))).alias("m")  # at most ``cells`` entries
-    )
+    table = counts.groupBy(segment).agg(F.map_from_entries(  # at most ``cells`` entries
+        F.collect_list(F.when(F.col(cell).between(1, cells), F.struct(cell, count)))
+    ).alias("m"))
     y = F.transform(
         F.sequence(F.lit(1), F.lit(cells)), lambda c: F.coalesce(F.col("m")[c], F.lit(0)).cast("double")
     )
     return table.select(segment, y.alias("y"))
 
 
-def fit(cells: DataFrame, segment: str, model: CountModel, chains: int = 3, warmup: int = 500,
-        kept: int = 3500, seed: int = 42, steps: int = 12, save_warmup: bool = True) -> DataFrame:
-    """Posterior draws, one row per (segment, chain, iteration) with all values in an array."""
-    parts = task_count(cells.sparkSession)
-    jobs = cells.select(
-        segment, "y", F.explode(F.sequence(F.lit(1), F.lit(chains))).alias("chain")
-    ).withColumn("key", F.xxhash64(F.col(segment).cast("string"), "chain"))
-    kind = cells.schema[segment].dataType.simpleString()
-    return jobs.repartition(parts, segment, "chain").mapInPandas(
-        partial(_run, segment, model, warmup, kept, seed, save_warmup),
-        f"`{segment}` {kind}, chain int, iteration int, draw int, is_warmup boolean, `values` array<double>",
-    )
-
-
-def _run(segment: str, model: CountModel, warmup: int, kept: int, seed: int,
-         save_warmup: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    density, first = _Density(model), 0 if save_warmup else warmup
-    for pdf in batches:
-        for start in range(0, len(pdf), CHAINS_PER_BATCH):
-            part = pdf.iloc[start:start + CHAINS_PER_BATCH]
-            y = np.stack(part["y"].to_numpy()).reshape(len(part), model.categories, -1)
-            keys = [[seed, int(k) & 0xFFFFFFFFFFFFFFFF] for k in part["key"]]
-            drawn = _sample(density, y, keys, warmup, kept)
-            number = np.arange(1, warmup + kept + 1)[first:]
-            for i, (name, chain) in enumerate(zip(part[segment], part["chain"])):
-                yield pd.DataFrame({
-                    segment: name, "chain": chain, "iteration": number,
-                    "draw": pd.array(  # only kept iterations are numbered draws
-                        [(chain - 1) * kept + n - warmup if n > warmup else pd.NA for n in number],
-                        dtype="Int32",
-                    ),
-                    "is_warmup": number <= warmup, "values": list(drawn[i, first:]),
-                })
+def poisson_regression(cells: DataFrame, category: str, count: str) -> DataFrame:
+    """Estimates of the category log rates: ``category, coefficient``.
 
-
-def long_draws(packed: DataFrame, segment: str, model: CountModel, name: str) -> DataFrame:
-    """The long draw table of a packed fit."""
-    elements = model.elements()
-    bases = F.array(*[F.lit(b) for b, _ in elements])
-    numbers = F.array(*[F.lit(i).cast("int") for _, i in elements])
-    return packed.select(
-        F.lit(name).alias("model"), segment, "chain", "iteration", "draw", "is_warmup",
-        F.posexplode("values").alias("e", "value"),
-    ).select("model", segment, "chain", "iteration", "draw", "is_warmup",
-             bases[F.col("e")].alias("base"), numbers[F.col("e")].alias("idx"), "value")
-
-
-def category_rates(packed: DataFrame, segment: str, model: CountModel) -> DataFrame:
-    """Log rate per kept draw and category (no year effect): ``draw, idx, log_lambda``."""
-    offset = int(model.intercept) + 1
-    beta = F.slice("values", offset + 1, model.categories)
-    base = F.col("values")[0] if model.intercept else F.lit(0.0)
-    return packed.filter(~F.col("is_warmup")).select(
-        segment, "chain", "iteration", "draw", base.alias("b0"), F.posexplode(beta).alias("i", "b")
-    ).select(segment, "chain", "iteration", "draw", (F.col("i") + 1).alias("idx"),
-             (F.col("b0") + F.col("b")).alias("log_lambda"))
-
-
-def year_rates(packed: DataFrame, segment: str, model: CountModel, years: tuple[float, ...],
-               fit_boundary: float | None = None) -> DataFrame:
-    """Log rate per kept draw, category and year: ``draw, idx, t, log_lambda``.
-
-    ``fit_boundary`` is the boundary of the spectral weights when the basis at these
-    years uses another one.
+    With one indicator per category the likelihood has its maximum at the log of the
+    category's mean count. A category without any event has no finite estimate: NULL.
     """
-    k, m = model.categories, model.functions
-    weight_at = model.boundary if fit_boundary is None else fit_boundary
-    rho, sigma = F.col("values")[k + 1], F.col("values")[k + 2]
-    kept = packed.filter(~F.col("is_warmup"))
-    scale = sigma * F.sqrt(math.sqrt(2 * math.pi) * rho)
-    weighted = F.transform(F.slice("values", k + 4, m), lambda z, i: z * scale * F.exp(
-        -0.25 * F.pow(rho * (math.pi / 2 / weight_at) * (i + 1), 2)
-    ))
-    table = F.array(*[
-        F.array(*[
-            F.lit(math.sin(math.pi / (2 * model.boundary) * (x + model.boundary) * (j + 1))
-                  / math.sqrt(model.boundary)) for j in range(m)
-        ]) for x in years
-    ])
-    smooth = F.transform(table, lambda phi: F.aggregate(
-        F.zip_with(phi, F.col("w"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x
-    ))
-    per_year = kept.withColumn("w", weighted).select(
-        segment, "chain", "iteration", "draw", F.slice("values", 2, k).alias("beta"),
-        F.posexplode(smooth).alias("t", "f"),
+    mean = F.avg(count)
+    return cells.groupBy(F.col(category).cast("string").alias("category")).agg(
+        F.when(mean > 0, F.ln(mean)).alias("coefficient")
     )
-    return per_year.select(segment, "chain", "iteration", "draw", (F.col("t") + 1).alias("t"), "f",
-                           F.posexplode("beta").alias("i", "b")).select(
-        segment, "chain", "iteration", "draw", (F.col("i") + 1).alias("idx"), "t",
-        (F.col("b") + F.col("f")).alias("log_lambda"))
-
-
-def poisson_regression(cells: DataFrame, category: str, count: str, reg: float = 0.0) -> DataFrame:
-    """Point estimates of the category log rates by a log-link Poisson regression.
-
-    ``cells`` are complete-grid counts. A category with no event at all has no finite
-    estimate; give ``reg`` a small value then.
-    """
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    names = cells.withColumn("__name", F.col(category).cast("string"))
-    indexer = StringIndexer(inputCol="__name", outputCol="__i", stringOrderType="alphabetAsc").fit(names)
-    coded = OneHotEncoder(inputCol="__i", outputCol="features", dropLast=False).fit(
-        indexer.transform(names)
-    ).transform(indexer.transform(names))
-    result = GeneralizedLinearRegression(
-        family="poisson", link="log", labelCol=count, fitIntercept=False, regParam=reg,
-        maxIter=50, tol=1e-10,
-    ).fit(coded)
-    rows = [(n, float(c)) for n, c in zip(indexer.labels, result.coefficients)]
-    return cells.sparkSession.createDataFrame(rows, "category string, coefficient double")

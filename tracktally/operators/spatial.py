@@ -78,11 +78,15 @@ def contained(points: DataFrame, polygons: DataFrame, attributes: list[str], row
 
     The cell table is measured first. While it is small and no cell is crowded, each
     point looks its cell up once and decides in the same row, without a shuffle of
-    the points. Otherwise points meet edge rows on the cell key and parity is an
-    aggregation; the answer is the same. ``sides`` may hold saved edge rows.
+    the points. Otherwise distinct positions meet edge rows on the cell key, parity is
+    an aggregation, and points look their position up; the answer is the same, also
+    where ``row_id`` repeats. ``sides`` may hold saved edge rows.
     """
     keyed = edge_cells(edges(polygons) if sides is None else sides, size)
-    load = keyed.groupBy("cx", "cy").agg(F.count_if(~F.col("spans")).alias("n"))
+    # a polygon that covers a cell without an edge in it is a candidate too
+    load = keyed.groupBy("cx", "cy", "poly_id").agg(
+        F.greatest(F.count_if(~F.col("spans")), F.lit(1)).alias("n")
+    ).groupBy("cx", "cy").agg(F.sum("n").alias("n"))
     cells, total, most = load.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)),
                                   F.coalesce(F.max("n"), F.lit(0))).first()
     px, py = F.col(lon), F.col(lat)
@@ -113,14 +117,17 @@ def contained(points: DataFrame, polygons: DataFrame, attributes: list[str], row
             .withColumns({k: F.col("__hit")[k] for k in kept})
             .drop("cx", "cy", "candidates", "__hit")
         )
-    met = placed.select(row_id, lon, lat, "cx", "cy").join(keyed, ["cx", "cy"])
+    met = placed.filter(valid).select(lon, lat, "cx", "cy").distinct().join(keyed, ["cx", "cy"])
     crossing = F.col("spans") | _crosses(px, py, *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
     holders = (
-        met.groupBy(row_id, "poly_id").agg(F.count_if(crossing).alias("n"))
+        met.groupBy(lon, lat, "poly_id").agg(F.count_if(crossing).alias("n"))
         .filter(F.col("n") % 2 == 1)
-        .groupBy(row_id).agg(F.min("poly_id").alias("poly_id"))
+        .groupBy(lon, lat).agg(F.min("poly_id").alias("poly_id"))
+        .join(names, "poly_id")
+    )
+    return placed.drop("cx", "cy").join(holders, [lon, lat], "left").select(
+        *points.columns, "poly_id", *attributes
     )
-    return placed.drop("cx", "cy").join(holders, row_id, "left").join(names, "poly_id", "left")
 
 
 def _distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -209,7 +216,8 @@ def locate(points: DataFrame, polygons: DataFrame, attributes: dict[str, str], r
     """Containing polygon's attributes, else the nearest polygon's; one row per point.
 
     Only positions without a container are searched, each distinct position once,
-    so a place that holds many rows costs one search.
+    so a place that holds many rows costs one search. Points with a container are
+    not moved for the answers of the others.
     """
     kept = list(attributes)
     sides = written_once(edges(polygons), "edges")
@@ -220,8 +228,10 @@ def locate(points: DataFrame, polygons: DataFrame, attributes: dict[str, str], r
         F.col("poly_id").alias("near_id"), *[F.col(k).alias(f"near_{k}") for k in kept]
     )
     named = near.join(names, "near_id").drop("near_id", "near_distance")
-    return (
-        inside.join(named, [lon, lat], "left")
-        .withColumns({new: F.coalesce(k, f"near_{k}") for k, new in attributes.items()})
-        .select(*points.columns, *attributes.values())
+    held = inside.filter(F.col("poly_id").isNotNull()).select(
+        *points.columns, *[F.col(k).alias(new) for k, new in attributes.items()]
+    )
+    searched = inside.filter(F.col("poly_id").isNull()).join(named, [lon, lat], "left").select(
+        *points.columns, *[F.col(f"near_{k}").alias(new) for k, new in attributes.items()]
     )
+    return held.unionByName(searched)

@@ -24,18 +24,18 @@ def location_grid(landfalls: DataFrame, first: int, last: int, horizon: int = 5,
                   k: int = 10) -> DataFrame:
     """Location by year cells of the k locations with most events, one-hot encoded.
 
-    Events are counted once per (location, year); totals and top-k come from that
-    small table.
+    Events of the observed years are counted once per (location, year); totals and
+    top-k come from that small table. With fewer than ``k`` locations the grid and its
+    indicators have as many as there are.
     """
-    cells = count_by(landfalls, "LOCATION", "YEAR", name="LANDFALL_NBR")
+    seen = landfalls.filter(F.col("YEAR").between(first, last) & F.col("LOCATION").isNotNull())
+    cells = count_by(seen, "LOCATION", "YEAR", name="LANDFALL_NBR")
     totals = cells.groupBy("LOCATION").agg(F.sum("LANDFALL_NBR").alias("TOTAL"))
     dim = ranked(top_by_count(totals, "LOCATION", "TOTAL", k), "LOCATION", "LOC_ID")
-    # the top-k list has k rows by construction
-    counts = cells.join(F.broadcast(dim.select("LOCATION")), "LOCATION", "left_semi")
-    grid = modelling_grid(dim, counts, ["LOCATION", "YEAR"], "LOC_ID", "LANDFALL_NBR",
+    grid = modelling_grid(dim, cells, ["LOCATION", "YEAR"], "LOC_ID", "LANDFALL_NBR",
                           first, last, horizon)
     rows = grid.select("ALL_ID", "YEAR", "LOCATION", "LOC_ID", "LANDFALL_NBR", "OBS_ID", "PRED_ID")
-    return one_hot(rows, "LOC_ID", k).orderBy("ALL_ID")
+    return one_hot(rows, "LOC_ID", dim.count()).orderBy("ALL_ID")
 
 
 def observed(grid: DataFrame) -> DataFrame:

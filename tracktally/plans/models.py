@@ -1,62 +1,51 @@
-"""Fitting the three count models per segment and reading rates off the draws."""
+"""Cells that the count models are fitted to, and rates read off their draws."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracktally.operators.counts import count_by, top_by_count
-from tracktally.operators.fit import (
-    CountModel, category_rates, fit, location_model, long_draws, month_model, segment_cells,
-    year_month_model, year_rates,
-)
+from tracktally.operators.fit import segment_cells
 from tracktally.operators.grid import ranked
-from tracktally.operators.predict import basis_boundary
-from tracktally.session import written_once
+from tracktally.operators.matching import join_same
+from tracktally.operators.predict import basis_boundary, basis_function, spectral_weight
 
 
-@dataclass(frozen=True)
-class Fitted:
-    """A model and its saved draws (one row per segment, chain and iteration)."""
+def within_years(landfalls: DataFrame, first: int, last: int) -> DataFrame:
+    """Events of the modelled years; the exposure of a fit counts these years only."""
+    return landfalls.filter(F.col("YEAR").between(first, last))
 
-    name: str
-    segment: str
-    model: CountModel
-    packed: DataFrame
 
-    def draws(self) -> DataFrame:
-        return long_draws(self.packed, self.segment, self.model, self.name)
+def month_cells(landfalls: DataFrame, segment: str, first: int, last: int) -> DataFrame:
+    """``segment, y``: events per calendar month over all modelled years."""
+    counts = count_by(within_years(landfalls, first, last), segment, "MONTH", name="n")
+    return segment_cells(counts, segment, "MONTH", "n", 12)
 
-    def rates(self) -> DataFrame:
-        """``draw, idx, log_lambda`` of the category effects."""
-        return category_rates(self.packed, self.segment, self.model)
 
+def location_cells(landfalls: DataFrame, segment: str, first: int, last: int,
+                   k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """``segment, y`` over the busiest locations, and their ids.
 
-def _fit(cells: DataFrame, name: str, segment: str, model: CountModel, sampler: dict) -> Fitted:
-    # several reports read the draws, so they are sampled once and saved
-    return Fitted(name, segment, model, written_once(fit(cells, segment, model, **sampler), name))
-
-
-def fit_months(landfalls: DataFrame, segment: str, first: int, last: int,
-               intercept: bool = False, **sampler) -> Fitted:
-    """Month effects only (the model used for month forecasts)."""
-    counts = count_by(landfalls, segment, "MONTH", name="n")
-    cells = segment_cells(counts, segment, "MONTH", "n", 12)
-    return _fit(cells, "month", segment, month_model(last - first + 1, intercept), sampler)
+    Locations are ranked by their events of the modelled years. Where there are fewer
+    than ``k``, the cells are as many as the locations.
+    """
+    per_cell = count_by(within_years(landfalls, first, last), segment, "LOCATION", name="n")
+    totals = per_cell.filter(F.col("LOCATION").isNotNull()).groupBy("LOCATION").agg(F.sum("n").alias("total"))
+    ids = ranked(top_by_count(totals, "LOCATION", "total", k), "LOCATION", "LOC_ID")
+    counts = per_cell.join(ids.select("LOCATION", "LOC_ID"), "LOCATION")
+    return segment_cells(counts, segment, "LOC_ID", "n", ids.count()), ids
 
 
-def fit_locations(landfalls: DataFrame, segment: str, first: int, last: int, k: int = 10,
-                  **sampler) -> tuple[Fitted, DataFrame]:
-    """Intercept plus location effects over the k busiest locations, and their ids."""
-    per_cell = count_by(landfalls, segment, "LOCATION", name="n")
-    totals = per_cell.groupBy("LOCATION").agg(F.sum("n").alias("total"))
-    ids = ranked(top_by_count(totals, "LOCATION", "total", k), "LOCATION", "LOC_ID")
-    # the id list has k rows by construction
-    counts = per_cell.join(F.broadcast(ids.select("LOCATION", "LOC_ID")), "LOCATION")
-    cells = segment_cells(counts, segment, "LOC_ID", "n", k)
-    return _fit(cells, "location", segment, location_model(k, last - first + 1), sampler), ids
+def month_year_cells(landfalls: DataFrame, segment: str, first: int, last: int) -> DataFrame:
+    """``segment, y``: events per month and year, month by month."""
+    span = last - first + 1
+    cell = (F.col("MONTH") - 1) * span + F.col("YEAR") - first + 1
+    placed = within_years(landfalls, first, last).withColumn("cell", cell)
+    return segment_cells(count_by(placed, segment, "cell", name="n"), segment, "cell", "n", 12 * span)
 
 
 def standard_years(first: int, last: int, horizon: int) -> list[float]:
@@ -64,23 +53,56 @@ def standard_years(first: int, last: int, horizon: int) -> list[float]:
     return [(y - first) / span * 2 - 1 for y in range(first, last + horizon + 1)]
 
 
-def fit_months_and_years(landfalls: DataFrame, segment: str, first: int, last: int,
-                         horizon: int = 5, compat: bool = False, **sampler) -> Fitted:
-    """Month effects plus a smooth effect of the year."""
-    span = last - first + 1
+def category_rates(draws: DataFrame, keys: Sequence[str] = (), effect: str = "beta",
+                   intercept: str = "beta_0") -> DataFrame:
+    """Log rate per kept draw and category: ``keys, draw, idx, log_lambda``.
+
+    The intercept, where the model has one, is spread over the elements of its own draw,
+    a group as large as the model.
+    """
+    one = W.partitionBy(*keys, "draw")
+    shift = F.coalesce(F.max(F.when(F.col("base") == intercept, F.col("value"))).over(one), F.lit(0.0))
+    kept = draws.filter(~F.col("is_warmup") & F.col("base").isin(effect, intercept))
+    return kept.withColumn("__shift", shift).filter(F.col("base") == effect).select(
+        *keys, "draw", "idx", (F.col("__shift") + F.col("value")).alias("log_lambda")
+    )
+
+
+def year_effects(draws: DataFrame, first: int, last: int, horizon: int = 5, keys: Sequence[str] = (),
+                 compat: bool = False) -> DataFrame:
+    """Smooth effect per kept draw and year: ``keys, draw, YEAR, f``.
+
+    Reads ``gp_lengthscale``, ``gp_sigma`` and the weights ``z`` of the basis functions.
+    """
     years = standard_years(first, last, horizon)
-    boundary = basis_boundary(years[:span] if compat else years, compat=compat)
-    cell = (F.col("MONTH") - 1) * span + F.col("YEAR") - first + 1
-    counts = count_by(landfalls.withColumn("cell", cell), segment, "cell", name="n")
-    cells = segment_cells(counts, segment, "cell", "n", 12 * span)
-    return _fit(cells, "month-year", segment, year_month_model(tuple(years[:span]), boundary), sampler)
+    boundary = basis_boundary(years[:last - first + 1] if compat else years, compat=compat)
+    one = W.partitionBy(*keys, "draw")
+
+    def scalar(name: str):
+        return F.max(F.when(F.col("base") == name, F.col("value"))).over(one)
+
+    kept = draws.filter(~F.col("is_warmup") & F.col("base").isin("gp_lengthscale", "gp_sigma", "z"))
+    weighted = kept.withColumns({"__rho": scalar("gp_lengthscale"), "__sigma": scalar("gp_sigma")}).filter(
+        "base = 'z'"
+    ).withColumn("w", F.col("value") * spectral_weight(F.col("idx"), F.col("__sigma"), F.col("__rho"), boundary))
+    # the sums combine map-side: a draw ships one row, whatever its number of functions
+    sums = [F.sum(F.col("w") * basis_function(F.lit(x), F.col("idx"), boundary)).alias(f"__f{i}")
+            for i, x in enumerate(years)]
+    wide = weighted.groupBy(*keys, "draw").agg(*sums)
+    effects = F.array(*[f"__f{i}" for i in range(len(years))])
+    return wide.select(*keys, "draw", F.posexplode(effects).alias("__t", "f")).select(
+        *keys, "draw", (F.col("__t") + first).alias("YEAR"), "f"
+    )
 
 
-def month_year_rates(fitted: Fitted, first: int, last: int, horizon: int = 5) -> DataFrame:
-    """Log rates of fit and forecast years: ``draw, idx, YEAR, log_lambda``."""
-    years = tuple(standard_years(first, last, horizon))
-    rates = year_rates(fitted.packed, fitted.segment, fitted.model, years)
-    return rates.withColumn("YEAR", F.col("t") + first - 1).drop("t")
+def month_year_rates(draws: DataFrame, first: int, last: int, horizon: int = 5, keys: Sequence[str] = (),
+                     compat: bool = False) -> DataFrame:
+    """Log rates of fit and forecast years: ``keys, draw, idx, YEAR, log_lambda``."""
+    months = category_rates(draws, keys)
+    effects = year_effects(draws, first, last, horizon, keys, compat)
+    return join_same(months, effects, [*keys, "draw"]).select(
+        *keys, "draw", "idx", "YEAR", (F.col("log_lambda") + F.col("f")).alias("log_lambda")
+    )
 
 
 def cell_rates(rates: DataFrame, grid: DataFrame, category_id: str, row: str,

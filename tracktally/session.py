@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,13 +29,13 @@ def local_session(cpus: int | str = 8, app: str = "tracktally") -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only for local masters where the setting is
-    absent, which is the case in tests.
+    A machine-local folder is made only where the setting is absent and driver and
+    executors are one process, which is the case in tests.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = tempfile.mkdtemp(prefix="tracktally-")
     spark.conf.set("spark.checkpoint.dir", root)
