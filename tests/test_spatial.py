@@ -163,3 +163,19 @@ def test_repeated_row_ids_do_not_change_the_answer(spark, monkeypatch):
     assert [r[2] for r in packed].count(1) == 2 and len(packed) == 4
     monkeypatch.setattr(spatial, "MAX_CELL_EDGES", 0)
     assert answers() == packed
+
+
+def test_many_searched_positions_give_the_same_answer(spark, monkeypatch):
+    two = spark.sql("SELECT id AS poly_id, array(array(named_struct('lon', 10D * id, 'lat', 0D), named_struct('lon', 10D * id + 4, 'lat', 0D), "
+                    "named_struct('lon', 10D * id + 4, 'lat', 4D), named_struct('lon', 10D * id, 'lat', 4D))) AS rings, "
+                    "concat('n', id) AS name FROM (SELECT explode(array(0, 1)) AS id)")
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 6.0, 1.0), (3, 9.0, 1.0), (3, 9.0, 1.0), (4, None, 1.0)],
+                                   "id int, LON double, LAT double")
+
+    def answers():
+        return sorted(map(tuple, spatial.locate(points, two, {"name": "PLACE"}, "id").collect()), key=str)
+
+    few = answers()
+    assert [r[3] for r in few] == ["n0", "n0", "n1", "n1", None]
+    monkeypatch.setattr(spatial, "MAX_NEAR", 0)
+    assert answers() == few

@@ -17,6 +17,7 @@ MAX_CELLS = 200_000
 MAX_PACKED_EDGES = 2_000_000
 MAX_CELL_EDGES = 4_096
 MAX_BROADCAST_EDGES = 1_000_000
+MAX_NEAR = 200_000
 ID_BITS = 24
 
 
@@ -227,7 +228,13 @@ def locate(points: DataFrame, polygons: DataFrame, attributes: dict[str, str], r
     names = polygons.select(
         F.col("poly_id").alias("near_id"), *[F.col(k).alias(f"near_{k}") for k in kept]
     )
-    named = near.join(names, "near_id").drop("near_id", "near_distance")
+    # saved, so that the search runs once and its size is known
+    named = written_once(near.join(names, "near_id").drop("near_id", "near_distance"), "near")
+    if named.limit(MAX_NEAR + 1).count() <= MAX_NEAR:
+        answer = {new: F.coalesce(k, f"near_{k}") for k, new in attributes.items()}
+        return inside.join(F.broadcast(named), [lon, lat], "left").select(
+            *points.columns, *[a.alias(new) for new, a in answer.items()]
+        )
     held = inside.filter(F.col("poly_id").isNotNull()).select(
         *points.columns, *[F.col(k).alias(new) for k, new in attributes.items()]
     )
