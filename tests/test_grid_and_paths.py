@@ -104,3 +104,10 @@ def test_path_keeps_rows_without_a_time(spark):
     df = spark.createDataFrame(rows, "track string, at timestamp, n int")
     out = path_steps(df.withColumn("m", df.n), "track", ["at", "n"], ["m"], "at").collect()
     assert sorted((r.track or "", r.SEQ, r.n) for r in out) == [("", 1, 4), ("A", 1, 2), ("A", 2, 1), ("A", 3, 3)]
+
+
+def test_following_point_with_a_missing_value(spark):
+    rows = [(1, 2, "2020-01-01 06:00:00", None), (1, 1, "2020-01-01 00:00:00", 1.0), (1, 0, "2020-01-02 00:00:00", 3.0)]
+    df = spark.createDataFrame(rows, "t int, n int, s string, x double").withColumn("ts", F.to_timestamp("s"))
+    out = {r.SEQ: r.NEXT_x for r in path_steps(df, "t", ["n"], ["x"], "ts").collect()}
+    assert out == {1: None, 2: 3.0, 3: None}  # by time, whatever the order starts with

@@ -26,8 +26,10 @@ def path_steps(tracks: DataFrame, track: str, order: list[str], carry: list[str]
 
     Rows are ordered inside (track, time bucket) pieces. What crosses a piece, the
     rows before it and the first point after it, comes from a table with one row per
-    piece. So no task ever orders a whole long track.
+    piece. So no task ever orders a whole long track. The order is by ``at`` first,
+    then by the other names of ``order``.
     """
+    order = [at, *[c for c in order if c != at]]
     pieces = tracks.withColumn("__piece", F.floor(_seconds(tracks, at) / bucket_seconds))
     head = F.struct(*order, *carry)
 
@@ -52,7 +54,9 @@ def path_steps(tracks: DataFrame, track: str, order: list[str], carry: list[str]
     same = F.col(track).eqNullSafe(F.col("__track")) & F.col("__piece").eqNullSafe(F.col("__seam"))
     out = stepped.join(seams, same).drop("__track", "__seam")
     following = {
-        f"NEXT_{c}": F.coalesce(F.col("__next")[c], F.col("__after")[c]) for c in carry
+        # a following point may have missing values of its own
+        f"NEXT_{c}": F.when(F.col("__next").isNotNull(), F.col("__next")[c]).otherwise(F.col("__after")[c])
+        for c in carry
     }
     return (
         out.withColumn("SEQ", (F.col("__before") + F.col("__row")).cast("bigint"))
