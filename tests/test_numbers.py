@@ -108,6 +108,23 @@ def test_quantiles_match_linear_interpolation(spark):
             assert got[k] == pytest.approx(list(np.quantile(vs, probs)), rel=1e-12)
 
 
+def test_quantiles_of_values_with_outliers(spark):
+    rng = np.random.default_rng(8)
+    flat = rng.random(3000)
+    groups = {"far": np.append(flat, 1e300), "both": np.concatenate([flat, [-1e300, 1e300, 1e-300]]),
+              "ladder": 10.0 ** rng.integers(-300, 300, 3000) * rng.random(3000), "same": np.full(500, 3.0),
+              None: np.append(flat, -1e308)}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
+    probs = (0.0, 0.1, 0.5, 0.9, 1.0)
+    got = {r.k: r.q for r in spread_quantiles(df, ["k"], "v", probs, bins=256, most=100).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        assert got[k] == pytest.approx(list(np.quantile(vs, probs)), rel=1e-12)
+    endless = spark.createDataFrame([("a", float(x)) for x in ["-inf", *range(100), "inf", "nan"]], "k string, v double")
+    (row,) = spread_quantiles(endless, ["k"], "v", (0.0, 0.5), bins=8, most=4).collect()
+    assert row.q == [float("-inf"), 50.0]
+
+
 def test_poisson_draw_ends_for_large_rates_and_refuses_infinite_ones(spark):
     top = 1 - 2.0**-33
     rates = [1e2, 1e4, 1e6, 1e8, 1e9, float("inf")]

@@ -18,22 +18,20 @@ from tracktally.functions.numeric import probit
 
 
 def summarise(draws: DataFrame, variable: str = "variable", value: str = "value") -> DataFrame:
-    """mean, median, sd, mad, q5, q95 per variable."""
+    """mean, median, sd, mad, q5, q95 per variable, from one gathering of its draws."""
     main = draws.groupBy(variable).agg(
         F.avg(value).alias("mean"),
         F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("__q"),
         F.stddev_samp(value).alias("sd"),
-    ).select(
-        variable, "mean", F.col("__q")[1].alias("median"), "sd",
+        F.collect_list(value).alias("__v"),  # bounded, as all groups here
+    ).withColumn("median", F.col("__q")[1])
+    away = F.array_sort(F.transform("__v", lambda v: F.abs(v - F.col("median"))))
+    low, high = F.floor((F.size("__v") - 1) / 2), F.floor(F.size("__v") / 2)
+    middle = (F.get("__away", low.cast("int")) + F.get("__away", high.cast("int"))) / 2
+    return main.withColumn("__away", away).select(
+        variable, "mean", "median", "sd", (1.4826 * middle).alias("mad"),
         F.col("__q")[0].alias("q5"), F.col("__q")[2].alias("q95"),
     )
-    away = F.abs(F.col(value) - F.col("median"))
-    mad = (
-        draws.join(main.select(variable, "median"), variable)
-        .groupBy(variable)
-        .agg((1.4826 * F.percentile(away, F.lit(0.5))).alias("mad"))
-    )
-    return main.join(mad, variable).select(variable, "mean", "median", "sd", "mad", "q5", "q95")
 
 
 def split_chains(draws: DataFrame, variable: str = "variable") -> DataFrame:
@@ -71,7 +69,7 @@ def _rank_share(value: str, variable: str) -> Column:
 
 def rank_scores(draws: DataFrame, variable: str = "variable", value: str = "value") -> DataFrame:
     """Split chains with ``z`` (rank-normalised) and ``z_folded`` (same about the median)."""
-    halves = split_chains(draws, variable)
+    halves = split_chains(draws.repartition(variable), variable)  # serves all windows
     order = W.partitionBy(variable).orderBy(value)
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     n = F.count(F.lit(1)).over(whole)

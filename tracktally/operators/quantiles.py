@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import cycle
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracktally.operators.matching import join_same
+from tracktally.session import written_once
+
 
 def count_quantiles(df: DataFrame, keys: list[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Quantiles of a discrete value: ``keys, q`` with ``q`` an array.
@@ -39,59 +44,82 @@ def wide_form(df: DataFrame, keys: list[str], names: Sequence[str]) -> DataFrame
 
 
 def spread_quantiles(df: DataFrame, keys: list[str], value: str, probs: Sequence[float],
-                     bins: int = 65_536) -> DataFrame:
+                     bins: int = 65_536, most: int = 65_536) -> DataFrame:
     """Exact quantiles of a continuous value when one group may be very large.
 
-    Three passes with map-side combining: the range per group, a histogram of equal
-    bins that locates the bin of each wanted rank, and the rows of those bins only.
-    No task holds more than the located bins of a group.
+    A group starts as one segment, from its least to its greatest value. While a segment
+    has more than ``most`` rows of different values, its rows are counted in ``bins`` equal
+    bins, with map-side combining, and the bins that hold a wanted rank become the new
+    segments, each from its own least to its own greatest value. Outliers thus cost a
+    round, not a full bin. Every round parts the two ends of a segment, so the rounds
+    end. Only rows of the last segments are sorted: at most ``most`` different values each.
     """
-    span = df.groupBy(*keys).agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("__n")
-    )
-    width = F.col("__hi") - F.col("__lo")
-    place = F.when(width > 0, F.least(
-        F.floor((F.col(value) - F.col("__lo")) / width * bins), F.lit(bins - 1)
-    )).otherwise(0)
-    binned = df.filter(F.col(value).isNotNull()).join(span, keys).withColumn("__bin", place)
-
-    from pyspark.sql import Window as W
-
-    upto = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, 0)
-    histogram = binned.groupBy(*keys, "__n", "__bin").agg(F.count(F.lit(1)).alias("__size"))
-    ends = histogram.withColumn("__end", F.sum("__size").over(upto))
-
-    wanted = F.explode(F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            (F.floor((F.col("__n") - 1) * p) + step).alias("rank"),
-            F.lit(p).alias("p"), F.lit(step).alias("step"),
+    number = F.col(value).cast("double")
+    rows = written_once(df.select(*keys, number.alias("__x")).filter(F.col("__x").isNotNull()), "values")
+    ranks = F.array_distinct(F.flatten(F.array(*[_ranks(p) for p in probs])))
+
+    def bounds(grouped: GroupedData) -> DataFrame:
+        return grouped.agg(F.min("__x").alias("__lo"), F.max("__x").alias("__hi"),
+                           F.count(F.lit(1)).alias("__size"))
+
+    segments = bounds(rows.groupBy(*keys)).withColumns({"__n": F.col("__size"), "__before": F.lit(0).cast("long")})
+    scales = cycle((_half, _signed_log))
+    while not segments.filter((F.col("__size") > most) & (F.col("__hi") > F.col("__lo"))).isEmpty():
+        counted = bounds(
+            _within(rows, segments, keys).groupBy(*keys, "__n", "__before", _bin(bins, most, next(scales)).alias("__bin"))
         )
-        for i, p in enumerate(probs) for step in (0, 1)
-    ]))
-    ranks = ends.withColumn("__w", wanted).filter(
-        (F.least(F.col("__w.rank"), F.col("__n") - 1) < F.col("__end"))
-        & (F.least(F.col("__w.rank"), F.col("__n") - 1) >= F.col("__end") - F.col("__size"))
-    )
-    needed = ranks.select(*keys, "__bin").distinct()
-    values = (
-        binned.join(needed, [*keys, "__bin"], "left_semi")
-        .groupBy(*keys, "__bin", value).agg(F.count(F.lit(1)).alias("__c"))
-    )
-    within = W.partitionBy(*keys, "__bin").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ordered = values.withColumn("__to", F.sum("__c").over(within))
-    offset = F.least(F.col("__w.rank"), F.col("__n") - 1) - (F.col("__end") - F.col("__size"))
-    picked = (
-        ordered.join(ranks.withColumn("__off", offset), [*keys, "__bin"])
-        .filter((F.col("__off") < F.col("__to")) & (F.col("__off") >= F.col("__to") - F.col("__c")))
+        upto = W.partitionBy(*keys, "__before").orderBy("__bin").rowsBetween(W.unboundedPreceding, 0)
+        placed = counted.withColumn("__before", F.col("__before") + F.sum("__size").over(upto) - F.col("__size"))
+        wanted = F.exists(ranks, lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__size")))
+        segments = written_once(placed.filter(wanted).drop("__bin"), "segments")
+
+    values = _within(rows, segments, keys).groupBy(*keys, "__n", "__before", "__x").agg(
+        F.count(F.lit(1)).alias("__c")
     )
-    part = (F.col("__n") - 1) * F.col("__w.p") - F.floor((F.col("__n") - 1) * F.col("__w.p"))
-    per_prob = picked.groupBy(*keys, F.col("__w.i").alias("__i")).agg(
-        F.max(F.when(F.col("__w.step") == 0, F.col(value))).alias("__a"),
-        F.max(F.when(F.col("__w.step") == 1, F.col(value))).alias("__b"),
-        F.max(part).alias("__part"),
-    ).withColumn("__v", F.col("__a") + F.col("__part") * (F.col("__b") - F.col("__a")))
-    packed = per_prob.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("__q")  # one entry per probability
+    so_far = W.partitionBy(*keys, "__before").orderBy("__x").rowsBetween(W.unboundedPreceding, 0)
+    ends = values.withColumn("__to", F.col("__before") + F.sum("__c").over(so_far))
+    ends = ends.withColumn("__from", F.col("__to") - F.col("__c"))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("__from")) & (rank < F.col("__to")), F.col("__x")))
+
+    entries = []
+    for p in probs:
+        low, high = (at(_ranks(p)[i]) for i in (0, 1))
+        part = F.max((F.col("__n") - 1) * p - _ranks(p)[0])
+        entries.append(F.when(part > 0, low + part * (high - low)).otherwise(low))
+    return ends.groupBy(*keys).agg(F.array(*entries).alias("q"))
+
+
+def _ranks(p: float) -> Column:
+    """The two ranks, from 0, between which a quantile of ``__n`` values lies."""
+    low = F.floor((F.col("__n") - 1) * p).cast("long")
+    return F.array(low, F.least(low + 1, F.col("__n") - 1))
+
+
+def _within(rows: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the segment that holds them; a group has at most two segments a probability."""
+    return join_same(rows, segments, keys).filter(F.col("__x").between(F.col("__lo"), F.col("__hi")))
+
+
+def _bin(bins: int, most: int, scale: Callable[[Column], Column]) -> Column:
+    """Bin of a row in its segment: infinities and NaN apart, small segments in one piece."""
+    x, endless = F.col("__x"), F.lit(float("inf"))
+    largest = F.lit(1.7976931348623157e308)
+    low, high = scale(F.greatest("__lo", -largest)), scale(F.least("__hi", largest))
+    place = F.when(high > low, F.least(F.floor((scale(x) - low) / (high - low) * bins), F.lit(bins - 1)))
+    return (
+        F.when(F.col("__size") <= most, 0)
+        .when(x == -endless, -1).when(x == endless, bins).when(F.isnan(x), bins + 1)
+        .otherwise(F.coalesce(place, F.when(x > F.col("__lo"), bins - 1).otherwise(0)))
+        .cast("int")
     )
-    return packed.select(*keys, F.transform("__q", lambda s: s["__v"]).alias("q"))
+
+
+def _half(x: Column) -> Column:
+    return x / 2  # differences of halves do not overflow
+
+
+def _signed_log(x: Column) -> Column:
+    """Grows with x; 746 is above minus the logarithm of the least positive double."""
+    return F.coalesce(F.signum(x) * (F.ln(F.abs(x)) + 746), F.lit(0.0))
