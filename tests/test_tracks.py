@@ -61,9 +61,29 @@ def test_header_is_carried_across_chunks_and_files(spark, tmp_path):
     for i in range(0, len(whole), 60):
         (folder / f"part-{i:05d}.txt").write_text("\n".join(whole[i:i + 60]) + "\n")
     staged = T.stage_track_lines(T.read_track_lines(spark, str(folder), "x"), chunk_bits=3)
-    seen = T.typed(T.observations(staged))
+    seen = T.typed(T.observations(staged, across_files=True))
     got = {r.PRESSURE: r.STORM_ID for r in seen.collect()}
     assert got == {i: "AL012000" if i < 150 else "AL022000" for i in range(200)}
+    assert T.rejected_tracks(staged, across_files=True).count() == 0
+    # files that stand alone: the 59 + 31 lines behind a header of their own file, in any chunk
+    alone = {r.PRESSURE: r.STORM_ID for r in T.typed(T.observations(staged)).collect()}
+    assert alone == {**{i: "AL012000" for i in range(59)}, **{i: "AL022000" for i in range(150, 178)}}
+    assert {r.STORM_ID: r.N_FOUND for r in T.rejected_tracks(staged).collect()} == {
+        "AL012000": 59, "AL022000": 28, None: 113}
+
+
+def test_one_track_over_many_blocks(spark, tmp_path):
+    details = [f"20000606, {i:05d},  , TD, 21.0N,  93.0W,  25, {i}" for i in range(3000)]
+    path = write(tmp_path, "a.txt", "\n".join(["AL012000, A, 2990,", *details[:2990], "AL022000, B, 10,", *details[2990:]]))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        staged = T.stage_track_lines(T.read_track_lines(spark, path, "x"), chunk_bits=4)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert staged.select("BLOCK").distinct().count() > 10
+    got = {r.PRESSURE: r.STORM_ID for r in T.typed(T.observations(staged)).collect()}
+    assert got == {i: "AL012000" if i < 2990 else "AL022000" for i in range(3000)}
     assert T.rejected_tracks(staged).count() == 0
 
 

@@ -52,8 +52,8 @@ SELECT printf('EV%06d', STORM_ID) AS STORM_ID, 'USER' || STORM_ID AS NAME, DATE,
 FROM tracks WHERE YEAR >= 2000""")
 def parse_track_text(spark, folder):
     path = _write_track_text(spark, folder)
-    staged = T.stage_track_lines(T.read_track_lines(spark, path, "events"), chunk_bits=10)
-    return T.typed(T.since(T.observations(staged), 2000)).drop("BASIN")
+    staged = T.stage_track_lines(T.read_track_lines(spark, path, "events"))
+    return T.typed(T.since(T.observations(staged, across_files=True), 2000)).drop("BASIN")
 
 
 @catalog.add(f"""
@@ -63,7 +63,7 @@ FROM tracks WHERE STORM_ID % 7 = 0 GROUP BY STORM_ID""")
 def track_count_check(spark, folder):
     path = _write_track_text(spark, folder, wrong_every=7)
     staged = T.stage_track_lines(T.read_track_lines(spark, path, "events"))
-    return T.rejected_tracks(staged).drop("BASIN")
+    return T.rejected_tracks(staged, across_files=True).drop("BASIN")
 
 
 @catalog.add(f"""

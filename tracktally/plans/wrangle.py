@@ -11,14 +11,18 @@ from tracktally.operators.spatial import locate
 from tracktally.sources import tracks as T
 
 
-def wrangle_tracks(spark: SparkSession, basins: dict[str, str], first_year: int = 2000) -> DataFrame:
-    """Parse one text file or folder per basin, stack them, keep recent years, type."""
+def wrangle_tracks(spark: SparkSession, basins: dict[str, str], first_year: int = 2000,
+                   across_files: bool = False) -> DataFrame:
+    """Parse one text file or folder per basin, stack them, keep recent years, type.
+
+    ``across_files``: the files of a folder are parts of one text, in the order of their names.
+    """
     lines = reduce(
         DataFrame.unionByName,
         [T.read_track_lines(spark, path, basin) for basin, path in basins.items()],
     )
     staged = T.stage_track_lines(lines)
-    return T.typed(T.since(T.observations(staged), first_year))
+    return T.typed(T.since(T.observations(staged, across_files), first_year))
 
 
 def enrich_landfalls(tracks: DataFrame, polygons: DataFrame, row_id: str) -> DataFrame:

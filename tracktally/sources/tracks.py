@@ -1,13 +1,14 @@
 """Header/detail track text to tidy rows.
 
 A header line ``id, name, n`` is followed by its n observation lines. The header
-is carried forward in two levels: inside bounded chunks of a file block, then
-across chunks through a table with one row per chunk. No task sees a whole file.
+is carried forward in levels: inside bounded chunks of a file block, then across the
+chunks of a block, the blocks of a file and, if asked for, the files of a basin, through
+a table with one row per chunk. No task sees a whole file.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -60,43 +61,65 @@ def stage_track_lines(lines: DataFrame, chunk_bits: int = CHUNK_BITS) -> DataFra
     return written_once(filled.drop("OPENS"), "track-lines")
 
 
-def with_headers(staged: DataFrame) -> DataFrame:
+def with_headers(staged: DataFrame, across_files: bool = False) -> DataFrame:
     """Every staged line with the header that governs it, across chunk borders.
 
-    The chunk table needs only the header column. The joined side keeps the chunk
-    keys, and adaptive execution broadcasts the table when it is measured small.
+    Only lines before the first header of their chunk meet the table of carried headers,
+    which adaptive execution broadcasts when it is measured small. A file stands alone
+    unless ``across_files`` says that the files of a basin are the parts of one text,
+    in the order of their names (shorter names first).
     """
-    last = (
-        staged.filter("IS_HEADER")
-        .groupBy(*CHUNK)
-        .agg(F.max_by("HEADER", "ROW").alias("LAST_HEADER"))
+    joined = staged.filter(F.col("HEADER").isNull()).drop("HEADER").join(
+        _carried(staged, across_files).withColumnRenamed("CARRIED", "HEADER"), CHUNK, "left"
     )
-    chunks = staged.groupBy(*CHUNK).agg(F.min("ROW").alias("START")).join(last, CHUNK, "left")
-    before = (
-        W.partitionBy("BASIN")
-        .orderBy(F.length("FILE"), "FILE", "BLOCK", "START")
-        .rowsBetween(W.unboundedPreceding, -1)
+    return staged.filter(F.col("HEADER").isNotNull()).unionByName(joined)
+
+
+def _carried(staged: DataFrame, across_files: bool) -> DataFrame:
+    """Last header before each chunk: of its block, else of the file's blocks before, else of files before.
+
+    Each step hands on one row per place, so a task sees the chunks of a block, the
+    blocks of a file, or the files of a basin.
+    """
+    chunks = staged.groupBy(*CHUNK).agg(
+        F.min("ROW").alias("START"),
+        F.max_by("HEADER", F.when(F.col("IS_HEADER"), F.col("ROW"))).alias("LAST_HEADER"),
     )
-    carried = chunks.withColumn("CARRIED", F.last("LAST_HEADER", ignorenulls=True).over(before))
-    joined = staged.join(carried.select(*CHUNK, "CARRIED"), CHUNK, "left")
-    # a header row is identified by the chunk it stands in and its row number
-    return joined.withColumn("HEADER", F.coalesce("HEADER", "CARRIED")).drop("CARRIED")
+
+    def before(parts: DataFrame, within: list[str], order: list[Column], name: str) -> DataFrame:
+        earlier = W.partitionBy(*within).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        return parts.withColumn(name, F.last("LAST_HEADER", ignorenulls=True).over(earlier))
+
+    def rolled(parts: DataFrame, keys: list[str], order: Column) -> DataFrame:
+        known = F.when(F.col("LAST_HEADER").isNotNull(), order)
+        return parts.groupBy(*keys).agg(F.max_by("LAST_HEADER", known).alias("LAST_HEADER"))
+
+    blocks = rolled(chunks, CHUNK[:3], F.col("START"))
+    by_block = before(blocks, CHUNK[:2], [F.col("BLOCK")], "IN_FILE").drop("LAST_HEADER")
+    out = before(chunks, CHUNK[:3], [F.col("START")], "IN_BLOCK").join(by_block, CHUNK[:3])
+    levels = ["IN_BLOCK", "IN_FILE"]
+    if across_files:
+        files = rolled(blocks, CHUNK[:2], F.col("BLOCK"))
+        by_file = before(files, CHUNK[:1], [F.length("FILE"), F.col("FILE")], "IN_BASIN")
+        out = out.join(by_file.drop("LAST_HEADER"), CHUNK[:2])
+        levels.append("IN_BASIN")
+    return out.select(*CHUNK, F.coalesce(*levels).alias("CARRIED"))
 
 
-def observations(staged: DataFrame) -> DataFrame:
+def observations(staged: DataFrame, across_files: bool = False) -> DataFrame:
     """Detail rows with the id and name of their header; text fields as read."""
     return (
-        with_headers(staged)
+        with_headers(staged, across_files)
         .filter(~F.col("IS_HEADER") & F.col("HEADER").isNotNull())
         .select("BASIN", F.col("HEADER.STORM_ID").alias("STORM_ID"),
                 F.col("HEADER.NAME").alias("NAME"), *DETAIL_FIELDS)
     )
 
 
-def track_counts(staged: DataFrame) -> DataFrame:
+def track_counts(staged: DataFrame, across_files: bool = False) -> DataFrame:
     """Announced and found observations per header; lines before any header have no id."""
     return (
-        with_headers(staged)
+        with_headers(staged, across_files)
         .groupBy("BASIN", F.col("HEADER.STORM_ID").alias("STORM_ID"), F.col("HEADER.AT").alias("AT"))
         .agg(F.max("HEADER.N_TRACK").alias("N_TRACK"),
              F.count_if(~F.col("IS_HEADER")).alias("N_FOUND"))
@@ -104,9 +127,9 @@ def track_counts(staged: DataFrame) -> DataFrame:
     )
 
 
-def rejected_tracks(staged: DataFrame) -> DataFrame:
+def rejected_tracks(staged: DataFrame, across_files: bool = False) -> DataFrame:
     """Headers whose announced count is missing, wrong or zero, and headerless lines."""
-    return track_counts(staged).filter(
+    return track_counts(staged, across_files).filter(
         F.col("N_TRACK").isNull() | (F.col("N_TRACK") != F.col("N_FOUND")) | (F.col("N_FOUND") == 0)
     )
 
