@@ -109,6 +109,28 @@ def test_nearest_matches_brute_force(spark, stars, monkeypatch, large_ids):
         assert got[p][1] == pytest.approx(distance, abs=2e-9)
 
 
+def test_far_positions_meet_few_edges(spark):
+    """All polygons in one region, positions far away, at the poles and on cell borders."""
+    rng = random.Random(11)
+    made = {i: [star(rng, rng.uniform(-120, -70), rng.uniform(20, 60), rng.choice([0.2, 2]), 30)] for i in range(40)}
+    table = spark.createDataFrame(
+        [(i, f"s{i}", f"n{i}", "c", [ring(*r) for r in rings]) for i, rings in made.items()], SCHEMA
+    )
+    xy = [(rng.uniform(0, 180), rng.uniform(-90, 90)) for _ in range(300)]
+    xy += [(180.0, 90.0), (-180.0, -90.0), (180.0, 0.0), (100.0, -4.0), (-100.0, 89.999), (-100.0, 90.0)]
+    got = {(r.LON, r.LAT): (r.near_id, r.near_distance) for r in spatial.nearest(points(spark, xy), table).collect()}
+    for p in xy:
+        distance, poly = min((round(apart(p, rings), 9), k) for k, rings in made.items())
+        assert got[p][1] == pytest.approx(distance, abs=2e-9)
+        assert got[p][0] == poly or round(apart(p, made[got[p][0]]), 8) == round(distance, 8)
+    sides = shapes.edges(table)
+    far = spatial._far_cells(points(spark, xy[:300]).select("LON", "LAT"), sides, "LON", "LAT")
+    met = far.join(spatial._coarse(sides), ["ex", "ey"]).count()
+    assert met < 300 * sides.count() / 5
+    nothing = spatial.nearest(points(spark, [(1, 2), (100, 80)]), table.limit(0)).collect()
+    assert [(r.near_id, r.near_distance) for r in nothing] == [(None, None)] * 2
+
+
 def test_locate_gives_each_point_one_place(spark):
     polygons = shapes.on_continents(spark.createDataFrame(FIXTURE, SCHEMA), "North America", "South America")
     xy = [(0.5, 0.5), (1.5, 1.5), (9.5, 1), (12, 1), (19, 19), (1.5, 1.5)]

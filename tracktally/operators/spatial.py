@@ -7,6 +7,8 @@ planar in degrees after scaling longitudes by the cosine of the point's latitude
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ MAX_CELL_EDGES = 4_096
 MAX_BROADCAST_EDGES = 1_000_000
 MAX_NEAR = 200_000
 ID_BITS = 24
+COARSE = 4.0  # degrees of the cells that far positions choose from
 
 
 def on_globe(lon: Column, lat: Column) -> Column:
@@ -142,14 +145,14 @@ def _distance(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Co
 
 
 def nearest(positions: DataFrame, polygons: DataFrame, lon: str = "LON", lat: str = "LAT",
-            radii: tuple[float, ...] = (1.0, 4.0, 16.0, 64.0, 512.0),
-            sides: DataFrame | None = None) -> DataFrame:
+            radii: tuple[float, ...] = (1.0, 4.0, 16.0), sides: DataFrame | None = None) -> DataFrame:
     """Nearest polygon of each distinct position: ``lon, lat, near_id, near_distance``.
 
-    Each round compares a position with the edges whose box, widened by the radius,
-    meets the position's cell. A best distance within the radius is final, since
-    every edge left out lies farther. The last radius covers the globe. The edges are
-    saved once, as every round reads them.
+    Each round compares the positions still open with the edges whose box, widened by the
+    radius, meets the position's cell. A best distance within the radius is final, since
+    every edge left out lies farther. What is open after the last radius, far from all
+    edges or near a pole, meets only the edges of coarse cells that can hold its nearest
+    one. Edges and the answers of each round are saved once.
     """
     sides = written_once(edges(polygons), "edges") if sides is None else sides
     px, py = F.col(lon), F.col(lat)
@@ -162,7 +165,7 @@ def nearest(positions: DataFrame, polygons: DataFrame, lon: str = "LON", lat: st
         return F.sum(F.size(reach(*boxes[:2], r)).cast("bigint") * F.size(reach(*boxes[2:], r)))
 
     facts = sides.agg(
-        F.min("poly_id").alias("low"), F.max("poly_id").alias("high"),
+        F.min("poly_id").alias("low"), F.max("poly_id").alias("high"), F.count(F.lit(1)).alias("n"),
         *[copies(r).alias(f"r{i}") for i, r in enumerate(radii)],
     ).first()
     compact = (facts["low"] or 0) >= 0 and (facts["high"] or 0) < 1 << ID_BITS
@@ -180,38 +183,94 @@ def nearest(positions: DataFrame, polygons: DataFrame, lon: str = "LON", lat: st
     def id_of(best: Column) -> Column:
         return best.bitwiseAND(F.lit((1 << ID_BITS) - 1)).cast("int") if compact else best["id"]
 
-    state = positions.select(lon, lat).distinct().withColumns({
-        "__best": F.lit(None).cast("bigint" if compact else "struct<d:double,id:int>"),
-        "__open": F.lit(True),
-    })
+    def sized(keyed: DataFrame, rows: int | None) -> DataFrame:
+        """A broadcast keeps the positions where they are."""
+        return F.broadcast(keyed) if (rows or 0) <= MAX_BROADCAST_EDGES else keyed.hint("merge")
+
+    def closest(placed: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+        found = code(_distance(px, py, *[F.col(c) for c in ("x1", "y1", "x2", "y2")]))
+        best = F.min(F.when(F.col("poly_id").isNotNull(), found)).alias("__best")
+        return placed.join(keyed, on, "left").groupBy(lon, lat).agg(best)
+
+    waiting = positions.select(lon, lat).distinct()
+    final = []
     for i, radius in enumerate(radii):
         keyed = sides.withColumn("cx", F.explode(reach(*boxes[:2], radius)))
         keyed = keyed.withColumn("cy", F.explode(reach(*boxes[2:], radius)))
-        # a broadcast keeps the positions where they are in every round
-        small = (facts[f"r{i}"] or 0) <= MAX_BROADCAST_EDGES
-        keyed = F.broadcast(keyed) if small else keyed.hint("merge")
-        ready = state.withColumns({
-            "cx": F.when(F.col("__open"), cell_of(px, radius)),
-            "cy": F.when(F.col("__open"), cell_of(py, radius)),
-        })
-        found = code(_distance(px, py, *[F.col(c) for c in ("x1", "y1", "x2", "y2")]))
-        best = F.min(F.when(F.col("poly_id").isNotNull(), found))
-        state = (
-            ready.join(keyed, ["cx", "cy"], "left")
-            .groupBy(lon, lat)
-            .agg(F.coalesce(best, F.first("__best")).alias("__best"), F.first("__open").alias("__was"))
-            .withColumn("__open", F.col("__was") & (
-                F.col("__best").isNull()
-                | (distance_of(F.col("__best")) > radius * F.cos(F.radians(py)))
-            ))
-            .drop("__was")
-        )
-    return state.select(
+        placed = waiting.withColumns({"cx": cell_of(px, radius), "cy": cell_of(py, radius)})
+        state = closest(placed, sized(keyed, facts[f"r{i}"]), ["cx", "cy"])
+        within = F.coalesce(distance_of(F.col("__best")) <= radius * F.cos(F.radians(py)), F.lit(False))
+        # saved, as its two parts go different ways
+        state = written_once(state.withColumn("__open", ~within), "round")
+        final.append(state.filter(~F.col("__open")).drop("__open"))
+        waiting = state.filter("__open").select(lon, lat)
+        if waiting.isEmpty():
+            break
+    else:
+        coarse = sized(_coarse(sides), facts["n"])
+        final.append(closest(_far_cells(waiting, sides, lon, lat), coarse, ["ex", "ey"]))
+    return reduce(DataFrame.unionByName, final).select(
         lon, lat, id_of(F.col("__best")).alias("near_id"),
         distance_of(F.col("__best")).alias("near_distance"),
     )
 
 
+def _coarse(sides: DataFrame) -> DataFrame:
+    """Edges with the coarse cell of their first end; what is off the globe goes to a border cell."""
+    def cell(value: str, most: int) -> Column:
+        return F.greatest(F.lit(-most), F.least(F.lit(most), cell_of(F.col(value), COARSE)))
+
+    return sides.withColumns({"ex": cell("x1", int(180 / COARSE)), "ey": cell("y1", int(90 / COARSE))})
+
+
+def _far_cells(waiting: DataFrame, sides: DataFrame, lon: str, lat: str) -> DataFrame:
+    """Each position with the coarse cells whose edges can be nearest, one row per cell.
+
+    A coarse cell has the box of its edges and the box of their first ends: no edge is
+    nearer than the one, at least one is as near as the far corner of the other. The list
+    of cells, at most 91 x 45 whatever the data, is one value; it is cut down once per
+    place of ``COARSE`` by one degree, then for the position itself.
+    """
+    cells = _coarse(sides).groupBy("ex", "ey").agg(
+        F.min(F.least("x1", "x2")).alias("west"), F.max(F.greatest("x1", "x2")).alias("east"),
+        F.min(F.least("y1", "y2")).alias("south"), F.max(F.greatest("y1", "y2")).alias("north"),
+        F.min("x1").alias("end_x"), F.max("x1").alias("end_xx"),
+        F.min("y1").alias("end_y"), F.max("y1").alias("end_yy"),
+    )
+    listed = cells.agg(F.collect_list(F.struct(*cells.columns)).alias("c")).scalar()
+
+    def able(candidates: Column, x: Column, xx: Column, y: Column, yy: Column) -> Column:
+        """Cells whose least distance from the box is not above the smallest of the largest."""
+        ends = [F.cos(F.radians(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), v)))) for v in (y, yy)]
+        narrow, wide = F.least(*ends), F.greatest(*ends)  # no box lies on both sides of the equator
+
+        def nearest_end(c: Column) -> Column:
+            dx = F.greatest(F.abs(c["end_xx"] - x), F.abs(xx - c["end_x"])) * wide
+            dy = F.greatest(F.abs(c["end_yy"] - y), F.abs(yy - c["end_y"]))
+            return F.hypot(dx, dy)
+
+        def apart(c: Column) -> Column:
+            dx = F.greatest(F.lit(0.0), c["west"] - xx, x - c["east"]) * narrow
+            dy = F.greatest(F.lit(0.0), c["south"] - yy, y - c["north"])
+            return F.hypot(dx, dy)
+
+        bound = F.array_min(F.transform(candidates, nearest_end)) + 1e-6  # distances are rounded
+        return F.filter(candidates, lambda c: apart(c) <= bound)
+
+    px, py = F.col(lon), F.col(lat)
+    placed = waiting.withColumns({"gx": cell_of(px, COARSE), "gy": cell_of(py, 1.0)})
+    x, y = F.col("gx") * COARSE, F.col("gy").cast("double")
+    places = placed.select("gx", "gy").distinct().withColumn("all", listed).select(
+        "gx", "gy", able(F.col("all"), x, x + COARSE, y, y + 1.0).alias("near")
+    )
+    chosen = able(F.col("near"), px, px, py, py)
+    return (
+        placed.join(places, ["gx", "gy"], "left")
+        .select(lon, lat, F.explode_outer(F.transform(chosen, lambda c: F.struct(c["ex"], c["ey"]))).alias("e"))
+        .select(lon, lat, "e.*")
+    )
+
+
 def locate(points: DataFrame, polygons: DataFrame, attributes: dict[str, str], row_id: str,
            lon: str = "LON", lat: str = "LAT", size: float = 1.0) -> DataFrame:
     """Containing polygon's attributes, else the nearest polygon's; one row per point.
