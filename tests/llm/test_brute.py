@@ -294,6 +294,18 @@ def test_anchors_are_closed_syncmers():
         assert places == [j for j, w in enumerate(windows) if min(w) in (w[0], w[-1])]
 
 
+def test_short_texts_differ():
+    rng = random.Random(4)
+    for n in range(24, 39):
+        for _ in range(20):
+            a, b = ("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for _ in range(2))
+            own, other, edited = syncmers.sketches([a, b, a[:-1] + "#"])
+            assert len(own) and len(other)
+            assert syncmers.likeness(own, own) == 1.0 and syncmers.likeness(own, other) < 0.2
+            assert 0.5 < syncmers.likeness(own, edited) < 1.0
+            assert set(syncmers.marks_of([a])[1].tolist()) == set(range(n - syncmers.SHORT + 1))
+
+
 # rules
 
 

@@ -2,8 +2,8 @@
 
 A k-mer of code points is an anchor when the smallest hash among its inner s-mers stands at
 its first or last place. Whether it is one depends on the k-mer alone, so an edit moves no
-anchor beyond k characters from it. Texts shorter than a k-mer take all their ``SHORT``-mers
-as anchors. A fingerprint is the ``SKETCH`` smallest anchor hashes of the whole text, which
+anchor beyond k characters from it. A text of under ``2 * K - S - 1`` code points may have
+none, so all its ``SHORT``-mers are anchors too. A fingerprint is the ``SKETCH`` smallest anchor hashes of the whole text, which
 estimates the share of common anchors; equal texts have equal fingerprints.
 
 NULL text counts as empty and has the empty fingerprint, which is like itself only. Texts are
@@ -26,7 +26,7 @@ from tracktally.llm.common import add_columns, chunks, exact, slices, texts_of
 
 #: Length of the anchors and of their inner strings.
 K, S = 24, 8
-#: Length of the pieces that stand for anchors in texts shorter than ``K``.
+#: Length of the pieces that are anchors in texts too short to be sure of any other.
 SHORT = 4
 #: Anchor hashes in a fingerprint.
 SKETCH = 64
@@ -96,11 +96,35 @@ def anchors_of(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np
     return own, at - (ends - sizes)[own] if len(at) else at, hashes
 
 
+def marks_of(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors as by ``anchors_of``, and the pieces of texts that are not sure to have one.
+
+    A short text has its pieces whether or not an anchor fell in it, so that it can be
+    compared with its edited form. No other text without an anchor goes without them.
+    """
+    own, at, hashes = anchors_of(texts, k, s)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    bare = np.bincount(own, minlength=len(texts)) == 0
+    short = np.flatnonzero((sizes > 0) & (bare | (sizes >= k) & (sizes < 2 * k - s - 1)))
+    if not len(short):
+        return own, at, hashes
+    owns, places, found = [own], [at], [hashes]
+    for i in short:
+        codes = np.frombuffer(texts[i].encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        pieces = mers(codes, min(SHORT, len(codes)))
+        owns.append(np.full(len(pieces), i))
+        places.append(np.arange(len(pieces)))
+        found.append(mixed(pieces ^ np.uint64(SHORT)))
+    own, at, hashes = np.concatenate(owns), np.concatenate(places), np.concatenate(found)
+    order = np.lexsort((at, own))
+    return own[order], at[order], hashes[order]
+
+
 def sketches(texts: list[str], size: int = SKETCH) -> list[np.ndarray]:
     """The ``size`` smallest distinct anchor hashes (32 bits) of each text, ascending."""
     made: list[np.ndarray] = []
     for start, end in chunks([len(t) for t in texts]):
-        own, _, hashes = anchors_of(texts[start:end])
+        own, _, hashes = marks_of(texts[start:end])
         short = hashes >> np.uint64(32)
         cuts = np.searchsorted(own, np.arange(end - start + 1))
         made += [np.unique(short[a:b])[:size] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -125,7 +149,7 @@ def find_anchors(docs: DataFrame, text: str = "text", k: int = K, s: int = S) ->
             texts, made = texts_of(column), []
             for start, end in chunks([len(t) for t in texts]):
                 part: list[list] = [[] for _ in range(end - start)]
-                for i, at, h in zip(*(x.tolist() for x in anchors_of(texts[start:end], k, s)), strict=True):
+                for i, at, h in zip(*(x.tolist() for x in marks_of(texts[start:end], k, s)), strict=True):
                     part[i].append({"place": at, "hash": h - (1 << 63)})
                 made += part
             return [made]
