@@ -75,3 +75,22 @@ def test_defined_results(docs, labels):
     assert ids[0] == ([], b"") and ids[4][1] == LONG.encode()
     prints = {r.doc_id: r.fingerprint for r in syncmers.fingerprint(docs).select("doc_id", "fingerprint").collect()}
     assert prints[0] == "" and prints[2] == prints[3] != prints[7]
+
+
+def test_classes_that_share_their_smallest_id(spark):
+    near = [f"w{i}" for i in range(60)]
+    rows = [
+        (None, "one text without an id"),
+        (None, "another one, unlike the first"),
+        (None, "one text without an id"),
+        (3, "a text under an id that repeats"),
+        (3, "unrelated words of the same id"),
+        (5, " ".join(near)),
+        (4, " ".join([*near[:-1], "end"])),
+        (None, " ".join(["start", *near[1:]])),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = dart_minhash.near_duplicates(docs)
+    assert found.select("cls").distinct().count() == 5
+    kept = sorted(tuple(r) for r in dart_minhash.keep_one(docs).na.fill(-1).collect())
+    assert kept == sorted((-1 if i is None else i, t) for i, t in {*rows[:2], rows[3], rows[4], rows[6]})

@@ -67,7 +67,7 @@ def op4_rank_queue_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @catalog.add()
 def op5_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
-    return dart_minhash.near_duplicates(docs).select("doc_id", "class_id")
+    return dart_minhash.near_duplicates(docs).select("doc_id", "class_id", F.col("cls").alias("class_node"))
 
 
 @catalog.add()
