@@ -11,6 +11,10 @@ what completes it is in reach:
 - a blob needs an identifier (``access`` or ``identifier``),
 - an endpoint needs both.
 
+The name of a secret key (``secret_access_key``, ``SecretAccessKey``) is no identifier, nor is
+a bare ``access_key`` with a blob as its value; these values are blobs. A blob that is the
+whole value of an identifier belongs to that.
+
 Positions are code points, ends exclusive. NULL text counts as empty and has no spans.
 Every row is scanned alone and whole, so repeated rows and ids give repeated answers.
 """
@@ -37,7 +41,11 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 HEX_SHAPE = bytes(104 if x in b"0123456789abcdef" else 46 for x in range(256))
-IDENTIFIER = re.compile(r"""(?:access_?key(?:_?id)?|client_?id|user(?:_?name|_?id)?|login|account)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}""", ANY_CASE)
+IDENTIFIER = re.compile(
+    r"""(?:access_?key_?id|(?P<bare>(?<!secret)(?<!secret[_.-])access_?key)|client_?id|user(?:_?name|_?id)?|login|account)"""
+    r"""["']?\x20*[:=]\x20*["']?(?P<value>[A-Za-z0-9._@+-]{3,})""",
+    ANY_CASE,
+)
 IDENTIFIER_WORDS = (b"accesskey", b"access_key", b"client", b"user", b"login", b"account")
 BLOB = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ENDPOINT = re.compile(
@@ -45,6 +53,7 @@ ENDPOINT = re.compile(
     r"""|(?:host(?:name)?|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{3,}(?::\d+)?""",
     ANY_CASE,
 )
+NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 BLANK_LINES = re.compile(r"\n[ \t\r]*\n")
 
 Span = tuple[str, int, int]
@@ -85,6 +94,21 @@ class Intervals:
         return i < len(self.starts) and self.starts[i] < high
 
 
+def identifier_parts(text: str) -> tuple[list[Span], dict[int, int]]:
+    """Identifiers, and the start of the whole name by the end of each one's value."""
+    found: list[Span] = []
+    names: dict[int, int] = {}
+    for m in IDENTIFIER.finditer(text):
+        if m["bare"] and (key := BLOB.match(text, m.start("value"))) and mixed(key[0]):
+            continue  # the secret half of a pair
+        found.append(("identifier", *m.span()))
+        at = m.start()
+        while at and text[at - 1] in NAME_CHARS:
+            at -= 1
+        names[m.end()] = at
+    return found, names
+
+
 def linked_spans(text: str) -> list[Span]:
     """All spans of one text: base kinds, and weak kinds that found their complement."""
     data = text.encode()
@@ -92,14 +116,17 @@ def linked_spans(text: str) -> list[Span]:
     base = base_spans(text, data, lower)
     identifiers = [s for s in base if s[0] == "access"]
     weak_ids: list[Span] = []
+    names: dict[int, int] = {}
     if any(w in lower for w in IDENTIFIER_WORDS):
-        weak_ids = [("identifier", *m.span()) for m in IDENTIFIER.finditer(text)]
+        weak_ids, names = identifier_parts(text)
         identifiers = identifiers + weak_ids
     found = list(base)
     if identifiers:
-        taken = Intervals(base + weak_ids)
+        taken = Intervals(base)
         blobs = [
-            ("blob", *m.span()) for m in BLOB.finditer(text) if mixed(m[0]) and not taken.meet(m.start(), m.end())
+            ("blob", *m.span())
+            for m in BLOB.finditer(text)
+            if mixed(m[0]) and not m.start() >= names.get(m.end(), m.end()) and not taken.meet(m.start(), m.end())
         ]
         secrets = blobs + [s for s in base if s[0] in ("assign", "hex")]
         if secrets:
