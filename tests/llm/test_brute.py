@@ -149,6 +149,25 @@ def test_pages(page, text):
     assert html_main.main_text(page) == text
 
 
+LONG = "A long, good paragraph, with commas, and words enough to score. " * 8
+
+
+@pytest.mark.parametrize(("page", "parts"), [
+    # names of wrappers
+    ("<div class='content-sidebar-wrap'><article><h1>T</h1><p>one, two</p></article><div class=sidebar><p>x</p></div></div>", ["T", "one, two"]),
+    ("<div class='layout has-sidebar'><main><p>one, two</p></main><div class=related><article>card</article></div></div>", ["one, two"]),
+    (f"<h1>Site</h1><div class=right-side><p>{LONG}</p><p>{LONG}</p></div><div class=menu><li><a>m</a><li><a>n</a></div>", ["Site", LONG, LONG]),
+    (f"<h1>T</h1><div id=post><p>short, one.</p></div><div id=comments><p>{LONG}</p></div>", ["T", "short, one."]),
+    # beside one long section
+    (f"<body><div><div><p>{LONG}</p></div><div><p>Short.</p></div><table><tr><td>1<td>2</table><ul><li>a</ul>bare</div></body>", [LONG, "Short.", "1", "2", "a", "bare"]),
+    (f"<main><section><p>{LONG}</p></section><section><p>Short</p></section><ul><li>a</ul>bare</main>", [LONG, "Short", "a", "bare"]),
+    (f"<div><h2><a>T</a></h2><p>{LONG}</p><p><a>Source</a></p></div>", ["T", LONG, "Source"]),
+    (f"<div><div><div><p>{LONG}</p></div></div><div>Few</div></div><div><a>l1</a> <a>l2</a></div>", [LONG, "Few"]),
+])
+def test_nothing_else_is_dropped(page, parts):
+    assert html_main.main_text(page) == "\n\n".join(p.strip() for p in parts)
+
+
 def test_page_table(spark):
     for r in query(spark, "op3_tree_scored_text"):
         assert r.n_chars == len(r.text) and "track(" not in r.text and "©" not in r.text

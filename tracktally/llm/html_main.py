@@ -4,8 +4,15 @@ A page becomes a tree of its block elements. What can't be article text is left
 tree is built: scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments, hidden elements. Every paragraph gives points for its length and commas
 to its ancestors, half to the next one up and ever less beyond; a container's points are
-discounted by the share of its text that is in links. The best container, or the article
-it stands in, is kept with those siblings that score well or are its headings.
+discounted by the share of its text that is in links. The best container, or the article or
+main element it stands in, is kept with those siblings that score well or are its headings.
+Without either, the smallest container of the sections that score well, and of what stands
+beside a single one, is kept with all of its blocks but those that are mostly links.
+
+An element that only its class or id speaks against can also be a wrapper around the article
+(``content-sidebar-wrap``). It is judged when the whole page is read, and stays if it holds
+the main element, or what the page has of articles and first headings, or most of the points
+outside links while no article stands beside it.
 
 NULL, empty and text-free pages give the empty text. Blocks stand in page order, each with
 white space turned into single blanks, joined by an empty line. A page is handled whole and
@@ -16,6 +23,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -49,20 +57,30 @@ ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""
 #: Points that a container starts with.
 START = {"article": 25.0, "main": 25.0, "section": 5.0, "div": 5.0, "pre": 3.0, "td": 3.0, "blockquote": 3.0, "th": -5.0, "ul": -3.0, "ol": -3.0, "li": -3.0}
 KEPT_NAMES = frozenset(["article", "main", "body", "html"])
+#: Reader comments can outweigh the article, so points don't speak for elements of these names.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond)(?=$|[\s_-])", re.I)
+#: Share of its text in links from which a block of a page without an article is left out.
+LINKED = 0.5
+#: Elements that are one piece of what they stand in.
+SINGLE = HEADINGS | frozenset("p pre blockquote li dt dd tr td th caption figcaption".split())
+#: Elements that are parts of one table or list.
+PARTS = frozenset("li dt dd ul ol dl tr td th thead tbody tfoot table caption".split())
 
 
 class Node:
-    __slots__ = ("children", "dropped", "length", "linked", "parent", "score", "tag")
+    __slots__ = ("children", "dropped", "length", "linked", "named", "own", "parent", "score", "tag")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node | str] = []
         self.score = START.get(tag, 0.0)
         self.length = self.linked = 0
+        self.own = 0.0  # points of its own blocks outside links
+        self.named = ""  # class and id, where they speak against it
 
 
-def unwanted(tag: str, rest: str, node: Node) -> bool:
-    """Whether an element is left out with all it holds."""
+def unwanted(tag: str, rest: str, node: Node) -> bool | str:
+    """Whether an element is left out with all it holds; its names if only they are against it."""
     if tag in DROPPED:
         return True
     if tag == "header":  # an article's own header holds its title
@@ -78,13 +96,15 @@ def unwanted(tag: str, rest: str, node: Node) -> bool:
         return True
     if held.get("role", "").lower() in ROLES:
         return True
-    return tag not in KEPT_NAMES and bool(NAMES.search(held.get("class", "")) or NAMES.search(held.get("id", "")))
+    names = f"{held.get('class', '')} {held.get('id', '')}"
+    return names if tag not in KEPT_NAMES and NAMES.search(names) else False
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
     """The tree of block elements without the unwanted ones, and its nodes in page order."""
     root = Node("#root", None, False)
     node, nodes, pending, links, linked = root, [root], [], 0, 0
+    held: list[tuple[Node, str]] = []  # every block with what it stands in
     at = 0
 
     def flush():
@@ -98,7 +118,9 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                 node.children.append(text)
                 node.length += len(text)
                 node.linked += min(linked, len(text))
-                points(node, text)
+                held.append((node, text))
+                if node.tag not in HEADINGS:
+                    node.own += worth_of(text) * (1.0 - min(1.0, linked / len(text)))
             pending = []
         linked = 0
 
@@ -136,8 +158,10 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                 if found.tag == "p" and node.tag in ends:
                     node = node.parent
             if tag not in VOID:
-                child = Node(tag, node, node.dropped or unwanted(tag, m[3], node))
+                against = node.dropped or unwanted(tag, m[3], node)
+                child = Node(tag, node, against is True)
                 if not child.dropped:
+                    child.named = against or ""
                     node.children.append(child)
                     nodes.append(child)
                 node = child
@@ -146,17 +170,70 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     if at < len(html) and not node.dropped:
         pending.append(html[at:])
     flush()
+    if any(n.named for n in nodes):
+        judge(nodes)
+        nodes = [n for n in nodes if not n.dropped]
+        for one in nodes:
+            one.children = [x for x in one.children if isinstance(x, str) or not x.dropped]
+    for one, text in held:
+        if not one.dropped:
+            points(one, text)
     for one in reversed(nodes[1:]):  # children come after their parents
         one.parent.length += one.length
         one.parent.linked += one.linked
     return root, nodes
 
 
+def judge(nodes: list[Node]) -> None:
+    """Drop the elements that their names speak against, but for wrappers of the main text.
+
+    Nodes are in page order, so what one holds are the nodes that follow it up to an end, and
+    all that a node stands in is judged before it.
+    """
+    n = len(nodes)
+    place = {id(x): i for i, x in enumerate(nodes)}
+    up = [0] + [place[id(x.parent)] for x in nodes[1:]]
+    ends = list(range(1, n + 1))
+    for i in range(n - 1, 0, -1):
+        ends[up[i]] = max(ends[up[i]], ends[i])
+    kinds = ("main", "article", "h1")
+    sums = {k: list(accumulate((x.tag == k for x in nodes), initial=0)) for k in kinds}
+    score = list(accumulate((x.own for x in nodes), initial=0.0))
+    # of each kind: those a node stands in, and those of the places it is in without what is named there
+    above = {k: [0] * n for k in kinds}
+    area, plain = [0] * n, {k: [0] * n for k in kinds}
+    for i in range(1, n):
+        area[i] = i if nodes[i].named else area[up[i]]
+        for k in kinds:
+            above[k][i] = above[k][up[i]] + (nodes[up[i]].tag == k)
+            plain[k][area[i]] += nodes[i].tag == k
+    for i in range(1, n):  # also what the areas around hold
+        if area[i] == i:
+            for k in kinds:
+                plain[k][i] += plain[k][area[up[i]]]
+    for i in range(1, n):
+        one, around = nodes[i], area[up[i]]
+        one.dropped = one.dropped or nodes[up[i]].dropped
+        if one.dropped or not one.named:
+            continue
+        inside = {k: sums[k][ends[i]] - sums[k][i] for k in kinds}
+        if inside["main"]:
+            continue
+        beside = {k: sums[k][n] - inside[k] - above[k][i] for k in kinds}
+        only = (inside["article"] or inside["h1"]) and not beside["article"] and not beside["h1"]
+        most = 2 * (score[ends[i]] - score[i]) > score[n] and plain["article"][around] == above["article"][i]
+        one.dropped = not (only or most and not READERS.search(one.named))
+
+
+def worth_of(text: str) -> float:
+    return 1.0 + text.count(",") + min(len(text) / 100.0, 3.0)
+
+
 def points(node: Node, text: str) -> None:
     """A block's points go to its container and, less and less, to what that stands in."""
     if node.tag in HEADINGS:
         return
-    worth = 1.0 + text.count(",") + min(len(text) / 100.0, 3.0)
+    worth = worth_of(text)
     held = node.parent if node.tag in ("p", "pre", "td", "blockquote", "li", "dd") and node.parent else node
     level = 0
     while held and level < 6:
@@ -168,17 +245,47 @@ def density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
 
-def blocks(node: Node) -> list[str]:
+def blocks(node: Node, most: float = 1.0) -> list[str]:
+    """Blocks in page order, without elements that stand in links by more than ``most``.
+
+    A heading, paragraph or item is no such element by itself.
+    """
     found, waiting = [], [node]
     while waiting:
         x = waiting.pop()
         if isinstance(x, str):
             found.append(x)
-        else:
+        elif x is node or x.tag in SINGLE or density(x) <= most:
             waiting.extend(reversed(x.children))
     return found
 
 
+def container_of(nodes: list[Node], best: Node) -> Node:
+    """The smallest node that holds all sections that score well, and what stands beside a single one."""
+    holders = {}
+    for n in nodes:
+        if n.own:
+            held = n.parent if n.tag in ("p", "pre", "blockquote") else n
+            holders[id(held)] = (held, holders.get(id(held), (held, 0.0))[1] + n.own)
+    enough = 0.2 * max((x for _, x in holders.values()), default=0.0)
+    high = [h for h, x in holders.values() if x >= enough]
+    count: dict[int, int] = {}
+    for n in high:
+        count[id(n)] = count.get(id(n), 0) + 1
+    for n in reversed(nodes[1:]):
+        if id(n) in count:
+            count[id(n.parent)] = count.get(id(n.parent), 0) + count[id(n)]
+    found = high[0] if high else best
+    while found.parent and count.get(id(found), 0) < len(high):
+        found = found.parent
+    while found.parent and (len(high) < 2 or found.tag in PARTS):
+        alone = found.parent.length == found.length or found.parent.tag in PARTS
+        found = found.parent
+        if not alone:
+            break
+    return found
+
+
 def main_text(html: str) -> str:
     """The main text of one page."""
     root, nodes = parse(html)
@@ -190,10 +297,17 @@ def main_text(html: str) -> str:
     outer = best
     while outer and outer.tag != "article":
         outer = outer.parent
-    best = outer or best
+    if outer is None:
+        outer = best
+        while outer and outer.tag != "main":
+            outer = outer.parent
+    most = 1.0
+    if outer is None:
+        outer, most = container_of(nodes, best), LINKED
+    best = outer
     if best.parent is None:
-        return "\n\n".join(blocks(best))
-    enough = max(10.0, worth[id(best)] * 0.2)
+        return "\n\n".join(blocks(best, most))
+    enough = max(10.0, worth.get(id(best), 0.0) * 0.2)
     kept: list[str] = []
     for x in best.parent.children:
         if x is best or isinstance(x, Node) and (
@@ -201,7 +315,7 @@ def main_text(html: str) -> str:
             or worth.get(id(x), 0.0) >= enough
             or x.tag == "p" and density(x) < 0.25 and (x.length > 80 or any("." in b for b in blocks(x)))
         ):
-            kept += blocks(x)
+            kept += blocks(x, most if x is best else 1.0)
     return "\n\n".join(kept)
 
 
