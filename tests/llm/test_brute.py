@@ -343,6 +343,23 @@ def test_short_texts_differ():
             assert set(syncmers.marks_of([a])[1].tolist()) == set(range(n - syncmers.SHORT + 1))
 
 
+def test_long_texts_that_share_a_passage(spark):
+    rng = random.Random(9)
+    made = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    passage = made(2000)
+    texts = [made(60_000) + passage + made(40_000), made(20_000) + passage + made(80_000), made(100_000)]
+    a, b, c = syncmers.sketches(texts)
+    assert len(a) > 10_000 and syncmers.likeness(a, c) == 0.0
+    here, there = (x.astype(int) for x in syncmers.matched(a, b))
+    assert (here - there == 40_000).all() and here.min() < 60_100 and here.max() > 61_900
+    plain = [collections.Counter(x["hash"].tolist()) for x in (a, b)]
+    assert syncmers.likeness(a, b) == (plain[0] & plain[1]).total() / (plain[0] | plain[1]).total() > 0.005
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r for r in syncmers.fingerprint_edits(rows).collect()}
+    assert found[0].near_next == syncmers.likeness(a, b) and len(found[0].fingerprint) == 24 * len(a)
+    assert len(found[0].digest) == 8 * syncmers.SKETCH
+
+
 # rules
 
 

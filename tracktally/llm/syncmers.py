@@ -3,8 +3,10 @@
 A k-mer of code points is an anchor when the smallest hash among its inner s-mers stands at
 its first or last place. Whether it is one depends on the k-mer alone, so an edit moves no
 anchor beyond k characters from it. A text of under ``2 * K - S - 1`` code points may have
-none, so all its ``SHORT``-mers are anchors too. A fingerprint is the ``SKETCH`` smallest anchor hashes of the whole text, which
-estimates the share of common anchors; equal texts have equal fingerprints.
+none, so all its ``SHORT``-mers are anchors too. A fingerprint is every
+anchor of the text in order, its place (8 hex digits) and hash (16), so it grows with the
+text; equal texts have equal fingerprints. Likeness matches all anchors of two texts, each
+with one of the other at most. The ``SKETCH`` smallest hashes are a coarse digest beside it.
 
 NULL text counts as empty and has the empty fingerprint, which is like itself only. Texts are
 hashed many at a time; a very long one is a step of its own.
@@ -28,8 +30,11 @@ from tracktally.llm.common import add_columns, chunks, exact, slices, texts_of
 K, S = 24, 8
 #: Length of the pieces that are anchors in texts too short to be sure of any other.
 SHORT = 4
-#: Anchor hashes in a fingerprint.
+#: Anchor hashes in the coarse digest.
 SKETCH = 64
+#: An anchor of a fingerprint, and how it is spelled.
+MARK = np.dtype([("place", "<u4"), ("hash", "<u8")])
+SPELLED = MARK.newbyteorder(">")
 BASE = 0x9E3779B97F4A7C15
 #: Ranges of ids dealt out for each shuffle partition.
 RANGES_EACH = 4
@@ -120,25 +125,46 @@ def marks_of(texts: list[str], k: int = K, s: int = S) -> tuple[np.ndarray, np.n
     return own[order], at[order], hashes[order]
 
 
-def sketches(texts: list[str], size: int = SKETCH) -> list[np.ndarray]:
-    """The ``size`` smallest distinct anchor hashes (32 bits) of each text, ascending."""
+def sketches(texts: list[str]) -> list[np.ndarray]:
+    """All anchors of each text, place and hash, by place."""
     made: list[np.ndarray] = []
     for start, end in chunks([len(t) for t in texts]):
-        own, _, hashes = marks_of(texts[start:end])
-        short = hashes >> np.uint64(32)
+        own, at, hashes = marks_of(texts[start:end])
+        marks = np.empty(len(own), MARK)
+        marks["place"], marks["hash"] = at, hashes
         cuts = np.searchsorted(own, np.arange(end - start + 1))
-        made += [np.unique(short[a:b])[:size] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        made += [marks[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return made
 
 
-def likeness(a: np.ndarray, b: np.ndarray, size: int = SKETCH) -> float:
-    """Share of common hashes among the smallest of both; two empty ones are alike."""
-    both, counts = np.unique(np.concatenate([a, b]), return_counts=True)
-    return float((counts[:size] == 2).mean()) if len(both) else 1.0
+def matched(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in both texts of the anchors they share: of equal ones the first with the first, and so on."""
+    hashes, places = np.concatenate([a["hash"], b["hash"]]), np.concatenate([a["place"], b["place"]])
+    if not len(hashes):
+        return places, places
+    order = np.argsort(hashes, kind="stable")  # of equal hashes those of a come first
+    hashes, places = hashes[order], places[order]
+    starts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    theirs = np.add.reduceat((order >= len(a)).astype(np.int64), starts)
+    ours = np.diff(np.r_[starts, len(hashes)]) - theirs
+    both = np.minimum(ours, theirs)
+    nth = np.arange(both.sum()) - np.repeat(np.cumsum(both) - both, both)
+    return places[np.repeat(starts, both) + nth], places[np.repeat(starts + ours, both) + nth]
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of matched anchors among all of both; two empty ones are alike."""
+    same = len(matched(a, b)[0])
+    return same / (len(a) + len(b) - same) if len(a) or len(b) else 1.0
 
 
 def spelled(sketch: np.ndarray) -> str:
-    return sketch.astype(">u4").tobytes().hex()
+    return sketch.astype(SPELLED).tobytes().hex()
+
+
+def digest(sketch: np.ndarray, size: int = SKETCH) -> str:
+    """The ``size`` smallest distinct anchor hashes (32 bits), eight digits each."""
+    return np.unique(sketch["hash"] >> np.uint64(32))[:size].astype(">u4").tobytes().hex()
 
 
 def find_anchors(docs: DataFrame, text: str = "text", k: int = K, s: int = S) -> DataFrame:
@@ -160,12 +186,16 @@ def find_anchors(docs: DataFrame, text: str = "text", k: int = K, s: int = S) ->
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Each row with ``fingerprint``: its sketch in hex, eight digits a hash."""
+    """Each row with ``fingerprint``, all its anchors in hex, and ``digest``, its smallest hashes."""
 
     def make():
-        return lambda column: [[spelled(x) for x in sketches(texts_of(column))]]
+        def run(column):
+            marks = sketches(texts_of(column))
+            return [[spelled(x) for x in marks], [digest(x) for x in marks]]
+
+        return run
 
-    return add_columns(docs, [text], "fingerprint string", make)
+    return add_columns(docs, [text], "fingerprint string, digest string", make)
 
 
 def half_edited(text: str, following: str) -> str:
@@ -175,7 +205,7 @@ def half_edited(text: str, following: str) -> str:
 
 
 def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Fingerprints of every text and of its half-edited form, and their likeness.
+    """Fingerprints and digests of every text and of its half-edited form, and their likeness.
 
     A row's next is the one of the next id (a NULL id comes first, rows of one id stand by
     text), the first after the last. Ids are cut into ranges at ids that occur, found by
@@ -210,7 +240,7 @@ def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -
     schema = T.StructType([
         T.StructField(id, docs.schema[id].dataType),
         *T.StructType.fromDDL(
-            "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+            "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, digest string, edited_digest string"
         ),
     ])
     names = schema.names
@@ -239,11 +269,14 @@ def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -
                     [spelled(x) for x in changed],
                     [likeness(own[i], x) for (i, _), x in zip(pairs, changed, strict=True)],
                     [likeness(own[i], own[j]) for i, j in pairs],
+                    [digest(own[i]) for i, _ in pairs],
+                    [digest(x) for x in changed],
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(made[0], batch.schema.field(3).type), pa.array(made[1], pa.int64())]
                     + [pa.array(x, pa.string()) for x in made[2:5]]
-                    + [pa.array(x, pa.float64()) for x in made[5:]],
+                    + [pa.array(x, pa.float64()) for x in made[5:7]]
+                    + [pa.array(x, pa.string()) for x in made[7:]],
                     names=names,
                 )
 
