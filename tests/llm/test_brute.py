@@ -227,6 +227,13 @@ def test_near_duplicate_chains(spark):
     assert {r.doc_id: r.class_id for r in found.collect()} == plain_classes(docs)
 
 
+def test_members_of_one_class_do_not_meet(spark):
+    rows = [(i, 1, 9, i % 3, 7) for i in range(300)] + [(900, 2, 9, 0, 7), (901, 3, 9, 0, 8), (902, 3, 9, 0, 8)]
+    early = spark.createDataFrame(rows, "id long, cls long, n int, at int, e long")
+    joined = dart_minhash.met(early)
+    assert sorted((r.x_id, r.y_id, r.x_at) for r in joined.collect()) == [(i, 900, i % 3) for i in range(300)]
+
+
 def test_signature_agreement_estimates_weighted_jaccard():
     a, b = "a b c d e f g h i j " * 3, "a b c d e f g h i x " * 3
     entries = dart_minhash.signatures([a, b], 4000)
