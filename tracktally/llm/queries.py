@@ -7,9 +7,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracktally.catalog import Catalog
-from tracktally.llm import byte_bpe, dart_minhash, html_main, mixing, quality_rda, quality_rules, secret_links, shards, syncmers, toxic_ordinal
+from tracktally.llm import (
+    byte_bpe,
+    dart_minhash,
+    html_main,
+    license_diagonals,
+    mixing,
+    quality_rda,
+    quality_rules,
+    secret_links,
+    shards,
+    syncmers,
+    token_alignment,
+    toxic_ordinal,
+    turn_repair,
+)
 from tracktally.llm.common import read_table
+from tracktally.llm.license_sql import LICENSE_SQL
 from tracktally.llm.sql import MIX_SQL, QUALITY_SQL
+from tracktally.llm.turn_sql import REPAIR_SQL
 
 catalog = Catalog()
 
@@ -96,6 +112,35 @@ def op10_rule_cascade(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_cascade(docs, counts=True).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+@catalog.add(LICENSE_SQL)
+def op11_diagonal_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_diagonals.scan_licenses(read_table(spark, folder, "documents"))
+    base = F.filter("spans", lambda s: s["phrase"])
+    joined = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda s: s["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda s: s["start"])).alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.col("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
+@catalog.add(REPAIR_SQL)
+def op12_auction_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return turn_repair.audit_conversations(read_table(spark, folder, "conversations")).withColumnRenamed("conv", "conv_id")
+
+
+@catalog.add()
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.align_tokenizers(docs, *paths)
+
+
 @catalog.add()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
