@@ -227,11 +227,47 @@ def test_near_duplicate_chains(spark):
     assert {r.doc_id: r.class_id for r in found.collect()} == plain_classes(docs)
 
 
-def test_members_of_one_class_do_not_meet(spark):
-    rows = [(i, 1, 9, i % 3, 7) for i in range(300)] + [(900, 2, 9, 0, 7), (901, 3, 9, 0, 8), (902, 3, 9, 0, 8)]
-    early = spark.createDataFrame(rows, "id long, cls long, n int, at int, e long")
-    joined = dart_minhash.met(early)
-    assert sorted((r.x_id, r.y_id, r.x_at) for r in joined.collect()) == [(i, 900, i % 3) for i in range(300)]
+def test_leaders_face_one_member_of_each_other_class(spark):
+    rows = [(i, 20, i % 3, 7) for i in range(300)] + [(900, 20, 0, 7), (901, 20, 0, 8), (902, 20, 0, 8)]
+    early = spark.createDataFrame(rows, "id long, n int, at int, key long")
+    cls = {i: 1 for i in range(300)} | {900: 2, 901: 3, 902: 3}
+    classes = spark.createDataFrame(list(cls.items()), "id long, cls long")
+    for number in range(3):
+        (pair,) = dart_minhash.facing_leaders(early, classes, 0.8, number).collect()
+        assert pair.b == 900 and pair.a < 300
+    own = spark.createDataFrame([(i, i) for i in cls], "id long, cls long")
+    assert 250 < dart_minhash.facing_leaders(early, own, 0.8, 0).count() <= 302
+
+
+def edited(rng, words, n):
+    words = list(words)
+    for at in rng.sample(range(len(words)), n):
+        words[at] = f"v{rng.randint(0, 10**9)}"
+    return words
+
+
+def test_share_of_links_found_in_large_families(spark):
+    """Hundreds of classes of one family, most of their pairs just below the threshold."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    docs = [edited(rng, base, rng.choice([3, 5, 6])) for _ in range(250)]
+    for _ in range(60):
+        second = edited(rng, base, 9)
+        docs += [second, *(edited(rng, second, rng.choice([1, 3])) for _ in range(4))]
+    docs = {d: " ".join(w) for d, w in enumerate(docs)}
+    found = dart_minhash.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"))
+    got = {r.doc_id: r.cls for r in found.collect()}
+    bags = {d: words_of(t) for d, t in docs.items()}
+    links = caught = 0
+    for a, b in itertools.combinations(docs, 2):
+        common = sum((bags[a] & bags[b]).values())
+        if common >= 0.8 * (sum(bags[a].values()) + sum(bags[b].values()) - common):
+            links += 1
+            caught += got[a] == got[b]
+    print("share of links found", caught, links)
+    assert links > 500 and caught >= 0.9 * links
+    true = plain_classes(docs)
+    assert all(true[a] == true[b] for group in itertools.groupby(sorted(got, key=got.get), key=got.get) for a, b in itertools.pairwise(group[1]))
 
 
 def test_signature_agreement_estimates_weighted_jaccard():
