@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.test_grid_and_paths import LOCATION_TOTALS, MONTH_TOTALS
 from tracktally.operators import fit as fitting
-from tracktally.operators import predict
+from tracktally.operators import predict, regression
 from tracktally.plans import checks, forecasts, modelling, models
 
 DRAWS = "basin string, draw int, is_warmup boolean, base string, idx int, value double"
@@ -98,3 +98,51 @@ def test_linear_predictor_of_one_hot_rows(spark):
     design = spark.createDataFrame([(10, 0, 1.0), (10, 1, 1.0), (11, 0, 1.0), (11, 2, 1.0)], "row int, idx int, x double")
     got = {(r.draw, r.row): r.log_lambda for r in predict.linear_predictor(design, effects, "row", ["draw"]).collect()}
     assert got == {(1, 10): 2.5, (1, 11): 1.5, (2, 10): 4.0, (2, 11): 2.0}
+
+
+def test_several_terms_against_plain_newton(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for a in range(4):
+        for b in range(3):
+            for year in range(2000, 2006):
+                rows.append((f"a{a}" if a else None, b, year, int(rng.poisson(math.exp(0.8 + 0.3 * a - 0.4 * b + 0.1 * (year - 2003))))))
+    rows += [("never", 1, 2001, 0), ("never", 2, 2002, 0), ("a1", 1, 2003, None)]
+    cells = spark.createDataFrame(rows, "a string, b int, year int, n int")
+    smooth = regression.Smooth("year", 2000, 2005, 2)
+    fit = regression.fit_poisson(cells.repartition(5), ["a", "b"], "n", [smooth])
+    got = {(r.term, r.level): r for r in fit.coefficients.collect()}
+    used = [r for r in rows if r[0] != "never" and r[3] is not None]
+    x = []
+    for a, b, year, _ in used:
+        t = (year - 2000) / 5 * 2 - 1
+        k = 0 if a is None else int(a[1])
+        fa = [-1.0] * 3 if k == 3 else [float(k == i) for i in range(3)]
+        fb = [-1.0] * 2 if b == 2 else [float(b == i) for i in range(2)]
+        x.append([1.0, *fa, *fb, *(math.sin(math.pi / 2.4 * (t + 1.2) * j) / math.sqrt(1.2) for j in (1, 2))])
+    x, y, beta = np.array(x), np.array([r[3] for r in used], float), np.zeros(8)
+    for _ in range(50):
+        mu = np.exp(x @ beta)
+        beta += np.linalg.solve(x.T @ (x * mu[:, None]), x.T @ (y - mu))
+    want = {("intercept", None): beta[0], ("a", None): beta[1], ("a", "a1"): beta[2], ("a", "a3"): -beta[1:4].sum(),
+            ("b", "2"): -beta[4:6].sum(), ("year", "1"): beta[6], ("year", "2"): beta[7]}
+    for key, value in want.items():
+        assert got[key].coefficient == pytest.approx(value, abs=1e-7)
+    cov = np.linalg.inv(x.T @ (x * np.exp(x @ beta)[:, None]))
+    assert got["a", "a3"].std_error == pytest.approx(math.sqrt(cov[1:4, 1:4].sum()), rel=1e-6)
+    assert got["a", "never"].coefficient is None
+    assert fit.log_likelihood == pytest.approx(float(y @ (x @ beta) - np.exp(x @ beta).sum()))
+    moments = {(r.term, r.level): r for r in fit.moments(cells, "n").collect()}
+    assert moments["a", "never"].fitted == 0.0
+    assert all(r.observed == pytest.approx(r.fitted, abs=1e-6) for r in moments.values())
+    new = spark.createDataFrame([("new", 1, 2001), ("never", 1, 2001)], "a string, b int, year int")
+    assert [r.fitted for r in fit.predict(new).collect()] == [None, 0.0]
+
+
+def test_one_factor_is_the_log_mean(spark):
+    cells = spark.createDataFrame([("a", 4), ("a", 6), ("b", 1), ("b", 2)], "k string, n int")
+    got = {(r.term, r.level): r.coefficient for r in regression.fit_poisson(cells, ["k"], "n").coefficients.collect()}
+    assert got["intercept", None] + got["k", "a"] == pytest.approx(math.log(5))
+    assert got["intercept", None] + got["k", "b"] == pytest.approx(math.log(1.5))
+    with pytest.raises(ValueError, match="no events"):
+        regression.fit_poisson(cells.withColumn("n", F.lit(0)), ["k"], "n")

@@ -11,6 +11,7 @@ from tracktally.catalog.inputs import (
 from tracktally.operators.counts import count_by
 from tracktally.operators.fit import poisson_regression
 from tracktally.operators.grid import months, with_years, zero_filled
+from tracktally.operators.regression import Smooth, fit_poisson
 from tracktally.plans import models
 from tracktally.session import load_tables
 
@@ -132,3 +133,29 @@ def poisson_glm(spark, folder):
     cells = zero_filled(grid, counts, ["MONTH_ID", "YEAR"], "n")
     out = poisson_regression(cells, "MONTH", "n")
     return out.withColumn("coefficient", F.round("coefficient", 4))
+
+
+TERMS = Smooth("YEAR", FIRST_YEAR, LAST_YEAR, 3)
+TERM_SQL = f"sin(pi() / 2.4::DOUBLE * ((YEAR - {FIRST_YEAR}) / {LAST_YEAR - FIRST_YEAR}::DOUBLE * 2 - 1 + 1.2::DOUBLE) * j.range) / sqrt(1.2::DOUBLE)"
+
+
+@catalog.add(f"""
+WITH {LANDFALLS_SQL},
+inner_years AS (SELECT * FROM landfalls WHERE YEAR BETWEEN {FIRST_YEAR} AND {LAST_YEAR}),
+sums AS (
+  SELECT 'MONTH' AS term, CAST(m.range AS VARCHAR) AS level, CAST(count(YEAR) AS DOUBLE) AS n
+  FROM range(1, 13) m LEFT JOIN inner_years ON MONTH = m.range GROUP BY ALL
+  UNION ALL
+  SELECT 'LOCATION', n_name, CAST(count(YEAR) AS DOUBLE) FROM nation LEFT JOIN inner_years ON LOCATION = n_name GROUP BY ALL
+  UNION ALL
+  SELECT 'YEAR', CAST(j.range AS VARCHAR), sum({TERM_SQL}) FROM inner_years, range(1, 4) j GROUP BY ALL)
+SELECT term, level, round(n, 3) + 0.0 AS observed, round(n, 3) + 0.0 AS fitted FROM sums""")
+def poisson_terms(spark, folder):
+    """Month, location and a smooth year effect together: where fitted equals observed, the score is zero."""
+    (nation,) = load_tables(spark, folder, "nation")
+    places = nation.select(F.col("n_name").alias("LOCATION"))
+    grid = with_years(places.withColumn("MONTH", F.explode(F.sequence(F.lit(1), F.lit(12)))), FIRST_YEAR, LAST_YEAR)
+    counts = count_by(landfalls(spark, folder), "LOCATION", "MONTH", "YEAR", name="n")
+    cells = zero_filled(grid, counts, ["LOCATION", "MONTH", "YEAR"], "n")
+    found = fit_poisson(cells, ["MONTH", "LOCATION"], "n", [TERMS]).moments(cells, "n")
+    return found.select("term", "level", *((F.round(c, 3) + 0.0).alias(c) for c in ("observed", "fitted")))
