@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from tracktally.operators import spatial
+from tracktally.operators import spatial, sphere
 from tracktally.operators.counts import bounding_box
 from tracktally.plans.wrangle import enrich_landfalls
 from tracktally.sources import polygons as shapes
@@ -38,10 +38,25 @@ def test_hole_border_and_island(spark):
     xy = [(0.5, 0.5), (1.5, 1.5), (5, 5), (11, 1), (13, 1), (12, 1), (20.05, 20.05), (2.5, 1.5), (500, 0)]
     out = spatial.contained(points(spark, xy), polygons, ["name_long"], "id")
     got = {r.id: r.name_long for r in out.collect()}
-    assert got == {0: "holed", 1: None, 2: None, 3: "left", 4: "right", 5: "right", 6: "island",
+    assert got == {0: "holed", 1: None, 2: None, 3: "left", 4: "right", 5: "left", 6: "island",
                    7: "holed", 8: None}
 
 
+@pytest.mark.parametrize("crowded", [False, True])
+def test_borders_and_corners_belong_to_every_side(spark, monkeypatch, crowded):
+    if crowded:
+        monkeypatch.setattr(spatial, "MAX_CELL_EDGES", 0)
+    slope = ring((30, 30), (34, 32), (34, 28))
+    shared = ring((30, 30), (34, 32), (30, 34))
+    polygons = spark.createDataFrame([*FIXTURE, (6, "S6", "east", "Asia", [slope]), (5, "S5", "north", "Asia", [shared])], SCHEMA)
+    want = {(12, 1): "left", (12, 0): "left", (12, 2): "left", (10, 0): "left", (11, 2): "left", (14, 1): "right",
+            (14, 2): "right", (13, 2): "right", (1, 1): "holed", (1.5, 1): "holed", (2, 1.5): "holed", (1.5, 2): "holed",
+            (0, 4): "holed", (2, 4): "holed", (32, 31): "north", (30, 30): "north", (34, 32): "north", (34, 28): "east",
+            (32, 29): "east", (34, 30): "east", (14.0001, 1): None, (12, 2.0001): None, (1.5, 1.5): None, (9.9999, 0): None}
+    got = {(r.LON, r.LAT): r.name_long for r in spatial.contained(points(spark, list(want)), polygons, ["name_long"], "id").collect()}
+    assert got == want
+
+
 def star(rng, x, y, size, n):
     turn = sorted(rng.uniform(0, 2 * math.pi) for _ in range(n))
     return [(x + size * rng.uniform(0.2, 1) * math.cos(t), y + size * rng.uniform(0.2, 1) * math.sin(t))
@@ -136,7 +151,7 @@ def test_locate_gives_each_point_one_place(spark):
     xy = [(0.5, 0.5), (1.5, 1.5), (9.5, 1), (12, 1), (19, 19), (1.5, 1.5)]
     tracks = points(spark, xy).selectExpr("*", "'L' AS RECORD_ID")
     out = {r.id: (r.COUNTRY, r.LOCATION) for r in enrich_landfalls(tracks, polygons, "id").collect()}
-    assert out == {0: ("S1", "holed"), 1: ("S1", "holed"), 2: ("S2", "left"), 3: ("S3", "right"),
+    assert out == {0: ("S1", "holed"), 1: ("S1", "holed"), 2: ("S2", "left"), 3: ("S2", "left"),
                    4: ("S3", "right"), 5: ("S1", "holed")}
     assert bounding_box(tracks, "LON", "LAT", 0, 2, 0, 2).count() == 3
 
@@ -201,3 +216,42 @@ def test_many_searched_positions_give_the_same_answer(spark, monkeypatch):
     assert [r[3] for r in few] == ["n0", "n0", "n1", "n1", None]
     monkeypatch.setattr(spatial, "MAX_NEAR", 0)
     assert answers() == few
+
+
+def on_globe(lon, lat):
+    a, b = math.radians(lon), math.radians(lat)
+    return (math.cos(b) * math.cos(a), math.cos(b) * math.sin(a), math.sin(b))
+
+
+def steps_to_arc(p, a, b, n=4000):
+    """Degrees to the nearest of many places of an arc."""
+    turn = math.acos(max(-1.0, min(1.0, sum(x * y for x, y in zip(a, b)))))
+    best = 9.0
+    for i in range(n + 1):
+        f, g = (math.sin((1 - i / n) * turn), math.sin(i / n * turn)) if turn else (1, 0)
+        q = [(f * x + g * y) / (math.sin(turn) if turn else 1) for x, y in zip(a, b)]
+        best = min(best, math.acos(max(-1.0, min(1.0, sum(x * y for x, y in zip(p, q))))))
+    return math.degrees(best)
+
+
+def test_great_circles_wrap_and_pass_the_pole(spark):
+    shapes_ = [(1, "S", "west", "X", [box(170, 10, 9, 5)]), (2, "S", "east", "X", [box(-175, 10, 9, 5)]),
+               (3, "S", "north", "X", [ring((0, 80), (120, 80), (240, 80))]), (4, "S", "far", "X", [box(20, -40, 30, 1)])]
+    polygons = spark.createDataFrame(shapes_, SCHEMA)
+    xy = [(179.9, 12), (-179.9, 12), (-176, 11), (181, 12), (10, 85), (-160, 89.9), (35, -39), (35, -60), (60, 70), (0, -90), (35, -34)]
+    rows = points(spark, xy + xy)
+    got = {(r.LON, r.LAT): (r.near_id, r.near_distance) for r in sphere.nearest_on_sphere(rows, polygons).collect()}
+    assert len(got) == len(xy)
+    for lon, lat in xy:
+        apart_ = {}
+        for i, _, _, _, rings in shapes_:
+            vs = [on_globe(v["lon"], v["lat"]) for v in rings[0]]
+            apart_[i] = min(steps_to_arc(on_globe(lon, lat), a, b) for a, b in zip(vs, vs[1:] + vs[:1]))
+        near, distance = got[float(lon), float(lat)]
+        assert near == min(apart_, key=apart_.get) and distance == pytest.approx(apart_[near], abs=2e-3)
+    assert got[179.9, 12.0][0] == 1 and got[-179.9, 12.0][0] == 1 and got[-179.9, 12.0][1] < 1.1
+    odd = spark.createDataFrame([(None, 1.0), (5.0, 91.0), (5.0, None)], "LON double, LAT double")
+    assert all(r.near_id is None for r in sphere.nearest_on_sphere(odd, polygons).collect())
+    assert [r.near_id for r in sphere.nearest_on_sphere(rows, polygons.limit(0)).collect()] == [None] * len(xy)
+    out = spatial.locate(points(spark, xy[:2]), polygons, {"name_long": "place"}, "id", sphere=True)
+    assert [r.place for r in out.collect()] == ["west", "west"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracktally.catalog import Catalog
 from tracktally.catalog.inputs import EDGES_SQL, TRACKS_SQL, polygons, tracks
 from tracktally.operators import spatial as ops
+from tracktally.operators.sphere import nearest_on_sphere
 from tracktally.plans.explore import location_totals
 from tracktally.plans.wrangle import enrich_landfalls
 from tracktally.session import written_once
@@ -18,9 +19,11 @@ INSIDE_SQL = """
 inside AS (
   SELECT EVENT_ID, min(poly_id) AS poly_id FROM (
     SELECT EVENT_ID, poly_id
-    FROM tracks, edges
-    WHERE (y1 > LAT) <> (y2 > LAT) AND LON < x1 + (LAT - y1) * (x2 - x1) / (y2 - y1)
-    GROUP BY ALL HAVING count(*) % 2 = 1) GROUP BY 1)"""
+    FROM tracks JOIN edges ON LAT BETWEEN least(y1, y2) AND greatest(y1, y2)
+    GROUP BY ALL
+    HAVING count(*) FILTER ((y1 > LAT) <> (y2 > LAT) AND LON < x1 + (LAT - y1) * (x2 - x1) / (y2 - y1)) % 2 = 1
+        OR count(*) FILTER (LON BETWEEN least(x1, x2) AND greatest(x1, x2) AND (x2 - x1) * (LAT - y1) = (y2 - y1) * (LON - x1)) > 0
+  ) GROUP BY 1)"""
 
 NEAREST_SQL = """
 steps AS (
@@ -47,6 +50,24 @@ def point_in_polygon(spark, folder):
     return ops.contained(points, shape, ["name_long", "sovereignt"], "EVENT_ID")
 
 
+@catalog.add(f"""
+WITH {TRACKS_SQL}, {EDGES_SQL},
+corners AS (
+  SELECT EVENT_ID, STORM_ID, CAST(-118 + 13 * (STORM_ID % 6) + 9 * (EVENT_ID % 2) AS DOUBLE) AS LON,
+         CAST(7 + 10 * (EVENT_ID % 6) + (STORM_ID % 8) AS DOUBLE) AS LAT FROM tracks),
+met AS (
+  SELECT EVENT_ID, min(poly_id) AS poly_id FROM corners JOIN boxes
+    ON LON BETWEEN x AND x + w AND LAT BETWEEN y AND y + h
+   AND NOT (poly_id = 12 AND LON > x + 2 AND LON < x + w - 2 AND LAT > y + 2 AND LAT < y + h - 2) GROUP BY 1)
+SELECT EVENT_ID, LON, LAT, poly_id, name_long FROM corners LEFT JOIN met USING (EVENT_ID) LEFT JOIN boxes USING (poly_id)""")
+def border_points(spark, folder):
+    """Events moved onto the borders and corners of the boxes."""
+    lon = (-118 + 13 * (F.col("STORM_ID") % 6) + 9 * (F.col("EVENT_ID") % 2)).cast("double")
+    lat = (7 + 10 * (F.col("EVENT_ID") % 6) + F.col("STORM_ID") % 8).cast("double")
+    points = tracks(spark, folder).select("EVENT_ID", lon.alias("LON"), lat.alias("LAT"))
+    return ops.contained(points, polygons(spark, folder), ["name_long"], "EVENT_ID")
+
+
 @catalog.add(f"""
 WITH {TRACKS_SQL}, {EDGES_SQL}, {INSIDE_SQL}, {NEAREST_SQL}
 SELECT EVENT_ID, best[2] AS near_id, round(best[1], 6) AS near_distance FROM nearest""")
@@ -62,6 +83,43 @@ def nearest_polygon(spark, folder):
     )
 
 
+def _vector_sql(name, lon, lat):
+    return (f"cos(radians({lat})) * cos(radians({lon})) AS {name}x, cos(radians({lat})) * sin(radians({lon})) AS {name}y, "
+            f"sin(radians({lat})) AS {name}z")
+
+
+def _chord_sql(a, b):
+    return f"2 * asin(least(1, sqrt(({a}x - {b}x) ** 2 + ({a}y - {b}y) ** 2 + ({a}z - {b}z) ** 2) / 2))"
+
+
+@catalog.add(f"""
+WITH {TRACKS_SQL}, {EDGES_SQL},
+moved AS (SELECT EVENT_ID, LON * 5 + 420 AS lo, LAT * 3 - 90 AS la FROM tracks),
+placed AS (SELECT EVENT_ID, CASE WHEN lo > 180 THEN lo - 360 WHEN lo < -180 THEN lo + 360 ELSE lo END AS LON, la AS LAT FROM moved),
+p AS (SELECT EVENT_ID, {_vector_sql("p", "LON", "LAT")} FROM placed),
+e AS (SELECT poly_id, {_vector_sql("a", "(x1 + 260)", "(y1 * 1.5 - 5)")}, {_vector_sql("q", "(x2 + 260)", "(y2 * 1.5 - 5)")} FROM edges),
+n AS (SELECT *, ay * qz - az * qy AS nx, az * qx - ax * qz AS ny, ax * qy - ay * qx AS nz FROM e),
+d AS (
+  SELECT EVENT_ID, poly_id,
+         CASE WHEN px * (ny * az - nz * ay) + py * (nz * ax - nx * az) + pz * (nx * ay - ny * ax) > 0
+               AND px * (qy * nz - qz * ny) + py * (qz * nx - qx * nz) + pz * (qx * ny - qy * nx) > 0
+              THEN asin(least(1, abs(px * nx + py * ny + pz * nz) / sqrt(nx ** 2 + ny ** 2 + nz ** 2)))
+              ELSE least({_chord_sql("p", "a")}, {_chord_sql("p", "q")}) END AS d
+  FROM p, n),
+best AS (SELECT EVENT_ID, min((round(degrees(d), 9), poly_id)) AS best FROM d GROUP BY 1)
+SELECT EVENT_ID, best[2] AS near_id, CAST(floor(best[1] * 1e6 + 0.50025) AS BIGINT) AS near_microdegrees FROM best""")
+def nearest_on_globe(spark, folder):
+    """Positions around the globe and boxes on both sides of the antimeridian, by great circles."""
+    wide = F.col("LON") * 5 + 420
+    lon = F.when(wide > 180, wide - 360).when(wide < -180, wide + 360).otherwise(wide)
+    points = tracks(spark, folder).select("EVENT_ID", lon.alias("LON"), (F.col("LAT") * 3 - 90).alias("LAT"))
+    moved = F.transform("rings", lambda ring: F.transform(
+        ring, lambda p: F.struct((p["lon"] + 260).alias("lon"), (p["lat"] * 1.5 - 5).alias("lat"))))
+    near = nearest_on_sphere(points, polygons(spark, folder).withColumn("rings", moved))
+    return points.join(near, ["LON", "LAT"]).select(
+        "EVENT_ID", "near_id", F.floor(F.col("near_distance") * 1e6 + 0.50025).alias("near_microdegrees"))  # no tie of rounded digits
+
+
 @catalog.add(f"""
 WITH {TRACKS_SQL}, {EDGES_SQL}, {INSIDE_SQL}, {NEAREST_SQL}
 SELECT EVENT_ID, STORM_ID, LON, LAT, sovereignt AS COUNTRY, name_long AS LOCATION

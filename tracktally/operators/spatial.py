@@ -1,7 +1,8 @@
 """Point-in-polygon and nearest-polygon lookup through grid cells.
 
-Containment uses planar longitude/latitude and the even-odd rule with half-open
-edges; a point on a shared border goes to the smallest polygon id. Distances are
+Containment uses planar longitude/latitude and the even-odd rule; a point on an edge or
+corner, of a hole too, meets the polygon, and one that several polygons meet goes to the
+smallest id. Distances are
 planar in degrees after scaling longitudes by the cosine of the point's latitude.
 """
 
@@ -12,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracktally.operators.sphere import nearest_on_sphere
 from tracktally.session import written_once
 from tracktally.sources.polygons import edges
 
@@ -33,18 +35,25 @@ def cell_of(value: Column, size: float) -> Column:
 
 
 def _crosses(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """Does the eastward ray from the point cross this (never level) edge?"""
-    return ((y1 > py) != (y2 > py)) & (px < x1 + (py - y1) * (x2 - x1) / (y2 - y1))
+    """Does the eastward ray from the point cross this edge? Never where it is level."""
+    return ((y1 > py) != (y2 > py)) & (px < x1 + F.try_divide((py - y1) * (x2 - x1), y2 - y1))
+
+
+def _touches(px: Column, py: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Is the point on this edge?"""
+    boxed = px.between(F.least(x1, x2), F.greatest(x1, x2)) & py.between(F.least(y1, y2), F.greatest(y1, y2))
+    return boxed & ((x2 - x1) * (py - y1) == (y2 - y1) * (px - x1))
 
 
 def edge_cells(edge_rows: DataFrame, size: float) -> DataFrame:
     """Edges that can decide containment, keyed by cell.
 
-    A cell gets the edges of its latitude band that end in or east of it.
+    A cell gets the edges of its latitude band that end in or east of it; a level edge,
+    which matters to the points on it only, goes to the cells it passes.
     ``spans`` marks edges wholly east of the cell that cover the band: every point
     of the cell crosses them, so a count is enough. ``size`` is a power of two.
     """
-    sides = edge_rows.filter("y1 <> y2")
+    sides = edge_rows
     west = sides.groupBy("poly_id").agg(
         F.floor(F.min(F.least("x1", "x2")) / size).cast("int").alias("west")
     )
@@ -53,7 +62,10 @@ def edge_cells(edge_rows: DataFrame, size: float) -> DataFrame:
         "cy", F.explode(F.sequence(cell_of(low, size), cell_of(high, size)))
     )
     keyed = banded.withColumn(
-        "cx", F.explode(F.sequence(F.col("west"), cell_of(F.greatest("x1", "x2"), size)))
+        "cx", F.explode(F.sequence(
+            F.when(low == high, cell_of(F.least("x1", "x2"), size)).otherwise(F.col("west")),
+            cell_of(F.greatest("x1", "x2"), size),
+        ))
     )
     spans = (
         (F.least("x1", "x2") >= (F.col("cx") + 1) * size)
@@ -109,7 +121,8 @@ def contained(points: DataFrame, polygons: DataFrame, attributes: list[str], row
                 c["sides"], c["base"],
                 lambda n, e: n + _crosses(px, py, e["x1"], e["y1"], e["x2"], e["y2"]).cast("int"),
             )
-            return crossings % 2 == 1
+            on_edge = F.exists(c["sides"], lambda e: _touches(px, py, e["x1"], e["y1"], e["x2"], e["y2"]))
+            return (crossings % 2 == 1) | on_edge
 
         kept = ["poly_id", *attributes]
         hit = F.array_min(F.transform(
@@ -122,10 +135,12 @@ def contained(points: DataFrame, polygons: DataFrame, attributes: list[str], row
             .drop("cx", "cy", "candidates", "__hit")
         )
     met = placed.filter(valid).select(lon, lat, "cx", "cy").distinct().join(keyed, ["cx", "cy"])
-    crossing = F.col("spans") | _crosses(px, py, *[F.col(c) for c in ("x1", "y1", "x2", "y2")])
+    edge = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    crossing = F.col("spans") | _crosses(px, py, *edge)
     holders = (
-        met.groupBy(lon, lat, "poly_id").agg(F.count_if(crossing).alias("n"))
-        .filter(F.col("n") % 2 == 1)
+        met.groupBy(lon, lat, "poly_id")
+        .agg(F.count_if(crossing).alias("n"), F.count_if(_touches(px, py, *edge)).alias("on_edge"))
+        .filter((F.col("n") % 2 == 1) | (F.col("on_edge") > 0))
         .groupBy(lon, lat).agg(F.min("poly_id").alias("poly_id"))
         .join(names, "poly_id")
     )
@@ -272,9 +287,11 @@ def _far_cells(waiting: DataFrame, sides: DataFrame, lon: str, lat: str) -> Data
 
 
 def locate(points: DataFrame, polygons: DataFrame, attributes: dict[str, str], row_id: str,
-           lon: str = "LON", lat: str = "LAT", size: float = 1.0) -> DataFrame:
+           lon: str = "LON", lat: str = "LAT", size: float = 1.0, sphere: bool = False) -> DataFrame:
     """Containing polygon's attributes, else the nearest polygon's; one row per point.
 
+    ``sphere`` measures great-circle distances, which wrap at 180 degrees.
+
     Only positions without a container are searched, each distinct position once,
     so a place that holds many rows costs one search. Points with a container are
     not moved for the answers of the others.
@@ -283,7 +300,7 @@ def locate(points: DataFrame, polygons: DataFrame, attributes: dict[str, str], r
     sides = written_once(edges(polygons), "edges")
     inside = contained(points, polygons, kept, row_id, lon, lat, size, sides)
     outside = inside.filter(F.col("poly_id").isNull() & on_globe(F.col(lon), F.col(lat)))
-    near = nearest(outside, polygons, lon, lat, sides=sides)
+    near = nearest_on_sphere(outside, polygons, lon, lat) if sphere else nearest(outside, polygons, lon, lat, sides=sides)
     names = polygons.select(
         F.col("poly_id").alias("near_id"), *[F.col(k).alias(f"near_{k}") for k in kept]
     )
