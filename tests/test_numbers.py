@@ -135,3 +135,21 @@ def test_poisson_draw_ends_for_large_rates_and_refuses_infinite_ones(spark):
         assert abs(out[rate, 0.5] - rate) <= 1
         assert 5.5 < (out[rate, top] - rate) / rate**0.5 < 8
     assert out[float("inf"), 0.5] is None
+
+
+def test_constant_one_year_and_infinite_inputs(spark):
+    from pyspark.sql import functions as F
+
+    from tracktally.operators import diagnose, grid, predict
+
+    pairs = spark.createDataFrame([("a", "b", 1.0, float(v)) for v in range(5)], "x_var string, y_var string, x double, y double")
+    cells = diagnose.hexbin(pairs).collect()
+    assert sum(r.n for r in cells) == 5 and {r.cell_x for r in cells} <= {0.0, 0.5}
+    draws = spark.createDataFrame([("a", 2.0), ("a", 2.0), ("b", 1.0), ("b", 3.0), ("b", 4.0)], "variable string, value double")
+    found = diagnose.density(draws, draws.select("variable").distinct(), points=4).collect()
+    assert all((r.density is None) == (r.variable == "a") for r in found)
+    years = spark.range(1).select(grid.unit_interval_year(F.lit(2000), 2000, 2000).alias("x"))
+    assert years.first().x == -1.0
+    rates = spark.createDataFrame([(1, 0.5), (1, float("inf")), (1, 800.0), (1, float("nan")), (1, None)], "g int, log_lambda double")
+    mass = {r.k: r.mass for r in predict.predictive_mass(rates, ["g"]).collect()}
+    assert abs(sum(mass.values()) - 1) < 1e-9

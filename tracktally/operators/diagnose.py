@@ -233,13 +233,17 @@ def pair_rows(draws: DataFrame, chosen: DataFrame, variable: str = "variable") -
 
 
 def hexbin(pairs: DataFrame, bins: int = 30) -> DataFrame:
-    """Hexagonal bin counts per pair: cell centre in bin units and number of draws."""
+    """Hexagonal bin counts per pair: cell centre in bin units and number of draws.
+
+    Draws of a constant parameter have the place 0 on its axis.
+    """
     keys = ["x_var", "y_var"]
     span = pairs.groupBy(*keys).agg(
         F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")
     )
-    sx = bins * (F.col("x") - F.col("x0")) / (F.col("x1") - F.col("x0"))
-    sy = bins / math.sqrt(3) * (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0"))
+    place = lambda v: F.coalesce(
+        F.try_divide(F.col(v) - F.col(f"{v}0"), F.nullif(F.col(f"{v}1") - F.col(f"{v}0"), F.lit(0.0))), F.col(v) - F.col(f"{v}0"))
+    sx, sy = bins * place("x"), bins / math.sqrt(3) * place("y")
     placed = pairs.join(span, keys).select(*keys, sx.alias("sx"), sy.alias("sy"))
     even_x, even_y = F.floor(F.col("sx") + 0.5), F.floor(F.col("sy") + 0.5)
     odd_x, odd_y = F.floor("sx") + 0.5, F.floor("sy") + 0.5
@@ -259,7 +263,8 @@ def density(draws: DataFrame, chosen: DataFrame, points: int = 64, fine_bins: in
             variable: str = "variable") -> DataFrame:
     """Gaussian kernel density per chosen variable on an even grid.
 
-    Draws are counted in fine bins first, so the kernel sum runs over bins.
+    Draws are counted in fine bins first, so the kernel sum runs over bins. A constant
+    parameter, or one draw, has no density: NULL at its only place.
     """
     kept = draws.join(chosen.select(variable), variable, "left_semi")
     stats = kept.groupBy(variable).agg(
@@ -272,15 +277,15 @@ def density(draws: DataFrame, chosen: DataFrame, points: int = 64, fine_bins: in
     width = (F.col("hi") - F.col("lo")) / (fine_bins - 1)
     binned = (
         kept.join(stats, variable)
-        .withColumn("bin", F.floor((F.col("value") - F.col("lo")) / width + 0.5))
+        .withColumn("bin", F.floor(F.coalesce(F.try_divide(F.col("value") - F.col("lo"), width), F.lit(0.0)) + 0.5))
         .groupBy(variable, "lo", "hi", "h", "n", "bin").agg(F.count(F.lit(1)).alias("w"))
     )
     start, step = F.col("lo") - 3 * F.col("h"), (F.col("hi") - F.col("lo") + 6 * F.col("h")) / (points - 1)
     spread = binned.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn(
         "at", start + F.col("i") * step
     )
-    u = (F.col("at") - (F.col("lo") + F.col("bin") * width)) / F.col("h")
+    u = F.try_divide(F.col("at") - (F.col("lo") + F.col("bin") * width), F.col("h"))
     return spread.groupBy(variable, "i", "at").agg(
-        F.sum(F.col("w") * F.exp(-0.5 * u * u) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi)))
+        F.sum(F.try_divide(F.col("w") * F.exp(-0.5 * u * u), F.col("n") * F.col("h") * math.sqrt(2 * math.pi)))
         .alias("density")
     )

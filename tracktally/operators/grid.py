@@ -50,8 +50,8 @@ def zero_filled(grid: DataFrame, counts: DataFrame, keys: list[str], count: str)
 
 
 def unit_interval_year(year: Column, first: int, last: int) -> Column:
-    """Years mapped to [-1, 1] over the whole span, forecast years included."""
-    return (year - first) / F.lit(float(last - first)) * 2.0 - 1.0
+    """Years mapped to [-1, 1] over the whole span, forecast years included; -1 where it is one year."""
+    return (year - first) / F.lit(float(max(1, last - first))) * 2.0 - 1.0
 
 
 def modelling_grid(dim: DataFrame, counts: DataFrame, keys: list[str], id_name: str, count: str,

@@ -126,18 +126,21 @@ def predictive_mass(draws: DataFrame, keys: list[str], log_rate: str = "log_lamb
     """Average Poisson mass over draws for each count: ``keys, k, mass``.
 
     Each draw contributes up to the count beyond which its mass is negligible;
-    the average divides by all draws of the group.
+    the average divides by all draws of the group. Rates that are not finite count as NULL,
+    as they do for draws.
     """
+    known = F.when(F.exp(log_rate) < float("inf"), F.col(log_rate))  # a NaN is above all
+    draws = draws.select(*keys, known.alias(log_rate))
     rate = F.exp(log_rate)
-    top = F.ceil(rate + 10.0 * F.sqrt(rate) + 20.0).cast("int")
+    top = F.ceil(rate + 10.0 * F.sqrt(rate) + 20.0).cast("bigint")
     spread = draws.select(
-        *keys, log_rate, F.explode(F.sequence(F.lit(0), top)).alias("k")
+        *keys, log_rate, F.explode(F.sequence(F.lit(0).cast("bigint"), top)).alias("k")
     )
     totals = draws.groupBy(*keys).agg(F.count(log_rate).alias("__n"))
     sums = spread.groupBy(*keys, "k").agg(
         F.sum(F.exp(poisson_log_mass(F.col("k"), F.col(log_rate)))).alias("__s")
     )
-    return join_same(sums, totals, keys).select(*keys, "k", (F.col("__s") / F.col("__n")).alias("mass"))
+    return join_same(sums, totals, keys).select(*keys, F.col("k").cast("int").alias("k"), (F.col("__s") / F.col("__n")).alias("mass"))
 
 
 def density_histogram(df: DataFrame, facets: Sequence[str], value: str, width: float = 1.0) -> DataFrame:

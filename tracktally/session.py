@@ -29,17 +29,17 @@ def local_session(cpus: int | str = 8, app: str = "tracktally") -> SparkSession:
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only where the setting is absent and driver and
-    executors are one process, which is the case in tests.
+    Where that is unset and driver and executors are one process, as in tests, the context's
+    checkpoint folder serves, and one is made for it if need be.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="tracktally-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tracktally-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
