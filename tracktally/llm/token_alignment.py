@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -89,12 +90,12 @@ def covering(starts: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def links(a_start: np.ndarray, b_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of all overlapping pairs, by the a side and then the b side."""
-    n, m = len(a_start), len(b_start)
-    if not n or not m:
+    """Token numbers of all overlapping pairs; those that start together are met in both directions."""
+    if not len(a_start) or not len(b_start):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = np.r_[np.arange(n) * m + covering(a_start, b_start), covering(b_start, a_start) * m + np.arange(m)]
-    return np.divmod(np.unique(key.astype(np.int64)), m)
+    of_a, of_b = covering(a_start, b_start), covering(b_start, a_start)
+    later = np.flatnonzero(a_start[of_b] < b_start)
+    return np.r_[np.arange(len(a_start)), of_b[later]], np.r_[of_a, later]
 
 
 class Aligner:
@@ -115,7 +116,7 @@ class Aligner:
         for encode, (vocabulary, _) in zip((self.a, self.b), self.sides, strict=True):
             coded = encode(texts)
             ends = offsets_of([len(x) for x in coded])
-            ids = np.fromiter((i for x in coded for i in x), np.int64, int(ends[-1]))
+            ids = np.fromiter(chain.from_iterable(coded), np.int64, int(ends[-1]))
             given = pc.binary_join(lists(vocabulary.take(pa.array(ids)), ends), b"")
             fits &= pc.equal(given, whole).to_numpy(zero_copy_only=False)
             made.append((ids, ends))
@@ -131,15 +132,16 @@ class Aligner:
         (a, a_at), (b, b_at) = self.tokens(texts)
         a_end, b_end = np.cumsum(self.sides[0][1][a]), np.cumsum(self.sides[1][1][b])
         x, y = links(a_end - self.sides[0][1][a], b_end - self.sides[1][1][b])
-        cuts = np.intersect1d(a_end, b_end, assume_unique=True)
+        near = b_end[np.minimum(np.searchsorted(b_end, a_end), len(b_end) - 1)] if len(b_end) else b_end
+        cuts = a_end[near == a_end]
         a_group, b_group = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
         n_groups = np.bincount(np.searchsorted(a_at, np.searchsorted(a_end, cuts), "right") - 1, minlength=n)[:n] if len(cuts) else np.zeros(n, int)
         # groups spelled out: each side's ids of a group stand together, a before b
         order = np.full(len(a) + len(b), 0, np.int64)
         a_place = np.arange(len(a)) + np.searchsorted(b_group, a_group, "left")
         b_place = np.arange(len(b)) + np.searchsorted(a_group, b_group, "right")
-        order[a_place] = a + self.base * np.isin(a_end, cuts, assume_unique=True)
-        order[b_place] = b + 2 * self.base * np.isin(b_end, cuts, assume_unique=True)
+        order[a_place] = a + self.base * (cuts[a_group] == a_end)
+        order[b_place] = b + 2 * self.base * (cuts[b_group] == b_end)
         spelled = pc.binary_join(lists(self.spelled.take(pa.array(order)), a_at + b_at), "").to_pylist()
         # links of each document by id pair
         doc = np.searchsorted(a_at, x, "right") - 1
