@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -182,6 +183,15 @@ def test_bpe_query(spark, texts):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids)).encode()), sha(texts[r.doc_id].encode()))
 
 
+@pytest.mark.parametrize("unit", ["a", "ab", "the ", "é"])
+def test_bpe_long_pieces(unit):
+    piece = (unit * 30_000).encode()
+    assert byte_bpe.merge_piece(piece, RANKS) == TIKTOKEN._encode_single_piece(piece)
+    start = time.perf_counter()
+    byte_bpe.merge_piece((unit * 10**6)[: 10**6].encode(), RANKS)
+    assert time.perf_counter() - start < 60  # a square of the length takes many minutes
+
+
 def test_bpe_pieces():
     rng = random.Random(3)
     for n in [1, 2, 3, 10, 50, 3000]:

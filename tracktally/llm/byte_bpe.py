@@ -3,8 +3,8 @@
 A text is split by a pattern and each piece is merged alone: always the pair of the lowest
 rank, the leftmost first. The pairs wait in buckets by rank. A hierarchical bitmap marks the
 ranks that have a bucket, and find-first-set on its two levels gives the next one. Buckets
-hold positions in a linked list of parts; a position whose rank has changed since it was
-put there is stale and skipped. Work is near linear in the piece, however long it is.
+are heaps of positions in a linked list of parts; a position whose rank has changed since it
+was put there is stale and skipped. Work is n log n in the piece, however long it is.
 
 Merged pieces are remembered by each worker, up to ``CACHE_PIECES``. NULL text counts as
 empty: no ids, an empty decoding. Rows are independent of each other.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Callable
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one piece.
 
-    The two upper levels of the bitmap lead to a rank, a third to its leftmost position:
-    a bucket is the bit set of its positions.
+    The two levels of the bitmap lead to the lowest rank that has a bucket, and the bucket, a
+    heap of positions in the linked list, to the leftmost of them.
     """
     n = len(piece)
     if (whole := ranks.get(piece)) is not None:
@@ -52,15 +53,15 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
     rank_at = [find(piece[i : i + 2]) for i in range(n)]
     rank_at[-1] = None
-    buckets: dict[int, int] = {}
+    buckets: dict[int, list[int]] = {}
     nodes: dict[int, int] = {}
     top = 0
-    for i, r in enumerate(rank_at):
+    for i, r in enumerate(rank_at):  # ascending positions are a heap already
         if r is not None:
             if r in buckets:
-                buckets[r] |= 1 << i
+                buckets[r].append(i)
             else:
-                buckets[r] = 1 << i
+                buckets[r] = [i]
                 h = r >> NODE_BITS
                 nodes[h] = nodes.get(h, 0) | 1 << (r & NODE_MASK)
                 top |= 1 << h
@@ -69,10 +70,8 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         node = nodes[h]
         r = h << NODE_BITS | (node & -node).bit_length() - 1
         bucket = buckets[r]
-        i = (bucket & -bucket).bit_length() - 1
-        if bucket := bucket & (bucket - 1):
-            buckets[r] = bucket
-        else:
+        i = heappop(bucket)
+        if not bucket:
             del buckets[r]
             if node := node & (node - 1):
                 nodes[h] = node
@@ -85,30 +84,27 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         joined = parts[i] + parts[j]
         parts[i], parts[j], rank_at[j] = joined, None, None
         k = after[i] = after[j]
+        changed = ()
         if k < n:
             before[k] = i
             new = rank_at[i] = find(joined + parts[k])
             if new is not None:
-                if new in buckets:
-                    buckets[new] |= 1 << i
-                else:
-                    buckets[new] = 1 << i
-                    h = new >> NODE_BITS
-                    nodes[h] = nodes.get(h, 0) | 1 << (new & NODE_MASK)
-                    top |= 1 << h
+                changed = ((i, new),)
         else:
             rank_at[i] = None
         p = before[i]
         if p >= 0:
             new = rank_at[p] = find(parts[p] + joined)
             if new is not None:
-                if new in buckets:
-                    buckets[new] |= 1 << p
-                else:
-                    buckets[new] = 1 << p
-                    h = new >> NODE_BITS
-                    nodes[h] = nodes.get(h, 0) | 1 << (new & NODE_MASK)
-                    top |= 1 << h
+                changed = (*changed, (p, new))
+        for i, r in changed:
+            if r in buckets:
+                heappush(buckets[r], i)
+            else:
+                buckets[r] = [i]
+                h = r >> NODE_BITS
+                nodes[h] = nodes.get(h, 0) | 1 << (r & NODE_MASK)
+                top |= 1 << h
     return [ranks[x] for x in parts if x is not None]
 
 
