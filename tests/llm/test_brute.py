@@ -169,6 +169,70 @@ def test_nothing_else_is_dropped(page, parts):
     assert html_main.main_text(page) == "\n\n".join(p.strip() for p in parts)
 
 
+@pytest.mark.parametrize(("page", "parts"), [
+    # kinds that can hold the whole page
+    (f"<body><form><article><h1>T</h1><p>{LONG}</p></article></form>", ["T", LONG]),
+    (f"<form id=aspnet><fieldset><div><p>{LONG}</p><p>{LONG}</p></div></fieldset></form><form><p>Search, here</p></form>", [LONG, LONG]),
+    (f"<article><p>{LONG}</p><form><p>Your name</p></form><aside><p>x</p></aside><dialog><h1>Cookies</h1></dialog></article>", [LONG]),
+    (f"<div><h2>T</h2><p>{LONG}</p></div><aside><h1>Author</h1><p>Bio.</p></aside>", ["T", LONG]),
+    (f"<article><p>{LONG}</p></article><form class=comment-form><p>{LONG}</p><p>{LONG}</p></form>", [LONG]),
+    # no end tag
+    (f"<article><p>{LONG}<svg/></p><iframe src=x /><p>two, more</p></article>", [LONG, "two, more"]),
+    (f"<article><noscript><p>{LONG}</p><template><p>two, more</p></article>", [LONG, "two, more"]),
+    ("<article><noscript><p>no</p></noscript><p>one, two</p><script>x = 1; <p>no</p>", ["one, two"]),
+    # quotes
+    ("<article><h1 title=it's>T</h1><p>one, two</p><p>it's</p></article>", ["T", "one, two", "it's"]),
+    ('<article><div class=foo"><p>one, two</p></div></article>', ["one, two"]),
+    ("<article><p title='a>b' data-x=\"c>d\">one, two</p></article>", ["one, two"]),
+    ('<article><p title="open>one, two</p><p>three</p></article>', ["one, two", "three"]),
+    # what is no tag, and a page that ends in one
+    ("<article><p>1 < 2, 3 <4</p></ x><p>b</p></article>", ["1 < 2, 3 <4", "b"]),
+    ("<article><p>one, two</p><a href='x", ["one, two"]),
+])
+def test_broken_pages(page, parts):
+    assert html_main.main_text(page) == "\n\n".join(p.strip() for p in parts)
+
+
+@pytest.mark.parametrize("unit", ["<div class=x ", "<a b='x>' ", "<p title=it's>t ", "<div>", "<blockquote>", "<svg>", "<header>", "<div></section>", "<!--"])
+def test_broken_pages_take_linear_time(unit):
+    start = time.perf_counter()
+    html_main.main_text(unit * (1_000_000 // len(unit)))
+    assert time.perf_counter() - start < 20  # a square of the length takes many minutes
+
+
+def test_points_of_small_trees():
+    """Every block's points walked up to the root one by one."""
+    rng = random.Random(3)
+    for _ in range(60):
+        page, parents, tags, texts = [], [None], ["#root"], []
+
+        def grow(up, depth):
+            for _ in range(rng.randint(1, 3)):
+                tag = "p" if depth > 9 or rng.random() < 0.4 else rng.choice(["div", "section", "blockquote"])
+                parents.append(up)
+                tags.append(tag)
+                me = len(tags) - 1
+                page.append(f"<{tag}>")
+                if tag == "p":
+                    text = "a, bc " * rng.randint(1, 90)
+                    texts.append((me, text.strip()))
+                    page.append(text)
+                elif len(tags) < 60:
+                    grow(me, depth + 1)
+                page.append(f"</{tag}>")
+
+        grow(0, 0)
+        scores = [html_main.START.get(t, 0.0) for t in tags]
+        for at, text in texts:
+            share, level, up = 1 + text.count(",") + min(len(text) / 100, 3), 0, parents[at]
+            while up is not None:
+                scores[up] += share
+                share *= (1 / 2, 1 / 3)[level] if level < 2 else 2 / 3
+                up, level = parents[up], level + 1
+        _, nodes = html_main.parse("".join(page))
+        assert [n.tag for n in nodes] == tags and np.allclose([n.score for n in nodes], scores)
+
+
 def test_page_table(spark):
     for r in query(spark, "op3_tree_scored_text"):
         assert r.n_chars == len(r.text) and "track(" not in r.text and "©" not in r.text

@@ -3,25 +3,29 @@
 A page becomes a tree of its block elements. What can't be article text is left out as the
 tree is built: scripts, styles, menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments, hidden elements. Every paragraph gives points for its length and commas
-to its ancestors, half to the next one up and ever less beyond; a container's points are
-discounted by the share of its text that is in links. The best container, or the article or
+to its ancestors, half to the next one up and ever less up to the root; a container's points
+are discounted by the share of its text that is in links. The best container, or the article or
 main element it stands in, is kept with those siblings that score well or are its headings.
 Without either, the smallest container of the sections that score well, and of what stands
 beside a single one, is kept with all of its blocks but those that are mostly links.
 
 An element that only its class or id speaks against can also be a wrapper around the article
-(``content-sidebar-wrap``). It is judged when the whole page is read, and stays if it holds
+(``content-sidebar-wrap``), and so can a form, fieldset, aside or dialog. It is judged when the whole page is read, and stays if it holds
 the main element, or what the page has of articles and first headings, or most of the points
 outside links while no article stands beside it.
 
 NULL, empty and text-free pages give the empty text. Blocks stand in page order, each with
 white space turned into single blanks, joined by an empty line. A page is handled whole and
-alone, in time near linear in its length.
+alone, in time near linear in its length. Of broken markup: an unclosed quote is part of its
+word; a tag that the page does not finish, and all tags after it, end before the next ``<``;
+elements of skipped content without an end tag lose only their start tag, but for scripts and styles,
+which go on to the end of the page, as unclosed comments do.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from itertools import accumulate
 
@@ -29,22 +33,33 @@ from pyspark.sql import DataFrame
 
 from tracktally.llm.common import add_columns, texts_of
 
+#: Attributes: a quote opens a value only after ``=``, and only if it is closed somewhere.
+ATTRIBUTES = r"""(?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+[\s/]*+"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"""|<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""",
+    r"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|!\[CDATA\[.*?(?:\]\]>|\Z)|(?:[!?]|/(?![a-zA-Z]))[^>]*+>"
+    rf"|(/?)([a-zA-Z][^\s/>]*+)({ATTRIBUTES})>)",
     re.S,
 )
+#: From the first tag on that the page does not finish, a tag ends at any ``>`` or before the next ``<``.
+BROKEN = re.compile(r"<(?:[!?]|/(?![a-zA-Z])|(/?)([a-zA-Z][^\s/<>]*+))([^<>]*+)>?+")
+MARKUP = re.compile(r"<[a-zA-Z/!?]")
 #: Elements whose content is text up to their own end tag.
 RAW = {x: re.compile(rf"</{x}\s*>", re.I) for x in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "xmp")}
-DROPPED = frozenset("head nav footer aside form button select fieldset dialog menu object audio video canvas map".split())
+#: Those of them whose content goes with them where that end tag is missing.
+CODE = frozenset(["script", "style"])
+#: Those of them that ``/>`` ends at once.
+SINGLE_TAGS = frozenset(["svg", "iframe"])
+DROPPED = frozenset("head nav footer button select menu object audio video canvas map".split())
+#: Elements that can also hold the main text, so they are judged when the whole page is read.
+JUDGED = frozenset("form fieldset aside dialog".split())
 BLOCKS = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th"
     " blockquote pre figure figcaption hr address details summary header center hgroup search".split()
-) | DROPPED
+) | DROPPED | JUDGED
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element of the kinds named.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-CLOSE_STOPS = frozenset("ul ol dl table article section main div body".split())
+CLOSE_STOPS = frozenset("ul ol dl table article section main div body".split()) | JUDGED
 VOID = frozenset(["hr"])
 NAMES = re.compile(
     r"""(?:^|[\s_-])(?:ad|ads|advert\w*|banner|cookies?|consent|notice|notices|alert|sidebar|side|menu|nav|navbar|navigation|"""
@@ -76,19 +91,21 @@ class Node:
         self.score = START.get(tag, 0.0)
         self.length = self.linked = 0
         self.own = 0.0  # points of its own blocks outside links
-        self.named = ""  # class and id, where they speak against it
+        self.named = ""  # class and id, or the kind, where they speak against it
 
 
-def unwanted(tag: str, rest: str, node: Node) -> bool | str:
-    """Whether an element is left out with all it holds; its names if only they are against it."""
+def unwanted(tag: str, rest: str, article: bool) -> bool | str:
+    """Whether an element is left out with all it holds; what else speaks against it.
+
+    ``article``: it stands in an article or main element.
+    """
     if tag in DROPPED:
         return True
     if tag == "header":  # an article's own header holds its title
-        while node and node.tag not in ("article", "main"):
-            node = node.parent
-        return node is None
+        return not article
+    kind = tag if tag in JUDGED else ""
     if not rest or rest == "/":
-        return False
+        return kind
     held = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(rest)}
     if "hidden" in held or held.get("aria-hidden", "").lower() == "true":
         return True
@@ -97,7 +114,7 @@ def unwanted(tag: str, rest: str, node: Node) -> bool | str:
     if held.get("role", "").lower() in ROLES:
         return True
     names = f"{held.get('class', '')} {held.get('id', '')}"
-    return names if tag not in KEPT_NAMES and NAMES.search(names) else False
+    return f"{kind} {names}" if tag not in KEPT_NAMES and NAMES.search(names) else kind
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
@@ -124,47 +141,62 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             pending = []
         linked = 0
 
-    while m := TOKEN.search(html, at):
-        if m.start() > at and not node.dropped:
-            pending.append(html[at : m.start()])
+    token, opened, endless = TOKEN, Counter(), set()
+    while start := MARKUP.search(html, at):
+        start = start.start()
+        if not (m := token.match(html, start)):
+            token = BROKEN
+            m = token.match(html, start)
+        if start > at and not node.dropped:
+            pending.append(html[at:start])
             if links:
-                linked += m.start() - at
+                linked += start - at
         at = m.end()
         if (tag := m[2]) is None:
             continue
         tag = tag.lower()
         if tag in RAW:
-            if not m[1]:
-                end = RAW[tag].search(html, at)
-                at = end.end() if end else len(html)
+            if not m[1] and tag not in endless and not (tag in SINGLE_TAGS and m[3].endswith("/")):
+                if end := RAW[tag].search(html, at):
+                    at = end.end()
+                elif tag in CODE:
+                    at = len(html)
+                else:
+                    endless.add(tag)
         elif tag == "a":
             links = max(0, links - 1) if m[1] else 1
         elif tag in BLOCKS:
             flush()
             links = 0
             if m[1]:
-                found = node
-                while found is not root and found.tag != tag:
-                    found = found.parent
-                if found is not root:
-                    node = found.parent
+                if opened[tag]:
+                    while node.tag != tag:
+                        opened[node.tag] -= 1
+                        node = node.parent
+                    opened[tag] -= 1
+                    node = node.parent
                 continue
             ends = CLOSES.get(tag, ())
             found = node
-            while found is not root and found.tag not in ends and found.tag != "p" and found.tag not in CLOSE_STOPS and not found.dropped:
-                found = found.parent
-            if found is not root and (found.tag in ends or found.tag == "p"):
-                node = found.parent
-                if found.tag == "p" and node.tag in ends:
-                    node = node.parent
+            if opened["p"] or any(opened[x] for x in ends):
+                while found is not root and found.tag not in ends and found.tag != "p" and found.tag not in CLOSE_STOPS and not found.dropped:
+                    found = found.parent
+                if found is not root and (found.tag in ends or found.tag == "p"):
+                    last = found.parent
+                    if found.tag == "p" and last.tag in ends:
+                        last = last.parent
+                    while node is not last:
+                        opened[node.tag] -= 1
+                        node = node.parent
             if tag not in VOID:
-                against = node.dropped or unwanted(tag, m[3], node)
+                against = node.dropped or unwanted(tag, m[3], opened["article"] + opened["main"] > 0)
                 child = Node(tag, node, against is True)
                 if not child.dropped:
                     child.named = against or ""
                     node.children.append(child)
                     nodes.append(child)
                 node = child
+                opened[tag] += 1
         elif tag == "br":
             pending.append(" ")
     if at < len(html) and not node.dropped:
@@ -175,9 +207,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         nodes = [n for n in nodes if not n.dropped]
         for one in nodes:
             one.children = [x for x in one.children if isinstance(x, str) or not x.dropped]
-    for one, text in held:
-        if not one.dropped:
-            points(one, text)
+    points([(one, text) for one, text in held if not one.dropped], nodes)
     for one in reversed(nodes[1:]):  # children come after their parents
         one.parent.length += one.length
         one.parent.linked += one.linked
@@ -185,7 +215,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
 
 
 def judge(nodes: list[Node]) -> None:
-    """Drop the elements that their names speak against, but for wrappers of the main text.
+    """Drop the elements that names or kinds speak against, but for wrappers of the main text.
 
     Nodes are in page order, so what one holds are the nodes that follow it up to an end, and
     all that a node stands in is judged before it.
@@ -222,23 +252,37 @@ def judge(nodes: list[Node]) -> None:
         beside = {k: sums[k][n] - inside[k] - above[k][i] for k in kinds}
         only = (inside["article"] or inside["h1"]) and not beside["article"] and not beside["h1"]
         most = 2 * (score[ends[i]] - score[i]) > score[n] and plain["article"][around] == above["article"][i]
-        one.dropped = not (only or most and not READERS.search(one.named))
+        if one.tag in ("aside", "dialog"):  # often with headings of their own
+            one.dropped = not (only and most)
+        else:
+            one.dropped = not (only or most and not READERS.search(one.named))
 
 
 def worth_of(text: str) -> float:
     return 1.0 + text.count(",") + min(len(text) / 100.0, 3.0)
 
 
-def points(node: Node, text: str) -> None:
-    """A block's points go to its container and, less and less, to what that stands in."""
-    if node.tag in HEADINGS:
-        return
-    worth = worth_of(text)
-    held = node.parent if node.tag in ("p", "pre", "td", "blockquote", "li", "dd") and node.parent else node
-    level = 0
-    while held and level < 6:
-        held.score += worth / (1 if level == 0 else 2 if level == 1 else 3 * level)
-        held, level = held.parent, level + 1
+def points(held: list[tuple[Node, str]], nodes: list[Node]) -> None:
+    """A block's points go to its container and, less and less, to all that this stands in.
+
+    Half goes to the next one up, a third of that half to the one above, and from there on two
+    thirds of what the one below got. One pass up the tree carries these shares together.
+    """
+    own: dict[int, float] = {}
+    for node, text in held:
+        if node.tag not in HEADINGS:
+            to = node.parent if node.tag in ("p", "pre", "td", "blockquote", "li", "dd") and node.parent else node
+            own[id(to)] = own.get(id(to), 0.0) + worth_of(text)
+    near: dict[int, float] = {}
+    far: dict[int, float] = {}
+    for node in reversed(nodes):  # children come after their parents
+        a, b, c = own.get(id(node), 0.0), near.get(id(node), 0.0), far.get(id(node), 0.0)
+        if a or b or c:
+            node.score += a + b + c
+            if node.parent:
+                up = id(node.parent)
+                near[up] = near.get(up, 0.0) + a / 2
+                far[up] = far.get(up, 0.0) + b / 3 + c * 2 / 3
 
 
 def density(node: Node) -> float:
