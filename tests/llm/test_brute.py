@@ -375,6 +375,57 @@ def test_ordinal_gradient_and_order():
     assert np.corrcoef(expected, grade)[0, 1] > 0.9
 
 
+def test_ordinal_fit_against_likelihood():
+    """At the fitted point the plain penalised likelihood is flat, by finite differences."""
+    rng = np.random.default_rng(4)
+    n = 400
+    x = rng.normal(size=(n, 3))
+    grade = np.digitize(x @ [1.0, -0.5, 0.2] + rng.logistic(size=n), [0.0, 1.0, 2.0])
+    row, at = np.repeat(np.arange(n), 3), np.tile([3, 7, 11], n)
+    model = toxic_ordinal.fit_ordinal(row, at, x.ravel(), grade, 4)
+
+    def loss(w, t):
+        above = 1 / (1 + np.exp(-(x @ w)[:, None] + t[None, :]))
+        mass = -np.diff(np.c_[np.ones(n), above, np.zeros(n)], axis=1)[np.arange(n), grade]
+        weight = np.where(grade > 0, 0.5 / (grade > 0).sum(), 0.5 / (grade == 0).sum())
+        return -(weight * np.log(mass)).sum() + toxic_ordinal.PENALTY / 2 * (w**2).sum()
+
+    at_fit = loss(model.weights[[3, 7, 11]], model.thresholds)
+    for k in range(6):
+        step = np.zeros(6)
+        step[k] = 1e-4
+        slope = [loss(model.weights[[3, 7, 11]] + s * step[:3], model.thresholds + s * step[3:]) for s in (1, -1)]
+        assert abs(slope[0] - slope[1]) / 2e-4 < 0.02 and min(slope) > at_fit - 1e-5
+
+
+def test_toxic_sample_is_bounded(spark):
+    """Ids that repeat in both tables give no more rows; the rows are the first by their hashes."""
+    docs = spark.createDataFrame([(i % 40, f"text {i % 90}") for i in range(2000)] + [(None, "x"), (1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 40, i % 40 % 2) for i in range(160)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    made, totals = toxic_ordinal.sample_of(docs, labels, "doc_id", "text", "toxic", 7)
+    got = sorted((r.y, r.id, r.text) for r in made.collect())
+    keyed = docs.join(labels, "doc_id").where(~toxic_ordinal.held_out(F.col("doc_id"))).select("toxic", "doc_id", "text").distinct()
+    rows = keyed.select("*", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("g")).where("toxic is not null").collect()
+    ids = {y: sorted({(r.h, r.doc_id) for r in rows if r.toxic == y})[:7] for y in (0, 1)}
+    want = [(y, r[2], r[3]) for y in (0, 1) for r in sorted((r.h, r.g, r.doc_id, r.text) for r in rows if r.toxic == y and (r.h, r.doc_id) in ids[y])[:7]]
+    assert got == sorted(want) and len(got) == 14 and totals[0] > 7
+
+
+def test_places_that_stand_out(spark):
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 2, 300)
+    at = [[p for p in range(12) if rng.random() < (0.2 + 0.05 * p * (c if p % 2 else 0))] for c in y]
+    found = spark.createDataFrame([(int(c), a) for c, a in zip(y, at, strict=True)], "y int, at array<int>")
+    n1, want = int(y.sum()), []
+    for p in range(12):
+        k1, k = sum(p in a for a, c in zip(at, y, strict=True) if c), sum(p in a for a in at)
+        share = k / 300
+        error = (share * (1 - share) * (1 / n1 + 1 / (300 - n1))) ** 0.5
+        if abs(k1 / n1 - (k - k1) / (300 - n1)) > 3 * error and k >= 3:
+            want.append(p)
+    assert want and toxic_ordinal.standing_out(found, 300 - n1, n1).tolist() == want
+
+
 # mixing
 
 

@@ -8,7 +8,8 @@ the classes take part.
 
 Labels say only toxic or not. The grades above 0 are the thirds of the toxic rows by the
 linear score of a first fit with two grades. Weights are learnt on the driver from at most
-``SAMPLE_PER_CLASS`` labelled rows of each class, those of the smallest id hashes, and
+``SAMPLE_PER_CLASS`` labelled rows of each class, those of the smallest id and text hashes
+(equal rows once). Of these only the features that stand out come to the driver. The fit is
 corrected for the classes' shares among all labels; scoring covers every row and whole texts.
 
 NULL text counts as empty: it has no features and the score of a text without any. Without
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracktally.llm.common import add_columns, exact, texts_of
+from tracktally.llm.common import add_columns, exact, saved, texts_of
 from tracktally.llm.quality_rda import held_out
 
 DIMENSIONS = 1 << 18
@@ -68,15 +69,16 @@ def sparse(text: str) -> tuple[list[int], list[float]]:
     return sorted(at), [at[p] ** 0.5 / size for p in sorted(at)]
 
 
-def standing_out(row: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Whether the place of each entry is worth a weight."""
-    n1, n = toxic.sum(), len(toxic)
-    with_1 = np.bincount(at[toxic[row] == 1], minlength=DIMENSIONS)
-    with_0 = np.bincount(at[toxic[row] == 0], minlength=DIMENSIONS)
-    p = (with_0 + with_1) / n
-    error = np.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)) + 1e-12)
-    good = (np.abs(with_1 / n1 - with_0 / (n - n1)) > STANDS_OUT * error) & (with_0 + with_1 >= LEAST_TEXTS)
-    return good[at]
+def standing_out(found: DataFrame, n0: int, n1: int) -> np.ndarray:
+    """Places worth a weight, at most ``DIMENSIONS``, ascending.
+
+    Texts are counted by place in the tasks; only places that stand out come to the driver.
+    """
+    counts = found.select("y", F.explode("at").alias("place")).groupBy("place").agg(F.sum("y").alias("k1"), F.count(F.lit(1)).alias("k"))
+    p, p1, p0 = F.col("k") / (n0 + n1), F.col("k1") / n1, (F.col("k") - F.col("k1")) / n0
+    error = F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    good = counts.where((F.abs(p1 - p0) > STANDS_OUT * error) & (F.col("k") >= LEAST_TEXTS))
+    return np.sort(good.select("place").toArrow()["place"].to_numpy())
 
 
 @dataclass(frozen=True)
@@ -124,17 +126,35 @@ def fit_ordinal(row: np.ndarray, at: np.ndarray, value: np.ndarray, grade: np.nd
     return Ordinal(weights, np.cumsum(np.r_[free[len(places)], np.exp(free[len(places) + 1 :])]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sample: int) -> Ordinal | None:
+def sample_of(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """``id, digest, y, text`` of at most ``sample`` rows of each class, and the classes' label counts.
+
+    They are the first by hash of id, hash of text and id, so equal rows count once however often
+    an id repeats in either table. The places of the last ones are found on hashes alone.
+    """
     known = labels.where(exact(label).isin(0, 1) & ~held_out(exact(id))).select(exact(id).alias("known"), exact(label).cast("int").alias("y"))
     totals = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
+
+    def first(rows: DataFrame, *order) -> DataFrame:
+        parts = [rows.where(F.col("y") == y).orderBy(*order).limit(sample) for y in (0, 1)]
+        return parts[0].unionAll(parts[1])
+
+    # at most 2 * sample rows
+    chosen = first(known.distinct(), F.xxhash64("known"), "known")
+    narrow = docs.select(exact(id).alias("id"), exact(text).alias("text"))
+    texts = narrow.join(F.broadcast(chosen), F.col("id") == F.col("known")).select(
+        "id", "y", F.xxhash64("id").alias("h"), F.xxhash64("text").alias("digest"), "text"
+    )
+    ends = first(texts.select("y", "h", "digest", "id").distinct(), "h", "digest", "id")
+    last = ends.groupBy("y").agg(F.max(F.struct("h", "digest", "id")).alias("last"))
+    inside = texts.join(F.broadcast(last.withColumnRenamed("y", "of")), F.col("y") == F.col("of")).where(F.struct("h", "digest", "id") <= F.col("last"))
+    return inside.select("id", "digest", "y", "text").dropDuplicates(["id", "digest", "y"]), totals
+
+
+def learn(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sample: int) -> Ordinal | None:
+    chosen, totals = sample_of(docs, labels, id, text, label, sample)
     if not (totals.get(0) and totals.get(1)):
         return None
-    chosen = None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("known"), "known").limit(sample)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    # at most 2 * sample rows
-    texts = docs.select(exact(id).alias("id"), exact(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("known"))
 
     def make():
         def run(column):
@@ -143,22 +163,34 @@ def learn(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sa
 
         return run
 
-    found = add_columns(texts, ["text"], "at array<int>, value array<float>", make).select("id", "y", "at", "value")
-    table = found.toArrow().sort_by([("id", "ascending"), ("y", "ascending")]).combine_chunks()
-    y = table["y"].to_numpy()
-    if len(y) == 0 or y.min() == y.max():
+    found = saved(add_columns(chosen, ["text"], "at array<int>, value array<float>", make).drop("text"), "toxic-sample")
+    n = {r.y: r["count"] for r in found.groupBy("y").count().collect()}
+    if not (n.get(0) and n.get(1)):
         return None
-    at = table["at"].combine_chunks()
+    kept = standing_out(found, n[0], n[1])
+
+    def thin():
+        def run(at, value):
+            rows = [[], []]
+            for a, v in zip(at.to_numpy(zero_copy_only=False), value.to_numpy(zero_copy_only=False), strict=True):
+                good = np.isin(a, kept)
+                rows[0].append(a[good])
+                rows[1].append(v[good])
+            return rows
+
+        return run
+
+    table = add_columns(found, ["at", "value"], "place array<int>, worth array<float>", thin).select("id", "digest", "y", "place", "worth").toArrow()
+    table = table.sort_by([("id", "ascending"), ("y", "ascending"), ("digest", "ascending")]).combine_chunks()
+    y, at = table["y"].to_numpy(), table["place"].combine_chunks()
     row = np.repeat(np.arange(len(y)), at.value_lengths().to_numpy(zero_copy_only=False))
-    at, value = at.flatten().to_numpy(), table["value"].combine_chunks().flatten().to_numpy()
-    good = standing_out(row, at, y)
-    row, at, value = row[good], at[good], value[good].astype(float)
+    at, value = at.flatten().to_numpy(), table["worth"].combine_chunks().flatten().to_numpy().astype(float)
     first = fit_ordinal(row, at, value, y, 2)
     linear = np.bincount(row, value * first.weights[at], len(y))
     toxic = linear[y == 1]
     grade = np.where(y == 1, 1 + np.searchsorted(np.quantile(toxic, [1 / 3, 2 / 3]), linear), 0)
     model = fit_ordinal(row, at, value, grade, GRADES)
-    # the sample's odds of toxic were 1
+    # the fit's odds of toxic were 1
     return Ordinal(model.weights, model.thresholds - np.log(totals[1] / totals[0]) / 2)
 
 
