@@ -134,6 +134,17 @@ def test_jump_hash_and_slots(spark, texts):
     assert moved < 0.05
 
 
+def test_slots_of_a_hot_key(spark):
+    """Rows of one NULL id, a third of them equal: gapless, and in even tasks."""
+    n = 200_000
+    ids = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") % 3 > 0, F.col("id")).alias("size"))
+    found = shards.number_slots(ids.withColumn("shard", shards.shard_of(F.col("doc_id"), 8)), "shard")
+    assert found.agg(F.min("slot"), F.max("slot"), F.count_distinct("slot"), F.count_distinct("shard")).first()[:] == (0, n - 1, n, 1)
+    assert found.where("size IS NULL").count() == n // 3 + 1
+    written = found.groupBy(F.spark_partition_id()).count().agg(F.min("count"), F.max("count")).first()
+    assert 0 < written[1] < n * 0.6
+
+
 # html
 
 
@@ -479,10 +490,27 @@ def test_edits(spark, texts):
         edited = syncmers.half_edited(t, following)
         assert (r.n_chars, r.edited_sha256) == (len(t), sha(edited.encode()))
         a, b, c = syncmers.sketches([t, edited, following])
-        assert r.fingerprint == syncmers.spelled(a) and r.edited_fingerprint == syncmers.spelled(b)
+        assert [r.fingerprint, r.edited_fingerprint] == syncmers.spelled([a, b])
+        assert np.array_equal(syncmers.anchors_in(r.fingerprint), a)
         assert r.near_edited == syncmers.likeness(a, b) and r.near_next == syncmers.likeness(a, c)
 
 
+def test_edits_of_a_hot_id(spark):
+    """Half of the rows have a NULL id: many ranges, each row once, and every next is the following row."""
+    rng = random.Random(12)
+    rows = [(None if i % 2 else i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(60)))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keyed = docs.select(F.coalesce("doc_id", F.lit(syncmers.LEAST_ID)).alias("at"), F.xxhash64("text").alias("sub"), "text")
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    begins, subs, whole = syncmers.range_starts(keyed, ranges)
+    assert (begins == syncmers.LEAST_ID).sum() > ranges // 3 and len(set(zip(begins, subs, strict=True))) == len(begins)
+    order = [r.text for r in keyed.orderBy("at", "sub", "text").collect()]
+    plain = collections.Counter(sha(syncmers.half_edited(t, order[(i + 1) % len(order)]).encode()) for i, t in enumerate(order))
+    assert collections.Counter(r.edited_sha256 for r in syncmers.fingerprint_edits(docs).collect()) == plain
+    with pytest.raises(TypeError):
+        syncmers.fingerprint_edits(docs.withColumn("doc_id", F.lit("x")))
+
+
 def test_anchors_are_closed_syncmers():
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcé ") for _ in range(n)) for n in (0, 3, 23, 24, 25, 200, 500)]
@@ -524,7 +552,8 @@ def test_long_texts_that_share_a_passage(spark):
     assert syncmers.likeness(a, b) == (plain[0] & plain[1]).total() / (plain[0] | plain[1]).total() > 0.005
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r for r in syncmers.fingerprint_edits(rows).collect()}
-    assert found[0].near_next == syncmers.likeness(a, b) and len(found[0].fingerprint) == 24 * len(a)
+    assert found[0].near_next == syncmers.likeness(a, b) and np.array_equal(syncmers.anchors_in(found[0].fingerprint), a)
+    assert len(found[0].fingerprint) < 1.2 * len(texts[0])
     assert len(found[0].digest) == 8 * syncmers.SKETCH
 
 

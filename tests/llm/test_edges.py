@@ -35,7 +35,7 @@ def operators(labels):
         "rules": lambda d: quality_rules.quality_cascade(d, counts=True),
         "secrets": secret_links.scan_secrets,
         "redact": secret_links.redact_secrets,
-        "slots": lambda d: shards.number_slots(d.select("doc_id", shards.shard_of(d["doc_id"], 3).alias("shard")), "shard", "doc_id"),
+        "slots": lambda d: shards.number_slots(d.select("doc_id", shards.shard_of(d["doc_id"], 3).alias("shard")), "shard"),
         "html": lambda d: html_main.extract_main(d, "text", "main"),
         "bpe": lambda d: byte_bpe.decode_bpe(byte_bpe.encode_bpe(d, PATH, public_tokenizers.PATTERN), PATH),
         "dart": dart_minhash.near_duplicates,

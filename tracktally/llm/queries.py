@@ -56,7 +56,7 @@ def op2_jump_shards(spark: SparkSession, folder: str) -> DataFrame:
         shards.shard_of(F.col("doc_id"), 8).alias("shard"),
         shards.shard_of(F.col("doc_id"), 9).alias("grown_shard"),
     )
-    return shards.number_slots(placed, "shard", "doc_id").select(
+    return shards.number_slots(placed, "shard").select(
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"
     )
 

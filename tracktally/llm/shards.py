@@ -3,8 +3,9 @@
 The shard follows from the key and the number of shards alone; one more shard takes rows
 only into itself. A NULL key is a key of its own. Slots come from counts of small cells:
 rows are numbered inside (shard, cell) and shifted by what the shard's earlier cells hold,
-so no task numbers a whole shard. Rows that agree in all columns are counted first and
-spread again by their number, so a hot key with equal rows is no hot task.
+so no task numbers a whole shard. A cell is named by the hash of all columns, so rows of one
+key fill all cells of their shard. Rows that agree in all columns are counted first and
+spread again in runs of ``RUN`` rows, so they are no hot task either.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from tracktally.llm.common import exact
 
-#: Hex digits of the order key that name a cell of a shard: 16 ** 3 cells.
-CELL_DIGITS = 3
+#: Cells of a shard.
+CELLS = 4096
+#: Equal rows that one task writes at once.
+RUN = 65_536
 
 
 def key_hash(key: Column) -> Column:
@@ -56,25 +59,31 @@ def shard_of(key: Column, shards: int) -> Column:
     return place(key_hash(key))
 
 
-def number_slots(df: DataFrame, shard: str, order: str, slot: str = "slot") -> DataFrame:
-    """``df`` with a gapless number from 0 in each shard, ordered by the hash of ``order``.
+def number_slots(df: DataFrame, shard: str, slot: str = "slot") -> DataFrame:
+    """``df`` with a gapless number from 0 in each shard.
 
-    All columns of ``df`` take part in the order, so reruns agree; equal rows are
-    interchangeable. ``df`` must hold no column named ``slot``; keep it narrow, since it
-    is what gets shuffled.
+    The order is by a hash of all columns of ``df``, then by the columns, so reruns agree;
+    equal rows are interchangeable. ``df`` must hold no column named ``slot``; keep it
+    narrow, since it is what gets shuffled.
     """
     columns = [exact(c) for c in df.columns]
-    same = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
-    hashed = same.withColumn("__h", F.md5(F.coalesce(exact(order).cast("string"), F.lit("null")))).withColumn(
-        "__cell", F.substring("__h", 1, CELL_DIGITS)
+    hashed = (
+        df.groupBy(*columns)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__h", F.xxhash64(*columns))
+        .withColumn("__cell", F.pmod("__h", F.lit(CELLS)))
     )
     inside = Window.partitionBy(exact(shard), "__cell").orderBy("__h", *columns).rowsBetween(Window.unboundedPreceding, -1)
     counted = hashed.withColumn("__before", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-    # at most 16 ** CELL_DIGITS rows for each shard
+    # at most CELLS rows for each shard
     cells = hashed.groupBy(exact(shard).alias("__shard"), F.col("__cell").alias("__c")).agg(F.sum("__n").alias("__in"))
     earlier = Window.partitionBy("__shard").orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("__shard", "__c", F.coalesce(F.sum("__in").over(earlier), F.lit(0)).alias("__offset"))
     first = F.col("__offset") + F.col("__before")
-    return counted.join(
-        cells, exact(shard).eqNullSafe(F.col("__shard")) & (F.col("__cell") == F.col("__c"))
-    ).select(*columns, F.explode(F.sequence(first, first + F.col("__n") - 1)).alias(slot))
+    runs = (
+        counted.join(cells, exact(shard).eqNullSafe(F.col("__shard")) & (F.col("__cell") == F.col("__c")))
+        .withColumn("__run", F.explode(F.sequence(first, first + F.col("__n") - 1, F.lit(RUN).cast("long"))))
+        .withColumn("__end", F.least(F.col("__run") + RUN, first + F.col("__n")) - 1)
+        .repartition(exact(shard), "__run")
+    )
+    return runs.select(*columns, F.explode(F.sequence("__run", "__end")).alias(slot))

@@ -4,17 +4,21 @@ A k-mer of code points is an anchor when the smallest hash among its inner s-mer
 its first or last place. Whether it is one depends on the k-mer alone, so an edit moves no
 anchor beyond k characters from it. A text of under ``2 * K - S - 1`` code points may have
 none, so all its ``SHORT``-mers are anchors too. A fingerprint is every
-anchor of the text in order, its place (8 hex digits) and hash (16), so it grows with the
-text; equal texts have equal fingerprints. Likeness matches all anchors of two texts, each
+anchor of the text in order, so it grows with the text: 40 bits of hash, then the distance
+from the place before in bytes of seven bits, all as base64 (about 8 letters for each 8 or
+9 code points). Equal texts have equal fingerprints, and ``anchors_in`` reads them again. Likeness matches all anchors of two texts, each
 with one of the other at most. The ``SKETCH`` smallest hashes are a coarse digest beside it.
 
 NULL text counts as empty and has the empty fingerprint, which is like itself only. Texts are
-hashed many at a time; a very long one is a step of its own.
+hashed many at a time; a very long one is a step of its own. Ids must be whole numbers or
+NULL; other types are refused.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +36,9 @@ K, S = 24, 8
 SHORT = 4
 #: Anchor hashes in the coarse digest.
 SKETCH = 64
-#: An anchor of a fingerprint, and how it is spelled.
+#: An anchor of a fingerprint; of the hash the ``HASH_BYTES`` highest bytes are kept.
 MARK = np.dtype([("place", "<u4"), ("hash", "<u8")])
-SPELLED = MARK.newbyteorder(">")
+HASH_BYTES = 5
 BASE = 0x9E3779B97F4A7C15
 #: Ranges of ids dealt out for each shuffle partition.
 RANGES_EACH = 4
@@ -131,7 +135,7 @@ def sketches(texts: list[str]) -> list[np.ndarray]:
     for start, end in chunks([len(t) for t in texts]):
         own, at, hashes = marks_of(texts[start:end])
         marks = np.empty(len(own), MARK)
-        marks["place"], marks["hash"] = at, hashes
+        marks["place"], marks["hash"] = at, hashes >> np.uint64(64 - 8 * HASH_BYTES)
         cuts = np.searchsorted(own, np.arange(end - start + 1))
         made += [marks[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return made
@@ -158,13 +162,47 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return same / (len(a) + len(b) - same) if len(a) or len(b) else 1.0
 
 
-def spelled(sketch: np.ndarray) -> str:
-    return sketch.astype(SPELLED).tobytes().hex()
+def spelled(sketches: list[np.ndarray]) -> list[str]:
+    """The fingerprints of some sketches."""
+    every = np.concatenate([np.empty(0, MARK), *sketches])
+    sizes = np.array([len(x) for x in sketches], np.int64)
+    ends = np.cumsum(sizes)
+    place, hashes = every["place"].astype(np.int64), every["hash"]
+    gap = np.diff(place, prepend=0)
+    firsts = (ends - sizes)[sizes > 0]
+    gap[firsts] = place[firsts]
+    width = 1 + sum((gap >= 1 << 7 * i).astype(np.int64) for i in range(1, 5))
+    edges = np.r_[0, np.cumsum(HASH_BYTES + width)]
+    out = np.zeros(edges[-1], np.uint8)
+    for i in range(HASH_BYTES):
+        out[edges[:-1] + i] = hashes >> np.uint64(8 * (HASH_BYTES - 1 - i)) & np.uint64(255)
+    for i in range(5):
+        some = np.flatnonzero(width > i)
+        out[edges[some] + HASH_BYTES + i] = gap[some] >> 7 * i & 127 | (width[some] > i + 1) * 128
+    raw = out.tobytes()
+    return [base64.b64encode(raw[edges[e - n] : edges[e]]).decode() for e, n in zip(ends, sizes, strict=True)]
+
+
+def anchors_in(fingerprint: str) -> np.ndarray:
+    """The sketch that a fingerprint spells."""
+    raw, at, place, found = base64.b64decode(fingerprint), 0, 0, []
+    while at < len(raw):
+        hashed = int.from_bytes(raw[at : at + HASH_BYTES])
+        at += HASH_BYTES
+        shift = 0
+        while True:
+            place += (raw[at] & 127) << shift
+            shift += 7
+            at += 1
+            if raw[at - 1] < 128:
+                break
+        found.append((place, hashed))
+    return np.array(found, MARK)
 
 
 def digest(sketch: np.ndarray, size: int = SKETCH) -> str:
     """The ``size`` smallest distinct anchor hashes (32 bits), eight digits each."""
-    return np.unique(sketch["hash"] >> np.uint64(32))[:size].astype(">u4").tobytes().hex()
+    return np.unique(sketch["hash"] >> np.uint64(8 * HASH_BYTES - 32))[:size].astype(">u4").tobytes().hex()
 
 
 def find_anchors(docs: DataFrame, text: str = "text", k: int = K, s: int = S) -> DataFrame:
@@ -186,12 +224,12 @@ def find_anchors(docs: DataFrame, text: str = "text", k: int = K, s: int = S) ->
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Each row with ``fingerprint``, all its anchors in hex, and ``digest``, its smallest hashes."""
+    """Each row with ``fingerprint``, all its anchors, and ``digest``, its smallest hashes."""
 
     def make():
         def run(column):
             marks = sketches(texts_of(column))
-            return [[spelled(x) for x in marks], [digest(x) for x in marks]]
+            return [spelled(marks), [digest(x) for x in marks]]
 
         return run
 
@@ -204,38 +242,73 @@ def half_edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def range_starts(rows: DataFrame, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where ranges of about equal numbers of rows begin, by ``at`` and ``sub``, in order.
+
+    The third array tells whether all rows of that ``at`` begin a range; else those of that
+    ``sub`` do. At most twice ``ranges`` of them come to the driver.
+    """
+    steps = [i / ranges for i in range(1, ranges)]
+    bounds = rows.agg(F.min("at").alias("least"), F.percentile_approx("at", steps, max(10_000, 10 * ranges)).alias("cuts")).first()
+    if bounds.least is None:
+        return np.zeros(1, np.int64), np.full(1, LEAST_ID), np.ones(1, bool)
+    filled = Counter(bounds.cuts or ())
+    filled[bounds.least] += 1
+    starts = {(at, LEAST_ID, True) for at, times in filled.items() if times == 1}
+    crowded = {at: times for at, times in filled.items() if times > 1}
+    if crowded:
+        parts = F.create_map(*(F.lit(x) for pair in crowded.items() for x in pair))
+        # a part is a stretch of hashes, so that parts follow each other in the order of rows
+        part = F.floor((F.shiftright("sub", 33) + (1 << 30)) * parts[F.col("at")] / (1 << 31))
+        lows = rows.where(F.col("at").isin(list(crowded))).groupBy("at", part.alias("part")).agg(F.min("sub").alias("sub"))
+        starts |= {(r.at, r.sub, False) for r in lows.collect()}
+    ats, subs, whole = zip(*sorted(starts), strict=True)
+    return np.array(ats, np.int64), np.array(subs, np.int64), np.array(whole)
+
+
 def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints and digests of every text and of its half-edited form, and their likeness.
 
     A row's next is the one of the next id (a NULL id comes first, rows of one id stand by
-    text), the first after the last. Ids are cut into ranges at ids that occur, found by
-    approximate quantiles; each range is a task's stream of sorted rows. The rows of a
-    range's first id are also sent to the end of the range before, so neighbours meet
-    without any order over the whole table. Each text moves once.
+    the hash of their text), the first after the last. Ids are cut into ranges at ids that
+    occur, found by approximate quantiles; an id that fills several quantiles is cut further
+    by the hash of the text, so only rows that agree in id and text stay together. Each range
+    is a task's stream of sorted rows. The first rows of a range are also sent to the end of
+    the range before, so neighbours meet without any order over the whole table. Each text
+    moves once.
     """
-    narrow = docs.select(F.coalesce(exact(id).cast("long"), F.lit(LEAST_ID)).alias("at"), exact(id).alias("id"), exact(text).alias("text"))
-    session = docs.sparkSession
-    n = int(session.conf.get("spark.sql.shuffle.partitions"))
-    steps = [i / (n * RANGES_EACH) for i in range(1, n * RANGES_EACH)]
-    bounds = narrow.agg(F.min("at").alias("least"), F.percentile_approx("at", steps).alias("cuts")).first()
-    firsts = sorted({bounds.least, *(bounds.cuts or ())}) if bounds.least is not None else [0]
-    starts, last = np.array(firsts), len(firsts) - 1
+    if not isinstance(docs.schema[id].dataType, T.IntegralType):
+        raise TypeError(f"{id} must be a column of whole numbers, not {docs.schema[id].dataType.simpleString()}")
+    narrow = docs.select(
+        F.coalesce(exact(id).cast("long"), F.lit(LEAST_ID)).alias("at"),
+        F.xxhash64(exact(text)).alias("sub"),
+        exact(id).alias("id"),
+        exact(text).alias("text"),
+    )
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    begins, begin_subs, whole = range_starts(narrow, n * RANGES_EACH)
+    last = len(begins) - 1
 
     @F.pandas_udf("range int, first boolean")
-    def dealt_to(ids: pd.Series) -> pd.DataFrame:
-        place = np.searchsorted(starts, ids.to_numpy(), "right") - 1
-        return pd.DataFrame({"range": place.astype(np.int32), "first": starts[place] == ids.to_numpy()})
+    def dealt_to(ids: pd.Series, subs: pd.Series) -> pd.DataFrame:
+        ids, subs = ids.to_numpy(), subs.to_numpy()
+        order = np.lexsort((np.r_[np.zeros(len(begins)), np.ones(len(ids))], np.r_[begin_subs, subs], np.r_[begins, ids]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(order < len(begins)) - 1
+        place = place[len(begins) :]
+        first = (begins[place] == ids) & (whole[place] | (begin_subs[place] == subs))
+        return pd.DataFrame({"range": place.astype(np.int32), "first": first})
 
     place = F.col("place.range")
     here = F.struct(place.alias("range"), F.lit(0).alias("tail"))
     before = F.struct(F.when(place == 0, F.lit(last)).otherwise(place - 1).alias("range"), F.lit(1).alias("tail"))
     copies = F.when(F.col("place.first"), F.array(here, before)).otherwise(F.array(here))
     dealt = (
-        narrow.withColumn("place", dealt_to("at"))
+        narrow.withColumn("place", dealt_to("at", "sub"))
         .withColumn("copy", F.explode(copies))
-        .select("copy.range", "copy.tail", "at", "id", "text")
+        .select("copy.range", "copy.tail", "at", "sub", "id", "text")
         .repartition(n, "range")
-        .sortWithinPartitions("range", "tail", "at", "text")
+        .sortWithinPartitions("range", "tail", "at", "sub", "text")
     )
     schema = T.StructType([
         T.StructField(id, docs.schema[id].dataType),
@@ -249,7 +322,7 @@ def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -
         waiting: list[tuple] = []  # the last row seen: it waits for its next
 
         for batch in slices(batches):
-            columns = [batch.column(i).to_pylist() for i in (0, 1, 3, 4)]
+            columns = [batch.column(i).to_pylist() for i in (0, 1, 4, 5)]
             rows = [(r, tail, i, t or "") for r, tail, i, t in zip(*columns, strict=True)]
             for start, end in chunks([len(r[3]) for r in rows]):
                 part = waiting + rows[start:end]
@@ -261,19 +334,20 @@ def fingerprint_edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -
                 own = dict(zip(used, sketches([part[i][3] for i in used]), strict=True))
                 edited = [half_edited(part[i][3], part[j][3]) for i, j in pairs]
                 changed = sketches(edited)
+                prints = dict(zip(used, spelled([own[i] for i in used]), strict=True))
                 made = [
                     [part[i][2] for i, _ in pairs],
                     [len(part[i][3]) for i, _ in pairs],
                     [hashlib.sha256(e.encode()).hexdigest() for e in edited],
-                    [spelled(own[i]) for i, _ in pairs],
-                    [spelled(x) for x in changed],
+                    [prints[i] for i, _ in pairs],
+                    spelled(changed),
                     [likeness(own[i], x) for (i, _), x in zip(pairs, changed, strict=True)],
                     [likeness(own[i], own[j]) for i, j in pairs],
                     [digest(own[i]) for i, _ in pairs],
                     [digest(x) for x in changed],
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(made[0], batch.schema.field(3).type), pa.array(made[1], pa.int64())]
+                    [pa.array(made[0], batch.schema.field(4).type), pa.array(made[1], pa.int64())]
                     + [pa.array(x, pa.string()) for x in made[2:5]]
                     + [pa.array(x, pa.float64()) for x in made[5:7]]
                     + [pa.array(x, pa.string()) for x in made[7:]],
