@@ -153,3 +153,21 @@ def test_constant_one_year_and_infinite_inputs(spark):
     rates = spark.createDataFrame([(1, 0.5), (1, float("inf")), (1, 800.0), (1, float("nan")), (1, None)], "g int, log_lambda double")
     mass = {r.k: r.mass for r in predict.predictive_mass(rates, ["g"]).collect()}
     assert abs(sum(mass.values()) - 1) < 1e-9
+
+
+def test_predictive_mass_of_large_and_repeated_rates(spark):
+    """A band per distinct rate, equal to the plain masses of all draws."""
+    groups = {"large": [1e6, 1e6, 1.001e6], "mixed": [0.0, 0.3, 0.3, 90.0, 2500.0], "none": [float("nan")]}
+    rows = [(g, float(np.log(r)) if r else float("-inf")) for g, rates in groups.items() for r in rates]
+    draws = spark.createDataFrame(rows, "g string, log_lambda double")
+    found = predict.predictive_mass(draws, ["g"])
+    mass = {(r.g, r.k): r.mass for r in found.collect()}
+    assert {g for g, _ in mass} == {"large", "mixed"} and len(mass) < 30_000
+    for g in ("large", "mixed"):
+        assert sum(m for (name, _), m in mass.items() if name == g) == pytest.approx(1, abs=1e-7)
+
+    def plain(k, rates):
+        return sum(math.exp(k * math.log(r) - r - math.lgamma(k + 1)) if r else float(k == 0) for r in rates) / len(rates)
+
+    for g, k in [("large", 1_000_000), ("large", 999_000), ("mixed", 0), ("mixed", 1), ("mixed", 90), ("mixed", 2510)]:
+        assert mass[g, k] == pytest.approx(plain(k, groups[g]), rel=1e-6)

@@ -56,7 +56,8 @@ def ln_factorial(k: Column) -> Column:
 
 
 def poisson_log_mass(count: Column, log_rate: Column) -> Column:
-    return count * log_rate - F.exp(log_rate) - ln_factorial(count)
+    weighed = F.when(count == 0, 0.0).otherwise(count * log_rate)  # a rate of zero has the logarithm -inf
+    return weighed - F.exp(log_rate) - ln_factorial(count)
 
 
 def keyed_uniform(*key: Column | int | str) -> Column:

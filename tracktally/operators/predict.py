@@ -122,23 +122,27 @@ def predictive_draws(draws: DataFrame, row: str, log_rate: str = "log_lambda",
     return draws.withColumn("post_pred", poisson_quantile(F.col(log_rate), u))
 
 
+#: Rates of this size and more have counts that no int holds.
+LARGEST_RATE = 2.0e9
+
+
 def predictive_mass(draws: DataFrame, keys: list[str], log_rate: str = "log_lambda") -> DataFrame:
     """Average Poisson mass over draws for each count: ``keys, k, mass``.
 
-    Each draw contributes up to the count beyond which its mass is negligible;
-    the average divides by all draws of the group. Rates that are not finite count as NULL,
-    as they do for draws.
+    Draws of equal rates are counted first. A rate contributes to the band of counts outside
+    which its mass is negligible (below 1e-20), so work grows with the root of the rate;
+    counts that no band holds have no row. The average divides by all draws of the group.
+    Rates that are not finite, or whose counts are beyond the type of ``k``, count as NULL.
     """
-    known = F.when(F.exp(log_rate) < float("inf"), F.col(log_rate))  # a NaN is above all
-    draws = draws.select(*keys, known.alias(log_rate))
+    known = F.when(F.exp(log_rate) < LARGEST_RATE, F.col(log_rate))  # a NaN is above all
+    rates = draws.groupBy(*keys, known.alias(log_rate)).agg(F.count(F.lit(1)).alias("__draws"))
     rate = F.exp(log_rate)
-    top = F.ceil(rate + 10.0 * F.sqrt(rate) + 20.0).cast("bigint")
-    spread = draws.select(
-        *keys, log_rate, F.explode(F.sequence(F.lit(0).cast("bigint"), top)).alias("k")
-    )
-    totals = draws.groupBy(*keys).agg(F.count(log_rate).alias("__n"))
+    reach = 10.0 * F.sqrt(rate) + 20.0
+    lowest, highest = F.greatest(F.floor(rate - reach), F.lit(0)), F.ceil(rate + reach)
+    spread = rates.select(*keys, log_rate, "__draws", F.explode(F.sequence(lowest, highest)).alias("k"))
+    totals = rates.groupBy(*keys).agg(F.sum(F.when(F.col(log_rate).isNotNull(), F.col("__draws"))).alias("__n"))
     sums = spread.groupBy(*keys, "k").agg(
-        F.sum(F.exp(poisson_log_mass(F.col("k"), F.col(log_rate)))).alias("__s")
+        F.sum(F.col("__draws") * F.exp(poisson_log_mass(F.col("k"), F.col(log_rate)))).alias("__s")
     )
     return join_same(sums, totals, keys).select(*keys, F.col("k").cast("int").alias("k"), (F.col("__s") / F.col("__n")).alias("mass"))
 
