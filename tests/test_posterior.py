@@ -293,3 +293,29 @@ def test_constant_draws_have_no_measure(spark):
     for r in diagnose.measure(df).collect():
         assert r.rhat is None and r.ess_tail is None  # two values lie equally far from the median
     assert [r.rhat for r in diagnose.rank_rhat(df).collect()] == [None, None]
+
+
+def test_measures_rank_without_a_sort_of_all_draws(spark):
+    """A group's draws are ranked inside the group: no window sorts long rows."""
+    rows = [(f"v{v}", c, i, float((v * 31 + c * 17 + i * i * 7) % 23)) for v in range(3) for c in (1, 2) for i in range(1, 13)]
+    df = spark.createDataFrame(rows, "variable string, chain int, iteration int, value double")
+    for out in (diagnose.measure(df), diagnose.rank_rhat(df)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and out.count() == 3
+
+
+def test_summary_leaves_null_draws_out_and_keeps_nan(spark):
+    rows = [("a", 1, i, v) for i, v in enumerate([4.0, None, 1.0, 3.0])] + [("b", 1, 1, float("nan")), ("c", 1, 1, None), ("d", 1, 1, 2.0)]
+    got = {r.variable: r for r in diagnose.summarise(spark.createDataFrame(rows, "variable string, chain int, iteration int, value double")).collect()}
+    assert (got["a"].median, got["a"].mad) == (3.0, 1.4826) and abs(got["a"].q5 - 1.2) < 1e-12
+    assert math.isnan(got["b"].mean) and got["c"].mean is None and (got["d"].mean, got["d"].sd) == (2.0, None)
+
+
+def test_report_reads_gathered_draws_only(spark):
+    """The pair tables come from the saved groups of the few variables, not from all long rows."""
+    rows = [("x", v, c, i, float((v * 37 + c * 11 + i * i) % 19), i < 3) for v in range(1, 7) for c in (1, 2) for i in range(15)]
+    df = spark.createDataFrame(rows, "base string, idx int, chain int, iteration int, value double, is_warmup boolean")
+    out = checks.diagnostics(df, ["x"])
+    assert "kept" in out.pairs._jdf.queryExecution().analyzed().toString()
+    assert out.trace.count() == 30 and out.trace.filter("is_warmup").count() == 6
+    assert out.pairs.agg(F.sum("n")).first()[0] == 6 * 24

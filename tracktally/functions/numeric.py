@@ -45,6 +45,15 @@ def probit(p: Column) -> Column:
     )
 
 
+def probits(p: np.ndarray) -> np.ndarray:
+    """The same of an array."""
+    q = np.sqrt(-2.0 * np.log(np.minimum(p, 1.0 - p)))
+    tail = np.polyval(PROBIT_C, q) / np.polyval((*PROBIT_D, 1.0), q)
+    q = p - 0.5
+    centre = np.polyval(PROBIT_A, q * q) * q / np.polyval((*PROBIT_B, 1.0), q * q)
+    return np.where(p < PROBIT_LOW, tail, np.where(p > 1 - PROBIT_LOW, -tail, centre))
+
+
 def ln_factorial(k: Column) -> Column:
     """ln(k!): exact integers up to 20, the Stirling series beyond."""
     x = k.cast("double")

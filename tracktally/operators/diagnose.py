@@ -7,31 +7,93 @@ a setting of the fit and does not grow with the data.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracktally.functions.numeric import probit
+from tracktally.functions.numeric import probits
+
+
+#: Draws that a vectorised step takes at once, whatever the Arrow batch holds.
+DRAWS_PER_STEP = 262_144
+
+
+def gathered(value: str = "value") -> Column:
+    """Aggregate: the draws of a group as ``chain, iteration, value`` structs."""
+    return F.collect_list(F.struct("chain", "iteration", F.col(value).alias("value")))  # bounded, as all groups here
+
+
+def _steps(draws: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.StructArray]]:
+    """Some groups of a batch at a time: their numbers, their sizes and their draws end to end."""
+    sizes = pc.fill_null(pc.list_value_length(draws), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    step = (np.cumsum(sizes) - sizes) // DRAWS_PER_STEP
+    for rows in np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(step)) + 1):
+        if len(rows):
+            yield rows, sizes[rows], pc.list_flatten(draws.slice(rows[0], len(rows)))
+
+
+def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values, NaN where there is none, and where that is."""
+    missing = column.is_null().to_numpy(zero_copy_only=False)
+    return column.cast(pa.float64()).to_numpy(zero_copy_only=False), missing
+
+
+def _struct(out: np.ndarray, null: np.ndarray, names: Sequence[str], none: np.ndarray | None = None) -> pa.StructArray:
+    fields = [pa.array(out[:, i], mask=null[:, i]) for i in range(out.shape[1])]
+    return pa.StructArray.from_arrays(fields, list(names), mask=None if none is None else pa.array(none))
+
+
+def _percentile(ordered: np.ndarray, p: float) -> np.ndarray:
+    """Interpolated percentile of each row of ascending values."""
+    at = (ordered.shape[1] - 1) * p
+    low, high = ordered[:, math.floor(at)], ordered[:, math.ceil(at)]
+    with np.errstate(invalid="ignore"):
+        between = (math.ceil(at) - at) * low + (at - math.floor(at)) * high
+    return np.where((low == high) | (at == math.floor(at)), low, between)
+
+
+def _doubles(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in names])
+
+
+SUMMARY = ("mean", "median", "sd", "mad", "q5", "q95")
+
+
+@F.arrow_udf(_doubles(SUMMARY))
+def _summaries(draws: pa.Array) -> pa.Array:
+    out = np.full((len(draws), len(SUMMARY)), np.nan)
+    null = np.ones(out.shape, bool)
+    for rows, sizes, flat in _steps(draws):
+        value, missing = _numbers(flat.field("value"))
+        known = np.bincount(np.repeat(np.arange(len(rows)), sizes)[~missing], minlength=len(rows))
+        value, ends = value[~missing], np.cumsum(known)
+        for n in np.unique(known[known > 0]):
+            some = np.flatnonzero(known == n)
+            x = value[(ends[some] - n)[:, None] + np.arange(n)]
+            ordered = np.sort(x, axis=1)
+            median = _percentile(ordered, 0.5)
+            with np.errstate(invalid="ignore"):
+                away = np.sort(np.abs(x - median[:, None]), axis=1)
+                sd = x.std(axis=1, ddof=1) if n > 1 else np.full(len(x), np.nan)
+                mad = 1.4826 * ((away[:, (n - 1) // 2] + away[:, n // 2]) / 2)
+                mean = x.mean(axis=1)
+            at = rows[some]
+            out[at] = np.column_stack([mean, median, sd, mad, _percentile(ordered, 0.05), _percentile(ordered, 0.95)])
+            null[at] = False
+            null[at, SUMMARY.index("sd")] = n == 1
+    return _struct(out, null, SUMMARY)
 
 
 def summarise(draws: DataFrame, variable: str = "variable", value: str = "value") -> DataFrame:
     """mean, median, sd, mad, q5, q95 per variable, from one gathering of its draws."""
-    main = draws.groupBy(variable).agg(
-        F.avg(value).alias("mean"),
-        F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("__q"),
-        F.stddev_samp(value).alias("sd"),
-        F.collect_list(value).alias("__v"),  # bounded, as all groups here
-    ).withColumn("median", F.col("__q")[1])
-    away = F.array_sort(F.transform("__v", lambda v: F.abs(v - F.col("median"))))
-    low, high = F.floor((F.size("__v") - 1) / 2), F.floor(F.size("__v") / 2)
-    middle = (F.get("__away", low.cast("int")) + F.get("__away", high.cast("int"))) / 2
-    return main.withColumn("__away", away).select(
-        variable, "mean", "median", "sd", (1.4826 * middle).alias("mad"),
-        F.col("__q")[0].alias("q5"), F.col("__q")[2].alias("q95"),
-    )
+    packed = draws.groupBy(variable).agg(gathered(value).alias("__d"))
+    return packed.select(variable, _summaries("__d").alias("e")).select(variable, "e.*")
 
 
 def split_chains(draws: DataFrame, variable: str = "variable") -> DataFrame:
@@ -55,57 +117,82 @@ def split_chains(draws: DataFrame, variable: str = "variable") -> DataFrame:
     )
 
 
-def _rank_share(value: str, variable: str) -> Column:
-    """Average-tie rank among all draws of the variable, scaled into (0, 1).
-
-    Rank, ties and size share one ordering, so they cost one sort.
+def _order_key(x: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """Integers in the order of the values: missing ones first, NaN last, both zeros equal."""
+    bits = (x + 0.0).view(np.int64)
+    key = bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+    key[np.isnan(x)] = np.iinfo(np.int64).max
+    key[missing] = np.iinfo(np.int64).min
+    return key
+
+
+def _scores(order: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Normal scores of the average-tie ranks in each row; ``order`` sorts ``key``."""
+    size = key.shape[1]
+    ordered = np.take_along_axis(key, order, axis=1)
+    place = np.arange(size)
+    new = np.ones(ordered.shape, bool)
+    new[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+    last = np.ones(ordered.shape, bool)
+    last[:, :-1] = new[:, 1:]
+    low = np.maximum.accumulate(np.where(new, place, 0), axis=1)
+    high = np.minimum.accumulate(np.where(last, place, size)[:, ::-1], axis=1)[:, ::-1]
+    # ranks are multiples of a half: their scores come from a table
+    table = probits((np.arange(2 * size - 1) / 2 + 1 - 0.375) / (size + 0.25))
+    scores = np.empty(key.shape)
+    np.put_along_axis(scores, order, table[low + high], axis=1)
+    return scores
+
+
+def _rank_scores(x: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Normal scores of each row's ranks, and of the ranks of its distances to the median."""
+    key = _order_key(x, missing)
+    order = np.argsort(key, axis=1)
+    middle = order[:, [(x.shape[1] - 1) // 2, x.shape[1] // 2]]
+    (a, b), (no_a, no_b) = np.take_along_axis(x, middle, axis=1).T, np.take_along_axis(missing, middle, axis=1).T
+    with np.errstate(invalid="ignore"):
+        median = np.where(no_a, b, np.where(no_b, a, (a + b) / 2))
+        away = np.abs(x - median[:, None])
+    folded = _order_key(away, missing | (no_a & no_b)[:, None])
+    return _scores(order, key), _scores(np.argsort(folded, axis=1), folded)
+
+
+def _half_chains(rows: np.ndarray, sizes: np.ndarray, flat: pa.StructArray) -> Iterator[tuple]:
+    """Groups whose chains, cut in two, have halves of one length: numbers, values and missing ones.
+
+    Values have the shape (groups, half chains, iterations). The middle iteration of an odd
+    chain is left out. Groups without a half are yielded with no values.
     """
-    order = W.partitionBy(variable).orderBy(value)
-    ties = F.count(F.lit(1)).over(order.rangeBetween(W.currentRow, W.currentRow))
-    size = F.count(F.lit(1)).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    rank = F.rank().over(order) + (ties - 1) / 2.0
-    return (rank - 0.375) / (size + 0.25)
-
-
-def rank_scores(draws: DataFrame, variable: str = "variable", value: str = "value") -> DataFrame:
-    """Split chains with ``z`` (rank-normalised) and ``z_folded`` (same about the median)."""
-    halves = split_chains(draws.repartition(variable), variable)  # serves all windows
-    order = W.partitionBy(variable).orderBy(value)
-    whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    n = F.count(F.lit(1)).over(whole)
-    place = F.row_number().over(order)
-    middle = (place == F.floor((n + 1) / 2)) | (place == F.ceil((n + 1) / 2))
-    ranked = (
-        halves.withColumns({"__p": _rank_share(value, variable), "__middle": middle})
-        .withColumn("__median", F.avg(F.when(F.col("__middle"), F.col(value))).over(whole))
-        .withColumn("__away", F.abs(F.col(value) - F.col("__median")))
-        .withColumn("__folded", _rank_share("__away", variable))
-    )
-    return ranked.withColumns({
-        "z": probit(F.col("__p")), "z_folded": probit(F.col("__folded")),
-    }).drop("__p", "__middle", "__median", "__away", "__folded")
-
-
-def _between_within(score: str) -> Column:
-    """R-hat from per-half mean, variance and length columns of a score."""
-    n = F.first("n")
-    within = F.avg(f"{score}_var")
-    between = n * F.var_samp(f"{score}_mean")
-    return F.sqrt(F.try_divide((n - 1) / n * within + between / n, within))
-
-
-def rank_rhat(draws: DataFrame, variable: str = "variable", value: str = "value") -> DataFrame:
-    """Split R-hat: the larger of the rank-normalised and the folded one."""
-    scored = rank_scores(draws, variable, value)
-    halves = scored.groupBy(variable, "half").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("z").alias("z_mean"), F.var_samp("z").alias("z_var"),
-        F.avg("z_folded").alias("z_folded_mean"), F.var_samp("z_folded").alias("z_folded_var"),
-    )
-    return halves.groupBy(variable).agg(
-        (F.when(_between_within("z").isNotNull() & _between_within("z_folded").isNotNull(),
-                F.greatest(_between_within("z"), _between_within("z_folded")))).alias("rhat")
-    )
+    value, missing = _numbers(flat.field("value"))
+    chain, iteration = flat.field("chain"), flat.field("iteration")
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    named = chain.is_valid().to_numpy(zero_copy_only=False)
+    number = pc.fill_null(chain, 0).to_numpy(zero_copy_only=False)
+    early = pc.fill_null(iteration.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+    if not named.all():
+        owner, number, early, value, missing = (c[named] for c in (owner, number, early, value, missing))
+    same = (owner[1:] == owner[:-1]) & (number[1:] == number[:-1])
+    if not ((owner[1:] > owner[:-1]) | (number[1:] > number[:-1]) | (same & (early[1:] >= early[:-1]))).all():
+        order = np.lexsort((early, number, owner))
+        owner, number, value, missing = (c[order] for c in (owner, number, value, missing))
+        same = (owner[1:] == owner[:-1]) & (number[1:] == number[:-1])
+    start = np.flatnonzero(np.r_[True, ~same]) if len(owner) else np.zeros(0, np.int64)
+    length = np.diff(np.r_[start, len(owner)])
+    start, length = start[length > 1], length[length > 1]
+    half, of = length // 2, owner[start]
+    least, most = np.full(len(rows), np.iinfo(np.int64).max), np.zeros(len(rows), np.int64)
+    np.minimum.at(least, of, half)
+    np.maximum.at(most, of, half)
+    chains = np.bincount(of, minlength=len(rows))
+    yield rows[chains == 0], None, None
+    fits = (least == most)[of]
+    start, length, half, of = start[fits], length[fits], half[fits], of[fits]
+    kinds = np.column_stack([chains[of], half])
+    for m, n in np.unique(kinds, axis=0):
+        mine = (kinds == (m, n)).all(axis=1)
+        ends = np.column_stack([start[mine], (start + length - half)[mine]])
+        at = (ends[:, :, None] + np.arange(n)).reshape(-1, 2 * m, n)
+        yield rows[of[mine][::m]], value[at], missing[at]
 
 
 def _effective_size(x: np.ndarray) -> np.ndarray:
@@ -156,48 +243,63 @@ def _split_rhat(x: np.ndarray) -> np.ndarray:
     return np.where(_undefined(x), np.nan, rhat)
 
 
+MEASURES = ("rhat", "ess_bulk", "ess_tail")
+
+
+def _measured(draws: pa.Array, least: int, sizes_too: bool) -> pa.Array:
+    """R-hat and, with ``sizes_too``, effective sizes; groups without a half chain are NULL."""
+    out = np.full((len(draws), 3 if sizes_too else 1), np.nan)
+    empty = np.zeros(len(draws), bool)
+    for rows, sizes, flat in _steps(draws):
+        for at, x, missing in _half_chains(rows, sizes, flat):
+            if x is None:
+                empty[at] = True
+                continue
+            if x.shape[2] < least:
+                continue  # very short chains have no such measure
+            scores = _rank_scores(x.reshape(len(x), -1), missing.reshape(len(x), -1))
+            score, fold = (z.reshape(x.shape) for z in scores)
+            out[at, 0] = np.maximum(_split_rhat(score), _split_rhat(fold))
+            if sizes_too:
+                ends = np.quantile(x, (0.05, 0.95), axis=(1, 2))
+                tails = [_effective_size((x <= q[:, None, None]).astype(float)) for q in ends]
+                out[at, 1] = _effective_size(score)
+                out[at, 2] = np.minimum(*tails)
+    return _struct(out, np.isnan(out), MEASURES[: out.shape[1]], empty)
+
+
+@F.arrow_udf(_doubles(MEASURES))
+def _measures(draws: pa.Array) -> pa.Array:
+    return _measured(draws, 3, True)
+
+
+@F.arrow_udf(_doubles(MEASURES[:1]))
+def _rhats(draws: pa.Array) -> pa.Array:
+    return _measured(draws, 2, False)
+
+
+def rank_rhat(draws: DataFrame, variable: str = "variable", value: str = "value") -> DataFrame:
+    """Split R-hat: the larger of the rank-normalised and the folded one."""
+    packed = draws.groupBy(variable).agg(gathered(value).alias("__d"))
+    rhat = F.when(F.col("e.rhat") < F.lit(float("inf")), F.col("e.rhat"))  # none where halves do not vary within
+    return packed.select(variable, _rhats("__d").alias("e")).where("e IS NOT NULL").select(variable, rhat.alias("rhat"))
+
+
 def measure(draws: DataFrame, variable: str = "variable", value: str = "value") -> DataFrame:
-    """``rhat``, ``ess_bulk`` and ``ess_tail`` per variable, from one ranking pass.
+    """``rhat``, ``ess_bulk`` and ``ess_tail`` per variable.
 
-    Spark ranks the draws and gathers each variable's scores in (half chain, iteration)
-    order; a vectorised function then handles all variables of a batch together. Chains
-    of unequal lengths give NULL.
+    Spark gathers each variable's draws; a vectorised function then cuts the chains in two,
+    ranks the draws and handles all variables of a step together. Chains of unequal lengths
+    give NULL.
     """
-    scored = rank_scores(draws, variable, value)
-    packed = scored.groupBy(variable).agg(
-        F.countDistinct("half").alias("m"),
-        F.array_sort(
-            F.collect_list(F.struct("half", "t", "z", "z_folded", F.col(value).alias("v")))
-        ).alias("s"),
-    )
+    packed = draws.groupBy(variable).agg(gathered(value).alias("__d"))
+    return packed.select(variable, _measures("__d").alias("e")).where("e IS NOT NULL").select(variable, "e.*")
 
-    @F.pandas_udf("rhat double, ess_bulk double, ess_tail double")
-    def measures(m: pd.Series, half: pd.Series, z: pd.Series, folded: pd.Series, v: pd.Series) -> pd.DataFrame:
-        out = np.full((len(m), 3), np.nan)
-        shapes = pd.Series(list(zip(m, z.map(len))))
-        for (halves, length), rows in shapes.groupby(shapes).groups.items():
-            rows = np.asarray(rows)
-            if length % halves or length // halves < 3:
-                continue  # unequal or very short chains have no such measure
-            shape = (len(rows), halves, length // halves)
-            parts = np.stack(half.to_numpy()[rows]).reshape(shape)
-            rows = rows[(parts == parts[:, :, :1]).all(axis=(1, 2))]  # halves of one length
-            if not len(rows):
-                continue
-            shape = (len(rows), *shape[1:])
-            score, fold, raw = (
-                np.stack(c.to_numpy()[rows]).reshape(shape) for c in (z, folded, v)
-            )
-            ends = np.quantile(raw, (0.05, 0.95), axis=(1, 2))
-            tails = [_effective_size((raw <= q[:, None, None]).astype(float)) for q in ends]
-            out[rows, 0] = np.maximum(_split_rhat(score), _split_rhat(fold))
-            out[rows, 1] = _effective_size(score)
-            out[rows, 2] = np.minimum(*tails)
-        return pd.DataFrame(out, columns=["rhat", "ess_bulk", "ess_tail"])
-
-    return packed.select(
-        variable, measures("m", "s.half", "s.z", "s.z_folded", "s.v").alias("e")
-    ).select(variable, "e.*")
+
+def report(packed: DataFrame, draws: str, variable: str = "variable") -> DataFrame:
+    """``summarise`` and ``measure`` of gathered draws, the column ``draws``, in one pass."""
+    both = packed.select(variable, _summaries(draws).alias("s"), _measures(draws).alias("e"))
+    return both.where("e IS NOT NULL").select(variable, "s.*", "e.*")
 
 
 def worst(measures: DataFrame, k: int = 5, by: str = "ess_bulk", variable: str = "variable") -> DataFrame:
@@ -205,11 +307,15 @@ def worst(measures: DataFrame, k: int = 5, by: str = "ess_bulk", variable: str =
     return measures.orderBy(F.asc_nulls_last(by), variable).limit(k)
 
 
+def lowest(measures: DataFrame, by: str = "ess_bulk", variable: str = "variable") -> DataFrame:
+    """The name of the variable with the smallest measure."""
+    return measures.agg(F.min_by(variable, F.struct(by, variable)).alias(variable))
+
+
 def trace(draws: DataFrame, measures: DataFrame, by: str = "ess_bulk",
           variable: str = "variable") -> DataFrame:
     """All draws, warmup included and marked, of the variable with the smallest measure."""
-    lowest = measures.agg(F.min_by(variable, F.struct(by, variable)).alias(variable))
-    chosen = draws.join(F.broadcast(lowest), variable, "left_semi")  # one row
+    chosen = draws.join(F.broadcast(lowest(measures, by, variable)), variable, "left_semi")  # one row
     return chosen.select(variable, "chain", "iteration", "value", "is_warmup")
 
 
