@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracktally.operators import diagnose
@@ -65,24 +65,33 @@ def diagnostics(draws: DataFrame, variables: Iterable[str], warmup: bool = True,
                 n_pairs: int = 4) -> Diagnostics:
     """Convergence report of the named parameters; an unknown name raises.
 
-    The named draws and their measures are saved once: the measures read the draws
-    several times, and the trace and the pair tables depend on the measures' order.
+    The draws of each variable are gathered and saved once: the measures need no further
+    shuffle, and the trace and the pair tables, which depend on the measures' order, read
+    only the variables they show. The measures are saved too.
     """
-    everything = written_once(
+    draw, kept = ["chain", "iteration", "value", "is_warmup"], F.coalesce(~F.col("is_warmup"), F.lit(False))
+    packed = written_once(
         select_draws(draws, variables, warmup=True)
-        .select(variable_name().alias("variable"), "chain", "iteration", "value", "is_warmup"),
-        "selected",
-    )
-    kept = everything.filter(~F.col("is_warmup"))
-    measured = written_once(
-        diagnose.summarise(kept).join(diagnose.measure(kept), "variable"), "measures"
+        .groupBy("idx", "base")  # numbers sort faster than names
+        .agg(F.collect_list(F.when(kept, F.struct(*draw))).alias("kept"),
+             F.collect_list(F.when(~kept, F.struct(*draw))).alias("others"))
+        .select(variable_name().alias("variable"), "kept", "others"),
+        "gathered",
     )
+    measured = written_once(diagnose.report(packed.filter(F.size("kept") > 0), "kept"), "measures")
     several = measured.limit(2).count() > 1
     four = diagnose.worst(measured, n_pairs).select("variable")
+
+    def of(few: DataFrame, drawn: Column) -> DataFrame:
+        chosen = packed.join(F.broadcast(few), "variable", "left_semi")  # one to four names
+        return chosen.select("variable", F.explode(drawn).alias("d")).select("variable", "d.*")
+
+    shown = of(four, F.col("kept"))
+    traced = of(diagnose.lowest(measured), F.concat("kept", "others") if warmup else F.col("kept"))
     return Diagnostics(
         summary=measured.orderBy(F.asc_nulls_last("ess_bulk"), "variable"),
         worst=diagnose.worst(measured, k).select("variable", "rhat", "ess_bulk", "ess_tail"),
-        trace=diagnose.trace(everything if warmup else kept, measured),
-        pairs=diagnose.hexbin(diagnose.pair_rows(kept, four)) if several else None,
-        density=diagnose.density(kept, four) if several else None,
+        trace=diagnose.trace(traced, measured),
+        pairs=diagnose.hexbin(diagnose.pair_rows(shown, four)) if several else None,
+        density=diagnose.density(shown, four) if several else None,
     )
