@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracktally.catalog import posterior as catalog
 from tracktally.operators import compare, diagnose
 from tracktally.plans import checks, forecasts
 from tracktally.sources import draws as D
@@ -319,3 +320,13 @@ def test_report_reads_gathered_draws_only(spark):
     assert "kept" in out.pairs._jdf.queryExecution().analyzed().toString()
     assert out.trace.count() == 30 and out.trace.filter("is_warmup").count() == 6
     assert out.pairs.agg(F.sum("n")).first()[0] == 6 * 24
+
+
+def test_draws_are_never_the_broadcast_side(spark, tmp_path):
+    """Draws unfolded from a few short rows look small to the planner."""
+    spark.range(50).select(F.col("id").alias("c_custkey"), (F.col("id") % 7).alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(500).select((F.col("id") % 50).alias("o_custkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    ends = catalog.pointwise_loglik(spark, str(tmp_path)).agg(F.count("log_lik").alias("n"), F.sum("log_lik"))
+    assert ends.collect()[0].n == 50 * 120
+    plan = ends._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan

@@ -106,8 +106,12 @@ def fitted_and_forecast(fitted: DataFrame, forecast: DataFrame) -> DataFrame:
 
 def pointwise_log_lik(draws: DataFrame, counts: DataFrame, row: str, count: str,
                       log_rate: str = "log_lambda") -> DataFrame:
-    """Adds ``log_lik`` of the observed count under every draw."""
-    return draws.join(counts.select(row, count), row).withColumn(
+    """Adds ``log_lik`` of the observed count under every draw.
+
+    Draws made from a few short rows look small to the planner, which would broadcast all of
+    them; the counts, one row an observation, are broadcast instead where a count shows that they are few.
+    """
+    return draws.join(broadcast_if_small(counts.select(row, count)), row).withColumn(
         "log_lik", poisson_log_mass(F.col(count), F.col(log_rate))
     )
 
