@@ -12,8 +12,9 @@ times the log of that, however many shingles there are.
 Bands of entries give candidate groups. No group is expanded into all its pairs: members
 are compared with the group's leader, the one that shares most with others; those below the
 threshold with the leader among them, for ``ROUNDS`` rounds. Links that leaders can't show remain where a group's members
-are in different classes; those members are joined by their rarest shingles, which finds
-every such link without comparing all pairs of a group.
+are in different classes; those members meet by their rarest shingles, first leaders of
+classes in rounds, then all pairs of different classes that sizes and places of a common
+shingle allow. So every such link is found; pairs of one class are not compared.
 
 Equal texts (after lower-casing and white space) are one class from the start, told apart by
 64 hash bits, and go on as one. Texts under five words have one shingle, the whole text; NULL
@@ -41,6 +42,8 @@ SURE = 3.0
 ROUNDS = 2
 #: Rounds without a merge after which the leaders of rare shingles are done.
 IDLE = 2
+#: Members of a key that the others face in one task, when what rounds left over is compared.
+BLOCK = 1_000
 #: What a text's darts take, in characters of text, when texts are grouped into steps.
 DART_CHARS = 4_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -289,10 +292,33 @@ def facing_leaders(early: DataFrame, classes: DataFrame, least: float, number: i
     )
 
 
+def open_pairs(early: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """``a, b``: all pairs of different classes that may reach ``least``, each once.
+
+    At a key the members of its largest class do not meet each other: the others meet all
+    members, dealt out in blocks of ``BLOCK``. Work grows with those others times the members.
+    """
+    member = early.join(classes, "id")
+    kinds = member.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("many"))
+    split = (
+        kinds.groupBy("key")
+        .agg(F.max_by("cls", F.struct("many", "cls")).alias("home"), F.sum("many").alias("m"), F.count(F.lit(1)).alias("kinds"))
+        .where("kinds > 1")
+        .select("key", "home", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    )
+    here = saved(member.join(split, "key").select("key", "blocks", "id", "n", "at", "cls", (F.col("cls") != F.col("home")).alias("out")), "dart-here")
+    right = here.select("key", F.expr("pmod(xxhash64(id), blocks)").cast("int").alias("block"), F.struct("id", "n", "at", "cls").alias("y"))
+    left = here.where("out").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("id", "n", "at", "cls").alias("x"))
+    enough = F.least(F.expr("x.n - x.at"), F.expr("y.n - y.at")) * (1 + least) >= least * (F.expr("x.n + y.n")) - 1e-6
+    met = (left.key == right.key) & (left.block == right.block) & (F.col("x.cls") != F.col("y.cls")) & enough
+    return left.join(right, met).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
+
+
 def leader_rounds(texts: DataFrame, classes: DataFrame, known: DataFrame, least: float) -> DataFrame:
     """Links between different classes of ``id, cls``, by rounds in which classes merge.
 
-    Ends when ``IDLE`` rounds running merged nothing. Classes that merged never meet again.
+    The rounds end when ``IDLE`` of them running merged nothing; classes that merged never meet
+    again. What may be left between different classes then is compared in full.
     """
     early = early_elements(texts.join(classes, "id").select("id", "text"), least)
     made, number, idle = known.where(F.lit(False)), 0, 0
@@ -310,7 +336,8 @@ def leader_rounds(texts: DataFrame, classes: DataFrame, known: DataFrame, least:
         nodes = ends.select(F.col("a").alias("id")).unionAll(ends.select(F.col("b").alias("id"))).distinct()
         moved = components(nodes, ends).select(F.col("id").alias("cls"), F.col("cls").alias("to"))
         classes = saved(classes.join(moved, "cls", "left").select("id", F.coalesce("to", "cls").alias("cls")), "dart-contracted")
-    return made
+    rest = open_pairs(early, classes, least).join(known, ["a", "b"], "left_anti")
+    return made.unionAll(saved(compared(rest, texts), "dart-rest").where(F.col("sim") >= least))
 
 
 def verified_links(groups: DataFrame, ranks: DataFrame, texts: DataFrame, least: float) -> DataFrame:
