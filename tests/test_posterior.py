@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracktally.catalog import posterior as catalog
-from tracktally.operators import compare, diagnose
+from tracktally.operators import compare, diagnose, predict
 from tracktally.plans import checks, forecasts
 from tracktally.sources import draws as D
 
@@ -330,3 +330,17 @@ def test_draws_are_never_the_broadcast_side(spark, tmp_path):
     assert ends.collect()[0].n == 50 * 120
     plan = ends._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan
+
+
+def test_predictive_mass_unfolds_no_rows(spark):
+    """Bands are added up inside a batch; large, small and no rates, missing keys."""
+    rows = [("a", math.log(3.0)), ("a", math.log(5.0)), ("b", math.log(5000.0)), (None, -math.inf), (None, None), ("b", math.log(0.5))]
+    out = predict.predictive_mass(spark.createDataFrame(rows, "g string, ll double"), ["g"], "ll")
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.g, r.k): r.mass for r in out.collect()}
+    plain = lambda k, r: math.exp(k * math.log(r) - r - math.lgamma(k + 1))
+    for k in (0, 3, 30):
+        assert math.isclose(got["a", k], (plain(k, 3.0) + plain(k, 5.0)) / 2, rel_tol=1e-9)
+    for k in (4500, 5000, 5300):
+        assert math.isclose(got["b", k], plain(k, 5000.0) / 2, rel_tol=1e-9)
+    assert got[None, 0] == 1.0 and got[None, 20] == 0.0 and (None, 21) not in got and ("b", 3000) not in got

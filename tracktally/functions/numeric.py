@@ -87,7 +87,7 @@ def _log_factorials(k: np.ndarray) -> np.ndarray:
     return np.where(k <= 20, exact[np.minimum(k, 20).astype(int)], series)
 
 
-def _log_start_mass(k: np.ndarray, ll: np.ndarray, rate: np.ndarray) -> np.ndarray:
+def log_masses(k: np.ndarray, ll: np.ndarray, rate: np.ndarray) -> np.ndarray:
     """Log Poisson mass; large counts by their deviance, which loses no digits."""
     n = np.maximum(k, 1.0)
     deviance = k * np.log1p((rate - k) / n) - (rate - k)
@@ -111,7 +111,7 @@ def poisson_quantile(log_rate: pd.Series, u: pd.Series) -> pd.Series:
     goal = u.to_numpy(dtype=float)[known]
     rate = np.exp(ll)
     k = np.maximum(0.0, np.floor(rate - 7.0 * np.sqrt(rate) - 10.0))
-    mass = np.exp(_log_start_mass(k, ll, rate))
+    mass = np.exp(log_masses(k, ll, rate))
     reached = mass.copy()
     live = np.flatnonzero(reached < goal)
     while len(live):

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracktally.functions.numeric import keyed_uniform, poisson_log_mass, poisson_quantile
+from tracktally.functions.numeric import keyed_uniform, log_masses, poisson_log_mass, poisson_quantile
 from tracktally.operators.matching import join_same
 from tracktally.session import broadcast_if_small, task_count
 
@@ -130,25 +133,89 @@ def predictive_draws(draws: DataFrame, row: str, log_rate: str = "log_lambda",
 LARGEST_RATE = 2.0e9
 
 
+#: Entries of bands that a vectorised step holds at once.
+BAND_ENTRIES = 500_000
+
+
+def _band_sums(draws: DataFrame, keys: list[str], log_rate: str) -> DataFrame:
+    """``keys, k, __s``: masses in the bands of the draws' rates, added up batch by batch.
+
+    Draws with a rate are counted as k = -1.
+    """
+    names = [*(f"k{i}" for i in range(len(keys))), "k", "s"]
+    sent = draws.select(*[F.col(c).alias(n) for c, n in zip(keys, names)], F.col(log_rate).cast("double").alias("ll"))
+    schema = T.StructType([*sent.schema.fields[: len(keys)], T.StructField("k", T.LongType()), T.StructField("s", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ll = batch.column(len(keys)).to_numpy(zero_copy_only=False)  # NaN where there is none
+            with np.errstate(over="ignore"):
+                batch = batch.filter(pa.array(np.exp(ll) < LARGEST_RATE))
+            columns = [batch.column(i) for i in range(len(keys))]
+            group = np.zeros(batch.num_rows, np.int64)
+            for c in columns:
+                codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                group = np.unique(group * batch.num_rows + codes, return_inverse=True)[1]
+            first = np.unique(group, return_index=True)[1]
+            for g, k, s in band_masses(group, batch.column(len(keys)).to_numpy(zero_copy_only=False)):
+                taken = pa.array(first[g])
+                yield pa.RecordBatch.from_arrays([*(c.take(taken) for c in columns), pa.array(k), pa.array(s)], names=names)
+
+    return sent.mapInArrow(run, schema).toDF(*keys, "k", "__s")
+
+
+def band_masses(group: np.ndarray, ll: np.ndarray) -> Iterator[tuple]:
+    """Group, count and mass over the band of each rate, added up by group and count; -1 has the number of rates.
+
+    Bands from 0 follow from count to count by one product; others start from their own logarithms.
+    """
+    rate = np.exp(ll)
+    reach = 10.0 * np.sqrt(rate) + 20.0
+    low, high = np.maximum(np.floor(rate - reach), 0.0).astype(np.int64), np.ceil(rate + reach).astype(np.int64)
+    total = np.bincount(group).astype(float)
+    yield np.arange(len(total)), np.full(len(total), -1), total
+    at = np.flatnonzero(low == 0)
+    at = at[np.argsort(-high[at], kind="stable")]
+    of, top, r = group[at], high[at], rate[at]
+    mass = np.exp(-r)
+    k, found = 0, []
+    while len(of):
+        sums = np.bincount(of, mass)
+        some = np.flatnonzero(np.bincount(of))
+        found.append((some, np.full(len(some), k), sums[some]))
+        k += 1
+        live = np.searchsorted(-top, -k, "right")  # bands in descending order of their ends
+        of, top, r, mass = of[:live], top[:live], r[:live], mass[:live] * r[:live] / k
+    if found:
+        yield tuple(np.concatenate(c) for c in zip(*found))
+    wide = low > 0
+    _, at, weight = np.unique(np.column_stack([group, ll.view(np.int64)])[wide], axis=0, return_index=True, return_counts=True)
+    at = np.flatnonzero(wide)[at]
+    width = (high - low + 1)[at]
+    step = (np.cumsum(width) - width) // BAND_ENTRIES
+    for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(step)) + 1):
+        rows, times = np.repeat(at[some], width[some]), np.repeat(weight[some], width[some])
+        if not len(rows):
+            continue
+        k = np.arange(len(rows)) - np.repeat(np.cumsum(width[some]) - width[some], width[some]) + low[rows]
+        mass = times * np.exp(log_masses(k.astype(float), ll[rows], rate[rows]))
+        place, inverse = np.unique(group[rows] << 32 | k, return_inverse=True)
+        yield place >> 32, place & 0xFFFFFFFF, np.bincount(inverse, mass)
+
+
 def predictive_mass(draws: DataFrame, keys: list[str], log_rate: str = "log_lambda") -> DataFrame:
     """Average Poisson mass over draws for each count: ``keys, k, mass``.
 
-    Draws of equal rates are counted first. A rate contributes to the band of counts outside
+    Bands are added up where the draws are; equal rates of a batch whose bands do not start
+    at 0 are counted first. A rate contributes to the band of counts outside
     which its mass is negligible (below 1e-20), so work grows with the root of the rate;
     counts that no band holds have no row. The average divides by all draws of the group.
     Rates that are not finite, or whose counts are beyond the type of ``k``, count as NULL.
     """
-    known = F.when(F.exp(log_rate) < LARGEST_RATE, F.col(log_rate))  # a NaN is above all
-    rates = draws.groupBy(*keys, known.alias(log_rate)).agg(F.count(F.lit(1)).alias("__draws"))
-    rate = F.exp(log_rate)
-    reach = 10.0 * F.sqrt(rate) + 20.0
-    lowest, highest = F.greatest(F.floor(rate - reach), F.lit(0)), F.ceil(rate + reach)
-    spread = rates.select(*keys, log_rate, "__draws", F.explode(F.sequence(lowest, highest)).alias("k"))
-    totals = rates.groupBy(*keys).agg(F.sum(F.when(F.col(log_rate).isNotNull(), F.col("__draws"))).alias("__n"))
-    sums = spread.groupBy(*keys, "k").agg(
-        F.sum(F.col("__draws") * F.exp(poisson_log_mass(F.col("k"), F.col(log_rate)))).alias("__s")
-    )
-    return join_same(sums, totals, keys).select(*keys, F.col("k").cast("int").alias("k"), (F.col("__s") / F.col("__n")).alias("mass"))
+    sums = _band_sums(draws, keys, log_rate).groupBy(*keys, "k").agg(F.sum("__s").alias("__s"))
+    n = F.max(F.when(F.col("k") == -1, F.col("__s"))).over(W.partitionBy(*keys))  # a few hundred counts a group
+    out = sums.withColumn("__n", n).where("k >= 0")
+    return out.select(*keys, F.col("k").cast("int").alias("k"), (F.col("__s") / F.col("__n")).alias("mass"))
 
 
 def density_histogram(df: DataFrame, facets: Sequence[str], value: str, width: float = 1.0) -> DataFrame:
