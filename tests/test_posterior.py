@@ -344,3 +344,16 @@ def test_predictive_mass_unfolds_no_rows(spark):
     for k in (4500, 5000, 5300):
         assert math.isclose(got["b", k], plain(k, 5000.0) / 2, rel_tol=1e-9)
     assert got[None, 0] == 1.0 and got[None, 20] == 0.0 and (None, 21) not in got and ("b", 3000) not in got
+
+
+def test_rates_are_gathered_before_they_meet_counts(spark):
+    """The same as smoothing the joined log likelihoods; repeated, missing and zero counts too."""
+    rates = [(m, i, 0.1 * i + ((d * 37 + i * 11) % 41) / 50, d) for m in "AB" for i in range(6) for d in range(60)] + [("A", 7, None, 1)]
+    rates = spark.createDataFrame(rates, "model string, obs long, log_lambda double, draw int")
+    counts = spark.createDataFrame([(0, 0), (1, 3), (2, 30), (3, 4), (3, 5), (4, None), (7, 1)], "obs long, n int")
+    plain = compare.smoothed_loo(predict.pointwise_log_lik(rates, counts, "obs", "n"), ["model", "obs"])
+    packed = compare.smoothed_loo_of_rates(rates, counts, ["model", "obs"], "obs", "n")
+    expected = {(r.model, r.obs): (r.elpd_loo, r.pareto_k) for r in plain.collect()}
+    got = {(r.model, r.obs): (r.elpd_loo, r.pareto_k) for r in packed.collect()}
+    assert set(got) == set(expected) and got["A", 4] == (None, None) and got["A", 7] == (None, None)
+    assert all(math.isclose(a, b, rel_tol=1e-9) for k in got for a, b in zip(got[k], expected[k]) if b is not None)

@@ -79,12 +79,12 @@ def keyed_uniform(*key: Column | int | str) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") + 0.5) / 4294967296.0
 
 
-def _log_factorials(k: np.ndarray) -> np.ndarray:
+def log_factorials(k: np.ndarray) -> np.ndarray:
     x = np.maximum(k, 21.0)
     series = ((x + 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi)
               + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5))
     exact = np.array([math.lgamma(i + 1.0) for i in range(21)])
-    return np.where(k <= 20, exact[np.minimum(k, 20).astype(int)], series)
+    return np.where(k <= 20, exact[np.nan_to_num(np.clip(k, 0, 20)).astype(int)], series)
 
 
 def log_masses(k: np.ndarray, ll: np.ndarray, rate: np.ndarray) -> np.ndarray:
@@ -92,7 +92,7 @@ def log_masses(k: np.ndarray, ll: np.ndarray, rate: np.ndarray) -> np.ndarray:
     n = np.maximum(k, 1.0)
     deviance = k * np.log1p((rate - k) / n) - (rate - k)
     stirling = 0.5 * np.log(2.0 * np.pi * n) + 1.0 / (12.0 * n) - 1.0 / (360.0 * n**3) + 1.0 / (1260.0 * n**5)
-    return np.where(k > 20, deviance - stirling, k * ll - rate - _log_factorials(k))
+    return np.where(k > 20, deviance - stirling, k * ll - rate - log_factorials(k))
 
 
 @F.pandas_udf(T.LongType())

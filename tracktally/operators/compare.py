@@ -6,11 +6,13 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tracktally.functions.numeric import log_factorials
 from tracktally.session import cut_lineage
 
 OBSERVATIONS_PER_STEP = 64
@@ -85,22 +87,64 @@ def smoothed_loo(log_lik: DataFrame, keys: Sequence[str]) -> DataFrame:
     Observations with equally many draws are smoothed together, some at a time. A
     log likelihood that is NULL or not finite makes both results NULL.
     """
-    @F.pandas_udf("elpd_loo double, pareto_k double")
-    def smooth(values: pd.Series) -> pd.DataFrame:
-        out = np.full((len(values), 2), np.nan)
-        sizes = values.map(len)
-        for _, rows in sizes.groupby(sizes).groups.items():
-            for start in range(0, len(rows), OBSERVATIONS_PER_STEP):
-                at = np.asarray(rows[start:start + OBSERVATIONS_PER_STEP])
-                ll = np.stack(values.to_numpy()[at]).astype(float)
-                known = np.isfinite(ll).all(axis=1)
-                if known.any():
-                    out[at[known]] = _smoothed(ll[known])
-        return pd.DataFrame(out, columns=["elpd_loo", "pareto_k"])
-
     known = F.coalesce("log_lik", F.lit(float("nan")))
-    packed = log_lik.groupBy(*keys).agg(F.sort_array(F.collect_list(known)).alias("ll"))
-    return packed.select(*keys, smooth("ll").alias("s")).select(*keys, "s.*")
+    packed = log_lik.groupBy(*keys).agg(F.collect_list(known).alias("ll"))
+    return packed.select(*keys, _smooth("ll").alias("s")).select(*keys, "s.*")
+
+
+def smoothed_loo_of_rates(rates: DataFrame, counts: DataFrame, keys: Sequence[str], row: str, count: str,
+                          log_rate: str = "log_lambda") -> DataFrame:
+    """``smoothed_loo`` of ``pointwise_log_lik``, with ``row`` among ``keys``.
+
+    The rates of a group are gathered before they meet the counts of their observation: one
+    row a group is joined, not all draws.
+    """
+    packed = rates.groupBy(*keys).agg(F.collect_list(F.coalesce(log_rate, F.lit(float("nan")))).alias("r"))
+    seen = counts.groupBy(row).agg(F.collect_list(F.coalesce(F.col(count).cast("double"), F.lit(float("nan")))).alias("c"))
+    return packed.join(seen, row).select(*keys, _smooth_rates("r", "c").alias("s")).select(*keys, "s.*")
+
+
+SMOOTHED = T.StructType([T.StructField("elpd_loo", T.DoubleType()), T.StructField("pareto_k", T.DoubleType())])
+
+
+def _smoothed_rows(values: Sequence[np.ndarray]) -> pa.StructArray:
+    out = np.full((len(values), 2), np.nan)
+    sizes = np.array([len(v) for v in values], np.int64)
+    for size in np.unique(sizes):
+        rows = np.flatnonzero(sizes == size)
+        for start in range(0, len(rows), OBSERVATIONS_PER_STEP):
+            at = rows[start:start + OBSERVATIONS_PER_STEP]
+            ll = np.sort(np.stack([values[i] for i in at]).astype(float), axis=1)
+            known = np.isfinite(ll).all(axis=1)
+            if known.any():
+                out[at[known]] = _smoothed(ll[known])
+    null = np.isnan(out)
+    return pa.StructArray.from_arrays([pa.array(out[:, i], mask=null[:, i]) for i in (0, 1)], SMOOTHED.names)
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    if not len(column):
+        return []
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+
+
+@F.arrow_udf(SMOOTHED)
+def _smooth(log_lik: pa.Array) -> pa.Array:
+    return _smoothed_rows(_lists(log_lik))
+
+
+@F.arrow_udf(SMOOTHED)
+def _smooth_rates(log_rate: pa.Array, count: pa.Array) -> pa.Array:
+    seen, rates = _lists(count), _lists(log_rate)
+    if not rates:
+        return _smoothed_rows([])
+    sizes = np.array([len(r) * len(c) for r, c in zip(rates, seen)])
+    n = np.concatenate([np.repeat(c, len(r)) for r, c in zip(rates, seen)])
+    ll = np.concatenate([np.tile(r, len(c)) for r, c in zip(rates, seen)])
+    with np.errstate(invalid="ignore", over="ignore"):
+        log_lik = np.where(n == 0, 0.0, n * ll) - np.exp(ll) - log_factorials(n)
+    return _smoothed_rows(np.split(np.where(np.isnan(ll) | np.isnan(n), np.nan, log_lik), np.cumsum(sizes)[:-1]))
 
 
 def model_totals(pointwise: DataFrame, elpd: str = "elpd_loo") -> DataFrame:

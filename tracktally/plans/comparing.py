@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tracktally.operators.compare import compare_models, smoothed_loo
-from tracktally.operators.predict import pointwise_log_lik
+from tracktally.operators.compare import compare_models, smoothed_loo_of_rates
 from tracktally.sources.draws import parameter_draws
 
 
@@ -17,5 +16,4 @@ def compare_fits(draws: DataFrame, data: DataFrame, row: str, count: str,
     the observed counts. Models of different observations are refused.
     """
     rates = parameter_draws(draws, parameter, row, ["model"])
-    log_lik = pointwise_log_lik(rates, data, row, count, parameter)
-    return compare_models(smoothed_loo(log_lik, ["model", row]), row)
+    return compare_models(smoothed_loo_of_rates(rates, data, ["model", row], row, count, parameter), row)
