@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -357,3 +358,20 @@ def test_rates_are_gathered_before_they_meet_counts(spark):
     got = {(r.model, r.obs): (r.elpd_loo, r.pareto_k) for r in packed.collect()}
     assert set(got) == set(expected) and got["A", 4] == (None, None) and got["A", 7] == (None, None)
     assert all(math.isclose(a, b, rel_tol=1e-9) for k in got for a, b in zip(got[k], expected[k]) if b is not None)
+
+
+def test_check_jobs_save_no_draws(spark, tmp_path, monkeypatch):
+    spark.range(1, 13).selectExpr("id AS c_custkey", "CAST(id % 5 AS INT) AS c_nationkey",
+                                  "IF(id = 3, NULL, concat('m', id % 3)) AS c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(400).selectExpr("id AS o_orderkey", "id * id % 11 + 1 AS o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(D, "save_draws", lambda *_: pytest.fail("draws that are read once are saved"))
+    rows = catalog.posterior_check_job(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    for name in ("customer", "orders"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    sql = {q.name: q.sql for q in catalog.catalog.items}
+    key = lambda r: (r[0] or "", r[1])
+    assert sorted(map(tuple, rows), key=key) == sorted(db.execute(sql["posterior_check_job"]).fetchall(), key=key)
+    assert len(rows) == 12 and {r.IN_CI for r in rows} <= {True, False}
+    shares = catalog.posterior_coverage_job(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, shares), key=str) == sorted(db.execute(sql["posterior_coverage_job"]).fetchall(), key=str)

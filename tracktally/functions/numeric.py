@@ -102,7 +102,7 @@ def poisson_quantile(log_rate: pd.Series, u: pd.Series) -> pd.Series:
     The sum of masses starts at a count below which less than the smallest step of
     ``keyed_uniform`` lies, so the answer is exact and a row costs about the root of
     its rate. A batch advances together, which a fold over arrays on the JVM side
-    does some hundred times slower.
+    does some hundred times slower; only rows that go on are kept from step to step.
     """
     with np.errstate(over="ignore"):
         finite = np.isfinite(np.exp(log_rate.to_numpy(dtype=float, na_value=np.nan)))
@@ -111,17 +111,20 @@ def poisson_quantile(log_rate: pd.Series, u: pd.Series) -> pd.Series:
     goal = u.to_numpy(dtype=float)[known]
     rate = np.exp(ll)
     k = np.maximum(0.0, np.floor(rate - 7.0 * np.sqrt(rate) - 10.0))
-    mass = np.exp(log_masses(k, ll, rate))
-    reached = mass.copy()
-    live = np.flatnonzero(reached < goal)
+    mass = np.exp(-rate)
+    high = np.flatnonzero(k)
+    mass[high] = np.exp(log_masses(k[high], ll[high], rate[high]))
+    live = np.flatnonzero(mass < goal)
+    rate, goal, count, mass = rate[live], goal[live], k[live], mass[live]
+    reached = mass
     while len(live):
-        k[live] += 1.0
-        mass[live] *= rate[live] / k[live]
-        before = reached[live]
-        reached[live] += mass[live]
+        count = count + 1.0
+        mass = mass * (rate / count)
+        before, reached = reached, reached + mass
         # beyond the mode a mass too small to count ends the sum, whatever rounding left short
-        going = (reached[live] < goal[live]) & ((k[live] < rate[live]) | (reached[live] > before))
-        live = live[going]
+        going = (reached < goal) & ((count < rate) | (reached > before))
+        k[live[~going]] = count[~going]
+        live, rate, goal, count, mass, reached = (x[going] for x in (live, rate, goal, count, mass, reached))
     out = pd.Series(pd.NA, index=log_rate.index, dtype="Int64")
     out[known] = k.astype("int64")
     return out
