@@ -375,3 +375,12 @@ def test_check_jobs_save_no_draws(spark, tmp_path, monkeypatch):
     assert len(rows) == 12 and {r.IN_CI for r in rows} <= {True, False}
     shares = catalog.posterior_coverage_job(spark, str(tmp_path)).collect()
     assert sorted(map(tuple, shares), key=str) == sorted(db.execute(sql["posterior_coverage_job"]).fetchall(), key=str)
+
+
+def test_coverage_does_not_sort(spark):
+    data = spark.createDataFrame([(1, "April", 2), (2, "January", 1), (3, "March", 90)], "OBS_ID int, MONTH string, n int")
+    draws = data.crossJoin(spark.range(1, 101).withColumnRenamed("id", "draw")).select(
+        "OBS_ID", "draw", F.lit(0.5).alias("log_lambda"))
+    out = checks.coverage(checks.posterior_check(draws, data.withColumn("YEAR", F.lit(2001)), "OBS_ID", "n", "MONTH", "YEAR"))
+    assert "rangepartitioning" not in out._jdf.queryExecution().toString()
+    assert [tuple(r) for r in out.collect()] == [(66.7, 3)]
